@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from indexloom.llm import exact_dedup as exact
-from indexloom.llm import media, mixing, packing, token_orc
+from indexloom.llm import media, mixing, packing, substring, token_orc, toxicity
 from indexloom.llm.scratch import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(stored)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(documents(spark, sf_dir)).drop("_uid")
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark).path("token-orc")
     token_orc.write(documents(spark, sf_dir), path, public_tokenizers.path(VOCABULARY), end_id=2)
@@ -41,13 +45,19 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), end_id=1)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_gif_media": op3_gif_media,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_token_orc": op5_token_orc,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_best_fit": op8_best_fit,
+        "op10_toxicity": op10_toxicity,
     }
 
 
