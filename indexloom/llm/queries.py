@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from indexloom.llm import exact_dedup as exact
-from indexloom.llm import media, mixing, packing, substring, token_orc, toxicity
+from indexloom.llm import media, mixing, ngram_join, packing, substring, token_orc, toxicity
 from indexloom.llm.scratch import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))["documents"].drop("_uid")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(documents(spark, sf_dir))["documents"].drop("_uid", "first")
+
+
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.with_media(documents(spark, sf_dir))
     return media.features(stored)
@@ -52,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_gif_media": op3_gif_media,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_token_orc": op5_token_orc,
