@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from indexloom.llm.scratch import Scratch, spread
-from indexloom.llm.text import WORD
+from indexloom.llm.text import SPACES, WORD
 
 #: Words of a block.
 BLOCK = 4096
@@ -151,3 +151,28 @@ def _slots(sources: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     base = put.groupBy("_rank", "_chunk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(wc), F.lit(0))).drop("_n")
     wi = Window.partitionBy("_rank", "_chunk").orderBy("slot")
     return put.withColumn("_i", F.row_number().over(wi)).join(base, ["_rank", "_chunk"]).withColumn("_turn", F.col("_base") + F.col("_i") - 1).drop("_i", "_base", "_chunk")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """The rows that the mix takes, with the columns of ``docs``: whole copies, then a part of one.
+
+    A document of which the mix takes ``taken`` words comes ``taken div size`` times whole, and, if words
+    remain, once with its first remaining words (white space between them kept).  Rows without
+    words take no room in the mix and are left out, as are rows of which it takes nothing.
+    """
+    scratch = Scratch(docs.sparkSession)
+    numbered = scratch.cut(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
+    plan = mix(numbered, id_col, text_col, source_col, weights, share, most, block, seed)["documents"]
+    took = plan.where("taken > 0").select("_uid", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = numbered.join(took, "_uid")
+    whole = F.expr("_taken div _size")
+    rest = F.col("_taken") % F.col("_size")
+    parts = F.concat(F.when(whole > 0, F.array_repeat(F.lit(0).cast("long"), whole.cast("int"))).otherwise(F.array().cast("array<long>")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn("_words", F.explode(parts))
+    return rows.withColumn(text_col, _first_words(F.col(text_col), F.col("_words"))).select(*docs.columns)
+
+
+def _first_words(text: Column, words: Column) -> Column:
+    """The first ``words`` words of a text as they stand; all of it for 0."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"{SPACES[:-1]}*{WORD}"), F.lit(0))
+    return F.when(words == 0, text).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.lit(1), words.cast("int"))), ""))
