@@ -27,7 +27,7 @@ from indexloom.llm.tokens import encoder
 CAPACITY = 4096
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """_row, doc_id, piece, start, length, ids_crc32 (and ids, little-endian, if asked for).
 
     A document is the ids of its whole text (null: none), then ``end_id``; one longer than
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
     fields = "_row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = encoder(vocabulary, by_word), TaskContext.get().partitionId() << 40
+        enc, row = encoder(vocabulary), TaskContext.get().partitionId() << 40
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             out: list[tuple] = []
@@ -147,8 +147,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, fields)
 
 
-def best_fit(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every document; one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     scratch = Scratch(docs.sparkSession)
-    parts = scratch.cut(pieces(docs, vocabulary, end_id, capacity, by_word, id_col, text_col), "pieces")
+    parts = scratch.cut(pieces(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces")
     return pack(parts, capacity).drop("_row")

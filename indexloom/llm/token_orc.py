@@ -24,7 +24,7 @@ OPTIONS = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stri
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, parts: int | None = None, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, each document's followed by ``end_id``.
 
     Null text counts as empty (its row holds the end id alone); null ids come first;
@@ -34,7 +34,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, parts: i
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, start = encoder(vocabulary, by_word), TaskContext.get().partitionId(), 0
+        enc, part, start = encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 256):

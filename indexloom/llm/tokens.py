@@ -1,79 +1,103 @@
 """Token ids of whole texts, encoded by the tokenizers library inside Python workers.
 
-The vocabulary normalises and splits at white space, so the ids of a text are those of
-its white-space-separated words, one after another.  Each worker keeps a bounded table
-of words already encoded and sends only new ones to the library; a vocabulary for which
-that does not hold is used on whole texts (``by_word=False``).
+A vocabulary whose pipeline normalises and splits at white space gives a text the ids of its
+white-space-separated words, one after another.  For such a pipeline (it is compared with the
+one known, `PIPELINE`) each worker keeps a bounded table of words; a new word of plain letters
+goes to the library's model at once, any other through the whole pipeline.  Other vocabularies
+are used on whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import os
+
 import numpy as np
 
-#: Words that a worker keeps; the table starts afresh beyond that.
-KEEP = 600_000
-#: Stands between new words that are encoded together.
-_MARK = "␞"
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+#: Words of one generation of a worker's table; two generations are kept.
+KEEP = 500_000
+#: The pipeline for which words are independent of each other.
+PIPELINE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: Marks that end a word without being part of another piece.
+_TAIL = ".,;:!?"
+#: White space for str.split alone; texts with these are encoded whole.
+_ODD = "\x1c\x1d\x1e\x1f"
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where printable."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, by_word: bool = True):
-        import os
-
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.by_word = by_word
+        self.model = self.tok.model
+        made = json.loads(self.tok.to_str())
+        self.by_word = all(made[k] == v for k, v in PIPELINE.items())
+        self.bytes = _byte_characters()
         self.words: dict[str, bytes] = {}
-        self.mark = np.array(self._ids(_MARK), "<u4")
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if _MARK not in w]
-        for w in new:
-            if _MARK in w:
-                self.words[w] = np.array(self._ids(w), "<u4").tobytes()
-        if not plain:
-            return
-        ids, m = np.array(self._ids(f" {_MARK} ".join(plain)), "<u4"), self.mark
-        k = len(m)
-        hit = np.ones(max(0, len(ids) - k + 1), bool)
-        for j in range(k):
-            hit &= ids[j : len(ids) - k + 1 + j] == m[j]
-        at = np.flatnonzero(hit)
-        if len(at) != len(plain) - 1:  # a word that makes the same ids as the mark
-            for w in plain:
-                self.words[w] = np.array(self._ids(w), "<u4").tobytes()
-            return
-        data, start = ids.tobytes(), 0
-        for w, end in zip(plain, [*(at * 4).tolist(), len(data)], strict=True):
-            self.words[w] = data[start:end]
-            start = end + 4 * k
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        """Through the whole pipeline."""
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _piece(self, letters: str) -> bytes:
+        """Lower-case letters of one block, or marks, by the model."""
+        ids = self.words.get(letters) or self.older.get(letters)
+        if ids is None:
+            s = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)
+            ids = self.words[letters] = np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
+        return ids
+
+    def _learn(self, word: str) -> None:
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(_TAIL)
+            if (core.isalpha() or not core) and (core.isascii() or max(core) < "Ā"):
+                ids = (self._piece(core.lower()) if core else b"") + (self._piece(word[len(core) :]) if len(core) < len(word) else b"")
+            else:
+                ids = self.whole(word)
+        self.words[word] = ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word:
-            return np.array(self._ids(text), "<u4").tobytes()
-        # ASCII letters are lowered the same way by str.lower and by the normaliser
-        words = (text.lower() if text.isascii() else text).split()
+        if not self.by_word or any(c in text for c in _ODD):
+            return self.whole(text)
+        words = text.split()
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
             if len(self.words) > KEEP:
-                self.words.clear()
-            self._learn(list({w for w in words if w not in self.words}))
+                self.words, self.older = {}, self.words
+            for w in words:
+                if w not in self.words:
+                    self._learn(w)
             return b"".join(map(self.words.__getitem__, words))
 
 
-def encoder(path: str, by_word: bool = True) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file, kept between tasks."""
-    if (path, by_word) not in _ENCODERS:
-        _ENCODERS[path, by_word] = Encoder(path, by_word)
-    return _ENCODERS[path, by_word]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
