@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from indexloom.llm import exact_dedup as exact
-from indexloom.llm import media, mixing, ngram_join, packing, substring, token_orc, toxicity
+from indexloom.llm import line_dedup, media, mixing, ngram_join, packing, substring, token_orc, toxicity, url_filter
 from indexloom.llm.scratch import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
@@ -41,6 +42,11 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digest(token_orc.read(spark, path))
 
 
+def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir)).drop("_uid")
 
@@ -49,6 +55,13 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), end_id=1)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    captures = pages.withColumn("day", F.date_add(F.to_date(F.lit("2023-01-01")), (F.col("page_id") % 720).cast("int")))
+    judged = url_filter.temporal_filter(captures, url_filter.sample_entries(pages))
+    return judged.withColumn("day", F.col("day").cast("string")).withColumn("since", F.col("since").cast("string"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -60,8 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_gif_media": op3_gif_media,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_token_orc": op5_token_orc,
+        "op6_line_spread": op6_line_spread,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_best_fit": op8_best_fit,
+        "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
     }
 
@@ -107,5 +122,47 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), b AS (
+  SELECT doc_id, source, line, pos, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM l
+), boiler AS (
+  SELECT bare FROM b WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT coalesce(source, chr(1))) >= 8
+), k AS (
+  SELECT b.doc_id, count(*) AS n_lines, count(boiler.bare) AS n_removed,
+         string_agg(b.line, chr(10) ORDER BY pos) FILTER (boiler.bare IS NULL) AS kept
+  FROM b LEFT JOIN boiler ON b.bare = boiler.bare GROUP BY b.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, date '2023-01-01' + cast(page_id % 720 AS integer) AS day,
+         regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\.+$', '') AS host
+  FROM pages
+), h AS (SELECT DISTINCT host, string_split(host, '.') AS names FROM p WHERE host <> ''
+), k AS (
+  SELECT key, length(key) * 37 + ascii(key) * 11 + coalesce(ascii(substr(key, 4, 1)), 0) * 17 AS n, key LIKE '%adult%' AS adult
+  FROM (SELECT CASE WHEN len(names) > 3 THEN array_to_string(names[2:], '.') ELSE host END AS key FROM h
+        UNION SELECT host FROM h WHERE host LIKE '%adult%')
+), iv AS (
+  SELECT key, CASE WHEN adult THEN 'adult' ELSE 'spam' END AS category, date '2023-01-01' + cast(n % 300 AS integer) AS since,
+         CASE WHEN NOT adult AND n % 4 <> 0 THEN date '2023-01-01' + cast(n % 300 + 60 + n % 180 AS integer) END AS until
+  FROM k WHERE adult OR n % 3 = 0
+  UNION ALL
+  SELECT key, 'spam', date '2023-01-01' + cast(n % 300 + 400 AS integer), NULL FROM k WHERE NOT adult AND n % 3 = 0 AND n % 2 = 1 AND n % 4 <> 0
+), m AS (
+  SELECT p.page_id, iv.key, iv.category, iv.since,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(iv.key) DESC, iv.since, iv.category) AS r
+  FROM p JOIN iv ON (p.host = iv.key OR p.host LIKE '%.' || iv.key) AND iv.since <= p.day AND (iv.until IS NULL OR p.day < iv.until)
+)
+SELECT p.page_id, p.host, cast(p.day AS varchar) AS day, m.key IS NOT NULL AS blocked, m.category, m.key AS list_key, cast(m.since AS varchar) AS since
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op6_line_spread": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}
