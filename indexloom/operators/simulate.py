@@ -1,0 +1,115 @@
+"""A seeded market: sectors, correlated monthly returns, names that leave and join.
+
+Months depend on each other, so a scenario is one state machine in one Python call; scenarios
+run in parallel.  All draws come from one generator per scenario over ordered names, so a seed
+always gives the same market.
+"""
+
+from __future__ import annotations
+
+from dataclasses import asdict, dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: The sectors a market has at most, in order.
+SECTORS = ("Technology", "Healthcare", "Financials", "Energy", "Consumer")
+
+
+@dataclass
+class Market:
+    """Settings of a scenario."""
+
+    sectors: int = 3
+    assets_per_sector: int = 10
+    months: int = 60
+    index_size: int = 20
+    start: str = "2010-01-01"
+    volatility: tuple[float, ...] = (0.25, 0.20, 0.22, 0.28, 0.18)
+    correlation: tuple[float, ...] = (0.6, 0.5, 0.7, 0.55, 0.45)
+    drift: tuple[float, float] = (-0.005, 0.012)
+    removal_rate: float = 0.3
+    addition_rate: float = 0.3
+    bottom_share: float = 0.2
+    pareto_shape: float = 1.5
+    share_scale: float = 1e6
+    first_price: float = 100.0
+
+
+def sector_correlation(n: int, rho: float, jitter: float = 1e-6) -> np.ndarray:
+    """Constant correlation between n assets; the diagonal is raised if it has a negative eigenvalue."""
+    c = np.full((n, n), rho)
+    np.fill_diagonal(c, 1.0)
+    least = float(np.linalg.eigvalsh(c).min()) if n else 0.0
+    return c + (jitter - least) * np.eye(n) if least < 0 else c
+
+
+def shares_outstanding(rng: np.random.Generator, n: int, shape: float, scale: float) -> np.ndarray:
+    return np.maximum(1.0, (rng.pareto(shape, n) + 1) * scale)
+
+
+def run_scenario(market: Market, seed: int) -> pd.DataFrame:
+    """month, asset, sector, px, shares of all active assets."""
+    rng = np.random.default_rng(seed)
+    m = market
+    names = SECTORS[: min(m.sectors, len(SECTORS))]
+    made = dict.fromkeys(names, 0)
+
+    def new(sector: str) -> dict:
+        made[sector] += 1
+        return {"asset": f"{sector[:3].upper()}{made[sector] - 1}", "sector": sector, "px": m.first_price, "shares": float(shares_outstanding(rng, 1, m.pareto_shape, m.share_scale)[0])}
+
+    live = [new(s) for s in names for _ in range(m.assets_per_sector)]
+    rows = []
+    for month in range(m.months):
+        if month:
+            for k, s in enumerate(names):
+                own = [a for a in live if a["sector"] == s]
+                if own:
+                    chol = np.linalg.cholesky(sector_correlation(len(own), m.correlation[k]) + 1e-12 * np.eye(len(own)))
+                    r = rng.uniform(*m.drift) + m.volatility[k] / np.sqrt(12) * (chol @ rng.standard_normal(len(own)))
+                    for a, x in zip(own, np.maximum(r, -0.999999), strict=True):
+                        a["px"] = a["px"] * (1 + float(x))
+            gone = min(int(rng.poisson(m.removal_rate)), max(0, len(live) - 2))
+            if gone:
+                by_cap = sorted(live, key=lambda a: (a["px"] * a["shares"], a["asset"]))
+                pool = by_cap[: max(1, int(len(live) * m.bottom_share), gone)]
+                out = {pool[i]["asset"] for i in rng.choice(len(pool), gone, replace=False)}
+                live = [a for a in live if a["asset"] not in out]
+            live += [new(names[int(rng.integers(len(names)))]) for _ in range(int(rng.poisson(m.addition_rate)))]
+        rows += [(month, a["asset"], a["sector"], a["px"], a["shares"]) for a in live]
+    return pd.DataFrame(rows, columns=["month", "asset", "sector", "px", "shares"])
+
+
+def simulate(spark: SparkSession, market: Market, seeds: list[int]) -> DataFrame:
+    """scenario, dt, asset, sector, px, cap; a scenario for each seed."""
+    settings = asdict(market)
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        seed = int(df["scenario"].iloc[0])
+        return run_scenario(Market(**settings), seed).assign(scenario=seed)[["scenario", "month", "asset", "sector", "px", "shares"]]
+
+    got = spark.createDataFrame([(s,) for s in seeds], "scenario long").groupBy("scenario").applyInPandas(run, "scenario long, month int, asset string, sector string, px double, shares double")
+    return got.select("scenario", F.add_months(F.lit(market.start).cast("date"), F.col("month")).alias("dt"), "asset", "sector", "px", (F.col("px") * F.col("shares")).alias("cap"))
+
+
+def history(simulated: DataFrame) -> DataFrame:
+    """scenario, asset, sector, created, removed (NULL while active at the end)."""
+    end = F.max(F.max("dt")).over(Window.partitionBy("scenario"))
+    got = simulated.groupBy("scenario", "asset", "sector").agg(F.min("dt").alias("created"), F.max("dt").alias("last"), end.alias("end"))
+    return got.select("scenario", "asset", "sector", "created", F.when(F.col("last") < F.col("end"), F.add_months("last", 1)).alias("removed"))
+
+
+def members(simulated: DataFrame, index_size: int) -> DataFrame:
+    """scenario, dt, asset of the largest caps of each date."""
+    w = Window.partitionBy("scenario", "dt").orderBy(F.desc("cap"), "asset")
+    return simulated.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= index_size).select("scenario", "dt", "asset")
+
+
+def market_weights(simulated: DataFrame) -> DataFrame:
+    """scenario, dt, asset, w over all active names."""
+    day = Window.partitionBy("scenario", "dt")
+    total = F.sum("cap").over(day)
+    return simulated.select("scenario", "dt", "asset", F.when(total > 0, F.col("cap") / total).otherwise(F.lit(1.0) / F.count("cap").over(day)).alias("w"))

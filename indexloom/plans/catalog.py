@@ -1,17 +1,758 @@
-"""Registered queries of the library and their DuckDB counterparts."""
+"""Registered queries of the library and their DuckDB counterparts.
+
+All run over the market of ``indexloom.sources.panel``: brands by month.  Dates are ISO strings and
+numbers are rounded in both engines, since sums of floating-point numbers depend on their order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from indexloom.functions import stats
+from indexloom.operators import backtest, diagnostics, mapping, ridge, selection, simulate, tree
+from indexloom.plans import strategies
+from indexloom.plans.tables import cut
+from indexloom.sources import basis as basis_files
+from indexloom.sources.panel import densify, long_to_wide, market_cells, market_panel, sparse_panel
 
 FLAGSHIP = "backtest_summary"
 
+#: The basis of the regression and mapping queries, and those of the wide query.
+BASIS = ("Brand#1", "Brand#12", "Brand#17", "Brand#21", "Brand#8")
+WIDE = ("Brand#1", "Brand#2", "Brand#3")
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+_PANEL = """cells AS (
+  SELECT cast(date_trunc('month', l_shipdate) AS date) AS dt, p_brand AS asset,
+         sum(l_extendedprice) / sum(l_quantity) AS px, sum(l_extendedprice) AS cap
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
+), panel AS (
+  SELECT dt, asset, px, cap FROM (SELECT DISTINCT dt FROM cells) CROSS JOIN (SELECT DISTINCT asset FROM cells) LEFT JOIN cells USING (dt, asset)
+), ret AS (
+  SELECT dt, asset, px / nullif(lag(px) OVER (PARTITION BY asset ORDER BY dt), 0) - 1 AS r FROM panel
+), weights AS (
+  SELECT dt, asset, cap / nullif(sum(cap) OVER (PARTITION BY dt), 0) AS w FROM panel
+), pairs AS (
+  SELECT a.dt, a.asset AS u, b.asset AS v, CASE WHEN b.r IS NOT NULL THEN a.r END AS x, CASE WHEN a.r IS NOT NULL THEN b.r END AS y
+  FROM ret a JOIN ret b ON a.dt = b.dt AND a.asset < b.asset
+), corr AS (
+  SELECT u, v, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS rho, count(x) AS n_obs FROM pairs GROUP BY u, v
+), dist AS (
+  SELECT u, v, sqrt(2 * (1 - least(1, greatest(-1, rho)))) AS dist FROM corr
+)"""
+
+_TREE = """, prim AS (
+  SELECT 0 AS step, [(SELECT min(asset) FROM panel)] AS s, NULL::varchar AS u, NULL::varchar AS v, NULL::double AS w
+  UNION ALL
+  SELECT * FROM (
+    SELECT step + 1, list_append(s, CASE WHEN list_contains(s, d.u) THEN d.v ELSE d.u END), d.u, d.v, d.dist
+    FROM prim JOIN dist d ON list_contains(s, d.u) <> list_contains(s, d.v) ORDER BY d.dist, d.u, d.v LIMIT 1)
+), tree AS (SELECT u, v, w FROM prim WHERE step > 0
+), edge AS (SELECT u, v, w FROM tree UNION ALL SELECT v, u, w FROM tree
+), walk AS (
+  SELECT DISTINCT u AS src, u AS dst, NULL::varchar AS prev, 0.0::double AS d, 0 AS hops, NULL::varchar AS first_hop, [u] AS path FROM edge
+  UNION ALL
+  SELECT src, e.v, dst, d + e.w, hops + 1, coalesce(first_hop, e.v), list_append(path, e.v)
+  FROM walk JOIN edge e ON dst = e.u WHERE prev IS NULL OR e.v <> prev
+), wn AS (
+  SELECT asset, (w - min(w) OVER ()) / nullif(max(w) OVER () - min(w) OVER (), 0) AS wn
+  FROM (SELECT asset, coalesce(cap, 0) AS w FROM panel WHERE dt = (SELECT max(dt) FROM panel))
+), deg AS (SELECT u AS asset, count(*) AS degree FROM edge GROUP BY u
+), btw AS (
+  SELECT asset, cast(((n - 1) * (n - 1) - sum(s * s)) // 2 AS bigint) AS betweenness
+  FROM (SELECT src AS asset, first_hop, count(*) AS s FROM walk WHERE first_hop IS NOT NULL GROUP BY 1, 2)
+  CROSS JOIN (SELECT count(DISTINCT src) AS n FROM walk) GROUP BY asset, n
+), hub AS (
+  SELECT asset, (c - min(c) OVER ()) / nullif(max(c) OVER () - min(c) OVER (), 0) AS score,
+         row_number() OVER (ORDER BY c DESC, asset) - 1 AS pos
+  FROM (SELECT asset, 0.5 * degree + 0.5 * betweenness AS c FROM deg JOIN btw USING (asset))
+)"""
+
+_BASIS_SQL = "(VALUES " + ", ".join(f"('{b}')" for b in BASIS) + ") AS basis(asset)"
+
+_RIDGE = f""", near AS (
+  SELECT asset, basis, row_number() OVER (PARTITION BY asset ORDER BY dist, basis) AS rank, dist
+  FROM (SELECT u AS asset, v AS basis, dist FROM dist UNION ALL SELECT v, u, dist FROM dist)
+  WHERE dist IS NOT NULL AND basis IN (SELECT asset FROM {_BASIS_SQL}) AND asset NOT IN (SELECT asset FROM {_BASIS_SQL})
+), rows3 AS (
+  SELECT n.asset, y.dt, y.r AS y,
+         max(CASE WHEN rank = 1 THEN x.r END) AS x1, max(CASE WHEN rank = 2 THEN x.r END) AS x2, max(CASE WHEN rank = 3 THEN x.r END) AS x3
+  FROM near n JOIN ret x ON x.asset = n.basis JOIN ret y ON y.asset = n.asset AND y.dt = x.dt WHERE rank <= 3 GROUP BY 1, 2, 3
+), g3 AS (
+  SELECT asset, sum(x1*x1) + 0.001 a, sum(x1*x2) b, sum(x1*x3) c, sum(x2*x2) + 0.001 d, sum(x2*x3) e, sum(x3*x3) + 0.001 f, sum(x1*y) p, sum(x2*y) q, sum(x3*y) r
+  FROM rows3 WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL GROUP BY asset
+), det3 AS (
+  SELECT *, a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d) AS det FROM g3
+), beta3 AS (
+  SELECT asset, 1 AS rank, (p*(d*f-e*e) - b*(q*f-e*r) + c*(q*e-d*r)) / det AS coef FROM det3
+  UNION ALL SELECT asset, 2, (a*(q*f-e*r) - p*(b*f-c*e) + c*(b*r-q*c)) / det FROM det3
+  UNION ALL SELECT asset, 3, (a*(d*r-q*e) - b*(b*r-q*c) + p*(b*e-d*c)) / det FROM det3
+), coefs AS (
+  SELECT n.asset, n.basis, coef FROM near n JOIN beta3 USING (asset, rank)
+)"""
+
+_MAP = f""", a AS (
+  SELECT asset, basis, coef AS a FROM coefs UNION ALL SELECT asset, asset, 1.0 FROM {_BASIS_SQL}
+), tops AS (
+  SELECT dt, asset, w / sum(w) OVER (PARTITION BY dt) AS w FROM (
+    SELECT dt, asset, w, row_number() OVER (PARTITION BY dt ORDER BY w DESC, asset) AS k FROM weights WHERE w IS NOT NULL) WHERE k <= 10
+), cal AS (SELECT dt, lag(dt) OVER (ORDER BY dt) AS before FROM (SELECT DISTINCT dt FROM panel)
+), idx AS (
+  SELECT c.dt, coalesce(sum(w.w * r.r), 0) AS ret FROM cal c LEFT JOIN weights w ON w.dt = c.before LEFT JOIN ret r ON r.dt = c.dt AND r.asset = w.asset GROUP BY c.dt
+), rep AS (
+  SELECT c.dt, coalesce(sum(w.w * r.r), 0) AS ret FROM cal c LEFT JOIN tops w ON w.dt = c.before LEFT JOIN ret r ON r.dt = c.dt AND r.asset = w.asset GROUP BY c.dt
+), act AS (
+  SELECT dt, idx.ret AS index_return, rep.ret AS rep_return, rep.ret - idx.ret AS diff FROM idx JOIN rep USING (dt)
+), turn AS (
+  SELECT dt, 0.5 * sum(c) AS turnover FROM (
+    SELECT dt, asset, abs(coalesce(w, 0) - lag(coalesce(w, 0), 1, 0) OVER (PARTITION BY asset ORDER BY dt)) AS c
+    FROM (SELECT DISTINCT dt FROM tops) CROSS JOIN (SELECT DISTINCT asset FROM tops) LEFT JOIN tops USING (dt, asset)) GROUP BY dt
+), last AS (
+  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY dt DESC) AS k, count(*) OVER () AS n FROM act) WHERE k <= greatest(1, floor(n * 20.0 / 100.0))
+)"""
+
+
+def query(name: str, sql: str | None = None, *, with_tree: bool = False, with_ridge: bool = False, with_map: bool = False, plain: bool = False) -> Callable[[Query], Query]:
+    """Registers a query; ``sql`` follows the common tables it asks for."""
+
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            parts = _PANEL + (_TREE if with_tree else "") + (_RIDGE if with_ridge or with_map else "") + (_MAP if with_map else "")
+            head, rest = ("", sql) if plain else (f"WITH RECURSIVE {parts}", sql)
+            _SQL[name] = f"{head}{',' if rest.startswith(' also ') else ''} {rest.removeprefix(' also ')}"
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = 8, **other: int) -> DataFrame:
+    """Dates as ISO strings, doubles rounded (by column: ``other``)."""
+    cols = []
+    for c, kind in df.dtypes:
+        x = F.col(f"`{c}`")
+        cols.append(F.round(x, other.get(c, digits)).alias(c) if kind == "double" else x.cast("string").alias(c) if kind in ("date", "timestamp", "timestamp_ntz") else x)
+    return df.select(*cols)
+
+
+def _returns(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.returns(market_panel(spark, sf))
+
+
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
+    return backtest.index_weights(market_panel(spark, sf))
+
+
+def _basis(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, b) for i, b in enumerate(BASIS)], "pos int, asset string")
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.mst(stats.price_distance(market_panel(spark, sf)))
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.walks(_tree(spark, sf))
+
+
+def _last_caps(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.last_row(market_panel(spark, sf)).select("asset", F.coalesce("cap", F.lit(0.0)).alias("w"))
+
+
+def _near(spark: SparkSession, sf: str, q: int | None = 3) -> DataFrame:
+    return ridge.neighbours(stats.price_distance(market_panel(spark, sf)), _basis(spark), q)
+
+
+def _coefs(spark: SparkSession, sf: str) -> DataFrame:
+    return ridge.regress(_returns(spark, sf), _near(spark, sf), 0.001)
+
+
+# panels, weights
+
+
+@query("panel_dense", "SELECT cast(dt AS varchar) AS dt, asset, round(px, 6) AS px, round(cap, 2) AS cap FROM panel")
+def panel_dense(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(market_panel(spark, sf), px=6, cap=2)
+
+
+@query("returns", "SELECT cast(dt AS varchar) AS dt, asset, round(r, 8) AS r FROM ret")
+def returns(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_returns(spark, sf))
+
+
+@query("returns_long_to_wide", "SELECT cast(dt AS varchar) AS dt, " + ", ".join(f"round(max(CASE WHEN asset = '{b}' THEN r END), 8) AS b{i}" for i, b in enumerate(WIDE)) + " FROM ret GROUP BY dt")
+def returns_long_to_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(long_to_wide(_returns(spark, sf), "r", list(WIDE)).toDF("dt", *[f"b{i}" for i in range(len(WIDE))]))
+
+
+@query(
+    "sparse_returns",
+    """SELECT cast(dt AS varchar) AS dt, asset, round(r, 8) AS r FROM (
+  SELECT dt, asset, px / nullif(CASE WHEN lag(dt) OVER s = dt - INTERVAL 1 MONTH THEN lag(px) OVER s END, 0) - 1 AS r
+  FROM (SELECT cast(date_trunc('month', l_shipdate) AS date) AS dt, l_partkey AS asset, sum(l_extendedprice) / sum(l_quantity) AS px FROM lineitem GROUP BY 1, 2)
+  WINDOW s AS (PARTITION BY asset ORDER BY dt)) WHERE r IS NOT NULL""",
+    plain=True,
+)
+def sparse_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns of a panel with gaps, without laying out its empty cells."""
+    w = Window.partitionBy("asset").orderBy("dt")
+    adjacent = F.lag("dt").over(w) == F.add_months("dt", -1)
+    got = sparse_panel(spark, sf).select("dt", "asset", (F.try_divide(F.col("px"), F.when(adjacent, F.lag("px").over(w))) - 1).alias("r"))
+    return rounded(got.where("r is not null"))
+
+
+@query("index_weights", "SELECT cast(dt AS varchar) AS dt, asset, round(w, 8) AS w FROM weights")
+def index_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_weights(spark, sf))
+
+
+@query("uniform_fallback", "SELECT cast(dt AS varchar) AS dt, asset, round(CASE WHEN cap IS NOT NULL THEN CASE WHEN month(dt) = 6 THEN 1.0 / count(cap) OVER (PARTITION BY dt) ELSE cap / sum(cap) OVER (PARTITION BY dt) END END, 8) AS w FROM panel")
+def uniform_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of a market whose caps are 0 every June."""
+    return rounded(backtest.index_weights(market_panel(spark, sf).withColumn("cap", F.when(F.month("dt") == 6, F.col("cap") * 0).otherwise(F.col("cap")))))
+
+
+@query(
+    "max_weight_cap",
+    """SELECT cast(dt AS varchar) AS dt, asset, round(CASE WHEN w IS NULL THEN NULL WHEN m < m0 THEN 0.045 ELSE w * s0 END, 8) AS w FROM (
+  SELECT *, min(CASE WHEN fits THEN m END) OVER (PARTITION BY dt) AS m0, max(CASE WHEN fits THEN s END) FILTER (fits AND m = m1) OVER (PARTITION BY dt) AS s0 FROM (
+    SELECT *, min(CASE WHEN fits THEN m END) OVER (PARTITION BY dt) AS m1 FROM (
+      SELECT *, w * s <= 0.045 + 1e-15 AS fits FROM (
+        SELECT dt, asset, w, m, (1 - m * 0.045) / nullif(total - coalesce(before, 0), 0) AS s FROM (
+          SELECT dt, asset, w, row_number() OVER o - 1 AS m, sum(w) OVER (PARTITION BY dt) AS total, sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+          FROM weights WINDOW o AS (PARTITION BY dt ORDER BY w DESC NULLS LAST, asset))))))""",
+)
+def max_weight_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(backtest.cap_weights(_weights(spark, sf), 0.045))
+
+
+# correlations, distances
+
+
+@query("corr_pearson", "SELECT u, v, round(rho, 8) AS rho, n_obs FROM corr")
+def corr_pearson(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.pearson(_returns(spark, sf)))
+
+
+@query(
+    "corr_spearman",
+    """SELECT u, v, round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 8) AS rho, count(*) AS n_obs FROM (
+  SELECT u, v, rank() OVER (PARTITION BY u, v ORDER BY x) + (count(*) OVER (PARTITION BY u, v, x) - 1) / 2.0 AS x,
+         rank() OVER (PARTITION BY u, v ORDER BY y) + (count(*) OVER (PARTITION BY u, v, y) - 1) / 2.0 AS y
+  FROM pairs WHERE x IS NOT NULL) GROUP BY u, v""",
+)
+def corr_spearman(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.spearman(_returns(spark, sf)))
+
+
+@query("corr_min_periods", "SELECT u, v, round(CASE WHEN n_obs >= 82 THEN rho END, 8) AS rho, n_obs FROM corr")
+def corr_min_periods(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.pearson(_returns(spark, sf), 82))
+
+
+@query(
+    "cov_to_corr",
+    """ also cov AS (SELECT u, v, covar_samp(x, y) AS cov FROM pairs GROUP BY u, v UNION ALL SELECT asset, asset, var_samp(r) FROM ret WHERE r IS NOT NULL GROUP BY asset),
+d AS (SELECT u AS k, cov AS var FROM cov WHERE u = v)
+SELECT u, v, round(CASE WHEN u = v THEN 1.0 ELSE least(1, greatest(-1, cov / (sqrt(a.var) * sqrt(b.var)))) END, 8) AS rho FROM cov JOIN d a ON a.k = u JOIN d b ON b.k = v""",
+)
+def cov_to_corr(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.cov_to_corr(stats.covariance(_returns(spark, sf))))
+
+
+@query(
+    "corr_lw",
+    """ also f AS (SELECT dt, asset, coalesce(r, m, 0) AS r FROM ret JOIN (SELECT asset, median(r) AS m FROM ret GROUP BY asset) USING (asset)),
+x AS (SELECT dt, asset, r - avg(r) OVER (PARTITION BY asset) AS x FROM f),
+s AS (SELECT a.asset AS u, b.asset AS v, sum(a.x * b.x) / count(*) AS s FROM x a JOIN x b ON a.dt = b.dt AND a.asset <= b.asset GROUP BY 1, 2),
+k AS (SELECT (SELECT count(DISTINCT asset) FROM x)::double AS p, (SELECT count(DISTINCT dt) FROM x)::double AS n,
+  (SELECT sum(q * q) FROM (SELECT sum(x * x) AS q FROM x GROUP BY dt)) AS q2, (SELECT sum(s) FROM s WHERE u = v) AS tr,
+  (SELECT sum(CASE WHEN u = v THEN s * s ELSE 2 * s * s END) FROM s) AS d2),
+l AS (SELECT tr / p AS mu, (q2 / n - d2) / (p * n) AS beta, (d2 - 2 * tr / p * tr + tr * tr / p) / p AS delta FROM k),
+c AS (SELECT u, v, (1 - least(beta, delta) / delta) * s + CASE WHEN u = v THEN least(beta, delta) / delta * mu ELSE 0 END AS c FROM s CROSS JOIN l)
+SELECT c.u, c.v, round(c.c / (sqrt(a.c) * sqrt(b.c)), 8) AS rho FROM c JOIN c a ON a.u = c.u AND a.v = c.u JOIN c b ON b.u = c.v AND b.v = c.v WHERE c.u < c.v""",
+)
+def corr_lw(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.ledoit_wolf(_returns(spark, sf)))
+
+
+@query("corr_pca")
+def corr_pca(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.pca_denoised(_returns(spark, sf), n_components=8))
+
+
+@query("distance", "SELECT u, v, round(dist, 8) AS dist FROM dist")
+def distance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.price_distance(market_panel(spark, sf)))
+
+
+@query(
+    "distance_windowed",
+    """SELECT u, v, round(sqrt(2 * (1 - least(1, greatest(-1, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0))))), 8) AS dist
+FROM pairs WHERE dt > (SELECT min(dt) FROM (SELECT DISTINCT dt FROM panel WHERE dt <= date '2000-06-01' ORDER BY dt DESC LIMIT 36)) AND dt <= date '2000-06-01' GROUP BY u, v""",
+)
+def distance_windowed(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.price_distance(market_panel(spark, sf), end="2000-06-01", window=36))
+
+
+@query(
+    "distance_expanding",
+    """SELECT cast(dt AS varchar) AS dt, u, v, round(CASE WHEN n_obs >= 3 THEN sqrt(2 * (1 - least(1, greatest(-1, rho)))) END, 6) AS dist, n_obs FROM (
+  SELECT dt, u, v, count(x) OVER o AS n_obs, covar_samp(x, y) OVER o / nullif(stddev_samp(x) OVER o * stddev_samp(y) OVER o, 0) AS rho
+  FROM pairs WINDOW o AS (PARTITION BY u, v ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+)
+def distance_expanding(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.expanding_distance(market_panel(spark, sf), 3), 6)
+
+
+# trees
+
+
+@query("mst", "SELECT u, v, round(w, 8) AS w FROM tree", with_tree=True)
+def mst(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_tree(spark, sf))
+
+
+@query("tree_distance", "SELECT src, dst, round(d, 8) AS d, hops FROM walk", with_tree=True)
+def tree_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_paths(spark, sf).select("src", "dst", "d", "hops"))
+
+
+@query("tree_degree", "SELECT asset, degree FROM deg", with_tree=True)
+def tree_degree(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.degrees(_tree(spark, sf))
+
+
+@query("tree_betweenness", "SELECT asset, betweenness FROM btw", with_tree=True)
+def tree_betweenness(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.betweenness(_paths(spark, sf))
+
+
+@query("tree_branches", "SELECT src AS asset, first_hop AS branch, count(*) AS size FROM walk WHERE first_hop IS NOT NULL GROUP BY 1, 2", with_tree=True)
+def tree_branches(spark: SparkSession, sf: str) -> DataFrame:
+    """The branch sizes that betweenness is made of."""
+    return _paths(spark, sf).where("first_hop is not null").groupBy(F.col("src").alias("asset"), F.col("first_hop").alias("branch")).agg(F.count(F.lit(1)).alias("size"))
+
+
+@query("tree_components", "SELECT src AS asset, min(dst) AS comp FROM walk WHERE NOT list_has_any(path, (SELECT list(asset) FROM hub WHERE pos < 2)) GROUP BY src", with_tree=True)
+def tree_components(spark: SparkSession, sf: str) -> DataFrame:
+    t = _tree(spark, sf)
+    paths = cut(tree.walks(t))
+    return tree.components_without(paths, selection.hubs(selection.hub_scores(t, paths), 2))
+
+
+@query("tree_path_length", "SELECT round(d, 8) AS d FROM walk WHERE src = 'Brand#1' AND dst = 'Brand#9'", with_tree=True)
+def tree_path_length(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tree.path_length(_paths(spark, sf), "Brand#1", "Brand#9"))
+
+
+@query(
+    "euclid_mst",
+    """WITH RECURSIVE pt AS (SELECT printf('%06d', vec_id) AS id, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings WHERE vec_id < 60),
+e AS (SELECT a.id AS u, b.id AS v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM pt a JOIN pt b ON a.id < b.id),
+prim AS (SELECT 0 AS step, [(SELECT min(id) FROM pt)] AS s, NULL::varchar AS u, NULL::varchar AS v, NULL::double AS w
+  UNION ALL SELECT * FROM (SELECT step + 1, list_append(s, CASE WHEN list_contains(s, e.u) THEN e.v ELSE e.u END), e.u, e.v, e.dist
+    FROM prim JOIN e ON list_contains(s, e.u) <> list_contains(s, e.v) ORDER BY e.dist, e.u, e.v LIMIT 1))
+SELECT u, v, round(w, 8) AS w FROM prim WHERE step > 0""",
+    plain=True,
+)
+def euclid_mst(spark: SparkSession, sf: str) -> DataFrame:
+    """The demonstration tree over sixty points of the plane (the size of the picture it is drawn for)."""
+    pt = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 60")
+    pts = pt.select(F.format_string("%06d", "vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return rounded(tree.mst(tree.euclidean(pts)))
+
+
+# scores, selection
+
+
+@query("normalize_scores", "SELECT asset, round(wn, 8) AS score FROM wn", with_tree=True)
+def normalize_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(selection.normalise_scores(_last_caps(spark, sf), "w"))
+
+
+@query("avg_tree_distance", "SELECT src AS asset, round(avg(d), 8) AS avg_dist FROM walk GROUP BY src", with_tree=True)
+def avg_tree_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(selection.mean_tree_distance(_paths(spark, sf)))
+
+
+@query("hub_ranking", "SELECT cast(pos AS integer) AS pos, asset, round(score, 8) AS score FROM hub WHERE pos < 5", with_tree=True)
+def hub_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    t = _tree(spark, sf)
+    return rounded(selection.hubs(selection.hub_scores(t, tree.walks(t)), 5))
+
+
+@query("most_central", "SELECT asset, betweenness FROM btw ORDER BY betweenness DESC, asset LIMIT 1", with_tree=True)
+def most_central(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.argmax(tree.betweenness(_paths(spark, sf)), "betweenness")
+
+
+_SPREAD = """ also pick AS (
+  SELECT 0 AS pos, [asset] AS s, asset, score FROM (SELECT src AS asset, 0.2 * avg(d) + 0.8 * max(wn) AS score FROM walk JOIN wn ON wn.asset = src GROUP BY src ORDER BY score DESC, asset LIMIT 1)
+  UNION ALL
+  SELECT * FROM (SELECT pos + 1, list_append(s, c), c, score FROM (
+    SELECT pos, s, dst AS c, 0.2 * min(d) + 0.8 * max(wn) AS score FROM pick JOIN walk ON list_contains(s, src) AND NOT list_contains(s, dst) JOIN wn ON wn.asset = dst
+    WHERE pos < 4 GROUP BY pos, s, dst) ORDER BY score DESC, c LIMIT 1)
+)"""
+
+
+@query("basis_max_spread", _SPREAD + " SELECT pos, asset, round(score, 8) AS score FROM pick", with_tree=True)
+def basis_max_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(selection.max_spread(_paths(spark, sf), 5, _last_caps(spark, sf), alpha=0.2))
+
+
+@query("selection_steps", _SPREAD + " SELECT pos, asset, round(score, 8) AS score, round(lag(score) OVER (ORDER BY pos) - score, 8) AS drop FROM pick", with_tree=True)
+def selection_steps(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(strategies.selection_steps(selection.max_spread(_paths(spark, sf), 5, _last_caps(spark, sf), alpha=0.2)))
+
+
+@query("nearest_member", _SPREAD + " SELECT src AS asset, arg_min(dst, d) AS member, round(min(d), 8) AS d FROM walk WHERE dst IN (SELECT asset FROM pick) GROUP BY src", with_tree=True)
+def nearest_member(spark: SparkSession, sf: str) -> DataFrame:
+    """The representative nearest to each asset."""
+    paths = cut(_paths(spark, sf))
+    return rounded(selection.nearest_member(paths, selection.max_spread(paths, 5, _last_caps(spark, sf), alpha=0.2)))
+
+
+@query("basis_sticky")
+def basis_sticky(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(selection.max_spread(_paths(spark, sf), 5, _last_caps(spark, sf), alpha=0.2, stickiness=0.5, before=BASIS))
+
+
+@query("basis_hub_branch")
+def basis_hub_branch(spark: SparkSession, sf: str) -> DataFrame:
+    t = _tree(spark, sf)
+    return selection.hub_branch(t, cut(tree.walks(t)), 6, weights=_last_caps(spark, sf))
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+@query(
+    "farthest_fill",
+    """ also pick AS (
+  SELECT 0 AS pos, ['Brand#1'] AS s, 'Brand#1' AS asset, 0.0::double AS near
+  UNION ALL
+  SELECT * FROM (SELECT pos + 1, list_append(s, c), c, near FROM (
+    SELECT pos, s, dst AS c, min(d) AS near FROM pick JOIN walk ON list_contains(s, src) AND NOT list_contains(s, dst) WHERE pos < 4 GROUP BY pos, s, dst) ORDER BY near DESC, c LIMIT 1)
+) SELECT pos, asset, round(near, 8) AS near FROM pick WHERE pos > 0""",
+    with_tree=True,
+)
+def farthest_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(selection.farthest_fill(_paths(spark, sf), ["Brand#1"], 5))
+
+
+@query("basis_timeseries")
+def basis_timeseries(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(strategies.basis_over_time(market_panel(spark, sf), 5, 0.2, 0.2))
+
+
+# regressions
+
+
+@query("nearest_basis_neighbors", "SELECT asset, basis, cast(rank AS integer) AS rank, round(dist, 8) AS dist FROM near WHERE rank <= 3", with_ridge=True)
+def nearest_basis_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_near(spark, sf))
+
+
+@query("ridge_q1", "SELECT n.asset, n.basis, round(sum(x.r * y.r) / (sum(x.r * x.r) + 0.001), 8) AS coef FROM near n JOIN ret x ON x.asset = n.basis JOIN ret y ON y.asset = n.asset AND y.dt = x.dt WHERE rank = 1 AND x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2", with_ridge=True)
+def ridge_q1(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ridge.regress_on_one(_returns(spark, sf), _near(spark, sf, 1), 0.001))
+
+
+@query("ridge_q3", "SELECT asset, basis, round(coef, 7) AS coef FROM coefs", with_ridge=True)
+def ridge_q3(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_coefs(spark, sf), 7)
+
+
+_RECON = " also recon AS (SELECT r.dt, c.asset, sum(c.coef * r.r) AS recon FROM coefs c JOIN ret r ON r.asset = c.basis GROUP BY 1, 2 HAVING count(r.r) = count(*))"
+
+
+@query("ridge_reconstruction", _RECON + " SELECT cast(dt AS varchar) AS dt, asset, round(recon, 7) AS recon FROM recon", with_ridge=True)
+def ridge_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ridge.reconstruct(_returns(spark, sf), _coefs(spark, sf)), 7)
+
+
+@query(
+    "ridge_errors",
+    _RECON
+    + """ SELECT asset, round(CASE WHEN count(r.r) = count(recon) THEN sqrt(avg((r.r - recon) * (r.r - recon))) END, 7) AS rmse, count(recon) AS n_obs,
+round(sqrt(avg((r.r - recon) * (r.r - recon))), 7) AS rmse_valid FROM recon LEFT JOIN ret r USING (dt, asset) GROUP BY asset""",
+    with_ridge=True,
+)
+def ridge_errors(spark: SparkSession, sf: str) -> DataFrame:
+    ret = _returns(spark, sf)
+    return rounded(ridge.fit_errors(ret, ridge.reconstruct(ret, _coefs(spark, sf))), 7)
+
+
+def _quarterly(spark: SparkSession, sf: str, q: int) -> DataFrame:
+    """Neighbours (dt, asset, basis, rank) by static distances, for a refit every twelve months."""
+    days = market_panel(spark, sf).select("dt").distinct().where("month(dt) = 1 and year(dt) > 1996")
+    return days.crossJoin(_near(spark, sf, q).select("asset", "basis", "rank"))  # dates by pairs
+
+
+@query(
+    "ridge_timeseries",
+    """SELECT cast(t.dt AS varchar) AS dt, n.asset, n.basis, round(sum(x.r * y.r) / (sum(x.r * x.r) + 0.001), 7) AS coef
+FROM (SELECT DISTINCT dt FROM panel WHERE month(dt) = 1 AND year(dt) > 1996) t CROSS JOIN near n JOIN ret x ON x.asset = n.basis AND x.dt < t.dt JOIN ret y ON y.asset = n.asset AND y.dt = x.dt
+WHERE rank = 1 AND x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2, 3""",
+    with_ridge=True,
+)
+def ridge_timeseries(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001), 7)
+
+
+@query("ridge_timeseries_q3")
+def ridge_timeseries_q3(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 3), 0.001), 7)
+
+
+# mapping
+
+_SERIES = f""" also ser AS (
+  SELECT t.dt, n.asset, n.basis, sum(x.r * y.r) / (sum(x.r * x.r) + 0.001) AS coef
+  FROM (SELECT DISTINCT dt FROM panel WHERE month(dt) = 1 AND year(dt) > 1996) t CROSS JOIN near n JOIN ret x ON x.asset = n.basis AND x.dt < t.dt JOIN ret y ON y.asset = n.asset AND y.dt = x.dt
+  WHERE rank = 1 AND x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2, 3
+), known AS (SELECT c.dt, max(s.dt) AS as_of FROM cal c JOIN (SELECT DISTINCT dt FROM ser) s ON s.dt <= c.dt GROUP BY c.dt)"""
+
+
+@query("asof_coefficients", _SERIES + " SELECT cast(known.dt AS varchar) AS dt, asset, basis, round(coef, 7) AS coef FROM known JOIN ser ON ser.dt = as_of", with_map=True)
+def asof_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    coefs = ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001)
+    return rounded(mapping.as_of_coefficients(market_panel(spark, sf).select("dt").distinct(), coefs), 7)
+
+
+@query("map_analytic", "SELECT cast(dt AS varchar) AS dt, basis, round(sum(w * a), 7) AS w FROM weights JOIN a USING (asset) WHERE w IS NOT NULL AND dt = (SELECT min(dt) FROM weights) GROUP BY 1, 2", with_map=True)
+def map_analytic(spark: SparkSession, sf: str) -> DataFrame:
+    """The first date's weights on the basis."""
+    return rounded(mapping.map_analytic(mapping.first_row(_weights(spark, sf)), mapping.mapping(_coefs(spark, sf), _basis(spark))), 7)
+
+
+@query("map_snapshot", "SELECT cast(dt AS varchar) AS dt, basis, round(sum(w * a), 7) AS w FROM weights JOIN a USING (asset) WHERE w IS NOT NULL GROUP BY 1, 2", with_map=True)
+def map_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(mapping.map_snapshot(_weights(spark, sf), _coefs(spark, sf), _basis(spark)), 7)
+
+
+@query("map_penalized")
+def map_penalized(spark: SparkSession, sf: str) -> DataFrame:
+    weights = _weights(spark, sf).where("w is not null")
+    a = weights.select("dt").distinct().crossJoin(mapping.mapping(_coefs(spark, sf), _basis(spark)))
+    return rounded(mapping.map_penalised(weights, a, 0.01), 6)
+
+
+@query(
+    "map_series_exact",
+    _SERIES
+    + """, pres AS (SELECT DISTINCT dt, basis FROM ser),
+ax AS (SELECT dt, asset, basis, coef AS a FROM ser UNION ALL SELECT dt, basis, basis, 1.0 FROM pres WHERE (dt, basis) NOT IN (SELECT dt, asset FROM ser)),
+m AS (SELECT w.dt, ax.basis, sum(w.w * ax.a) AS w FROM weights w JOIN ax ON ax.dt = w.dt AND ax.asset = w.asset WHERE w.w IS NOT NULL GROUP BY 1, 2)
+SELECT cast(cal.dt AS varchar) AS dt, b.basis, round(coalesce(m.w, 0), 7) AS w FROM cal CROSS JOIN (SELECT DISTINCT basis FROM ser) b LEFT JOIN m ON m.dt = cal.dt AND m.basis = b.basis""",
+    with_map=True,
+)
+def map_series_exact(spark: SparkSession, sf: str) -> DataFrame:
+    coefs = cut(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001))
+    return rounded(mapping.map_series_exact(_weights(spark, sf), coefs), 7)
+
+
+_AS_OF = (
+    _SERIES
+    + f""", ax AS (SELECT known.dt, ser.asset, ser.basis, coef AS a FROM known JOIN ser ON ser.dt = as_of UNION ALL SELECT cal.dt, b.asset, b.asset, 1.0 FROM cal CROSS JOIN {_BASIS_SQL.replace(' AS basis(asset)', ' AS b(asset)')}),
+held AS (SELECT w.dt, ax.basis AS asset, sum(w.w * ax.a) AS w FROM weights w JOIN ax ON ax.dt = w.dt AND ax.asset = w.asset WHERE w.w IS NOT NULL GROUP BY 1, 2)"""
+)
+
+
+@query("map_series_asof", _AS_OF + " SELECT cast(dt AS varchar) AS dt, asset AS basis, round(w, 7) AS w FROM held", with_map=True)
+def map_series_asof(spark: SparkSession, sf: str) -> DataFrame:
+    coefs = cut(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001))
+    return rounded(mapping.map_series_as_of(_weights(spark, sf), coefs, _basis(spark)), 7)
+
+
+# backtests
+
+
+@query("topn_weights", "SELECT cast(dt AS varchar) AS dt, asset, round(w, 8) AS w FROM tops", with_map=True)
+def topn_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(backtest.top_weights(_weights(spark, sf), 10))
+
+
+@query("lagged_index_return", "SELECT cast(dt AS varchar) AS dt, round(ret, 8) AS ret FROM idx", with_map=True)
+def lagged_index_return(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(backtest.lagged_return(_weights(spark, sf), _returns(spark, sf)))
+
+
+@query("replica_return", "SELECT cast(dt AS varchar) AS dt, round(ret, 8) AS ret FROM rep", with_map=True)
+def replica_return(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(backtest.lagged_return(backtest.top_weights(_weights(spark, sf), 10), _returns(spark, sf)))
+
+
+@query("turnover", "SELECT cast(dt AS varchar) AS dt, round(turnover, 8) AS turnover FROM turn", with_map=True)
+def turnover(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(backtest.turnover(backtest.top_weights(_weights(spark, sf), 10)))
+
+
+def _baseline(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return strategies.baseline_backtest(market_panel(spark, sf), 10)
+
+
+@query("running_rmse", "SELECT cast(dt AS varchar) AS dt, round(sqrt(avg(diff * diff) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING)), 8) AS running_rmse FROM act", with_map=True)
+def running_rmse(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(backtest.running_rmse(_baseline(spark, sf)["active"]))
+
+
+@query("cumulative_return", "SELECT cast(dt AS varchar) AS dt, round(exp(sum(ln(1 + index_return)) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING)) - 1, 8) AS cumulative FROM act", with_map=True)
+def cumulative_return(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(backtest.cumulative_return(_baseline(spark, sf)["active"], "index_return"))
+
+
+@query("tail_slice", "SELECT cast(dt AS varchar) AS dt, round(index_return, 8) AS index_return, round(rep_return, 8) AS rep_return, round(diff, 8) AS diff FROM last", with_map=True)
+def tail_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_baseline(spark, sf)["tail"])
+
+
+_SUMMARY = """SELECT count(diff) AS n_tail, round(1 - sum((index_return - rep_return) * (index_return - rep_return)) / nullif(var_pop(index_return) * count(*), 0), 7) AS r2,
+round(avg(diff), 8) AS mean_active, round(stddev_samp(diff), 8) AS std_active, round(sqrt(avg(diff * diff)), 8) AS rmse, round(stddev_samp(diff) * sqrt(12), 8) AS std_annualised,
+round(avg(diff) / stddev_samp(diff) * sqrt(12), 7) AS information_ratio, round(avg(coalesce(turnover, 0)), 8) AS avg_turnover,
+round(any_value(te), 8) AS tracking_error, round(any_value(te) * sqrt(12), 8) AS tracking_error_annualised
+FROM {last} LEFT JOIN {turn} t USING (dt) CROSS JOIN (SELECT sqrt(avg(diff * diff)) AS te FROM {act})"""
+
+
+@query("backtest_summary", _SUMMARY.format(last="last", turn="turn", act="act"), with_map=True)
+def backtest_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest ten names against the whole index."""
+    return rounded(_baseline(spark, sf)["summary"], r2=7, information_ratio=7)
+
+
+@query(
+    "strategy_summary",
+    _AS_OF
+    + """, srep AS (SELECT c.dt, coalesce(sum(w.w * r.r), 0) AS ret FROM cal c LEFT JOIN held w ON w.dt = c.before LEFT JOIN ret r ON r.dt = c.dt AND r.asset = w.asset GROUP BY c.dt),
+sact AS (SELECT dt, idx.ret AS index_return, srep.ret AS rep_return, srep.ret - idx.ret AS diff FROM idx JOIN srep USING (dt)),
+slast AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY dt DESC) AS k, count(*) OVER () AS n FROM sact) WHERE k <= greatest(1, floor(n * 20.0 / 100.0))),
+sturn AS (SELECT dt, 0.5 * sum(c) AS turnover FROM (SELECT dt, asset, abs(coalesce(w, 0) - lag(coalesce(w, 0), 1, 0) OVER (PARTITION BY asset ORDER BY dt)) AS c
+  FROM (SELECT DISTINCT dt FROM held) CROSS JOIN (SELECT DISTINCT asset FROM held) LEFT JOIN held USING (dt, asset)) GROUP BY dt) """
+    + _SUMMARY.format(last="slast", turn="sturn", act="sact"),
+    with_map=True,
+)
+def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The mapped basis against the whole index."""
+    panel = market_panel(spark, sf)
+    coefs = cut(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001))
+    return rounded(strategies.strategy_backtest(panel, coefs, _basis(spark))["summary"], r2=7, information_ratio=7)
+
+
+@query("summarize", "SELECT count(diff) AS n, round(avg(diff), 8) AS mean, round(stddev_samp(diff), 8) AS std, round(sqrt(avg(diff * diff)), 8) AS rmse, round(stddev_samp(diff) * sqrt(12), 8) AS std_annualised FROM act", with_map=True)
+def summarize(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(backtest.summarise(_baseline(spark, sf)["active"]))
+
+
+# diagnostics
+
+
+@query("concentration_topk", "SELECT cast(dt AS varchar) AS dt, round(sum(w), 8) AS top_k FROM (SELECT dt, w, row_number() OVER (PARTITION BY dt ORDER BY w DESC NULLS LAST, asset) AS k FROM weights) WHERE k <= 5 GROUP BY 1")
+def concentration_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diagnostics.concentration(_weights(spark, sf), 5))
+
+
+@query("constituent_counts", "SELECT cast(dt AS varchar) AS dt, count(*) FILTER (w > 0) AS n FROM weights GROUP BY 1")
+def constituent_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diagnostics.constituents(_weights(spark, sf)))
+
+
+@query(
+    "count_turnover",
+    """ also c AS (SELECT dt, lag(dt) OVER (ORDER BY dt) AS before FROM (SELECT DISTINCT dt FROM weights)), h AS (SELECT dt, asset FROM weights WHERE w > 0)
+SELECT cast(c.dt AS varchar) AS dt, round(1 - count(n.asset) / nullif(count(p.asset), 0), 8) AS count_turnover FROM c LEFT JOIN h p ON p.dt = c.before LEFT JOIN h n ON n.dt = c.dt AND n.asset = p.asset GROUP BY 1""",
+)
+def count_turnover(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diagnostics.count_turnover(_weights(spark, sf)))
+
+
+@query("return_histogram", "SELECT cast(CASE WHEN r < -0.2 THEN 0 WHEN r >= 0.2 THEN 21 ELSE floor((r + 0.2) / 0.4 * 20) + 1 END AS bigint) AS bin, count(*) AS n FROM ret WHERE r IS NOT NULL GROUP BY 1")
+def return_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return diagnostics.histogram(_returns(spark, sf), "r", -0.2, 0.2, 20)
+
+
+@query("index_level", "SELECT cast(dt AS varchar) AS dt, round(cap / first_value(cap) OVER (ORDER BY dt), 8) AS level FROM (SELECT dt, sum(cap) AS cap FROM panel GROUP BY dt)")
+def index_level(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diagnostics.index_level(market_panel(spark, sf)))
+
+
+@query("normalised_prices", "SELECT cast(dt AS varchar) AS dt, asset, round(px / first_value(px IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 8) AS level FROM panel")
+def normalised_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diagnostics.normalised_prices(market_panel(spark, sf)))
+
+
+@query("top_by_final_cap", "SELECT asset, round(cap / 1e6, 8) AS cap_millions FROM panel WHERE dt = (SELECT max(dt) FROM panel) AND cap IS NOT NULL ORDER BY cap DESC, asset LIMIT 10")
+def top_by_final_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diagnostics.top_by_final_cap(market_panel(spark, sf), 10))
+
+
+@query("top_by_mean_weight", "SELECT asset, round(avg(w), 8) AS mean_w FROM weights GROUP BY asset ORDER BY avg(w) DESC NULLS LAST, asset LIMIT 10")
+def top_by_mean_weight(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diagnostics.top_by_mean_weight(_weights(spark, sf), 10))
+
+
+@query("availability", "SELECT asset, count(px) AS n_dates FROM panel GROUP BY asset")
+def availability(spark: SparkSession, sf: str) -> DataFrame:
+    return diagnostics.availability(market_panel(spark, sf))
+
+
+@query(
+    "available_corr",
+    """ also m AS (SELECT asset FROM panel GROUP BY asset ORDER BY count(px) DESC, asset LIMIT 8), z AS (SELECT dt, asset, coalesce(r, 0) AS r FROM ret WHERE asset IN (SELECT asset FROM m))
+SELECT a.asset AS u, b.asset AS v, round(covar_samp(a.r, b.r) / nullif(stddev_samp(a.r) * stddev_samp(b.r), 0), 8) AS rho, count(*) AS n_obs FROM z a JOIN z b ON a.dt = b.dt AND a.asset < b.asset GROUP BY 1, 2""",
+)
+def available_corr(spark: SparkSession, sf: str) -> DataFrame:
+    panel = market_panel(spark, sf)
+    return rounded(diagnostics.available_corr(stats.returns(panel), panel, 8))
+
+
+# basis files
+
+
+@query("basis_list_format", "SELECT cast(dt AS varchar) AS date, string_agg(asset, ';' ORDER BY k) AS basis FROM (SELECT dt, asset, row_number() OVER (PARTITION BY dt ORDER BY w DESC NULLS LAST, asset) AS k FROM weights) WHERE k <= 5 GROUP BY 1")
+def basis_list_format(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("dt").orderBy(F.desc_nulls_last("w"), "asset")
+    top = _weights(spark, sf).select("dt", (F.row_number().over(w) - 1).alias("pos"), "asset").where("pos < 5")
+    return basis_files.series_form(top)
+
+
+@query("basis_list_parse", "SELECT cast(dt AS varchar) AS dt, cast(k - 1 AS integer) AS pos, asset FROM (SELECT dt, asset, row_number() OVER (PARTITION BY dt ORDER BY w DESC NULLS LAST, asset) AS k FROM weights) WHERE k <= 5")
+def basis_list_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(basis_files.series_rows(basis_list_format(spark, sf)))
+
+
+# simulated markets
+
+
+@query("simulate_prices")
+def simulate_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(simulate.simulate(spark, simulate.Market(), [42, 43]).select("scenario", "dt", "asset", "sector", "px"))
+
+
+@query("simulate_weights")
+def simulate_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(simulate.market_weights(simulate.simulate(spark, simulate.Market(), [42, 43])))
+
+
+@query("simulate_history")
+def simulate_history(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(simulate.history(simulate.simulate(spark, simulate.Market(), [42, 43])))
+
+
+@query("simulate_members")
+def simulate_members(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(simulate.members(simulate.simulate(spark, simulate.Market(), [42, 43]), 20))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+__all__ = ["FLAGSHIP", "densify", "market_cells", "oracle_sql", "queries"]
