@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indexloom.llm.scratch import Scratch
+from indexloom.llm.scratch import Scratch, by_key, number
 
 #: Sites from which a line is boilerplate; sketch size (log2); relative width of "near" (over 6 standard errors).
 THRESHOLD, LG_K, NEAR = 8, 12, 0.15
@@ -34,7 +34,7 @@ def boilerplate(lines: DataFrame, scratch: Scratch, threshold: int = THRESHOLD)
     return scratch.cut(sketches.where(F.col("sites") > high).select(*_KEY).unionByName(exact), "boilerplate")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", threshold: int = THRESHOLD) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", threshold: int = THRESHOLD, uid: str | None = None) -> DataFrame:
     """One row per input row: _uid, doc_id, n_lines, n_removed, kept (the text left).
 
     Lines end at line feeds and are compared without blanks at their ends; blank lines stay.  Null text has
@@ -42,19 +42,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    uid = F.col("_uid") if "_uid" in docs.columns else F.monotonically_increasing_id()
-    base = scratch.cut(docs.select(uid.alias("_uid"), F.col(id_col).alias("_id"), F.xxhash64(site_col).alias("_site"), F.col(text_col).alias("_t")), "base")
+    base = scratch.cut(docs.select(number(uid).alias("_uid"), F.col(id_col).alias("_id"), F.xxhash64(site_col).alias("_site"), F.col(text_col).alias("_t")), "base")
     lines = base.select("_uid", "_site", F.posexplode(F.split("_t", "\n")).alias("_pos", "_line"))
     bare = F.regexp_replace("_line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     hashed = lines.withColumn("_b", bare).where("_b <> ''").select("_uid", "_site", "_pos", F.xxhash64("_b").alias("_h"), F.xxhash64(F.lit(1), "_b").alias("_g"))
     hashed = scratch.cut(hashed, "lines")
-    marks = scratch.cut(hashed.select("_uid", "_pos", *_KEY).join(boilerplate(hashed, scratch, threshold), _KEY).select("_uid", "_pos"), "marks")
-    # documents with marks are put together anew from their other lines
-    touched = lines.select("_uid", "_pos", "_line").join(marks.select("_uid").distinct(), "_uid")
-    left = touched.join(marks.withColumn("_m", F.lit(True)), ["_uid", "_pos"], "left")
-    kept = F.array_sort(F.collect_list(F.when(F.col("_m").isNull(), F.struct("_pos", "_line"))))
-    anew = left.groupBy("_uid").agg(F.count(F.lit(1)).alias("n_lines"), F.count("_m").alias("n_removed"), F.array_join(F.transform(kept, lambda x: x["_line"]), "\n").alias("kept"))
-    anew = scratch.cut(anew, "anew")
-    n = F.when(F.col("_t").isNull(), F.lit(0)).otherwise(F.length("_t") - F.length(F.replace("_t", F.lit("\n"))) + 1)
-    same = base.join(anew.select("_uid"), "_uid", "left_anti").select("_uid", F.col("_id").alias(id_col), n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.coalesce("_t", F.lit("")).alias("kept"))
-    return same.unionByName(base.select("_uid", F.col("_id").alias(id_col)).join(anew, "_uid"))
+    marks = hashed.select("_uid", "_pos", *_KEY).join(boilerplate(hashed, scratch, threshold), _KEY)
+    marks = scratch.cut(marks.groupBy("_uid").agg(F.collect_list("_pos").alias("_gone")), "marks")
+    scratch.release()
+    both = base.select("_uid", F.col("_id").alias(id_col), "_t").join(by_key(marks), "_uid", "left").withColumn("_lines", F.split("_t", "\n"))
+    n = F.when(F.col("_t").isNull(), F.lit(0)).otherwise(F.size("_lines"))
+    # array_except hashes the places that go, so a text of very many lines takes time in proportion
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.coalesce("_t", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
+    return both.select("_uid", id_col, n.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_removed"), kept.alias("kept"))

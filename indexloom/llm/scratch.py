@@ -10,12 +10,14 @@ and the master is local.
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,6 +62,34 @@ class Scratch:
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of finished phases now: it does once their plans are collected here and in the JVM."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def number(uid: str | None) -> Column:
+    """The column ``uid``, unique and stable, or a number for each row."""
+    return F.col(f"`{uid}`") if uid else F.monotonically_increasing_id()
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a number for each row, under a name that it does not have yet."""
+    name, taken = "row_number", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return scratch.cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def by_key(side: DataFrame) -> DataFrame:
+    """The side of a join with texts whose size follows the corpus: joined by key at every size, not broadcast while it is small."""
+    return side.hint("merge")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
 
 def spread(rows: int) -> int:
     """Buckets for a two-level ranking of ``rows`` rows: as many buckets as rows in each."""
