@@ -99,7 +99,7 @@ def max_spread(paths: DataFrame, k: int, weights: DataFrame | None = None, alpha
         w = scaled({x: got.get(x, 0.0) for x in names} if weighed else None, names)
         prev = [names.index(x) for x in dict.fromkeys(before) if x in names]
         picks = spread_order(d, w, k, alpha, stickiness, prev)
-        return pd.DataFrame({"pos": range(len(picks)), "asset": [names[i] for i, _ in picks], "score": [s for _, s in picks]})
+        return pd.DataFrame({"pos": range(len(picks)), "asset": pd.Series([names[i] for i, _ in picks], dtype=object), "score": [s for _, s in picks]})
 
     return rows.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda df: choose(df.drop(columns="_g", errors="ignore")), "pos int, asset string, score double")
 
@@ -166,7 +166,7 @@ def farthest_fill(paths: DataFrame, chosen: Sequence[str], k: int) -> DataFrame:
             have.append(best)
             near = np.minimum(near, d[best])
             near[have] = -np.inf
-        return pd.DataFrame(out, columns=["pos", "asset", "near"])
+        return pd.DataFrame(out, columns=["pos", "asset", "near"], dtype=None if out else object)
 
     return paths.select("src", "dst", "d").groupBy(F.lit(0).alias("_g")).applyInPandas(lambda df: fill(df.drop(columns="_g", errors="ignore")), "pos int, asset string, near double")
 
@@ -202,7 +202,7 @@ def basis_series(dist: DataFrame, k: int, caps: DataFrame | None = None, alpha:
             picks = spread_order(d, w, k, alpha, stickiness, [names.index(x) for x in prev if x in names])
             prev = [names[i] for i, _ in picks] if stickiness else []
             out += [(r.dt, p, names[i]) for p, (i, _) in enumerate(picks)]
-        return pd.DataFrame(out, columns=["dt", "pos", "asset"])
+        return pd.DataFrame(out, columns=["dt", "pos", "asset"], dtype=None if out else object)
 
     group = F.lit(0) if stickiness else F.col("dt")
     return trees.withColumn("_g", group.cast("string")).groupBy("_g").applyInPandas(lambda df: fold(df), "dt date, pos int, asset string")

@@ -95,7 +95,7 @@ def mst_by(dist: DataFrame, by: str = "dt") -> DataFrame:
     def one(df: pd.DataFrame) -> pd.DataFrame:
         names, m = square(df, "u", "v", "dist")
         t = prim(m)
-        return pd.DataFrame({by: [df[by].iloc[0]] * len(t), "u": [names[a] for a, _, _ in t], "v": [names[b] for _, b, _ in t], "w": [w for *_, w in t]})
+        return pd.DataFrame([(df[by].iloc[0], names[a], names[b], w) for a, b, w in t], columns=[by, "u", "v", "w"], dtype=None if t else object)
 
     return dist.groupBy(by).applyInPandas(one, f"{by} {dict(dist.dtypes)[by]}, u string, v string, w double")
 
