@@ -21,11 +21,12 @@ def cap_weights(weights: DataFrame, most: float | None) -> DataFrame:
     """No weight above ``most``; what is cut goes to the others in proportion, until none is above.
 
     From the largest down, the first m are capped where m is the least number that leaves the rest below the
-    cap after scaling; a cap below 1 / active is impossible.  None changes nothing.
+    cap after scaling; a cap below 1 / active is impossible.  Where the names above 0 are too few for the cap,
+    each gets it and the date's sum stays below 1.  None changes nothing.
     """
     if most is None:
         return weights
-    bad = weights.groupBy("dt").agg(F.count(F.when(F.col("w") > 0, F.lit(1))).alias("n")).where((F.col("n") > 0) & (F.col("n") * F.lit(most) < 1 - 1e-12))
+    bad = weights.groupBy("dt").agg(F.count("w").alias("n")).where((F.col("n") > 0) & (F.col("n") * F.lit(most) < 1 - 1e-12))
     if not bad.isEmpty():
         raise ValueError("the cap is below equal weights")
     order = Window.partitionBy("dt").orderBy(F.desc_nulls_last("w"), "asset")
@@ -36,7 +37,7 @@ def cap_weights(weights: DataFrame, most: float | None) -> DataFrame:
     rows = weights.withColumn("_m", m).withColumn("_s", F.try_divide(1 - F.col("_m") * F.lit(most), rest))
     fits = F.col("w") * F.col("_s") <= F.lit(most) + 1e-15
     at = F.min(F.when(fits, F.struct("_m", "_s"))).over(day)
-    capped = F.when(F.col("_m") < at["_m"], F.lit(most)).otherwise(F.col("w") * at["_s"])
+    capped = F.when(at.isNull(), F.when(F.col("w") > 0, F.lit(most)).otherwise(F.col("w"))).when(F.col("_m") < at["_m"], F.lit(most)).otherwise(F.col("w") * at["_s"])
     return rows.select("dt", "asset", F.when(F.col("w").isNotNull(), capped).alias("w"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from indexloom.functions.stats import square
-from indexloom.operators.tree import betweenness, components_without, degrees, prim
+from indexloom.operators.tree import betweenness, components_without, degrees, nodes, prim
 
 
 def normalised(c: Column, over=None) -> Column:  # noqa: ANN001
@@ -40,16 +40,19 @@ def spread_order(d: np.ndarray, weight: np.ndarray, k: int, alpha: float = 0.5,
 
     The first has the largest alpha * mean distance + (1 - alpha) * weight; each further one the
     largest alpha * distance to the nearest chosen + (1 - alpha) * weight.  Members of the basis
-    before get stickiness * the largest first score on top.
+    before get stickiness * the largest first score on top (for the first choice, its first k).
+    k of all or more gives all, in order.
     """
     n = len(d)
     if k <= 0 or not n:
         return []
     first = alpha * d.mean(axis=1) + (1 - alpha) * weight
-    bonus = np.zeros(n)
+    if k >= n:
+        return [(i, float(x)) for i, x in enumerate(first)]
+    early, bonus = np.zeros(n), np.zeros(n)
     if stickiness and len(before):
-        bonus[list(before)] = stickiness * first.max()
-    score = first + bonus
+        early[list(before)[:k]] = bonus[list(before)] = stickiness * first.max()
+    score = first + early
     out, near = [], np.full(n, np.inf)
     for _ in range(min(k, n)):
         best = int(np.argmax(score))
@@ -133,10 +136,15 @@ def hub_branch(tree: DataFrame, paths: DataFrame, k: int, h: int | None = None,
     rep_alpha * distance to the nearest hub + (1 - rep_alpha) * weight (+ stickiness for a member before).
     """
     spark = tree.sparkSession
+    labels = [r.asset for r in nodes(tree).orderBy("asset").collect()] if k > 0 else []  # the assets of one index
+    if k >= len(labels):
+        return spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "pos int, asset string")
     scores = hub_scores(tree, paths, weights, alpha, gamma)
-    sticky = F.col("asset").isin(list(before)) if before else F.lit(False)
+    known = [x for x in dict.fromkeys(before) if x in set(labels)]
+    sticky = F.col("asset").isin(known) if known else F.lit(False)
+    sticky_hub = F.col("asset").isin(known[:k]) if known else F.lit(False)
     top = scores.agg(F.max("score").alias("top"))
-    scores = scores.crossJoin(F.broadcast(top)).select("asset", "wn", (F.col("score") + F.when(sticky, stickiness * F.col("top")).otherwise(0.0)).alias("score"))  # one row
+    scores = scores.crossJoin(F.broadcast(top)).select("asset", "wn", (F.col("score") + F.when(sticky_hub, stickiness * F.col("top")).otherwise(0.0)).alias("score"))  # one row
     n_hubs = min(default_hubs(k) if h is None else h, k)
     chosen = hubs(scores, n_hubs)
     comp = components_without(paths, chosen)

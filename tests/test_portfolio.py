@@ -136,6 +136,11 @@ def test_cap(spark, cap):
     assert got["2020-03-01", "a"] is None
 
 
+def test_cap_with_too_few_names(spark):
+    got = by(backtest.cap_weights(frame(spark, {"a": [0.7], "b": [0.3], "c": [0.0], "d": [0.0]}, "w"), 0.4), "asset", value="w")
+    assert got == {("a",): 0.4, ("b",): 0.4, ("c",): 0.0, ("d",): 0.0}
+
+
 def test_cap_too_low(spark):
     with pytest.raises(ValueError):
         backtest.cap_weights(frame(spark, {"a": [0.5], "b": [0.5]}, "w"), 0.001)

@@ -88,7 +88,7 @@ def test_max_spread(spark):
     paths = tree.walks(edges(spark, CHAIN))
     assert [r.asset for r in selection.max_spread(paths, 2, alpha=1.0).orderBy("pos").collect()] == ["0", "4"]
     assert selection.max_spread(paths, 0).count() == 0
-    assert selection.max_spread(paths, 99).count() == 5
+    assert [r.asset for r in selection.max_spread(paths, 99).orderBy("pos").collect()] == ["0", "1", "2", "3", "4"]
     heavy = spark.createDataFrame([("3", 5.0), ("0", 1.0)], "asset string, w double")
     assert selection.max_spread(paths, 1, heavy, alpha=0.0).first().asset == "3"
     sticky = selection.max_spread(paths, 1, alpha=1.0, stickiness=5.0, before=["2", "2", "nobody"])
@@ -127,6 +127,8 @@ def test_hub_branch(spark):
     assert got == ["2", "0", "4"]
     sticky = [r.asset for r in selection.hub_branch(t, paths, 2, h=1, stickiness=9.0, before=["3"]).orderBy("pos").collect()]
     assert "3" in sticky
+    assert [r.asset for r in selection.hub_branch(t, paths, 4).orderBy("pos").collect()] == ["0", "1", "2", "3"]
+    assert selection.hub_branch(t, paths, 0).count() == 0
     assert selection.default_hubs(10) == 2 and selection.default_hubs(2) == 1
 
 
