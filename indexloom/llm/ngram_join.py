@@ -11,10 +11,11 @@ stored in a trie in the global order, and a traversal counts the overlap of a sh
 once, and leaves a subtree as soon as what remains on either side cannot reach the
 similarity.  Whole sets are compared, so links are exact.
 
-A group that shares a shingle is not expanded into all pairs.  First each set meets the
-group's first set; links found make components.  Then sets of different components of a
-group meet, and only those whose shared beginnings, counted over all groups, leave the
-similarity possible.  Equal sets (copies) take part once.
+A group that shares a shingle is not expanded into all pairs, unless it is small (eight sets).  Of a
+large group each set first meets the group's first set, in tries in which the candidates are also
+linked to each other; these links make components.  Then sets of different components of a group
+meet, and only those whose shared beginnings, counted over all groups, leave the similarity
+possible.  Equal sets (copies) take part once.
 """
 
 from __future__ import annotations
@@ -24,20 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indexloom.llm.components import components
 from indexloom.llm.packed import bucket_of, buckets_for, by_bucket, chunks, reduce_buckets
-from indexloom.llm.scratch import Scratch
+from indexloom.llm.scratch import Scratch, by_key, columns, number, numbered
 from indexloom.llm.text import mix, shingles
 
 #: Words of a shingle; similarity as a fraction.
 K, NUM, DEN = 5, 75, 100
 #: Entries of the table of frequent shingles at most, and documents from which one may be frequent.
 FREQUENT, OFTEN = 1 << 18, 8
-#: Sets in a trie at most; more are dealt over several tries.
-TRIE = 256
+#: Members of a group whose pairs are counted one by one.
+SMALL = 8
+#: Sets and elements of a trie, about; more are dealt over several tries.
+TRIE, ELEMENTS = 256, 1 << 20
 
 
 def need(a: int | np.ndarray, b: int | np.ndarray, num: int = NUM, den: int = DEN) -> int | np.ndarray:
@@ -136,7 +139,7 @@ def frequent(docs: DataFrame, scratch: Scratch, k: int, most: int = FREQUENT, of
     return np.array([r[0] for r in rows], np.uint32), np.array([r[1] for r in rows], np.uint8)
 
 
-_FIELDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_FIELDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
 def _rows(rows: list[tuple], fields: str) -> pa.RecordBatch:
@@ -156,38 +159,44 @@ def ordered(s: np.ndarray, cells: np.ndarray, classes: np.ndarray) -> np.ndarray
     return np.sort(level << np.uint64(56) | s >> np.uint64(8))
 
 
-_SLIM = "_uid long, n int, digest binary, last long, kind int, token long, bucket int, payload binary"
+_SLIM = "kind int, _uid long, other long, token long, n int, digest binary, last long, posted boolean, place int, bucket int, payload binary"
 
 
 def beginnings(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, shared) -> DataFrame:  # noqa: ANN001  a broadcast
-    """Rows of kind 0: _uid, n, digest, last (rank of the beginning's end); of kind 1: _uid, n, token,
-    where a token is in the beginnings of several sets."""
+    """What the beginnings of the sets have in common, as rows of three kinds.
+
+    0: _uid, n, digest, last (rank of the beginning's end), posted (the first of equal sets of its chunk).
+    1: _uid, other: two sets of a small group, whose sizes allow the similarity, once for each shingle they share;
+    posted: whether it can be the first that similar sets of their sizes share.
+    2: _uid, n, token, place: the members of a group of more than ``SMALL`` sets; place: the token's in the set.
+    """
     buckets = buckets_for(docs.sparkSession)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, classes = shared.value
         for c in chunks(batches):
-            slim, tokens, owners, sizes, known = [], [], [], [], set()
+            slim, tokens, owners, sizes, places, known = [], [], [], [], [], set()
             for u, t in zip(c["_uid"], c["text"], strict=True):
                 s = shingles(t, k)
                 n = len(s)
                 if not n:
-                    slim.append((u, 0, b"", 0, 0, None, 0, None))
+                    slim.append((0, u, None, None, 0, b"", 0, False, None))
                     continue
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 rank = ordered(s, cells, classes)
                 p = n - -(-num * n // den) + 1
-                slim.append((u, n, digest, int(rank[p - 1].astype(np.int64)), 0, None, 0, None))
+                slim.append((0, u, None, None, n, digest, int(rank[p - 1].astype(np.int64)), digest not in known, None))
                 if digest not in known:  # equal sets of a chunk take part once
                     known.add(digest)
                     tokens.append(rank[:p])
                     owners.append(np.full(p, u, np.int64))
                     sizes.append(np.full(p, n, np.int32))
-            where = bucket_of(mix(np.array([r[0] for r in slim], np.int64).view(np.uint64)), buckets)
-            rows = [(*r[:6], int(b), None) for r, b in zip(slim, where.tolist(), strict=True)]
+                    places.append(np.arange(p, dtype=np.int32))
+            where = bucket_of(mix(np.array([r[1] for r in slim], np.int64).view(np.uint64)), buckets)
+            rows = [(*r, int(b), None) for r, b in zip(slim, where.tolist(), strict=True)]
             if tokens:
-                x, u, n = map(np.concatenate, (tokens, owners, sizes))
-                rows += [(None, None, None, None, 1, None, b, x[at].tobytes() + u[at].tobytes() + n[at].tobytes()) for b, at in by_bucket(bucket_of(mix(x), buckets))]
+                x, u, n, at0 = map(np.concatenate, (tokens, owners, sizes, places))
+                rows += [(3, None, None, None, None, None, None, None, None, b, x[at].tobytes() + u[at].tobytes() + n[at].tobytes() + at0[at].tobytes()) for b, at in by_bucket(bucket_of(mix(x), buckets))]
             for lo in range(0, len(rows), 4096):
                 yield _rows(rows[lo : lo + 4096], _SLIM)
 
@@ -195,139 +204,217 @@ def beginnings(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, sh
         plain = [tuple(r.values()) for r in rows if not r["kind"]]
         if plain:
             yield _rows(plain, _SLIM)
-        parts = [r["payload"] for r in rows if r["kind"]]
-        if not parts:
-            return
-        xs, us, ns = [], [], []
-        for p in parts:
-            m = len(p) // 20
+        xs, us, ns, ps = [], [], [], []
+        for p in (r["payload"] for r in rows if r["kind"]):
+            m = len(p) // 24
             xs.append(np.frombuffer(p, np.uint64, m))
             us.append(np.frombuffer(p, np.int64, m, 8 * m))
             ns.append(np.frombuffer(p, np.int32, m, 16 * m))
-        x, u, n = map(np.concatenate, (xs, us, ns))
+            ps.append(np.frombuffer(p, np.int32, m, 20 * m))
+        if not xs:
+            return
+        x, u, n, place = map(np.concatenate, (xs, us, ns, ps))
         order = np.argsort(x, kind="stable")
-        x, u, n = x[order], u[order], n[order]
-        twice = np.zeros(len(x), bool)
-        twice[1:] = x[1:] == x[:-1]
-        twice[:-1] |= twice[1:]
-        x, u, n = x[twice].view(np.int64), u[twice], n[twice]
-        for lo in range(0, len(x), 1 << 15):
-            at = slice(lo, lo + (1 << 15))
-            m = len(x[at])
-            none = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(n[at]), none, pa.nulls(m, pa.int64()), pa.array(np.ones(m, np.int32)), pa.array(x[at]), pa.array(np.zeros(m, np.int32)), none], [f.split()[0] for f in _SLIM.split(", ")])
-
-    return scratch.cut(reduce_buckets(docs.select("_uid", "text").mapInArrow(begin, _SLIM), meet, _SLIM).drop("bucket", "payload"), "beginnings")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, shared) -> DataFrame:  # noqa: ANN001
-    """Of candidate ``pairs`` (a, b) those that are similar, with their overlap.
-
-    The sets of the documents concerned are made anew from their texts; each a's candidates
-    are dealt into tries of bounded size, so a set with very many candidates is no large task.
+        x, u, n, place = x[order], u[order], n[order].astype(np.int64), place[order]
+        start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        size = np.diff(np.append(start, len(x)))
+        # small groups: all their pairs, by distance within the sorted list
+        one, two, hit = [], [], []
+        for step in range(1, SMALL):
+            first = np.repeat(start[(size > step) & (size <= SMALL)], size[(size > step) & (size <= SMALL)] - step)
+            if not len(first):
+                break
+            count = size[(size > step) & (size <= SMALL)] - step
+            i = first + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+            j = i + step
+            ok = (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
+            one.append(np.minimum(u[i], u[j])[ok])
+            two.append(np.maximum(u[i], u[j])[ok])
+            most = need(n[i], n[j], num, den)
+            hit.append(((place[i] <= n[i] - most) & (place[j] <= n[j] - most))[ok])
+        if one:
+            yield from _sparse(1, {"_uid": np.concatenate(one), "other": np.concatenate(two), "posted": np.concatenate(hit)})
+        large = np.repeat(size > SMALL, size)
+        if large.any():
+            yield from _sparse(2, {"_uid": u[large], "token": x[large].view(np.int64), "n": n[large].astype(np.int32), "place": place[large]})
+
+    packed = docs.select("_uid", "text").mapInArrow(begin, _SLIM)
+    return scratch.cut(reduce_buckets(packed, meet, _SLIM).drop("bucket", "payload"), "beginnings")
+
+
+def _sparse(kind: int, given: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_SLIM`` with only some columns filled."""
+    total = len(next(iter(given.values())))
+    for lo in range(0, total, 1 << 16):
+        m = min(1 << 16, total - lo)
+        cols = []
+        for name, t in (f.split() for f in _SLIM.split(", ")):
+            cols.append(pa.array(given[name][lo : lo + m], _FIELDS[t]) if name in given else pa.array(np.full(m, kind, np.int32)) if name == "kind" else pa.nulls(m, _FIELDS[t]))
+        yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in _SLIM.split(", ")])
+
+
+def linked(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[tuple[int, int, int]]:
+    """(i, j, overlap): links that connect the sets as all their links would.
+
+    From one set to those similar to it, from these on to those not reached yet, and so on, then from the
+    next set; the trie holds what is not reached.
     """
-    nodes = pairs.select(F.col("a").alias("_uid")).unionByName(pairs.select(F.col("b").alias("_uid"))).distinct()
+    rest, out, start = set(range(len(sets))), [], 0
+    while start < len(sets):
+        if start not in rest:
+            start += 1
+            continue
+        rest.discard(start)
+        todo = [start]
+        held, trie = sorted(rest), None
+        while todo and rest:
+            if trie is None or len(rest) * 2 < len(held):
+                held = sorted(rest)
+                trie = Trie([sets[i] for i in held])
+            probe = todo.pop()
+            for at, overlap in trie.overlaps(sets[probe].view(">u8").astype(np.uint64), num, den):
+                i = held[at]
+                if i in rest:
+                    rest.discard(i)
+                    todo.append(i)
+                    out.append((probe, i, overlap))
+        start += 1
+    return out
+
+
+def element_sets(nodes: DataFrame, docs: DataFrame, scratch: Scratch, k: int, shared) -> DataFrame:  # noqa: ANN001
+    """(_uid, n, elements) of the documents in ``nodes``, made anew from their texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, classes = shared.value
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_key(ordered(shingles(t, k), cells, classes)).tobytes() for t in texts], pa.binary())], ["_uid", "elements"])
+            keys = [_key(ordered(shingles(t, k), cells, classes)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 8 for x in keys], pa.int64()), pa.array(keys, pa.binary())], ["_uid", "n", "elements"])
+
+    return scratch.cut(docs.join(by_key(nodes), "_uid", "left_semi").select("_uid", "text").mapInArrow(make, "_uid long, n long, elements binary"), "sets", "none")
 
-    sets = scratch.cut(docs.join(nodes, "_uid", "left_semi").select("_uid", "text").mapInArrow(make, "_uid long, elements binary"), "sets")
-    put = pairs.withColumn("part", F.expr(f"(row_number() OVER (PARTITION BY a, pmod(xxhash64(b), 64) ORDER BY b) - 1) div {TRIE // 64}")).join(sets.select(F.col("_uid").alias("b"), F.col("elements").alias("eb")), "b")
-    groups = put.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "part").sortWithinPartitions("a", "part", "b").select("a", "part", "b", "eb")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each trie: its sets one after another."""
+def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Links (a, b, overlap) that connect what the similar ones among candidate ``pairs`` (a, b) connect.
+
+    The candidates of one a are dealt into tries of bounded numbers and bytes, each with a, so an a
+    with very many candidates is many small tasks; within a trie also candidates are linked to each other.
+    """
+    spark = pairs.sparkSession
+    loads = pairs.join(sets.select(F.col("_uid").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TRIE), F.sum("n") / F.lit(ELEMENTS))).cast("int").alias("parts"))
+    dealt = pairs.select("a", "b").join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    members = dealt.unionByName(dealt.select("a", "part", F.col("a").alias("b")).distinct())
+    rows = members.join(sets.select(F.col("_uid").alias("b"), "elements"), "b").select("a", "part", "b", "elements")
+    groups = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "part").sortWithinPartitions("a", "part", "b")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([[r[2] for r in held]], pa.list_(pa.int64())), pa.array([[r[3] for r in held]], pa.list_(pa.binary()))], ["a", "bs", "ebs"])
+        def links() -> pa.RecordBatch:
+            ids = [r[2] for r in held]
+            return _rows([(ids[i], ids[j], o) for i, j, o in linked([np.frombuffer(r[3], np.uint8).view(">u8") for r in held], num, den)], "a long, b long, overlap long")
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and r[:2] != held[0][:2]:
-                    yield out()
+                    yield links()
                     held = []
                 held.append(r)
         if held:
-            yield out()
+            yield links()
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for a, bs, ebs, ea in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                trie = Trie([np.frombuffer(e, np.uint8).view(">u8") for e in ebs])
-                rows.extend((a, bs[i], o) for i, o in trie.overlaps(np.frombuffer(ea, ">u8").astype(np.uint64), num, den))
-            yield _rows(rows, "a long, b long, overlap long")
-
-    tries = groups.mapInArrow(gather, "a long, bs array<long>, ebs array<binary>")
-    probes = sets.select(F.col("_uid").alias("a"), F.col("elements").alias("ea"))
-    links = scratch.cut(tries.join(probes, "a").select("a", "bs", "ebs", "ea").mapInArrow(walk, "a long, b long, overlap long"), "links")
-    scratch.drop(sets)
-    return links
+    return scratch.cut(groups.mapInArrow(walk, "a long, b long, overlap long"), "links")
+
+
+def _needed(n: Column, m: Column, num: int, den: int) -> Column:
+    """Smallest overlap of sets of n and m elements that makes them similar."""
+    return F.floor((num * (n + m) + (num + den - 1)) / F.lit(num + den)).cast("long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN) -> dict[str, DataFrame]:
+def _bound(n: str, last: str, m: str, end: str, num: int, den: int) -> tuple[Column, Column]:
+    """The overlap that two sets need, and how much of it can lie behind the shorter of their beginnings."""
+
+    def behind(x: str) -> Column:
+        return F.expr(f"({num} * {x} + {den - 1}) div {den} - 1")
+
+    must = F.expr(f"({num} * ({n} + {m}) + {num + den - 1}) div {num + den}")
+    return must, F.when(F.col(last) <= F.col(end), behind(n)).otherwise(behind(m))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN, uid: str | None = None) -> dict[str, DataFrame]:
     """Links every two documents whose shingle sets have at least num/den of their union in common.
 
-    Returns ``documents`` (_uid, doc_id, n_shingles, component_id) and ``links`` (a, b, overlap: links
-    between numbers (_uid) of different sets that were needed to connect the components; copies are
-    not expanded).  Null or empty texts have no shingles and no links; a null id counts as larger than
-    others; repeated rows are linked as copies.
+    Returns ``documents`` (_uid, doc_id, n_shingles, component_id, first: whether the row stands for its
+    component) and ``links`` (a, b, overlap: links between numbers (_uid) of different sets, enough to connect
+    the components; copies are not expanded).  Null or empty texts have no shingles and no links; a null id
+    counts as larger than others; repeated rows are linked as copies.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    uid = F.col("_uid") if "_uid" in docs.columns else F.monotonically_increasing_id()
-    base = scratch.cut(docs.select(uid.alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "base")
+    base = scratch.cut(docs.select(number(uid).alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "base")
     shared = spark.sparkContext.broadcast(frequent(base, scratch, k))  # FREQUENT entries at most
+    scratch.release()
     both = beginnings(base, scratch, k, num, den, shared)
-    slim = both.where("kind = 0").select("_uid", "n", "digest", "last")
-    rep = slim.where("n > 0").groupBy("digest").agg(F.min("_uid").alias("rep"), F.first("n").alias("n"), F.first("last").alias("last"))
+    scratch.release()
+    slim = both.where("kind = 0").select("_uid", "n", "digest", "last", "posted")
+    rep = slim.where("posted").groupBy("digest").agg(F.min(F.struct("_uid", "n", "last")).alias("r")).select("digest", F.col("r._uid").alias("rep"), F.col("r.n").alias("n"), F.col("r.last").alias("last"))
     rep = scratch.cut(rep, "representatives")
-    posts = both.where("kind = 1").select("_uid", "n", "token").join(rep.select(F.col("rep").alias("_uid"), "last"), "_uid")
-    many = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    posts = scratch.cut(posts.join(many, "token"), "shared")
-
-    # each set meets the first set of its groups: the one it meets most often, then it is verified
-    hubs = posts.groupBy("token").agg(F.min(F.struct("_uid", "n")).alias("h"))
-    near = F.col("n") * den >= F.col("h.n") * num, F.col("h.n") * den >= F.col("n") * num
-    met = posts.join(hubs, "token").where((F.col("_uid") != F.col("h._uid")) & near[0] & near[1]).groupBy(F.col("_uid").alias("b"), F.col("h._uid").alias("a")).agg(F.count(F.lit(1)).alias("c"))
-    best = met.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    first = verified(scratch.cut(best, "candidates"), base, scratch, k, num, den, shared)
+    large = both.where("kind = 2").select("_uid", F.col("n").cast("long").alias("n"), "token", "place").join(rep.select(F.col("rep").alias("_uid")), "_uid")
+    large = scratch.cut(large, "large")
+    loads = large.groupBy("_uid").agg(F.count(F.lit(1)).alias("l"))
+
+    # small groups: pairs whose shared shingles, with all that could be shared in large groups and behind the
+    # beginnings, are enough
+    met = both.where("kind = 1").groupBy(F.col("_uid").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("posted").alias("hit"))
+    side = rep.select(F.col("rep").alias("_uid"), F.col("n").cast("long").alias("n"), "last").join(loads, "_uid", "left").select("_uid", "n", "last", F.coalesce("l", F.lit(0)).alias("l"))
+    met = met.join(side.toDF("a", "an", "al", "ah"), "a").join(side.toDF("b", "bn", "bl", "bh"), "b")
+    must, behind = _bound("an", "al", "bn", "bl", num, den)
+    shared_large = F.least("ah", "bh")
+    close = met.where((F.col("hit") | (shared_large > 0)) & (F.col("c") + shared_large + behind >= must)).select("a", "b")
+
+    # large groups: each set meets the first set of its groups, the one it meets most often
+    hubs = large.groupBy("token").agg(F.min("_uid").alias("h"))
+    star = large.join(hubs, "token").where("_uid <> h").groupBy(F.col("_uid").alias("b"), F.col("h").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+    star = star.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    pairs = scratch.cut(close.unionByName(star).distinct(), "candidates")
+    nodes = pairs.select(F.col("a").alias("_uid")).union(pairs.select("b")).union(loads.select("_uid")).distinct()
+    sets = element_sets(nodes, base, scratch, k, shared)
+    scratch.release()
+    first = verified(pairs, sets, scratch, num, den)
     roots = components(first, scratch)
 
-    # sets of different components of a group meet, where their beginnings leave the similarity possible
-    where = posts.join(roots.select(F.col("node").alias("_uid"), "root"), "_uid", "left").withColumn("root", F.coalesce("root", "_uid"))
-    where = scratch.cut(where, "placed")
+    # sets of different components of a large group meet, at a shingle that can be the first they share
+    where = large.join(roots.select(F.col("node").alias("_uid"), "root"), "_uid", "left").withColumn("root", F.coalesce("root", "_uid"))
+    least = large.groupBy("token").agg(F.min("n").alias("least"))
+    smallest = F.greatest(F.col("least"), F.expr(f"({num} * n + {den - 1}) div {den}"))
+    where = scratch.cut(where.join(least, "token").where(F.col("place") <= F.col("n") - _needed(F.col("n"), smallest, num, den)).drop("least"), "placed")
     sizes = where.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
     major = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("major"))
     mixed = where.join(major, "token")
-    x = mixed.where("root <> major").select("token", F.col("_uid").alias("xu"), F.col("n").alias("xn"), F.col("last").alias("xl"), F.col("root").alias("xr"))
-    y = mixed.select("token", F.col("_uid").alias("yu"), F.col("n").alias("yn"), F.col("last").alias("yl"), F.col("root").alias("yr"), (F.col("root") == F.col("major")).alias("ym"))
-    near = (F.col("xn") * den >= F.col("yn") * num) & (F.col("yn") * den >= F.col("xn") * num)
-    pairs = x.join(y, "token").where((F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xu") < F.col("yu"))) & near)
-    a, b = F.least("xu", "yu").alias("a"), F.greatest("xu", "yu").alias("b")
-    # ranks of the beginnings' ends are below 2**63, so they compare as numbers
-    left = F.when(F.col("xl") <= F.col("yl"), F.expr(f"xn div 1 - (xn - (({num} * xn + {den - 1}) div {den}) + 1)")).otherwise(F.expr(f"yn - (yn - (({num} * yn + {den - 1}) div {den}) + 1)"))
-    must = F.expr(f"({num} * (xn + yn) + {num + den - 1}) div {num + den}")
-    counted = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("c"), F.first(left).alias("left"), F.first(must).alias("must"))
-    cross = verified(scratch.cut(counted.where("c + left >= must").select("a", "b"), "crossing"), base, scratch, k, num, den, shared)
-
-    links = first.unionByName(cross)
-    roots = components(links.select("a", "b"), scratch)
+    x = mixed.where("root <> major").select("token", F.col("_uid").alias("xu"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("root").alias("xr"))
+    y = mixed.select("token", F.col("_uid").alias("yu"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("root").alias("yr"), (F.col("root") == F.col("major")).alias("ym"))
+    must = _needed(F.col("xn"), F.col("yn"), num, den)
+    near = (F.col("xn") * den >= F.col("yn") * num) & (F.col("yn") * den >= F.col("xn") * num) & (F.col("xp") <= F.col("xn") - must) & (F.col("yp") <= F.col("yn") - must)
+    cross = x.join(y, "token").where((F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xu") < F.col("yu"))) & near)
+    crossing = scratch.cut(cross.select(F.least("xu", "yu").alias("a"), F.greatest("xu", "yu").alias("b")).distinct(), "crossing")
+    links = first
+    if not crossing.isEmpty():
+        links = first.unionByName(verified(crossing, sets, scratch, num, den))
+        roots = components(links.select("a", "b"), scratch)
+
     placed = slim.join(rep.select("digest", "rep"), "digest", "left").select("_uid", "n", F.coalesce("rep", "_uid").alias("rep"))
     placed = placed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_uid", "n", F.coalesce("root", "rep").alias("root"))
-    ids = scratch.cut(placed.join(base.select("_uid", "doc_id"), "_uid"), "placed")
+    ids = scratch.cut(placed.join(base.select("_uid", "doc_id"), "_uid"), "components")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("_f"))
+    least = scratch.cut(least, "least")  # so that the join has plain exchanges, which are split where a component is large
     out = ids.join(least, "root").select("_uid", F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("_uid") == F.col("_f._uid")).alias("first"))
+    scratch.drop(sets)
     return {"documents": out, "links": links}
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """Of each component the row with the smallest id, with the columns of ``docs``."""
     scratch = Scratch(docs.sparkSession)
-    numbered = scratch.cut(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
-    kept = jaccard_join(numbered, id_col, text_col, k, num, den)["documents"].where("first").select("_uid")
-    return numbered.join(kept, "_uid", "left_semi").select(*docs.columns)
+    rows, uid = numbered(docs, scratch)
+    kept = jaccard_join(rows, id_col, text_col, k, num, den, uid)["documents"].where("first").select(F.col("_uid").alias(uid))
+    return rows.join(by_key(kept), uid, "left_semi").select(columns(docs))
