@@ -48,7 +48,7 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page
     A null or hostless URL and a null day match nothing.  Of several active entries the one with the longest
     key decides, then the earlier, then the smaller category.  Repeated captures are judged each.
     """
-    at = captures.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), F.col(day_col).alias("day"))
+    at = captures.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), F.col(day_col).alias("day"))
     valid = intervals(entries)
     days = at.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
 
