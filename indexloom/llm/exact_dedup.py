@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from indexloom.llm.scratch import Scratch, spread
+from indexloom.llm.scratch import Scratch, by_key, columns, number, numbered, spread
 from indexloom.llm.text import SPACES
 
 #: Characters of a block.
@@ -36,14 +36,13 @@ def _named(keys: DataFrame, cols: list[str], buckets: int) -> DataFrame:
     return keys.withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(buckets))).withColumn("name", F.col("_b") * F.lit(1 << 36) + F.row_number().over(w)).drop("_b")
 
 
-def identities(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def identities(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, uid: str | None = None) -> DataFrame:
     """One row per input row: _uid, id_col, _sha (of the normalised text), _level, _name.
 
-    Rows of equal normalised text, and only those, share (_level, _name).  ``docs`` may
-    bring its own column ``_uid``, unique and stable; otherwise rows are numbered here.
+    Rows of equal normalised text, and only those, share (_level, _name).  ``uid``
+    names a column of ``docs`` that numbers its rows; without it they are numbered here.
     """
-    uid = F.col("_uid") if "_uid" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(uid.alias("_uid"), F.col(id_col).alias("_id"), normal(F.col(text_col)).alias("_t"))
+    rows = docs.select(number(uid).alias("_uid"), F.col(id_col).alias("_id"), normal(F.col(text_col)).alias("_t"))
     n = F.greatest(F.lit(1), F.ceil(F.length("_t") / F.lit(block)).cast("int"))
     rows = rows.select("_uid", "_id", "_t", F.sha2(F.col("_t").cast("binary"), 256).alias("_sha"), n.alias("_n"))
     rows = rows.select("_uid", "_id", "_sha", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_pos"), "_t")
@@ -84,7 +83,7 @@ def identities(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     return heads.join(named, "_uid")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, uid: str | None = None) -> DataFrame:
     """Groups rows of equal normalised text.
 
     Returns one row per input row: _uid, id_col, keep_id, group_size, kept, text_sha256.
@@ -93,15 +92,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal to each other, an empty table gives an empty result, other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    ids = scratch.cut(identities(docs, scratch, id_col, text_col, block), "identities")
+    ids = scratch.cut(identities(docs, scratch, id_col, text_col, block, uid), "identities")
     first = F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("_uid").alias("u")))
-    groups = ids.groupBy("_level", "_name").agg(first.alias("_f"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join below has plain exchanges on both sides, which are split where a group is large
+    groups = scratch.cut(ids.groupBy("_level", "_name").agg(first.alias("_f"), F.count(F.lit(1)).alias("group_size")), "groups")
     return ids.join(groups, ["_level", "_name"]).select("_uid", id_col, F.col("_f.i").alias("keep_id"), "group_size", (F.col("_uid") == F.col("_f.u")).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     scratch = Scratch(docs.sparkSession)
-    numbered = scratch.cut(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
-    kept = exact_dedup(numbered, id_col, text_col, block).where("kept").select("_uid")
-    return numbered.join(kept, "_uid", "left_semi").select(*docs.columns)
+    rows, uid = numbered(docs, scratch)
+    kept = exact_dedup(rows, id_col, text_col, block, uid).where("kept").select(F.col("_uid").alias(uid))
+    return rows.join(by_key(kept), uid, "left_semi").select(columns(docs))

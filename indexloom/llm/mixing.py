@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indexloom.llm.scratch import Scratch, spread
+from indexloom.llm.scratch import Scratch, by_key, columns, number, numbered, spread
 from indexloom.llm.text import SPACES, WORD
 
 #: Words of a block.
@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float =
     return out.withColumn("target", F.least(F.col("_w") * level, F.col("_most")))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17) -> dict[str, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17, uid: str | None = None) -> dict[str, DataFrame]:
     """Plans the mix.
 
     Returns ``documents`` (_uid, id, size, source_size, target, taken), ``sources``, and
@@ -73,9 +73,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    uid = F.col("_uid") if "_uid" in docs.columns else F.monotonically_increasing_id()
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = scratch.cut(docs.select(uid.alias("_uid"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), digest.alias("_h")), "sizes")
+    sized = scratch.cut(docs.select(number(uid).alias("_uid"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), digest.alias("_h")), "sizes")
     rows = sized.count()
     sources = scratch.cut(targets(sized.groupBy("_source").agg(F.sum("size").alias("source_size")), scratch, weights, share, most), "targets")
 
@@ -161,15 +160,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     words take no room in the mix and are left out, as are rows of which it takes nothing.
     """
     scratch = Scratch(docs.sparkSession)
-    numbered = scratch.cut(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
-    plan = mix(numbered, id_col, text_col, source_col, weights, share, most, block, seed)["documents"]
+    given, uid = numbered(docs, scratch)
+    plan = mix(given, id_col, text_col, source_col, weights, share, most, block, seed, uid)["documents"]
     took = plan.where("taken > 0").select("_uid", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = numbered.join(took, "_uid")
+    rows = given.select(F.col(uid).alias("_uid"), F.struct(columns(docs)).alias("_row"), F.col(text_col).alias("_text")).join(by_key(took), "_uid")
     whole = F.expr("_taken div _size")
     rest = F.col("_taken") % F.col("_size")
     parts = F.concat(F.when(whole > 0, F.array_repeat(F.lit(0).cast("long"), whole.cast("int"))).otherwise(F.array().cast("array<long>")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
     rows = rows.withColumn("_words", F.explode(parts))
-    return rows.withColumn(text_col, _first_words(F.col(text_col), F.col("_words"))).select(*docs.columns)
+    cut = F.col("_row").withField(text_col, _first_words(F.col("_text"), F.col("_words")))
+    return rows.select(cut.alias("_row")).select("_row.*")
 
 
 def _first_words(text: Column, words: Column) -> Column:

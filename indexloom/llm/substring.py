@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indexloom.llm.packed import bucket_of, buckets_for, by_bucket, chunks, reduce_buckets
-from indexloom.llm.scratch import Scratch
+from indexloom.llm.scratch import Scratch, by_key, number
 from indexloom.llm.text import Words, mix
 
 #: Words of a window and of an anchor.
@@ -101,7 +101,7 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEE
 
     packed = docs.select("_uid", "text").mapInArrow(anchors, "bucket int, hashes binary, first binary, known binary")
     seeds = reduce_buckets(packed, meet, "_uid long, anchor long").groupBy("_uid").agg(F.collect_set("anchor").alias("anchors"))
-    there = scratch.cut(docs.join(seeds, "_uid"), "seeded")
+    there = scratch.cut(docs.join(by_key(seeds), "_uid"), "seeded")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
@@ -180,7 +180,7 @@ def covered(words: int, marks: list[int], span: int = SPAN) -> np.ndarray:
     return np.cumsum(edge)[:words] > 0
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, seed: int = SEED, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, seed: int = SEED, with_text: bool = False, uid: str | None = None) -> DataFrame:
     """Removes each word that a repeated window covers, judged on the input.
 
     Returns one row per input row: _uid, doc_id, n_words, n_removed, kept_sha256 (and kept, the words
@@ -189,8 +189,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    uid = F.col("_uid") if "_uid" in docs.columns else F.monotonically_increasing_id()
-    base = scratch.cut(docs.select(uid.alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "base")
+    base = scratch.cut(docs.select(number(uid).alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "base")
     there, marks = repeats(base, scratch, span, seed)
     fields = "_uid long, doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 

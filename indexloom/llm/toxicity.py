@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indexloom.llm.scratch import Scratch
+from indexloom.llm.scratch import Scratch, columns
 
 #: Labelled rows that a model is fitted on at most, by digest of their ids.
 SAMPLE = 20_000
@@ -336,9 +336,12 @@ def _known_variants(fold: DataFrame, terms: list[Term]) -> frozenset[str]:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with held_out, score and predicted; null text counts as empty, every row is on its own."""
+    """``docs`` with held_out, score and predicted; null text counts as empty, every row is on its own.
+
+    Columns of ``docs`` with the names of the result are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.known, model.weights))  # at most TERMS terms and 64 * TERMS words
-    plain = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    plain = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, known, weights = shared.value
@@ -373,4 +376,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with their own columns."""
     model = train(docs, labels, id_col, text_col)
-    return score(docs, model, id_col, text_col).where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(columns(docs)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return score(rows, model, "_id", "_text").where("predicted = 0").select("_row.*")
