@@ -419,12 +419,44 @@ def nearest_member(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(selection.nearest_member(paths, selection.max_spread(paths, 5, _last_caps(spark, sf), alpha=0.2)))
 
 
-@query("basis_sticky")
+_IN_BASIS = ", ".join(f"'{b}'" for b in BASIS)
+
+
+@query(
+    "basis_sticky",
+    f""" also first AS (SELECT src AS asset, 0.2 * avg(d) + 0.8 * max(wn) AS score FROM walk JOIN wn ON wn.asset = src GROUP BY src
+), bonus AS (SELECT 0.5 * max(score) AS b FROM first
+), pick AS (
+  SELECT 0 AS pos, [asset] AS s, asset, score FROM (SELECT asset, score + CASE WHEN asset IN ({_IN_BASIS}) THEN b ELSE 0 END AS score FROM first CROSS JOIN bonus ORDER BY score DESC, asset LIMIT 1)
+  UNION ALL
+  SELECT * FROM (SELECT pos + 1, list_append(s, c), c, score FROM (
+    SELECT pos, s, dst AS c, 0.2 * min(d) + 0.8 * max(wn) + CASE WHEN dst IN ({_IN_BASIS}) THEN max(b) ELSE 0 END AS score
+    FROM pick JOIN walk ON list_contains(s, src) AND NOT list_contains(s, dst) JOIN wn ON wn.asset = dst CROSS JOIN bonus
+    WHERE pos < 4 GROUP BY pos, s, dst) ORDER BY score DESC, c LIMIT 1)
+) SELECT pos, asset, round(score, 8) AS score FROM pick""",
+    with_tree=True,
+)
 def basis_sticky(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(selection.max_spread(_paths(spark, sf), 5, _last_caps(spark, sf), alpha=0.2, stickiness=0.5, before=BASIS))
 
 
-@query("basis_hub_branch")
+@query(
+    "basis_hub_branch",
+    """ also hubs AS (SELECT pos, asset, score FROM hub WHERE pos < 1
+), comp AS (SELECT src AS asset, min(dst) AS comp FROM walk WHERE NOT list_has_any(path, (SELECT list(asset) FROM hubs)) GROUP BY src
+), rep AS (
+  SELECT comp, c.asset, 0.5 * d + 0.5 * wn AS s, row_number() OVER (PARTITION BY comp ORDER BY 0.5 * d + 0.5 * wn DESC, c.asset) AS k
+  FROM comp c JOIN walk ON src = c.asset AND dst IN (SELECT asset FROM hubs) JOIN wn ON wn.asset = c.asset
+), chosen AS (
+  SELECT pos, asset FROM hubs UNION ALL SELECT row_number() OVER (ORDER BY s DESC, asset), asset FROM rep WHERE k = 1
+), fill AS (
+  SELECT count(*) - 1 AS pos, list(asset) AS s, NULL::varchar AS asset FROM chosen WHERE pos < 6
+  UNION ALL
+  SELECT * FROM (SELECT pos + 1, list_append(s, c), c FROM (
+    SELECT pos, s, dst AS c, min(d) AS near FROM fill JOIN walk ON list_contains(s, src) AND NOT list_contains(s, dst) WHERE pos < 5 GROUP BY pos, s, dst) ORDER BY near DESC, c LIMIT 1)
+) SELECT cast(pos AS integer) AS pos, asset FROM chosen WHERE pos < 6 UNION ALL SELECT cast(pos AS integer), asset FROM fill WHERE asset IS NOT NULL""",
+    with_tree=True,
+)
 def basis_hub_branch(spark: SparkSession, sf: str) -> DataFrame:
     t = _tree(spark, sf)
     return selection.hub_branch(t, cut(tree.walks(t)), 6, weights=_last_caps(spark, sf))
@@ -504,7 +536,20 @@ def ridge_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001), 7)
 
 
-@query("ridge_timeseries_q3")
+@query(
+    "ridge_timeseries_q3",
+    """ also tt AS (SELECT DISTINCT dt AS t FROM panel WHERE month(dt) = 1 AND year(dt) > 1996
+), g AS (
+  SELECT t, asset, sum(x1*x1) + 0.001 a, sum(x1*x2) b, sum(x1*x3) c, sum(x2*x2) + 0.001 d, sum(x2*x3) e, sum(x3*x3) + 0.001 f, sum(x1*y) p, sum(x2*y) q, sum(x3*y) r
+  FROM rows3 JOIN tt ON dt < t WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL GROUP BY 1, 2
+), z AS (SELECT *, a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d) AS det FROM g
+), k AS (
+  SELECT t, asset, 1 AS rank, (p*(d*f-e*e) - b*(q*f-e*r) + c*(q*e-d*r)) / det AS coef FROM z
+  UNION ALL SELECT t, asset, 2, (a*(q*f-e*r) - p*(b*f-c*e) + c*(b*r-q*c)) / det FROM z
+  UNION ALL SELECT t, asset, 3, (a*(d*r-q*e) - b*(b*r-q*c) + p*(b*e-d*c)) / det FROM z
+) SELECT cast(t AS varchar) AS dt, k.asset, basis, round(coef, 7) AS coef FROM k JOIN near USING (asset, rank)""",
+    with_ridge=True,
+)
 def ridge_timeseries_q3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 3), 0.001), 7)
 
