@@ -11,7 +11,6 @@ import numpy as np
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -54,15 +53,19 @@ class _Powers:
 POWERS = _Powers()
 
 
+#: Words that are hashed at a time; memory for a text beyond its bytes follows its words.
+SEGMENT = 1 << 16
+
+
 class Words:
-    """The words of one text, with hashes of any run of consecutive words in O(1) each.
+    """The words of one text, with hashes of all runs of consecutive words.
 
     A run's hash is a polynomial over the bytes of its words joined by one space, so
     it depends on the word sequence alone.  64 bits: two different runs of the same
     document pair agree by chance with probability 2**-64 each.
     """
 
-    __slots__ = ("acc", "buf", "ends", "n", "starts")
+    __slots__ = ("buf", "ends", "n", "starts")
 
     def __init__(self, text: bytes | None, lower: bool = False):
         raw = np.frombuffer(text or b"", np.uint8)
@@ -74,29 +77,29 @@ class Words:
         starts, ends = edge[0::2], edge[1::2]
         self.n = len(starts)
         # the normalised text: words with one space between
-        first = np.zeros(len(raw) + 1, bool)
-        first[ends] = True
-        take = keep | (first[:-1] & gap)
+        last = np.zeros(len(raw) + 1, bool)
+        last[ends] = True
+        take = keep | (last[:-1] & gap)
         self.buf = np.where(gap, np.uint8(32), raw)[take]
-        at = np.concatenate(([0], np.cumsum(take)))
-        self.starts, self.ends = at[starts], at[ends]
-        up, _ = POWERS.get(len(self.buf) + 1)
-        with np.errstate(over="ignore"):
-            self.acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[self.buf] * up[: len(self.buf)], dtype=np.uint64)))
+        sizes = ends - starts
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.starts = self.ends - sizes
 
     def runs(self, k: int) -> np.ndarray:
         """Hashes of all runs of k words, by start."""
         m = self.n - k + 1
         if m <= 0:
             return np.zeros(0, np.uint64)
-        a, b = self.starts[:m], self.ends[k - 1 : k - 1 + m]
-        _, down = POWERS.get(len(self.buf) + 1)
-        with np.errstate(over="ignore"):
-            return mix((self.acc[b] - self.acc[a]) * down[a] + (b - a).astype(np.uint64))
+        return self._hashes(0, m, k) if m <= SEGMENT else np.concatenate([self._hashes(lo, min(m, lo + SEGMENT), k) for lo in range(0, m, SEGMENT)])
 
-    def whole(self) -> int:
-        """Hash of all words."""
-        return int(self.runs(self.n)[0]) if self.n else 0
+    def _hashes(self, lo: int, hi: int, k: int) -> np.ndarray:
+        base = self.starts[lo]
+        a, b = self.starts[lo:hi] - base, self.ends[lo + k - 1 : hi + k - 1] - base
+        part = self.buf[base : base + b[-1]]
+        up, down = POWERS.get(len(part) + 1)
+        with np.errstate(over="ignore"):
+            acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[part] * up[: len(part)], dtype=np.uint64)))
+            return mix((acc[b] - acc[a]) * down[a] + (b - a).astype(np.uint64))
 
     def join(self, keep: np.ndarray) -> bytes:
         """The words kept, joined by one space."""

@@ -178,6 +178,16 @@ def test_word_kernel(text, k):
     assert len(shingles(text.encode(), 5)) == len(cases.shingle_set(text))
 
 
+def test_long_texts_are_hashed_in_segments(monkeypatch):
+    from indexloom.llm import text
+
+    rnd = random.Random(4)
+    data = " ".join(rnd.choices(["a", "bb", "ccc"], k=3000)).encode()
+    whole = Words(data).runs(7)
+    monkeypatch.setattr(text, "SEGMENT", 100)
+    assert (Words(data).runs(7) == whole).all()
+
+
 def test_empty_tables(spark):
     none = cases.documents(spark, [])
     assert exact_dedup.exact_dedup(none).count() == 0
