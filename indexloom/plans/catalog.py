@@ -7,6 +7,7 @@ numbers are rounded in both engines, since sums of floating-point numbers depend
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from indexloom.operators import backtest, diagnostics, mapping, ridge, selection
 from indexloom.plans import strategies
 from indexloom.plans.tables import cut
 from indexloom.sources import basis as basis_files
-from indexloom.sources.panel import densify, long_to_wide, market_cells, market_panel, sparse_panel
+from indexloom.sources.panel import densify, long_to_wide, market_cells, sparse_panel
 
 FLAGSHIP = "backtest_summary"
 
@@ -27,6 +28,7 @@ WIDE = ("Brand#1", "Brand#2", "Brand#3")
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_MADE: dict[str, DataFrame] = {}
 
 _PANEL = """cells AS (
   SELECT cast(date_trunc('month', l_shipdate) AS date) AS dt, p_brand AS asset,
@@ -122,7 +124,12 @@ def query(name: str, sql: str | None = None, *, with_tree: bool = False, with_ri
     """Registers a query; ``sql`` follows the common tables it asks for."""
 
     def put(f: Query) -> Query:
-        _QUERIES[name] = f
+        @wraps(f)
+        def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _MADE.clear()
+            return f(spark, sf_dir)
+
+        _QUERIES[name] = fresh
         if sql is not None:
             parts = _PANEL + (_TREE if with_tree else "") + (_RIDGE if with_ridge or with_map else "") + (_MAP if with_map else "")
             head, rest = ("", sql) if plain else (f"WITH RECURSIVE {parts}", sql)
@@ -141,12 +148,19 @@ def rounded(df: DataFrame, digits: int = 8, **other: int) -> DataFrame:
     return df.select(*cols)
 
 
+def _panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The market without gaps; its cells are computed once in a query, from one scan of the lines."""
+    if sf not in _MADE:
+        _MADE[sf] = densify(cut(market_cells(spark, sf)))
+    return _MADE[sf]
+
+
 def _returns(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.returns(market_panel(spark, sf))
+    return stats.returns(_panel(spark, sf))
 
 
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    return backtest.index_weights(market_panel(spark, sf))
+    return backtest.index_weights(_panel(spark, sf))
 
 
 def _basis(spark: SparkSession) -> DataFrame:
@@ -154,19 +168,19 @@ def _basis(spark: SparkSession) -> DataFrame:
 
 
 def _tree(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.mst(stats.price_distance(market_panel(spark, sf)))
+    return tree.mst(stats.price_distance(_panel(spark, sf)))
 
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.walks(_tree(spark, sf))
+    return cut(tree.walks(_tree(spark, sf)))
 
 
 def _last_caps(spark: SparkSession, sf: str) -> DataFrame:
-    return mapping.last_row(market_panel(spark, sf)).select("asset", F.coalesce("cap", F.lit(0.0)).alias("w"))
+    return mapping.last_row(_panel(spark, sf)).select("asset", F.coalesce("cap", F.lit(0.0)).alias("w"))
 
 
 def _near(spark: SparkSession, sf: str, q: int | None = 3) -> DataFrame:
-    return ridge.neighbours(stats.price_distance(market_panel(spark, sf)), _basis(spark), q)
+    return ridge.neighbours(stats.price_distance(_panel(spark, sf)), _basis(spark), q)
 
 
 def _coefs(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +192,7 @@ def _coefs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("panel_dense", "SELECT cast(dt AS varchar) AS dt, asset, round(px, 6) AS px, round(cap, 2) AS cap FROM panel")
 def panel_dense(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(market_panel(spark, sf), px=6, cap=2)
+    return rounded(_panel(spark, sf), px=6, cap=2)
 
 
 @query("returns", "SELECT cast(dt AS varchar) AS dt, asset, round(r, 8) AS r FROM ret")
@@ -215,7 +229,7 @@ def index_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query("uniform_fallback", "SELECT cast(dt AS varchar) AS dt, asset, round(CASE WHEN cap IS NOT NULL THEN CASE WHEN month(dt) = 6 THEN 1.0 / count(cap) OVER (PARTITION BY dt) ELSE cap / sum(cap) OVER (PARTITION BY dt) END END, 8) AS w FROM panel")
 def uniform_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of a market whose caps are 0 every June."""
-    return rounded(backtest.index_weights(market_panel(spark, sf).withColumn("cap", F.when(F.month("dt") == 6, F.col("cap") * 0).otherwise(F.col("cap")))))
+    return rounded(backtest.index_weights(_panel(spark, sf).withColumn("cap", F.when(F.month("dt") == 6, F.col("cap") * 0).otherwise(F.col("cap")))))
 
 
 @query(
@@ -289,7 +303,7 @@ def corr_pca(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("distance", "SELECT u, v, round(dist, 8) AS dist FROM dist")
 def distance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(stats.price_distance(market_panel(spark, sf)))
+    return rounded(stats.price_distance(_panel(spark, sf)))
 
 
 @query(
@@ -298,7 +312,7 @@ def distance(spark: SparkSession, sf: str) -> DataFrame:
 FROM pairs WHERE dt > (SELECT min(dt) FROM (SELECT DISTINCT dt FROM panel WHERE dt <= date '2000-06-01' ORDER BY dt DESC LIMIT 36)) AND dt <= date '2000-06-01' GROUP BY u, v""",
 )
 def distance_windowed(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(stats.price_distance(market_panel(spark, sf), end="2000-06-01", window=36))
+    return rounded(stats.price_distance(_panel(spark, sf), end="2000-06-01", window=36))
 
 
 @query(
@@ -308,7 +322,7 @@ def distance_windowed(spark: SparkSession, sf: str) -> DataFrame:
   FROM pairs WINDOW o AS (PARTITION BY u, v ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
 )
 def distance_expanding(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(stats.expanding_distance(market_panel(spark, sf), 3), 6)
+    return rounded(stats.expanding_distance(_panel(spark, sf), 3), 6)
 
 
 # trees
@@ -385,7 +399,7 @@ def avg_tree_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query("hub_ranking", "SELECT cast(pos AS integer) AS pos, asset, round(score, 8) AS score FROM hub WHERE pos < 5", with_tree=True)
 def hub_ranking(spark: SparkSession, sf: str) -> DataFrame:
     t = _tree(spark, sf)
-    return rounded(selection.hubs(selection.hub_scores(t, tree.walks(t)), 5))
+    return rounded(selection.hubs(selection.hub_scores(t, cut(tree.walks(t))), 5))
 
 
 @query("most_central", "SELECT asset, betweenness FROM btw ORDER BY betweenness DESC, asset LIMIT 1", with_tree=True)
@@ -415,7 +429,7 @@ def selection_steps(spark: SparkSession, sf: str) -> DataFrame:
 @query("nearest_member", _SPREAD + " SELECT src AS asset, arg_min(dst, d) AS member, round(min(d), 8) AS d FROM walk WHERE dst IN (SELECT asset FROM pick) GROUP BY src", with_tree=True)
 def nearest_member(spark: SparkSession, sf: str) -> DataFrame:
     """The representative nearest to each asset."""
-    paths = cut(_paths(spark, sf))
+    paths = _paths(spark, sf)
     return rounded(selection.nearest_member(paths, selection.max_spread(paths, 5, _last_caps(spark, sf), alpha=0.2)))
 
 
@@ -478,7 +492,7 @@ def farthest_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("basis_timeseries")
 def basis_timeseries(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(strategies.basis_over_time(market_panel(spark, sf), 5, 0.2, 0.2))
+    return rounded(strategies.basis_over_time(_panel(spark, sf), 5, 0.2, 0.2))
 
 
 # regressions
@@ -521,7 +535,7 @@ def ridge_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _quarterly(spark: SparkSession, sf: str, q: int) -> DataFrame:
     """Neighbours (dt, asset, basis, rank) by static distances, for a refit every twelve months."""
-    days = market_panel(spark, sf).select("dt").distinct().where("month(dt) = 1 and year(dt) > 1996")
+    days = _panel(spark, sf).select("dt").distinct().where("month(dt) = 1 and year(dt) > 1996")
     return days.crossJoin(_near(spark, sf, q).select("asset", "basis", "rank"))  # dates by pairs
 
 
@@ -566,7 +580,7 @@ _SERIES = f""" also ser AS (
 @query("asof_coefficients", _SERIES + " SELECT cast(known.dt AS varchar) AS dt, asset, basis, round(coef, 7) AS coef FROM known JOIN ser ON ser.dt = as_of", with_map=True)
 def asof_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     coefs = ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001)
-    return rounded(mapping.as_of_coefficients(market_panel(spark, sf).select("dt").distinct(), coefs), 7)
+    return rounded(mapping.as_of_coefficients(_panel(spark, sf).select("dt").distinct(), coefs), 7)
 
 
 @query("map_analytic", "SELECT cast(dt AS varchar) AS dt, basis, round(sum(w * a), 7) AS w FROM weights JOIN a USING (asset) WHERE w IS NOT NULL AND dt = (SELECT min(dt) FROM weights) GROUP BY 1, 2", with_map=True)
@@ -638,7 +652,7 @@ def turnover(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _baseline(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return strategies.baseline_backtest(market_panel(spark, sf), 10)
+    return strategies.baseline_backtest(_panel(spark, sf), 10)
 
 
 @query("running_rmse", "SELECT cast(dt AS varchar) AS dt, round(sqrt(avg(diff * diff) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING)), 8) AS running_rmse FROM act", with_map=True)
@@ -682,7 +696,7 @@ sturn AS (SELECT dt, 0.5 * sum(c) AS turnover FROM (SELECT dt, asset, abs(coales
 )
 def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The mapped basis against the whole index."""
-    panel = market_panel(spark, sf)
+    panel = _panel(spark, sf)
     coefs = cut(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001))
     return rounded(strategies.strategy_backtest(panel, coefs, _basis(spark))["summary"], r2=7, information_ratio=7)
 
@@ -721,17 +735,17 @@ def return_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("index_level", "SELECT cast(dt AS varchar) AS dt, round(cap / first_value(cap) OVER (ORDER BY dt), 8) AS level FROM (SELECT dt, sum(cap) AS cap FROM panel GROUP BY dt)")
 def index_level(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(diagnostics.index_level(market_panel(spark, sf)))
+    return rounded(diagnostics.index_level(_panel(spark, sf)))
 
 
 @query("normalised_prices", "SELECT cast(dt AS varchar) AS dt, asset, round(px / first_value(px IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 8) AS level FROM panel")
 def normalised_prices(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(diagnostics.normalised_prices(market_panel(spark, sf)))
+    return rounded(diagnostics.normalised_prices(_panel(spark, sf)))
 
 
 @query("top_by_final_cap", "SELECT asset, round(cap / 1e6, 8) AS cap_millions FROM panel WHERE dt = (SELECT max(dt) FROM panel) AND cap IS NOT NULL ORDER BY cap DESC, asset LIMIT 10")
 def top_by_final_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(diagnostics.top_by_final_cap(market_panel(spark, sf), 10))
+    return rounded(diagnostics.top_by_final_cap(_panel(spark, sf), 10))
 
 
 @query("top_by_mean_weight", "SELECT asset, round(avg(w), 8) AS mean_w FROM weights GROUP BY asset ORDER BY avg(w) DESC NULLS LAST, asset LIMIT 10")
@@ -741,7 +755,7 @@ def top_by_mean_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("availability", "SELECT asset, count(px) AS n_dates FROM panel GROUP BY asset")
 def availability(spark: SparkSession, sf: str) -> DataFrame:
-    return diagnostics.availability(market_panel(spark, sf))
+    return diagnostics.availability(_panel(spark, sf))
 
 
 @query(
@@ -750,7 +764,7 @@ def availability(spark: SparkSession, sf: str) -> DataFrame:
 SELECT a.asset AS u, b.asset AS v, round(covar_samp(a.r, b.r) / nullif(stddev_samp(a.r) * stddev_samp(b.r), 0), 8) AS rho, count(*) AS n_obs FROM z a JOIN z b ON a.dt = b.dt AND a.asset < b.asset GROUP BY 1, 2""",
 )
 def available_corr(spark: SparkSession, sf: str) -> DataFrame:
-    panel = market_panel(spark, sf)
+    panel = _panel(spark, sf)
     return rounded(diagnostics.available_corr(stats.returns(panel), panel, 8))
 
 
@@ -799,5 +813,3 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
-
-__all__ = ["FLAGSHIP", "densify", "market_cells", "oracle_sql", "queries"]
