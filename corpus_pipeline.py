@@ -7,6 +7,7 @@ and what the mix takes is packed into sequences.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,27 +18,54 @@ from indexloom.llm.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Intermediate tables of the stage before, whose result has been written when the next one begins.
+_BEFORE: list[Scratch] = []
 
+
+def stage(f: Stage) -> Stage:
+    """Removes the tables and lets go of the shuffles of the stage before, then runs ``f``."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        old = [s for s in _BEFORE if s.spark.sparkContext is spark.sparkContext]
+        _BEFORE.clear()
+        for s in old:
+            s.clear()
+        if old:
+            old[0].release()
+        Scratch.opened.clear()
+        out = f(spark, docs, sf_dir)
+        _BEFORE.extend(Scratch.opened)
+        return out
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id."""
     return exact_dedup.keep_first(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents, the one with the smallest id."""
     return ngram_join.keep_one(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix: whole as often as it takes them, and the part that it takes of the last."""
     return mixing.mixed(docs)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document of the mix lies in the sequences."""
     return packing.best_fit(docs, public_tokenizers.path(VOCABULARY), end_id=1)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from indexloom.llm.workers import python_map
+
 WIDTH = 64
 #: Rows of a frame, and hundredths of a second that it is shown.
 ROWS, DELAY = 4096, 4
@@ -274,7 +276,7 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 part = texts[lo : lo + 512]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), pa.array([len(t or b"") for t in part], pa.int64()), pa.array([gif_encode(padded(t)) for t in part], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(python_map, encode, "doc_id long, n_bytes long, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -295,4 +297,4 @@ def features(stored: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [f.split()[0] for f in fields.split(", ")])
 
-    return stored.mapInArrow(decode, fields)
+    return stored.transform(python_map, decode, fields)

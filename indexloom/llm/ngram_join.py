@@ -32,6 +32,7 @@ from indexloom.llm.components import components
 from indexloom.llm.packed import bucket_of, buckets_for, by_bucket, chunks, reduce_buckets
 from indexloom.llm.scratch import Scratch, by_key, columns, number, numbered
 from indexloom.llm.text import mix, shingles
+from indexloom.llm.workers import python_map
 
 #: Words of a shingle; similarity as a fraction.
 K, NUM, DEN = 5, 75, 100
@@ -125,7 +126,7 @@ def frequent(docs: DataFrame, scratch: Scratch, k: int, most: int = FREQUENT, of
         hit = sums >= often
         yield _rows(list(zip(x[start][hit].astype(np.int64).tolist(), np.log2(sums[hit]).astype(int).tolist(), strict=True)), "cell long, class int")
 
-    packed = docs.select("text").mapInArrow(count, "bucket int, cells binary, more binary, place binary")
+    packed = docs.select("text").transform(python_map, count, "bucket int, cells binary, more binary, place binary")
     sums = scratch.cut(reduce_buckets(packed, add, "cell long, class int"), "frequent")
     by_class = {r["class"]: r["n"] for r in sums.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 rows at most
     least, total = 99, 0
@@ -238,7 +239,7 @@ def beginnings(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, sh
         if large.any():
             yield from _sparse(2, {"_uid": u[large], "token": x[large].view(np.int64), "n": n[large].astype(np.int32), "place": place[large]})
 
-    packed = docs.select("_uid", "text").mapInArrow(begin, _SLIM)
+    packed = docs.select("_uid", "text").transform(python_map, begin, _SLIM)
     return scratch.cut(reduce_buckets(packed, meet, _SLIM).drop("bucket", "payload"), "beginnings")
 
 
@@ -291,7 +292,7 @@ def element_sets(nodes: DataFrame, docs: DataFrame, scratch: Scratch, k: int, sh
             keys = [_key(ordered(shingles(t, k), cells, classes)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 8 for x in keys], pa.int64()), pa.array(keys, pa.binary())], ["_uid", "n", "elements"])
 
-    return scratch.cut(docs.join(by_key(nodes), "_uid", "left_semi").select("_uid", "text").mapInArrow(make, "_uid long, n long, elements binary"), "sets", "none")
+    return scratch.cut(docs.join(by_key(nodes), "_uid", "left_semi").select("_uid", "text").transform(python_map, make, "_uid long, n long, elements binary"), "sets", "none")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
@@ -323,7 +324,7 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den:
         if held:
             yield links()
 
-    return scratch.cut(groups.mapInArrow(walk, "a long, b long, overlap long"), "links")
+    return scratch.cut(groups.transform(python_map, walk, "a long, b long, overlap long"), "links")
 
 
 def _needed(n: Column, m: Column, num: int, den: int) -> Column:
@@ -346,12 +347,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns ``documents`` (_uid, doc_id, n_shingles, component_id, first: whether the row stands for its
     component) and ``links`` (a, b, overlap: links between numbers (_uid) of different sets, enough to connect
-    the components; copies are not expanded).  Null or empty texts have no shingles and no links; a null id
+    the components; copies are not expanded).  ``uid`` names a column of a stored table that numbers its rows;
+    without it rows are numbered here.  Null or empty texts have no shingles and no links; a null id
     counts as larger than others; repeated rows are linked as copies.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    base = scratch.cut(docs.select(number(uid).alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "base")
+    base = docs.select(number(uid).alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = base if uid else scratch.cut(base, "base")  # rows with numbers of their own are stored already
     shared = spark.sparkContext.broadcast(frequent(base, scratch, k))  # FREQUENT entries at most
     scratch.release()
     both = beginnings(base, scratch, k, num, den, shared)

@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from indexloom.llm.workers import python_map
+
 #: Bytes of text that the map side handles at a time.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 
 
 def buckets_for(spark: SparkSession) -> int:
@@ -72,4 +74,4 @@ def reduce_buckets(packed: DataFrame, reduce: Callable[[list[dict]], Iterator[pa
             yield from reduce(held)
 
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    return packed.repartition(n, F.col(key)).sortWithinPartitions(key).transform(python_map, run, schema)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from indexloom.llm.scratch import Scratch, spread
 from indexloom.llm.tokens import encoder
+from indexloom.llm.workers import python_map
 
 CAPACITY = 4096
 
@@ -50,7 +51,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], [f.split()[0] for f in fields.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, fields)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(python_map, cut, fields)
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -144,7 +145,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kept = ranked.drop("_rank")
     fields = kept.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, fields)
+    return ranked.transform(python_map, place, fields)
 
 
 def best_fit(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

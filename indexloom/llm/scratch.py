@@ -15,6 +15,7 @@ import math
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Writes intermediate tables and removes those that are no longer needed."""
 
+    #: Those made since a caller emptied the list, for callers that know when results have been written.
+    opened: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
+        Scratch.opened.append(self)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/indexloom-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
@@ -59,8 +64,16 @@ class Scratch:
         for df in frames:
             path = self.paths.pop(id(df), None)
             if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def clear(self) -> None:
+        """Removes all its tables; frames that read them must have been written elsewhere."""
+        self.paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def release(self) -> None:
         """Lets Spark remove the shuffle files of finished phases now: it does once their plans are collected here and in the JVM."""

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from indexloom.llm.packed import bucket_of, buckets_for, by_bucket, chunks, reduce_buckets
 from indexloom.llm.scratch import Scratch, by_key, number
 from indexloom.llm.text import Words, mix
+from indexloom.llm.workers import python_map
 
 #: Words of a window and of an anchor.
 SPAN, SEED = 20, 12
@@ -99,7 +100,7 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEE
             part = pairs[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["_uid", "anchor"])
 
-    packed = docs.select("_uid", "text").mapInArrow(anchors, "bucket int, hashes binary, first binary, known binary")
+    packed = docs.select("_uid", "text").transform(python_map, anchors, "bucket int, hashes binary, first binary, known binary")
     seeds = reduce_buckets(packed, meet, "_uid long, anchor long").groupBy("_uid").agg(F.collect_set("anchor").alias("anchors"))
     there = scratch.cut(docs.join(by_key(seeds), "_uid"), "seeded")
 
@@ -150,7 +151,7 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEE
             part = marks[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["_uid", "mark"])
 
-    spans = there.mapInArrow(windows, "bucket int, hashes binary, place binary, marks binary")
+    spans = there.transform(python_map, windows, "bucket int, hashes binary, place binary, marks binary")
     marks = scratch.cut(reduce_buckets(spans, extend, "_uid long, mark long"), "marks")
     return there, marks
 
@@ -211,8 +212,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]], [f.split()[0] for f in fields.split(", ")])
 
     grouped = marks.groupBy("_uid").agg(F.collect_list("mark").alias("marks"))
-    changed = there.select("_uid", "doc_id", "text").join(grouped, "_uid").mapInArrow(finish, fields)
-    whole = base.mapInArrow(finish, fields)
+    changed = there.select("_uid", "doc_id", "text").join(grouped, "_uid").transform(python_map, finish, fields)
+    whole = base.transform(python_map, finish, fields)
     changed = scratch.cut(changed, "changed")
     return _either(whole, changed)
 

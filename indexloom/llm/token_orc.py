@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from indexloom.llm.tokens import encoder
+from indexloom.llm.workers import python_map
 
 #: Writer options: rows of an index entry, bytes of a stripe, and the filter on document ids.
 OPTIONS = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
@@ -47,7 +48,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, parts: i
                 start += int(ends[-1])
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(encode, SCHEMA).write.options(**OPTIONS).orc(path)
+    ordered.transform(python_map, encode, SCHEMA).write.options(**OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -75,5 +76,5 @@ def digest(stored: DataFrame) -> DataFrame:
             sums = [zlib.crc32(data[base + s : base + e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(at) // 4, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
-    sums = stored.select("doc_id", "part", "start_in_part", "ids").mapInArrow(crc, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    sums = stored.select("doc_id", "part", "start_in_part", "ids").transform(python_map, crc, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
     return sums.join(bases(stored), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")

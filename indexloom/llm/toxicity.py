@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indexloom.llm.scratch import Scratch, columns
+from indexloom.llm.workers import python_map
 
 #: Labelled rows that a model is fitted on at most, by digest of their ids.
 SAMPLE = 20_000
@@ -32,9 +33,9 @@ WINDOW = 8
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.3
 #: Rounds of looking for terms among what is not explained.
-ROUNDS = 5
+ROUNDS = 8
 #: Terms of a lexicon at most; words that a worker keeps.
-TERMS, KEEP = 512, 600_000
+TERMS, KEEP = 512, 150_000
 #: Quotation marks, and words that introduce what others said.
 QUOTES = "\"“”„«»‹›"
 REPORTED = frozenset("said says wrote writes quoted quote quoting called calls termed according slur word sagte schrieb zitiert laut dit écrit selon dijo escribió según".split())
@@ -212,16 +213,18 @@ def _counts(sample: DataFrame, only: frozenset[str] | None = None, least: int =
                 c.update(found if only is None else found & only)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["term", "n"])
 
-    sums = sample.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    sums = sample.select("text").transform(python_map, count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return {r["term"]: r["n"] for r in sums.orderBy(F.desc("n"), "term").limit(64 * TERMS).collect()}
 
 
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[Term]:
-    """Words and beginnings that mark toxic documents.
+    """Words and beginnings that mark toxic documents, the strongest of this round.
 
     Wanted: odds of e**3 at least, and so many toxic documents that chance would put all of
-    them there less than three times in a million.  From a short beginning that serves, the longest
-    continuation with nearly as many documents is taken.
+    them there less than three times in a million.  A term's strength is its toxic documents times its log
+    odds; the strongest is taken, the longest of equals, then the strongest of those that neither begin
+    with it nor it with them, and so on down to a quarter of the first one's strength.  Weaker ones can be
+    side effects of documents that these explain, so they are counted anew in the next round.
     """
     base = max(n_toxic / max(1, n_toxic + n_clean), 0.01)
     least = max(4, math.ceil(math.log(3e-6) / math.log(min(0.5, base))))
@@ -229,24 +232,14 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     def odds(t: str) -> float:
         return math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1))
 
-    good = {t for t in toxic if toxic[t] >= least and odds(t) >= 3.0}
-    below: dict[str, list[str]] = {}
-    for t in good:
-        below.setdefault(t[:-1], []).append(t)
-    chosen: dict[str, int] = {}
-    for t in sorted(good, key=lambda t: (len(t), t)):
-        if any(t[:k] in good for k in range(3, len(t))):
-            continue  # a shorter one serves
-        while True:
-            more = max(below.get(t, []), key=lambda x: (toxic[x], x), default=None)
-            if more is None or toxic[more] < 0.95 * toxic[t]:
-                longer = [x for x in good if x.startswith(t) and x.endswith(" ") and toxic[x] >= 0.95 * toxic[t]]
-                t = longer[0] if longer else t
-                break
-            t = more
-        chosen[t] = toxic[t]
-    best = sorted(chosen, key=lambda t: (-chosen[t], t))[:TERMS]
-    return [Term(t.rstrip(" "), not t.endswith(" "), int(len(t.rstrip(" ")) >= (5 if t.endswith(" ") else 7))) for t in best]
+    strength = {t: round(toxic[t] * odds(t), 6) for t in toxic if toxic[t] >= least and odds(t) >= 3.0}
+    chosen: list[str] = []
+    for t in sorted(strength, key=lambda t: (-strength[t], -len(t), t)):
+        if strength[t] < strength[chosen[0]] / 4 if chosen else False:
+            break
+        if not any(t.startswith(c.rstrip(" ")) or c.startswith(t.rstrip(" ")) for c in chosen):
+            chosen.append(t)
+    return [Term(t.rstrip(" "), not t.endswith(" "), int(len(t.rstrip(" ")) >= (5 if t.endswith(" ") else 7))) for t in chosen[:TERMS]]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> list[float]:
@@ -275,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark)
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y"))
     picked = F.broadcast(rows.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample))  # bounded by ``sample`` rows
-    fold = scratch.cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(picked, "_id").select("text", F.col("_y").alias("y")), "sample")
+    fold = scratch.cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(picked, "_id").select("text", F.col("_y").alias("y"), F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int").alias("half")), "sample")
     n = {r["y"]: r["n"] for r in fold.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -293,7 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rest = left.count()
         if rest < 4:
             break
-    known = _known_variants(fold, terms)
+    # variants are learned on one half of the sample and weighed on the other
+    known = _known_variants(fold.where("half = 0"), terms)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms, known)
@@ -301,8 +295,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             f = np.array([reader.features(t) for t in b.column(0).to_pylist()], float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array(f[:, j]) for j in range(FEATURES)]], ["y", *[f"f{j}" for j in range(FEATURES)]])
 
-    got = fold.select("text", "y").mapInArrow(extract, "y int, " + ", ".join(f"f{j} double" for j in range(FEATURES))).collect()  # ``sample`` rows at most
-    data = np.array(sorted(got), float)
+    got = fold.where("half = 1").select("text", "y").transform(python_map, extract, "y int, " + ", ".join(f"f{j} double" for j in range(FEATURES))).collect()  # ``sample`` rows at most
+    data = np.array(sorted(got), float).reshape(-1, FEATURES + 1)
     scratch.drop(fold)
     return Model(terms, known, fit_logistic(data[:, 1:], data[:, 0]))
 
@@ -315,7 +309,7 @@ def _unexplained(sample: DataFrame, terms: list[Term]) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([not any(reader.hits((t or "").lower().split())) for t in b.column(0).to_pylist()], pa.bool_()))
 
-    return sample.select("text").mapInArrow(keep, "text string")
+    return sample.select("text").transform(python_map, keep, "text string")
 
 
 def _known_variants(fold: DataFrame, terms: list[Term]) -> frozenset[str]:
@@ -331,7 +325,7 @@ def _known_variants(fold: DataFrame, terms: list[Term]) -> frozenset[str]:
         words = list(clean | toxic)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([clean[w] for w in words], pa.int64()), pa.array([toxic[w] for w in words], pa.int64())], ["w", "c", "t"])
 
-    sums = fold.select("text", "y").mapInArrow(near, "w string, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    sums = fold.select("text", "y").transform(python_map, near, "w string, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     return frozenset(r["w"] for r in sums.where("c > 0 and c >= t").orderBy(F.desc("c"), "w").limit(64 * TERMS).collect())
 
 
@@ -351,7 +345,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns[: len(plain)], pa.array(m.score(f))], [*plain, "score"])
 
     source = docs.select(*plain, F.col(text_col).alias("_read"))
-    out = source.mapInArrow(read, docs.select(*plain).schema.add("score", "double"))
+    out = source.transform(python_map, read, docs.select(*plain).schema.add("score", "double"))
     return out.withColumn("held_out", is_held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
