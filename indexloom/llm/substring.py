@@ -103,6 +103,8 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEE
     packed = docs.select("_uid", "text").transform(python_map, anchors, "bucket int, hashes binary, first binary, known binary")
     seeds = reduce_buckets(packed, meet, "_uid long, anchor long").groupBy("_uid").agg(F.collect_set("anchor").alias("anchors"))
     there = scratch.cut(docs.join(by_key(seeds), "_uid"), "seeded")
+    del packed, seeds
+    scratch.release()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
@@ -192,6 +194,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(spark)
     base = scratch.cut(docs.select(number(uid).alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "base")
     there, marks = repeats(base, scratch, span, seed)
+    scratch.release()
     fields = "_uid long, doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
