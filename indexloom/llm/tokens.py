@@ -15,7 +15,7 @@ import os
 import numpy as np
 
 #: Words of one generation of a worker's table; two generations are kept.
-KEEP = 300_000
+KEEP = 500_000
 #: The pipeline for which words are independent of each other.
 PIPELINE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
