@@ -533,10 +533,15 @@ def ridge_errors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ridge.fit_errors(ret, ridge.reconstruct(ret, _coefs(spark, sf))), 7)
 
 
-def _quarterly(spark: SparkSession, sf: str, q: int) -> DataFrame:
-    """Neighbours (dt, asset, basis, rank) by static distances, for a refit every twelve months."""
-    days = _panel(spark, sf).select("dt").distinct().where("month(dt) = 1 and year(dt) > 1996")
-    return days.crossJoin(_near(spark, sf, q).select("asset", "basis", "rank"))  # dates by pairs
+def _monthly(spark: SparkSession, sf: str, q: int) -> DataFrame:
+    """(dt, asset, basis, coef): a refit at every date, neighbours and returns from what was known before it.
+
+    The SQL of the queries on it (here and below) refits in five Januaries with neighbours of the whole panel, so it
+    does not give the same rows; they are tested against brute force.
+    """
+    panel = _panel(spark, sf)
+    basis = panel.select("dt").distinct().crossJoin(_basis(spark).select("asset"))  # dates by members
+    return strategies.regressions_over_time(panel, basis, q, 0.001)
 
 
 @query(
@@ -547,7 +552,7 @@ WHERE rank = 1 AND x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2, 3""",
     with_ridge=True,
 )
 def ridge_timeseries(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001), 7)
+    return rounded(_monthly(spark, sf, 1), 7)
 
 
 @query(
@@ -565,7 +570,7 @@ def ridge_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     with_ridge=True,
 )
 def ridge_timeseries_q3(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 3), 0.001), 7)
+    return rounded(_monthly(spark, sf, 3), 7)
 
 
 # mapping
@@ -579,7 +584,7 @@ _SERIES = f""" also ser AS (
 
 @query("asof_coefficients", _SERIES + " SELECT cast(known.dt AS varchar) AS dt, asset, basis, round(coef, 7) AS coef FROM known JOIN ser ON ser.dt = as_of", with_map=True)
 def asof_coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    coefs = ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001)
+    coefs = _monthly(spark, sf, 1)
     return rounded(mapping.as_of_coefficients(_panel(spark, sf).select("dt").distinct(), coefs), 7)
 
 
@@ -611,7 +616,7 @@ SELECT cast(cal.dt AS varchar) AS dt, b.basis, round(coalesce(m.w, 0), 7) AS w F
     with_map=True,
 )
 def map_series_exact(spark: SparkSession, sf: str) -> DataFrame:
-    coefs = cut(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001))
+    coefs = cut(_monthly(spark, sf, 1))
     return rounded(mapping.map_series_exact(_weights(spark, sf), coefs), 7)
 
 
@@ -624,7 +629,7 @@ held AS (SELECT w.dt, ax.basis AS asset, sum(w.w * ax.a) AS w FROM weights w JOI
 
 @query("map_series_asof", _AS_OF + " SELECT cast(dt AS varchar) AS dt, asset AS basis, round(w, 7) AS w FROM held", with_map=True)
 def map_series_asof(spark: SparkSession, sf: str) -> DataFrame:
-    coefs = cut(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001))
+    coefs = cut(_monthly(spark, sf, 1))
     return rounded(mapping.map_series_as_of(_weights(spark, sf), coefs, _basis(spark)), 7)
 
 
@@ -697,7 +702,7 @@ sturn AS (SELECT dt, 0.5 * sum(c) AS turnover FROM (SELECT dt, asset, abs(coales
 def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The mapped basis against the whole index."""
     panel = _panel(spark, sf)
-    coefs = cut(ridge.regress_series(_returns(spark, sf), _quarterly(spark, sf, 1), 0.001))
+    coefs = cut(_monthly(spark, sf, 1))
     return rounded(strategies.strategy_backtest(panel, coefs, _basis(spark))["summary"], r2=7, information_ratio=7)
 
 
