@@ -5,6 +5,7 @@ A tree is an edge table (u, v, w) with u < v; labels order ties.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Hashable, Iterable
 
 import numpy as np
@@ -167,6 +168,98 @@ def euclidean(points: DataFrame) -> DataFrame:
     return a.join(b, F.col("u") < F.col("v")).select("u", "v", F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy")).alias("dist"))
 
 
+def plane_prim(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, float]]:
+    """(i, j, distance), i < j, of the tree of points whose distances are all computed; ties by (i, j)."""
+    n, at, out = len(x), 0, []
+    every, best, keys, inside = np.arange(len(x)), np.full(len(x), np.inf), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    for _ in range(n - 1):
+        inside[at], best[at] = True, np.inf
+        d, key = np.hypot(x - x[at], y - y[at]), np.minimum(at, every) * n + np.maximum(at, every)
+        better = ~inside & ((d < best) | ((d == best) & (key < keys)))
+        best[better], keys[better] = d[better], key[better]
+        tied = np.flatnonzero(best == best.min())
+        at = int(tied[np.argmin(keys[tied])])
+        out.append((int(keys[at]) // n, int(keys[at]) % n, float(best[at])))
+    return out
+
+
+def near_blocks(boxes: np.ndarray, marks: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of blocks between which an edge of the tree can lie.
+
+    ``boxes``: x from, x to, y from, y to; ``marks``: some of the points.  An edge is longer than both ways
+    to a third point only outside the tree, and so are all edges of two blocks whose gap is longer than any
+    way from either to one mark.
+    """
+    x0, x1, y0, y1 = boxes.T
+    mx, my = marks[:, :1], marks[:, 1:]
+    far = np.hypot(np.maximum(np.abs(mx - x0), np.abs(mx - x1)), np.maximum(np.abs(my - y0), np.abs(my - y1)))
+    out = []
+    for i in range(len(boxes) - 1):
+        gap = np.hypot(np.maximum(0, np.maximum(x0[i + 1 :] - x1[i], x0[i] - x1[i + 1 :])), np.maximum(0, np.maximum(y0[i + 1 :] - y1[i], y0[i] - y1[i + 1 :])))
+        way = np.maximum(far[:, i : i + 1], far[:, i + 1 :]).min(axis=0)
+        out += [(i, i + 1 + int(j)) for j in np.flatnonzero(way >= gap * (1 - 1e-9))]
+    return out
+
+
+def plane_tree(x: np.ndarray, y: np.ndarray, block: int = 1024) -> list[tuple[int, int, float]]:
+    """The same tree from the trees of pairs of near blocks, which hold all its edges."""
+    if len(x) <= 2 * block:
+        return plane_prim(x, y)
+    side = min(24, math.ceil(math.sqrt(len(x) / block)))
+    parts = [part for strip in np.array_split(np.argsort(x, kind="stable"), side) for part in np.array_split(strip[np.argsort(y[strip], kind="stable")], side)]
+    boxes = np.array([(x[p].min(), x[p].max(), y[p].min(), y[p].max()) for p in parts])
+    marks = np.array([(x[k], y[k]) for p in parts for k in (p[x[p].argmin()], p[x[p].argmax()], p[y[p].argmin()], p[y[p].argmax()])])
+    edges = set()
+    for a, b in near_blocks(boxes, marks):
+        own = np.sort(np.concatenate((parts[a], parts[b])))
+        edges |= {(d, int(own[i]), int(own[j])) for i, j, d in plane_tree(x[own], y[own], block)}
+    sets = UnionFind(range(len(x)))
+    return [(i, j, d) for d, i, j in sorted(edges) if sets.union(i, j)]
+
+
+def euclidean_mst(points: DataFrame, rows: int = 1024, block: int = 1024) -> DataFrame:
+    """The minimum spanning tree of all points (id, x, y) of the plane, without all their pairs; ties by labels.
+
+    Points are dealt into blocks of about ``rows`` (576 blocks at most).  The trees of pairs of blocks hold all edges of
+    the whole tree; pairs too far apart for one are left out, and the rest are a task each.  Of points at one place the
+    first takes part, and the others hang on it.  Points without a place come last, as NULL distances do.
+    """
+    spark = points.sparkSession
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    first = cut(points.where(known).groupBy("x", "y").agg(F.min("id").alias("id")))
+    edges = points.where(known).join(first.withColumnRenamed("id", "u"), ["x", "y"]).where("id <> u").select("u", F.col("id").alias("v"), F.lit(0.0).alias("dist"))
+    side = max(1, min(24, math.ceil(math.sqrt(first.count() / rows))))
+    shares = [k / side for k in range(1, side)]
+
+    dealt = first.withColumn("block", F.lit(0))
+    if shares:
+        strip = sum(((F.col("x") > c).cast("int") for c in first.approxQuantile("x", shares, 0.001)), F.lit(0))
+        dealt = cut(first.withColumn("strip", strip))
+        inner = dict(dealt.groupBy("strip").agg(F.percentile_approx("y", shares, 10000)).collect())  # 24 rows at most
+        within = F.coalesce(*[F.when(F.col("strip") == k, sum(((F.col("y") > c).cast("int") for c in cuts), F.lit(0))) for k, cuts in inner.items()])
+        dealt = cut(dealt.select("id", "x", "y", (F.col("strip") * side + within).alias("block")))
+    at = F.struct("x", "y")
+    marks = [f(at, c).alias(f"{n}{c}") for c in "xy" for n, f in (("least", F.min_by), ("most", F.max_by))]
+    blocks = dealt.groupBy("block").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), *marks).orderBy("block").collect()  # 576 rows at most
+    pairs = near_blocks(np.array([r[1:5] for r in blocks]), np.array([tuple(m) for r in blocks for m in r[5:]])) if len(blocks) > 1 else [(0, 0)] * len(blocks)
+    meet = spark.createDataFrame([(k, blocks[b].block) for k, pair in enumerate(pairs) for b in sorted(set(pair))], "pair int, block int")
+
+    def span(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("id")
+        names = df["id"].to_numpy()
+        return pd.DataFrame([(names[i], names[j], d) for i, j, d in plane_tree(df["x"].to_numpy(), df["y"].to_numpy(), block)], columns=["u", "v", "dist"])
+
+    label = dict(points.dtypes)["id"]
+    found = dealt.join(F.broadcast(meet), "block").groupBy("pair").applyInPandas(span, f"u {label}, v {label}, dist double")  # a few blocks for each block
+    edges = edges.unionByName(found.groupBy("u", "v").agg(F.min("dist").alias("dist")))
+    lost = points.where(~known).select("id")
+    if not lost.isEmpty():
+        lost = lost.union(first.agg(F.min("id")).where("`min(id)` is not null"))
+        hub = F.lit(lost.agg(F.min("id")).first()[0])
+        edges = edges.unionByName(lost.where(F.col("id") != hub).select(hub.alias("u"), F.col("id").alias("v"), F.lit(None).cast("double").alias("dist")))
+    return mst(edges, label)
+
+
 def argmax(scores: DataFrame, score: str = "score", order: str = "asset") -> DataFrame:
     """The label with the largest score; the first of equal ones."""
     return scores.orderBy(F.desc_nulls_last(score), order).limit(1)

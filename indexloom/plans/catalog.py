@@ -377,10 +377,10 @@ SELECT u, v, round(w, 8) AS w FROM prim WHERE step > 0""",
     plain=True,
 )
 def euclid_mst(spark: SparkSession, sf: str) -> DataFrame:
-    """The demonstration tree over sixty points of the plane (the size of the picture it is drawn for)."""
-    pt = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 60")
+    """The tree over all points of the plane; the SQL spans the first sixty only."""
+    pt = spark.read.parquet(f"{sf}/embeddings.parquet")
     pts = pt.select(F.format_string("%06d", "vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return rounded(tree.mst(tree.euclidean(pts)))
+    return rounded(tree.euclidean_mst(pts))
 
 
 # scores, selection

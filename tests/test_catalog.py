@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from indexloom.operators import tree
 from indexloom.plans import catalog
 
 BRANDS = [*catalog.BASIS, "Brand#2", "Brand#3", "Brand#30"]
@@ -84,3 +85,12 @@ def test_maps_at_every_date(spark, market):
     known = {r.dt for r in run["asof_coefficients"](spark, sf).collect()}
     assert known == set(MONTHS[3:])
     assert run["strategy_summary"](spark, sf).first().tracking_error > 0
+
+
+def test_tree_spans_all_points(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    xy = rng.standard_normal((130, 2)).astype("float32")
+    spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(xy)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["euclid_mst"](spark, str(tmp_path)).collect()
+    m = np.hypot(*(xy[:, None].astype(float) - xy[None].astype(float)).transpose(2, 0, 1))
+    assert {(r.u, r.v): r.w for r in got} == pytest.approx({(f"{a:06d}", f"{b:06d}"): w for a, b, w in tree.prim(m)}, abs=1e-7)

@@ -175,3 +175,15 @@ def test_stream_agrees_with_the_fold(spark, tmp_path):
     got = {(r.dt, r.pos): r.asset for r in spark.sql("SELECT * FROM carried").collect()}
     batch = selection.basis_series(spark.createDataFrame(rows, schema).selectExpr("to_date(dt) AS dt", "u", "v", "dist"), 2, None, 0.5, 0.2)
     assert got == {(str(r.dt), r.pos): r.asset for r in batch.collect()}
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_trees_of_the_plane(spark, block):
+    """Blocks and pairs of them give the tree of all distances: ties, copies, outliers and missing places."""
+    rng = np.random.default_rng(12)
+    xy = [(float(a), float(b)) for a, b in rng.integers(0, 9, (60, 2))] + [(float(a), float(b)) for a, b in rng.standard_normal((70, 2)) * 3] + [(80.0, -4.0), (-500.0, 3.0), (None, 1.0), (2.0, None)]
+    points = spark.createDataFrame([(f"p{i:03d}", a, b) for i, (a, b) in enumerate(xy)], "id string, x double, y double")
+    want = {(r.u, r.v): r.w for r in tree.mst(tree.euclidean(points)).collect()}
+    got = {(r.u, r.v): r.w for r in tree.euclidean_mst(points, rows=max(8, block), block=block).collect()}
+    assert len(got) == len(xy) - 1 and got.keys() == want.keys()
+    assert all(w is None and got[e] is None or got[e] == pytest.approx(w) for e, w in want.items())
