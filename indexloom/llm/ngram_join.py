@@ -16,6 +16,9 @@ large group each set first meets the group's first set, in tries in which the ca
 linked to each other; these links make components.  Then sets of different components of a group
 meet, and only those whose shared beginnings, counted over all groups, leave the similarity
 possible.  Equal sets (copies) take part once.
+
+All links of a document are counted, where asked for, once components are known: similar sets are in one,
+so its sets probe tries of each other, block by block.
 """
 
 from __future__ import annotations
@@ -327,6 +330,53 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den:
     return scratch.cut(groups.transform(python_map, walk, "a long, b long, overlap long"), "links")
 
 
+def counted(roots: DataFrame, weights: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """(_uid, similar): how many documents of other sets are similar to each set that has links.
+
+    Similar sets are in one component.  The sets of a component are dealt into blocks of about ``TRIE``, and every two
+    blocks are a task: the sets of one probe a trie of the other, and counts leave it, not pairs.  ``weights``: (_uid, m),
+    the documents of a set.
+    """
+    spark = roots.sparkSession
+    members = roots.select(F.col("node").alias("_uid"), "root").unionByName(roots.select(F.col("root").alias("_uid"), "root").distinct())
+    members = members.join(weights, "_uid").join(sets.select("_uid", F.col("n").alias("elems")), "_uid")
+    loads = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TRIE), F.sum("elems") / F.lit(ELEMENTS))).cast("int").alias("parts"))
+    dealt = members.join(loads, "root").withColumn("part", F.pmod(F.xxhash64("_uid"), F.col("parts")).cast("int"))
+    # a set goes to as many tasks as its component has blocks
+    dealt = dealt.select("_uid", "root", "m", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("probe"), "_uid", "m")
+    rows = dealt.join(sets.select("_uid", "elements"), "_uid").select("root", "p", "q", "probe", "_uid", "m", "elements")
+    groups = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "root", "p", "q").sortWithinPartitions("root", "p", "q", "probe", "_uid")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def counts() -> pa.RecordBatch:
+            same = held[0][1] == held[0][2]
+            stored = [i for i, r in enumerate(held) if same or not r[3]]
+            sets = [np.frombuffer(r[6], np.uint8).view(">u8") for r in held]
+            trie, found = Trie([sets[i] for i in stored]), np.zeros(len(held), np.int64)
+            for i, r in enumerate(held):
+                if same or r[3]:
+                    for at, _ in trie.overlaps(sets[i].astype(np.uint64), num, den):
+                        j = stored[at]
+                        if i != j:
+                            found[i] += held[j][5]
+                            found[j] += 0 if same else r[5]
+            return _rows([(r[4], int(f)) for r, f in zip(held, found, strict=True) if f], "_uid long, similar long")
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and r[:3] != held[0][:3]:
+                    yield counts()
+                    held = []
+                held.append(r)
+        if held:
+            yield counts()
+
+    return scratch.cut(groups.transform(python_map, walk, "_uid long, similar long").groupBy("_uid").agg(F.sum("similar").alias("similar")), "counts")
+
+
 def _needed(n: Column, m: Column, num: int, den: int) -> Column:
     """Smallest overlap of sets of n and m elements that makes them similar."""
     return F.floor((num * (n + m) + (num + den - 1)) / F.lit(num + den)).cast("long")
@@ -342,12 +392,13 @@ def _bound(n: str, last: str, m: str, end: str, num: int, den: int) -> tuple[Col
     return must, F.when(F.col(last) <= F.col(end), behind(n)).otherwise(behind(m))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN, uid: str | None = None) -> dict[str, DataFrame]:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN, uid: str | None = None, count_links: bool = False) -> dict[str, DataFrame]:
     """Links every two documents whose shingle sets have at least num/den of their union in common.
 
     Returns ``documents`` (_uid, doc_id, n_shingles, component_id, first: whether the row stands for its
     component) and ``links`` (a, b, overlap: links between numbers (_uid) of different sets, enough to connect
-    the components; copies are not expanded).  ``uid`` names a column of a stored table that numbers its rows;
+    the components; copies are not expanded).  With ``count_links`` documents have ``n_links`` too, the number of all
+    other documents that are similar, copies among them.  ``uid`` names a column of a stored table that numbers its rows;
     without it rows are numbered here.  Null or empty texts have no shingles and no links; a null id
     counts as larger than others; repeated rows are linked as copies.
     """
@@ -405,12 +456,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = first.unionByName(verified(crossing, sets, scratch, num, den))
         roots = components(links.select("a", "b"), scratch)
 
+    if count_links:
+        copies = rep.select("digest", F.col("rep").alias("_uid")).join(slim.where("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("m")), "digest").select("_uid", "m")
+        copies = scratch.cut(copies, "copies")
+        similar = copies.join(counted(roots, copies, sets, scratch, num, den), "_uid", "left").select(F.col("_uid").alias("rep"), (F.col("m") - 1 + F.coalesce("similar", F.lit(0))).alias("n_links"))
+        scratch.release()
     placed = slim.join(rep.select("digest", "rep"), "digest", "left").select("_uid", "n", F.coalesce("rep", "_uid").alias("rep"))
-    placed = placed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_uid", "n", F.coalesce("root", "rep").alias("root"))
+    if count_links:
+        placed = placed.join(similar, "rep", "left")
+    placed = placed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_uid", "n", F.coalesce("root", "rep").alias("root"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
     ids = scratch.cut(placed.join(base.select("_uid", "doc_id"), "_uid"), "components")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("_f"))
     least = scratch.cut(least, "least")  # so that the join has plain exchanges, which are split where a component is large
-    out = ids.join(least, "root").select("_uid", F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("_uid") == F.col("_f._uid")).alias("first"))
+    out = ids.join(least, "root").select("_uid", F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("_uid") == F.col("_f._uid")).alias("first"), *(["n_links"] if count_links else []))
     scratch.drop(sets)
     return {"documents": out, "links": links}
 

@@ -24,7 +24,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_join(documents(spark, sf_dir))["documents"].drop("_uid", "first")
+    return ngram_join.jaccard_join(documents(spark, sf_dir), count_links=True)["documents"].drop("_uid", "first")
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

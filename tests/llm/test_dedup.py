@@ -86,6 +86,16 @@ def test_ngram_groups(many, monkeypatch, small):
     assert cases.key((r.doc_id, r.n_shingles, r.component_id) for r in got) == cases.key(cases.jaccard(pairs(many)))
 
 
+@pytest.mark.parametrize("trie", [256, 4])
+def test_ngram_counts_links(many, monkeypatch, trie):
+    """Every link of a document is counted, in large groups too."""
+    monkeypatch.setattr(ngram_join, "TRIE", trie)
+    sets = [(i, frozenset(shingles(t.encode(), ngram_join.K).tolist())) for i, t in pairs(many)]
+    want = {i: sum(100 * len(s & x) >= 75 * len(s | x) for j, x in sets if j != i and s) for i, s in sets}
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_join(many, count_links=True)["documents"].collect()}
+    assert got == want and max(want.values()) > 30
+
+
 def test_ngram_keeps_one(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
