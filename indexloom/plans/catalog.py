@@ -21,7 +21,7 @@ from indexloom.sources.panel import densify, long_to_wide, market_cells, sparse_
 
 FLAGSHIP = "backtest_summary"
 
-#: The basis of the regression and mapping queries, and those of the wide query.
+#: The basis of the regression and mapping queries, and those in the SQL of the wide query.
 BASIS = ("Brand#1", "Brand#12", "Brand#17", "Brand#21", "Brand#8")
 WIDE = ("Brand#1", "Brand#2", "Brand#3")
 
@@ -202,7 +202,10 @@ def returns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("returns_long_to_wide", "SELECT cast(dt AS varchar) AS dt, " + ", ".join(f"round(max(CASE WHEN asset = '{b}' THEN r END), 8) AS b{i}" for i, b in enumerate(WIDE)) + " FROM ret GROUP BY dt")
 def returns_long_to_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(long_to_wide(_returns(spark, sf), "r", list(WIDE)).toDF("dt", *[f"b{i}" for i in range(len(WIDE))]))
+    """A column for every asset of the panel, by label; the SQL has those of ``WIDE`` only."""
+    ret = _returns(spark, sf)
+    assets = [r.asset for r in ret.select("asset").distinct().orderBy("asset").collect()]  # the columns of the result
+    return rounded(long_to_wide(ret, "r", assets))
 
 
 @query(

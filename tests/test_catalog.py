@@ -87,6 +87,15 @@ def test_maps_at_every_date(spark, market):
     assert run["strategy_summary"](spark, sf).first().tracking_error > 0
 
 
+def test_wide_returns_have_all_assets(spark, market):
+    px, sf = market
+    got = catalog.queries()["returns_long_to_wide"](spark, sf)
+    assert got.columns == ["dt", *sorted(BRANDS)]
+    rows = {r.dt: r for r in got.collect()}
+    want = [None if x != x else pytest.approx(x, abs=1e-7) for x in px[5] / px[4] - 1]
+    assert len(rows) == len(MONTHS) and [rows[MONTHS[5]][b] for b in BRANDS] == want
+
+
 def test_tree_spans_all_points(spark, tmp_path):
     rng = np.random.default_rng(2)
     xy = rng.standard_normal((130, 2)).astype("float32")
