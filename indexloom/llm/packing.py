@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from indexloom.llm.scratch import Scratch, spread
-from indexloom.llm.tokens import encoder
+from indexloom.llm.tokens import encoder, slices
 from indexloom.llm.workers import python_map
 
 CAPACITY = 4096
@@ -38,18 +38,20 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = encoder(vocabulary), TaskContext.get().partitionId() << 40
-        end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    out.append((row, doc, k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
-                    row += 1
-            cols = list(zip(*out, strict=True)) if out else [()] * (6 + with_ids)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], [f.split()[0] for f in fields.split(", ")])
+            for lo, rows in slices(b.column(1)):
+                ids, at = enc.encode_many(b.column(1).slice(lo, rows), end_id)
+                data, size = memoryview(ids.tobytes()), np.diff(at)
+                count = -(-size // capacity)
+                doc = np.repeat(np.arange(rows), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(capacity, size[doc] - start)
+                places = [(4 * s, 4 * e) for s, e in zip((at[doc] + start).tolist(), (at[doc] + start + length).tolist(), strict=True)]
+                cols = [pa.array(row + np.arange(len(doc))), b.column(0).slice(lo, rows).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(data[s:e]) for s, e in places], pa.int64())]
+                cols += [pa.array([bytes(data[s:e]) for s, e in places], pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in fields.split(", ")])
+                row += len(doc)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(python_map, cut, fields)
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from indexloom.llm.tokens import encoder
+from indexloom.llm.tokens import encoder, slices
 from indexloom.llm.workers import python_map
 
 #: Writer options: rows of an index entry, bytes of a stripe, and the filter on document ids.
@@ -36,16 +36,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, parts: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                piece = b.slice(lo, 256)
-                rows = [enc.encode(t) + end for t in piece.column(1).to_pylist()]
-                sizes = np.array([len(r) // 4 for r in rows], np.int64)
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))]))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(rows), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), ids], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
-                start += int(ends[-1])
+            for lo, rows in slices(b.column(1)):
+                ids, at = enc.encode_many(b.column(1).slice(lo, rows), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, rows), pa.array(np.full(rows, part, np.int32)), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+                start += len(ids)
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     ordered.transform(python_map, encode, SCHEMA).write.options(**OPTIONS).orc(path)

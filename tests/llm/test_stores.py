@@ -7,13 +7,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from indexloom.llm import media, mixing, packing, token_orc
-from indexloom.llm.tokens import Encoder
+from indexloom.llm.tokens import Encoder, slices
 from tests.llm import cases
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -40,15 +41,28 @@ def crc(ids):
 # tokens
 
 
-PIECES = [*"abZ'st.,!? \t\n\x0b\x1c\x1f\x85\xa0\u2003\u3000\u200bßÉİΣςſµª²½é\u0301中😀ǅﬁK", "<|endoftext|>", "<|EndOfText|>", "'ll", "don't"]
+PIECES = [*"abZ'st.,!? \t\n\x0b\x1c\x1f\x85\xa0\u2003\u3000\u200bßÉİΣςſµª²½é\u0301中😀ǅﬁK#$%&*()[]{}_^`~", "<|endoftext|>", "<|EndOfText|>", "'ll", "don't", "%" * 9]
+TEXTS = st.lists(st.none() | st.lists(st.sampled_from(PIECES), max_size=20).map("".join), max_size=5)
 
 
-@given(st.lists(st.sampled_from(PIECES), max_size=20).map("".join))
+@given(TEXTS, st.none() | st.just(7))
 @settings(max_examples=400, deadline=None)
-def test_words_encode_as_texts(text):
+def test_words_encode_as_texts(texts, end):
     enc = test_words_encode_as_texts.__dict__.setdefault("enc", Encoder(VOCABULARY))
     assert enc.by_word
-    assert enc.encode(text) == enc.whole(text)
+    ids, at = enc.encode_many(pa.array(texts, pa.string()), end)
+    assert len(at) == len(texts) + 1 and at[-1] == len(ids)
+    tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    for t, lo, hi in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[lo:hi].tobytes() == (enc.whole(t) if t else b"") + tail
+        assert enc.encode(t) + tail == ids[lo:hi].tobytes()
+
+
+@given(st.lists(st.none() | st.integers(0, 9).map("x".__mul__), max_size=12))
+def test_slices_cover_all_rows(texts):
+    got = list(slices(pa.array(texts, pa.string()), 10))
+    assert [lo for lo, _ in got] == [sum(n for _, n in got[:k]) for k in range(len(got))] and sum(n for _, n in got) == len(texts)
+    assert all(n == 1 or sum(len(t or "") for t in texts[lo : lo + n]) <= 10 for lo, n in got)
 
 
 def test_other_vocabularies_encode_whole():
@@ -66,7 +80,7 @@ def test_table_of_words_is_bounded(monkeypatch):
     for i in range(300):
         text = f"word{i} again Word{i - 1}, über{i}."
         assert enc.encode(text) == enc.whole(text)
-    assert len(enc.words) + len(enc.older) < 150
+    assert len(enc.pieces) + len(enc.older) < 150
 
 
 # ORC
