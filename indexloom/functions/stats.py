@@ -5,6 +5,8 @@ Pairs are made by a join on the date with u < v; only dates where both are activ
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,24 +94,70 @@ def windowed(panel: DataFrame, end=None, window: int | None = None) -> DataFrame
     return out.join(last, "dt", "left_semi")
 
 
-def price_distance(panel: DataFrame, method: str = "pearson", shrink: str | None = None, min_periods: int = 1, end=None, window: int | None = None) -> DataFrame:  # noqa: ANN001
-    """Prices to distances.  ``shrink``: None, "lw" or "pca"."""
+def _check(method: str, shrink: str | None) -> None:
     if shrink not in (None, "lw", "pca") or method not in ("pearson", "spearman"):
         raise ValueError("method is pearson or spearman, shrink is None, lw or pca")
+
+
+def price_distance(panel: DataFrame, method: str = "pearson", shrink: str | None = None, min_periods: int = 1, end=None, window: int | None = None, n_components: int | None = None, explained: float | None = None) -> DataFrame:  # noqa: ANN001
+    """Prices to distances.  ``shrink``: None, "lw" or "pca"; the last two settings are those of "pca"."""
+    _check(method, shrink)
     ret = returns(windowed(panel, end, window))
     if shrink == "lw":
         return distance(ledoit_wolf(ret))
+    corr = (pearson if method == "pearson" else spearman)(ret, min_periods)
     if shrink == "pca":
-        return distance(pca_denoised(ret, min_periods=min_periods))
-    return distance((pearson if method == "pearson" else spearman)(ret, min_periods))
+        return distance(pca_denoised(corr.withColumn("_g", F.lit(0)), n_components, explained, by="_g").drop("_g"))
+    return distance(corr)
 
 
-def expanding_distance(panel: DataFrame, min_periods: int = 1) -> DataFrame:
-    """dt, u, v, dist, n_obs from the returns strictly before each date: one pass of window frames per pair."""
+def expanding_pearson(panel: DataFrame, min_periods: int = 1) -> DataFrame:
+    """dt, u, v, rho, n_obs from the returns strictly before each date: one pass of window frames per pair."""
     w = Window.partitionBy("u", "v").orderBy("dt").rowsBetween(Window.unboundedPreceding, -1)
     got = pairs(returns(panel)).select("dt", "u", "v", _rho(w).alias("rho"), F.count("x").over(w).alias("n_obs"))
-    rho = F.when(F.col("n_obs") >= min_periods, clip(F.col("rho"), -1.0, 1.0))
-    return got.select("dt", "u", "v", F.sqrt(2 * (1 - rho)).alias("dist"), "n_obs")
+    return got.select("dt", "u", "v", F.when(F.col("n_obs") >= min_periods, clip(F.col("rho"), -1.0, 1.0)).alias("rho"), "n_obs")
+
+
+def expanding_matrices(panel: DataFrame, correlate: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """dt, u, v, rho of ``correlate(returns strictly before dt)``, for what has no running form.
+
+    A date's row of returns goes to every later date, and each date is one Python call; the first date has none.
+    """
+    day = returns(panel).groupBy("dt").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("row"))
+    at = day.withColumn("i", F.row_number().over(Window.orderBy("dt")))  # a calendar: one row a date
+    dates = at.select(F.col("i").alias("k"), F.col("dt").alias("t"))
+    n = dates.agg(F.max("k").alias("n"))
+    past = at.join(F.broadcast(n), F.col("i") < F.col("n")).withColumn("k", F.explode(F.sequence(F.col("i") + 1, F.col("n")))).join(dates, "k").select("t", "dt", "row")
+
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("dt")
+        names = [x["asset"] for x in df["row"].iloc[0]]
+        m = correlate(pd.DataFrame([[x["r"] for x in row] for row in df["row"]], columns=names, dtype=float))
+        i, j = np.triu_indices(len(names), 1)
+        return pd.DataFrame({"dt": df["t"].iloc[0], "u": np.array(names, object)[i], "v": np.array(names, object)[j], "rho": m[i, j]})
+
+    return past.groupBy("t").applyInPandas(one, f"dt {dict(panel.dtypes)['dt']}, u string, v string, rho double")
+
+
+def expanding_distance(panel: DataFrame, min_periods: int = 1, method: str = "pearson", shrink: str | None = None, n_components: int | None = None, explained: float | None = None) -> DataFrame:
+    """dt, u, v, dist (and n_obs for the plain Pearson form) from the returns strictly before each date.
+
+    ``method`` and ``shrink`` as in ``price_distance``.  Shrunk forms leave the first date out, which has no past.
+    """
+    _check(method, shrink)
+    if shrink == "lw":
+        corr = expanding_matrices(panel, lw_matrix)
+    elif method == "spearman":
+        corr = expanding_matrices(panel, lambda x: x.corr("spearman", min_periods=max(2, min_periods)).to_numpy())
+        corr = corr.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+    else:
+        corr = expanding_pearson(panel, min_periods)
+        if shrink is None:
+            return corr.select("dt", "u", "v", F.sqrt(2 * (1 - F.col("rho"))).alias("dist"), "n_obs")
+        corr = corr.join(F.broadcast(panel.agg(F.min("dt").alias("first"))), F.col("dt") > F.col("first")).select("dt", "u", "v", "rho")
+    if shrink == "pca":
+        corr = pca_denoised(corr, n_components, explained, by="dt")
+    return corr.select("dt", "u", "v", F.sqrt(2 * (1 - clip(F.col("rho"), -1.0, 1.0))).alias("dist"))
 
 
 def filled(ret: DataFrame) -> DataFrame:
@@ -140,6 +188,22 @@ def ledoit_wolf(ret: DataFrame) -> DataFrame:
     return cov_to_corr(cov).where("u < v")
 
 
+def lw_matrix(ret: pd.DataFrame) -> np.ndarray:
+    """The correlations of ``ledoit_wolf`` for one table of returns (dates by assets, NaN where missing)."""
+    x = ret.fillna(ret.median()).fillna(0.0).to_numpy(float)
+    x = x - x.mean(axis=0)
+    n, p = x.shape
+    s = x.T @ x / n
+    mu, d2 = np.trace(s) / p, float((s * s).sum())
+    beta = (float(((x * x).sum(axis=1) ** 2).sum()) / n - d2) / (p * n)
+    delta = (d2 - 2 * mu * np.trace(s) + p * mu * mu) / p
+    k = 0.0 if p == 1 or beta == 0 or delta == 0 else min(beta, delta) / delta
+    cov = (1 - k) * s + k * mu * np.eye(p)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    inv = np.divide(1.0, sd, out=np.zeros(p), where=sd > 0)
+    return np.clip(cov * inv[:, None] * inv[None, :], -1.0, 1.0)
+
+
 def denoise(c: np.ndarray, n_components: int | None = None, explained: float | None = None) -> np.ndarray:
     """A correlation matrix rebuilt from the principal components of its rows."""
     c = np.nan_to_num(c, nan=0.0)

@@ -13,8 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from indexloom.functions.stats import symmetric
-
 
 def members_with_returns(basis: DataFrame, ret: DataFrame) -> DataFrame:
     """Members of the basis that have returns; at least one must."""
@@ -24,17 +22,20 @@ def members_with_returns(basis: DataFrame, ret: DataFrame) -> DataFrame:
     return out
 
 
-def neighbours(dist: DataFrame, basis: DataFrame, q: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def neighbours(dist: DataFrame, basis: DataFrame, q: int | None = None, by: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """(asset, basis, rank, dist): the q nearest members of each asset outside the basis, ties by label.
 
-    ``dist``: (u, v, dist), one direction.  ``by``: columns that both carry, such as the date.
+    ``dist``: (u, v, dist), one direction.  ``by``: columns that both carry, such as the date.  With ``digits``
+    distances that are equal when rounded are ties: from two returns all correlations are 1 or -1 but for the
+    rounding of sums.
     """
     keys = list(by)
+    near_first = F.col("dist") if digits is None else F.round("dist", digits)
     both = dist.select(*keys, "u", "v", "dist").unionByName(dist.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"), "dist"))
     members = basis.select(*keys, F.col("asset").alias("basis"))
     near = both.where("dist is not null").select(*keys, F.col("u").alias("asset"), F.col("v").alias("basis"), "dist").join(members, [*keys, "basis"])
     near = near.join(basis.select(*keys, "asset"), [*keys, "asset"], "left_anti")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "asset").orderBy("dist", "basis")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "asset").orderBy(near_first, "basis")))
     return (ranked if q is None else ranked.where(F.col("rank") <= q)).select(*keys, "asset", "basis", "rank", "dist")
 
 
@@ -102,13 +103,42 @@ def fit_errors(ret: DataFrame, recon: DataFrame) -> DataFrame:
 
 def regress_series(ret: DataFrame, near: DataFrame, alpha: float = 0.0) -> DataFrame:
     """(dt, asset, basis, coef): for every date its own neighbours (dt, asset, basis, rank), fitted on the returns
-    strictly before.  Dates without a complete row before them have none."""
-    x = near.select(F.col("dt").alias("t"), "asset", "basis", "rank").join(ret.select(F.col("asset").alias("basis"), "dt", F.col("r").alias("x")), "basis").where("dt < t")
-    rows = x.groupBy("t", "asset", "dt").agg(F.count("x").alias("got"), F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "x"))), lambda e: e["x"]).alias("x"))
-    rows = rows.join(ret.select("asset", "dt", F.col("r").alias("y")), ["asset", "dt"])
-    beta = solve(gram(rows, ["t", "asset"]), ["t", "asset"], alpha)
-    return near.select(F.col("dt").alias("t"), "asset", "basis", "rank").join(beta, ["t", "asset", "rank"]).select(F.col("t").alias("dt"), "asset", "basis", "coef")
+    strictly before.  Dates without a complete row before them have none.
+
+    An asset keeps its neighbours over many dates, so sums of products run once for every set of neighbours that
+    an asset ever has, and each date takes the sums that stood before it.
+    """
+    names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "basis"))), lambda e: e["basis"])
+    used = near.groupBy("dt", "asset").agg(names.alias("nbrs"))
+    sets = used.select("asset", "nbrs").distinct()
+    x = sets.select("asset", "nbrs", F.posexplode("nbrs").alias("i", "basis")).join(ret.select(F.col("asset").alias("basis"), "dt", F.col("r").alias("x")), "basis")
+    row = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])
+    rows = x.groupBy("asset", "nbrs", "dt").agg(F.count("x").alias("got"), row.alias("x")).join(ret.select("asset", "dt", F.col("r").alias("y")), ["asset", "dt"], "left")
+    full = F.col("y").isNotNull() & (F.col("got") == F.size("nbrs"))
+    rows = rows.select("asset", "nbrs", "dt", F.when(full, F.col("x")).alias("x"), F.when(full, F.col("y")).alias("y"), F.lit(False).alias("asked"))
+    # a date asked for takes part by a row of its own, which has no returns and comes before the date's
+    rows = rows.unionByName(used.select("asset", "nbrs", "dt", F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("asked")))
+    cells = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("nbrs") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.size("nbrs") - 1)))
+    w = Window.partitionBy("asset", "nbrs", "i", "j").orderBy("dt", F.desc("asked")).rowsBetween(Window.unboundedPreceding, -1)
+    xi, xj = F.get("x", F.col("i")), F.get("x", F.col("j"))
+    sums = cells.select("asset", "nbrs", "dt", "asked", "i", "j", F.sum(xi * xj).over(w).alias("xx"), F.sum(xi * F.col("y")).over(w).alias("xy"), F.count("y").over(w).alias("n_rows"))
+    sums = sums.where("asked and n_rows > 0")
+    by_place = F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "xx"))), lambda e: e["xx"])
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("j") == 0, F.struct("i", "xy")))), lambda e: e["xy"])
+    grams = sums.groupBy("dt", "asset", "nbrs").agg(by_place.alias("xx"), first.alias("xy")).select("dt", "asset", F.size("nbrs").alias("n"), "xx", "xy")
+    beta = solve(grams, ["dt", "asset"], alpha)
+    return near.select("dt", "asset", "basis", "rank").join(beta, ["dt", "asset", "rank"]).select("dt", "asset", "basis", "coef")
+
+
+def series_errors(ret: DataFrame, coefs: DataFrame) -> DataFrame:
+    """(dt, asset, rmse, n_obs, rmse_valid) of coefficients by date, each over the returns strictly before its date."""
+    x = coefs.select(F.col("dt").alias("t"), "asset", "basis", "coef").join(ret.select(F.col("asset").alias("basis"), "dt", F.col("r").alias("x")), "basis").where("dt < t")
+    got = x.groupBy("t", "asset", "dt").agg(F.count("x").alias("got"), F.count(F.lit(1)).alias("n"), F.sum(F.col("coef") * F.col("x")).alias("recon")).where("got = n")
+    both = got.join(ret.select("dt", "asset", "r"), ["dt", "asset"], "left").withColumn("e2", (F.col("r") - F.col("recon")) * (F.col("r") - F.col("recon")))
+    rmse = F.sqrt(F.avg("e2"))
+    return both.groupBy(F.col("t").alias("dt"), "asset").agg(F.when(F.count("e2") == F.count("recon"), rmse).alias("rmse"), F.count("recon").alias("n_obs"), rmse.alias("rmse_valid"))
 
 
-def distances_both_ways(dist: DataFrame) -> DataFrame:
-    return symmetric(dist, "dist")
+def worst_first(errors: DataFrame) -> DataFrame:
+    """Errors from the largest down, unknown ones last, ties by label."""
+    return errors.orderBy(F.desc_nulls_last("rmse"), "asset")

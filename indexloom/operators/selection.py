@@ -63,26 +63,34 @@ def spread_order(d: np.ndarray, weight: np.ndarray, k: int, alpha: float = 0.5,
     return out
 
 
-def tree_distances(m: np.ndarray) -> np.ndarray:
-    """Distances along the minimum spanning tree of a dense matrix."""
-    n = len(m)
+def edge_distances(edges: Sequence[tuple[int, int, float]], n: int) -> np.ndarray:
+    """Distances along a tree of n nodes, from its edges."""
     d = np.full((n, n), np.inf)
     np.fill_diagonal(d, 0.0)
-    near: dict[int, list[tuple[int, float]]] = {i: [] for i in range(n)}
-    for a, b, w in prim(m):
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for a, b, w in edges:
         near[a].append((b, w))
         near[b].append((a, w))
-    for s in range(n):
-        todo = [s]
+    # from the first node outwards: a new node is as far from all seen ones as its neighbour, and the edge
+    for root in range(n):
+        if not np.isinf(d[root, :root]).all():
+            continue
+        seen, todo = [root], [root]
         while todo:
             u = todo.pop()
             for v, w in near[u]:
-                if d[s, v] == np.inf:
-                    d[s, v] = d[s, u] + w
+                if np.isinf(d[u, v]):
+                    d[v, seen] = d[seen, v] = d[u, seen] + w
+                    seen.append(v)
                     todo.append(v)
     return d
 
 
+def tree_distances(m: np.ndarray) -> np.ndarray:
+    """Distances along the minimum spanning tree of a dense matrix."""
+    return edge_distances(prim(m), len(m))
+
+
 def max_spread(paths: DataFrame, k: int, weights: DataFrame | None = None, alpha: float = 0.5, stickiness: float = 0.0, before: Sequence[str] = ()) -> DataFrame:
     """(pos, asset, score) chosen by spread over tree distances (src, dst, d); weights: (asset, w).
 
@@ -179,21 +187,77 @@ def farthest_fill(paths: DataFrame, chosen: Sequence[str], k: int) -> DataFrame:
     return paths.select("src", "dst", "d").groupBy(F.lit(0).alias("_g")).applyInPandas(lambda df: fill(df.drop(columns="_g", errors="ignore")), "pos int, asset string, near double")
 
 
-def basis_series(dist: DataFrame, k: int, caps: DataFrame | None = None, alpha: float = 0.5, stickiness: float = 0.0) -> DataFrame:
+def branch_order(edges: Sequence[tuple[int, int, float]], n: int, weight: np.ndarray, k: int, h: int | None = None, alpha: float = 0.5, gamma: float = 0.0, rep_alpha: float = 0.5, stickiness: float = 0.0, before: Sequence[int] = ()) -> list[int]:
+    """The positions that ``hub_branch`` chooses in one tree of n nodes, in order; ties by position."""
+    if k <= 0 or k >= n:
+        return list(range(n)) if k > 0 else []
+    d = edge_distances(edges, n)
+    near: list[list[int]] = [[] for _ in range(n)]
+    for a, b, _ in edges:
+        near[a].append(b)
+        near[b].append(a)
+    # nodes from the first one outwards, and the sizes of the subtrees behind them
+    parent, order = [-1] * n, [0]
+    for u in order:
+        for v in near[u]:
+            if v != parent[u]:
+                parent[v] = u
+                order.append(v)
+    size = np.ones(n, np.int64)
+    for u in reversed(order[1:]):
+        size[parent[u]] += size[u]
+    between = np.array([((n - 1) ** 2 - sum(int(size[v]) ** 2 if parent[v] == u else (n - int(size[u])) ** 2 for v in near[u])) // 2 for u in range(n)], float)
+    score = (1 - gamma) * _unit(alpha * np.array([len(x) for x in near], float) + (1 - alpha) * between) + gamma * weight
+    early, sticky = np.zeros(n), np.zeros(n)
+    if stickiness and len(before):
+        early[list(before)[:k]], sticky[list(before)] = stickiness * score.max(), stickiness
+    hubs = np.lexsort((np.arange(n), -(score + early)))[: min(default_hubs(k) if h is None else h, k)].tolist()
+    comp = np.full(n, -1)
+    comp[hubs] = n
+    for s in range(n):
+        if comp[s] < 0:
+            comp[s], todo = s, [s]
+            while todo:
+                for v in near[todo.pop()]:
+                    if comp[v] < 0:
+                        comp[v] = s
+                        todo.append(v)
+    value = rep_alpha * d[hubs].min(axis=0) + (1 - rep_alpha) * weight + sticky
+    best: dict[int, int] = {}
+    for u in np.lexsort((np.arange(n), -value)).tolist():
+        if comp[u] < n:
+            best.setdefault(int(comp[u]), u)
+    out = hubs + sorted(best.values(), key=lambda u: (-value[u], u))[: k - len(hubs)]
+    left = d[out].min(axis=0)
+    while len(out) < k:
+        left[out] = -np.inf
+        out.append(int(np.argmax(left)))
+        left = np.minimum(left, d[out[-1]])
+    return out
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    low, high = v.min(), v.max()
+    return (v - low) / ((high - low) if high > low else 1.0)
+
+
+def basis_series(dist: DataFrame, k: int, caps: DataFrame | None = None, alpha: float = 0.5, stickiness: float = 0.0, method: str = "max_spread", **hub_branch) -> DataFrame:
     """(dt, pos, asset): a basis for every date from the distances strictly before it (dt, u, v, dist).
 
-    Trees and their distances are made per date in parallel; with stickiness the choice is a
-    fold over the dates, else it is made beside them.  Dates without distances have no basis.
-    ``caps``: (dt, asset, w), the weights of the last date before.
+    Trees are made per date in parallel; with stickiness the choice is a fold over the dates' edges, else it
+    is made beside them.  Dates without distances have no basis.  ``caps``: (dt, asset, w), the weights of the
+    last date before; without them, or on a date that has none, all weigh the same.
     """
+    if method not in ("max_spread", "hub_branch"):
+        raise ValueError("method is max_spread or hub_branch")
     rows = dist.where("dist is not null").select("dt", "u", "v", "dist")
 
     def tree(df: pd.DataFrame) -> pd.DataFrame:
         names, m = square(df, "u", "v", "dist")
-        d = tree_distances(m)
-        return pd.DataFrame({"dt": [df["dt"].iloc[0]], "names": [names], "d": [d.ravel().tolist()]})
+        a, b, w = zip(*prim(m), strict=True)
+        return pd.DataFrame({"dt": [df["dt"].iloc[0]], "names": [names], "a": [list(a)], "b": [list(b)], "d": [list(w)]})
 
-    trees = rows.groupBy("dt").applyInPandas(tree, "dt date, names array<string>, d array<double>")
+    trees = rows.groupBy("dt").applyInPandas(tree, f"dt {dict(dist.dtypes)['dt']}, names array<string>, a array<int>, b array<int>, d array<double>")
     if caps is not None:
         maps = caps.groupBy("dt").agg(F.map_from_entries(F.collect_list(F.struct("asset", F.coalesce("w", F.lit(0.0)).alias("w")))).alias("w"))
         trees = trees.join(maps, "dt", "left")
@@ -204,16 +268,20 @@ def basis_series(dist: DataFrame, k: int, caps: DataFrame | None = None, alpha:
         out, prev = [], []
         for r in df.sort_values("dt").itertuples():
             names = list(r.names)
-            d = np.array(r.d).reshape(len(names), -1)
+            edges = list(zip(map(int, r.a), map(int, r.b), map(float, r.d), strict=True))
             got = dict(r.w) if r.w is not None else None
             w = scaled({x: got.get(x, 0.0) for x in names} if got else None, names)
-            picks = spread_order(d, w, k, alpha, stickiness, [names.index(x) for x in prev if x in names])
-            prev = [names[i] for i, _ in picks] if stickiness else []
-            out += [(r.dt, p, names[i]) for p, (i, _) in enumerate(picks)]
+            known = [names.index(x) for x in prev if x in names]
+            if method == "max_spread":
+                picks = [i for i, _ in spread_order(edge_distances(edges, len(names)), w, k, alpha, stickiness, known)]
+            else:
+                picks = branch_order(edges, len(names), w, k, alpha=alpha, stickiness=stickiness, before=known, **hub_branch)
+            prev = [names[i] for i in picks] if stickiness else []
+            out += [(r.dt, p, names[i]) for p, i in enumerate(picks)]
         return pd.DataFrame(out, columns=["dt", "pos", "asset"], dtype=None if out else object)
 
     group = F.lit(0) if stickiness else F.col("dt")
-    return trees.withColumn("_g", group.cast("string")).groupBy("_g").applyInPandas(lambda df: fold(df), "dt date, pos int, asset string")
+    return trees.withColumn("_g", group.cast("string")).groupBy("_g").applyInPandas(lambda df: fold(df), f"dt {dict(dist.dtypes)['dt']}, pos int, asset string")
 
 
 def mean_tree_distance(paths: DataFrame) -> DataFrame:

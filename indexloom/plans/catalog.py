@@ -21,9 +21,9 @@ from indexloom.sources.panel import densify, long_to_wide, market_cells, sparse_
 
 FLAGSHIP = "backtest_summary"
 
-#: The basis of the regression and mapping queries, and those in the SQL of the wide query.
+#: The basis of the regression and mapping queries, and all brands that the market has.
 BASIS = ("Brand#1", "Brand#12", "Brand#17", "Brand#21", "Brand#8")
-WIDE = ("Brand#1", "Brand#2", "Brand#3")
+BRANDS = tuple(f"Brand#{i}" for i in range(1, 26))
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -200,9 +200,9 @@ def returns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_returns(spark, sf))
 
 
-@query("returns_long_to_wide", "SELECT cast(dt AS varchar) AS dt, " + ", ".join(f"round(max(CASE WHEN asset = '{b}' THEN r END), 8) AS b{i}" for i, b in enumerate(WIDE)) + " FROM ret GROUP BY dt")
+@query("returns_long_to_wide", "SELECT cast(dt AS varchar) AS dt, " + ", ".join(f"round(max(CASE WHEN asset = '{b}' THEN r END), 8) AS \"{b}\"" for b in BRANDS) + " FROM ret GROUP BY dt")
 def returns_long_to_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """A column for every asset of the panel, by label; the SQL has those of ``WIDE`` only."""
+    """A column for every asset of the panel, by label."""
     ret = _returns(spark, sf)
     assets = [r.asset for r in ret.select("asset").distinct().orderBy("asset").collect()]  # the columns of the result
     return rounded(long_to_wide(ret, "r", assets))
@@ -237,16 +237,17 @@ def uniform_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "max_weight_cap",
-    """SELECT cast(dt AS varchar) AS dt, asset, round(CASE WHEN w IS NULL THEN NULL WHEN m < m0 THEN 0.045 ELSE w * s0 END, 8) AS w FROM (
+    """SELECT cast(dt AS varchar) AS dt, asset, round(CASE WHEN w IS NULL THEN NULL WHEN n * 0.045 < 1 - 1e-12 THEN 1.0 / n WHEN m < m0 OR m0 IS NULL THEN 0.045 ELSE w * s0 END, 8) AS w FROM (
   SELECT *, min(CASE WHEN fits THEN m END) OVER (PARTITION BY dt) AS m0, max(CASE WHEN fits THEN s END) FILTER (fits AND m = m1) OVER (PARTITION BY dt) AS s0 FROM (
     SELECT *, min(CASE WHEN fits THEN m END) OVER (PARTITION BY dt) AS m1 FROM (
       SELECT *, w * s <= 0.045 + 1e-15 AS fits FROM (
-        SELECT dt, asset, w, m, (1 - m * 0.045) / nullif(total - coalesce(before, 0), 0) AS s FROM (
-          SELECT dt, asset, w, row_number() OVER o - 1 AS m, sum(w) OVER (PARTITION BY dt) AS total, sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+        SELECT dt, asset, w, m, n, (1 - m * 0.045) / nullif(total - coalesce(before, 0), 0) AS s FROM (
+          SELECT dt, asset, w, count(w) OVER (PARTITION BY dt) AS n, row_number() OVER o - 1 AS m, sum(w) OVER (PARTITION BY dt) AS total, sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
           FROM weights WINDOW o AS (PARTITION BY dt ORDER BY w DESC NULLS LAST, asset))))))""",
 )
 def max_weight_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(backtest.cap_weights(_weights(spark, sf), 0.045))
+    """At most 4.5 % a name; dates with too few names for that get equal weights."""
+    return rounded(backtest.cap_weights(_weights(spark, sf), 0.045, infeasible="equal"))
 
 
 # correlations, distances
@@ -371,16 +372,23 @@ def tree_path_length(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "euclid_mst",
-    """WITH RECURSIVE pt AS (SELECT printf('%06d', vec_id) AS id, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings WHERE vec_id < 60),
-e AS (SELECT a.id AS u, b.id AS v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM pt a JOIN pt b ON a.id < b.id),
-prim AS (SELECT 0 AS step, [(SELECT min(id) FROM pt)] AS s, NULL::varchar AS u, NULL::varchar AS v, NULL::double AS w
-  UNION ALL SELECT * FROM (SELECT step + 1, list_append(s, CASE WHEN list_contains(s, e.u) THEN e.v ELSE e.u END), e.u, e.v, e.dist
-    FROM prim JOIN e ON list_contains(s, e.u) <> list_contains(s, e.v) ORDER BY e.dist, e.u, e.v LIMIT 1))
-SELECT u, v, round(w, 8) AS w FROM prim WHERE step > 0""",
+    """WITH RECURSIVE pt AS (SELECT printf('%06d', vec_id) AS id, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings
+), prim AS (
+  SELECT 0 AS step, id, x, y, id = (SELECT min(id) FROM pt) AS held, CASE WHEN id <> (SELECT min(id) FROM pt) THEN sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)) END AS best, (SELECT min(id) FROM pt) AS hook
+  FROM pt CROSS JOIN (SELECT x AS x0, y AS y0 FROM pt WHERE id = (SELECT min(id) FROM pt))
+  UNION ALL
+  SELECT step + 1, id, x, y, held OR id = chosen,
+         CASE WHEN held OR id = chosen THEN NULL WHEN d < best OR (d = best AND (least(id, chosen), greatest(id, chosen)) < (least(id, hook), greatest(id, hook))) THEN d ELSE best END,
+         CASE WHEN NOT held AND id <> chosen AND (d < best OR (d = best AND (least(id, chosen), greatest(id, chosen)) < (least(id, hook), greatest(id, hook)))) THEN chosen ELSE hook END
+  FROM (SELECT *, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d
+        FROM (SELECT *, first_value(id) OVER o AS chosen, first_value(x) OVER o AS cx, first_value(y) OVER o AS cy, first_value(held) OVER o AS finished
+              FROM prim WINDOW o AS (ORDER BY held, best, least(id, hook), greatest(id, hook) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE NOT finished)
+), done AS (SELECT id, hook, best, lead(held) OVER (PARTITION BY id ORDER BY step) AS next_held, held FROM prim)
+SELECT least(id, hook) AS u, greatest(id, hook) AS v, round(best, 8) AS w FROM done WHERE NOT held AND next_held""",
     plain=True,
 )
 def euclid_mst(spark: SparkSession, sf: str) -> DataFrame:
-    """The tree over all points of the plane; the SQL spans the first sixty only."""
+    """The tree over all points of the plane."""
     pt = spark.read.parquet(f"{sf}/embeddings.parquet")
     pts = pt.select(F.format_string("%06d", "vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return rounded(tree.euclidean_mst(pts))
@@ -498,6 +506,18 @@ def basis_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(strategies.basis_over_time(_panel(spark, sf), 5, 0.2, 0.2))
 
 
+@query("basis_hub_branch_timeseries")
+def basis_hub_branch_timeseries(spark: SparkSession, sf: str) -> DataFrame:
+    """Hubs and branches at every date, with a bonus for members of the basis before."""
+    return rounded(strategies.basis_over_time(_panel(spark, sf), 6, stickiness=0.1, method="hub_branch"))
+
+
+@query("distance_denoised")
+def distance_denoised(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances from denoised correlations of what was before each date, as the published strategy uses them."""
+    return rounded(stats.expanding_distance(_panel(spark, sf), shrink="pca"), 6)
+
+
 # regressions
 
 
@@ -537,52 +557,48 @@ def ridge_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _monthly(spark: SparkSession, sf: str, q: int) -> DataFrame:
-    """(dt, asset, basis, coef): a refit at every date, neighbours and returns from what was known before it.
-
-    The SQL of the queries on it (here and below) refits in five Januaries with neighbours of the whole panel, so it
-    does not give the same rows; they are tested against brute force.
-    """
+    """(dt, asset, basis, coef): a refit at every date, neighbours and returns from what was known before it."""
     panel = _panel(spark, sf)
     basis = panel.select("dt").distinct().crossJoin(_basis(spark).select("asset"))  # dates by members
     return strategies.regressions_over_time(panel, basis, q, 0.001)
 
 
-@query(
-    "ridge_timeseries",
-    """SELECT cast(t.dt AS varchar) AS dt, n.asset, n.basis, round(sum(x.r * y.r) / (sum(x.r * x.r) + 0.001), 7) AS coef
-FROM (SELECT DISTINCT dt FROM panel WHERE month(dt) = 1 AND year(dt) > 1996) t CROSS JOIN near n JOIN ret x ON x.asset = n.basis AND x.dt < t.dt JOIN ret y ON y.asset = n.asset AND y.dt = x.dt
-WHERE rank = 1 AND x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2, 3""",
-    with_ridge=True,
-)
+#: Neighbours by the distances before each date, and the refits on one and on three of them: complete rows before the
+#: date, normal equations by Cramer's rule; a neighbour that an asset lacks is a column of zeros, whose coefficient is 0.
+_REFITS = f""" also past AS (
+  SELECT dt, u, v, covar_samp(x, y) OVER o / nullif(stddev_samp(x) OVER o * stddev_samp(y) OVER o, 0) AS rho
+  FROM pairs WINDOW o AS (PARTITION BY u, v ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), near_at AS (
+  SELECT dt, asset, basis, row_number() OVER (PARTITION BY dt, asset ORDER BY round(sqrt(2 * (1 - least(1, greatest(-1, rho)))), 6), basis) AS rank
+  FROM (SELECT dt, u AS asset, v AS basis, rho FROM past UNION ALL SELECT dt, v, u, rho FROM past)
+  WHERE rho IS NOT NULL AND basis IN (SELECT asset FROM {_BASIS_SQL}) AND asset NOT IN (SELECT asset FROM {_BASIS_SQL})
+), before_at AS (
+  SELECT n.dt AS t, n.asset, x.dt, any_value(y.r) AS y, coalesce(max(CASE WHEN rank = 1 THEN x.r END), 0) AS x1, coalesce(max(CASE WHEN rank = 2 THEN x.r END), 0) AS x2, coalesce(max(CASE WHEN rank = 3 THEN x.r END), 0) AS x3
+  FROM near_at n JOIN ret x ON x.asset = n.basis AND x.dt < n.dt JOIN ret y ON y.asset = n.asset AND y.dt = x.dt
+  WHERE rank <= {{q}} AND y.r IS NOT NULL GROUP BY 1, 2, 3 HAVING count(x.r) = count(*)
+), g_at AS (
+  SELECT t, asset, sum(x1*x1) + 0.001 a, sum(x1*x2) b, sum(x1*x3) c, sum(x2*x2) + 0.001 d, sum(x2*x3) e, sum(x3*x3) + 0.001 f, sum(x1*y) p, sum(x2*y) q, sum(x3*y) r FROM before_at GROUP BY 1, 2
+), z_at AS (SELECT *, a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d) AS det FROM g_at
+), k_at AS (
+  SELECT t, asset, 1 AS rank, (p*(d*f-e*e) - b*(q*f-e*r) + c*(q*e-d*r)) / det AS coef FROM z_at
+  UNION ALL SELECT t, asset, 2, (a*(q*f-e*r) - p*(b*f-c*e) + c*(b*r-q*c)) / det FROM z_at
+  UNION ALL SELECT t, asset, 3, (a*(d*r-q*e) - b*(b*r-q*c) + p*(b*e-d*c)) / det FROM z_at
+), ser AS (SELECT t AS dt, k.asset, n.basis, coef FROM k_at k JOIN near_at n ON n.dt = k.t AND n.asset = k.asset AND n.rank = k.rank WHERE n.rank <= {{q}})"""
+
+
+@query("ridge_timeseries", _REFITS.format(q=1) + " SELECT cast(dt AS varchar) AS dt, asset, basis, round(coef, 7) AS coef FROM ser")
 def ridge_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_monthly(spark, sf, 1), 7)
 
 
-@query(
-    "ridge_timeseries_q3",
-    """ also tt AS (SELECT DISTINCT dt AS t FROM panel WHERE month(dt) = 1 AND year(dt) > 1996
-), g AS (
-  SELECT t, asset, sum(x1*x1) + 0.001 a, sum(x1*x2) b, sum(x1*x3) c, sum(x2*x2) + 0.001 d, sum(x2*x3) e, sum(x3*x3) + 0.001 f, sum(x1*y) p, sum(x2*y) q, sum(x3*y) r
-  FROM rows3 JOIN tt ON dt < t WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL GROUP BY 1, 2
-), z AS (SELECT *, a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d) AS det FROM g
-), k AS (
-  SELECT t, asset, 1 AS rank, (p*(d*f-e*e) - b*(q*f-e*r) + c*(q*e-d*r)) / det AS coef FROM z
-  UNION ALL SELECT t, asset, 2, (a*(q*f-e*r) - p*(b*f-c*e) + c*(b*r-q*c)) / det FROM z
-  UNION ALL SELECT t, asset, 3, (a*(d*r-q*e) - b*(b*r-q*c) + p*(b*e-d*c)) / det FROM z
-) SELECT cast(t AS varchar) AS dt, k.asset, basis, round(coef, 7) AS coef FROM k JOIN near USING (asset, rank)""",
-    with_ridge=True,
-)
+@query("ridge_timeseries_q3", _REFITS.format(q=3) + " SELECT cast(dt AS varchar) AS dt, asset, basis, round(coef, 7) AS coef FROM ser")
 def ridge_timeseries_q3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_monthly(spark, sf, 3), 7)
 
 
 # mapping
 
-_SERIES = f""" also ser AS (
-  SELECT t.dt, n.asset, n.basis, sum(x.r * y.r) / (sum(x.r * x.r) + 0.001) AS coef
-  FROM (SELECT DISTINCT dt FROM panel WHERE month(dt) = 1 AND year(dt) > 1996) t CROSS JOIN near n JOIN ret x ON x.asset = n.basis AND x.dt < t.dt JOIN ret y ON y.asset = n.asset AND y.dt = x.dt
-  WHERE rank = 1 AND x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2, 3
-), known AS (SELECT c.dt, max(s.dt) AS as_of FROM cal c JOIN (SELECT DISTINCT dt FROM ser) s ON s.dt <= c.dt GROUP BY c.dt)"""
+_SERIES = _REFITS.format(q=1) + ", known AS (SELECT c.dt, max(s.dt) AS as_of FROM cal c JOIN (SELECT DISTINCT dt FROM ser) s ON s.dt <= c.dt GROUP BY c.dt)"
 
 
 @query("asof_coefficients", _SERIES + " SELECT cast(known.dt AS varchar) AS dt, asset, basis, round(coef, 7) AS coef FROM known JOIN ser ON ser.dt = as_of", with_map=True)
@@ -709,6 +725,18 @@ def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(strategies.strategy_backtest(panel, coefs, _basis(spark))["summary"], r2=7, information_ratio=7)
 
 
+@query("published_strategy")
+def published_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    """The published settings on the market of brands: the ten metrics of the strategy, beside ``backtest_summary``."""
+    return rounded(strategies.published_strategy(_panel(spark, sf))["summary"], r2=7, information_ratio=7)
+
+
+@query("published_strategy_penalized")
+def published_strategy_penalized(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with plain distances and weights held to those of the date before."""
+    return rounded(strategies.published_strategy(_panel(spark, sf), shrink=None, ridge_alpha=0.001, penalty=0.01)["summary"], r2=6, information_ratio=6)
+
+
 @query("summarize", "SELECT count(diff) AS n, round(avg(diff), 8) AS mean, round(stddev_samp(diff), 8) AS std, round(sqrt(avg(diff * diff)), 8) AS rmse, round(stddev_samp(diff) * sqrt(12), 8) AS std_annualised FROM act", with_map=True)
 def summarize(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(backtest.summarise(_baseline(spark, sf)["active"]))

@@ -9,6 +9,9 @@ from indexloom.functions import stats
 from indexloom.operators import backtest, mapping, ridge, selection, tree
 from indexloom.plans.tables import cut
 
+#: Digits to which distances of a date are compared: sums of few returns are exact to fewer than doubles have.
+DIGITS = 6
+
 
 def static_basis(panel: DataFrame, k: int, method: str = "max_spread", alpha: float = 0.5, shrink: str | None = None) -> DataFrame:
     """(pos, asset) chosen over the whole panel, weighed by the caps of its last date."""
@@ -27,25 +30,38 @@ def caps_before(panel: DataFrame) -> DataFrame:
     return days.join(panel.select(F.col("dt").alias("before"), "asset", F.coalesce("cap", F.lit(0.0)).alias("w")), "before").select("dt", "asset", "w")
 
 
-def basis_over_time(panel: DataFrame, k: int, alpha: float = 0.5, stickiness: float = 0.0) -> DataFrame:
-    """(dt, pos, asset): a basis for each date from what was known before it."""
-    return selection.basis_series(stats.expanding_distance(panel), k, caps_before(panel), alpha, stickiness)
+def basis_over_time(panel: DataFrame, k: int, alpha: float = 0.5, stickiness: float = 0.0, method: str = "max_spread", shrink: str | None = None, n_components: int | None = None, explained: float | None = None, corr: str = "pearson", min_periods: int = 1, **hub_branch) -> DataFrame:
+    """(dt, pos, asset): a basis for each date from what was known before it.
+
+    ``method``: max_spread, or hub_branch with its own settings (h, gamma, rep_alpha); the others are those of the distances.
+    """
+    dist = stats.expanding_distance(panel, min_periods, corr, shrink, n_components, explained)
+    return selection.basis_series(dist, k, caps_before(panel), alpha, stickiness, method, **hub_branch)
 
 
 def regressions_over_time(panel: DataFrame, basis: DataFrame, q: int = 3, alpha: float = 0.0) -> DataFrame:
     """(dt, asset, basis, coef) on the nearest members by the distances before each date."""
     dist = stats.expanding_distance(panel)
-    near = ridge.neighbours(dist, basis.select("dt", "asset"), q, by=("dt",))
+    near = cut(ridge.neighbours(dist, basis.select("dt", "asset"), q, by=("dt",), digits=DIGITS))
     return ridge.regress_series(stats.returns(panel), near, alpha)
 
 
 def strategy_backtest(panel: DataFrame, coefs: DataFrame, members: DataFrame, penalty: float = 0.0, percent: float = 20.0) -> dict[str, DataFrame]:
-    """The basis weights mapped as of each date, against the index."""
+    """The basis weights mapped as of each date, against the index.  ``coefs`` is read more than once."""
     weights = backtest.index_weights(panel).select("dt", "asset", F.coalesce("w", F.lit(0.0)).alias("w"))
-    held = mapping.map_series_as_of(weights, coefs, members, penalty).select("dt", F.col("basis").alias("asset"), "w")
+    held = cut(mapping.map_series_as_of(weights, coefs, members, penalty).select("dt", F.col("basis").alias("asset"), "w"))
     return backtest.run_backtest(weights, held, stats.returns(panel), percent)
 
 
+def published_strategy(panel: DataFrame, k: int = 10, q: int = 3, alpha: float = 0.2, stickiness: float = 0.2, shrink: str | None = "pca", ridge_alpha: float = 0.0, penalty: float = 0.0, percent: float = 20.0, method: str = "max_spread") -> dict[str, DataFrame]:
+    """The whole strategy, each date from what was known before it: a basis by the spread over denoised distances, local
+    regressions on its nearest members, the index weights on them, and the backtest.  The settings are the published ones.
+    """
+    basis = cut(basis_over_time(panel, k, alpha, stickiness, method, shrink))
+    coefs = cut(regressions_over_time(panel, basis, q, ridge_alpha))
+    return {"basis": basis, "coefs": coefs, **strategy_backtest(panel, coefs, basis.select("asset").distinct(), penalty, percent)}
+
+
 def baseline_backtest(panel: DataFrame, top: int = 10, percent: float = 20.0) -> dict[str, DataFrame]:
     """The largest names alone, against the index."""
     weights = backtest.index_weights(panel)

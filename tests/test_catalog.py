@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from indexloom.operators import tree
-from indexloom.plans import catalog
+from indexloom.plans import catalog, strategies
 
 BRANDS = [*catalog.BASIS, "Brand#2", "Brand#3", "Brand#30"]
 MONTHS = [f"{1995 + m // 12}-{m % 12 + 1:02d}-01" for m in range(26)]
@@ -34,7 +34,7 @@ def refits(px, q):
             for b in range(len(catalog.BASIS)):
                 ok = ~np.isnan(ret[:t, j]) & ~np.isnan(ret[:t, b])
                 if ok.sum() > 1:
-                    near.append((np.sqrt(2 * (1 - np.clip(np.corrcoef(ret[:t, j][ok], ret[:t, b][ok])[0, 1], -1, 1))).round(12), BRANDS[b], b))
+                    near.append((np.sqrt(2 * (1 - np.clip(np.corrcoef(ret[:t, j][ok], ret[:t, b][ok])[0, 1], -1, 1))).round(strategies.DIGITS), BRANDS[b], b))
             members = [b for _, _, b in sorted(near)[:q]]
             rows = ~np.isnan(ret[:t, [j, *members]]).any(axis=1)
             if members and rows.any():
@@ -44,18 +44,13 @@ def refits(px, q):
     return out
 
 
-#: With two returns every correlation is 1 or -1 but for rounding, which decides the order of members.
-def settled(coefs):
-    return {k: v for k, v in coefs.items() if k[0] > MONTHS[3]}
-
-
 @pytest.mark.parametrize(("name", "q"), [("ridge_timeseries", 1), ("ridge_timeseries_q3", 3)])
 def test_refits_at_every_date(spark, market, name, q):
     px, sf = market
     got = {(r.dt, r.asset, r.basis): r.coef for r in catalog.queries()[name](spark, sf).collect()}
     want = refits(px, q)
     assert {k[0] for k in got} == {k[0] for k in want} == set(MONTHS[3:])
-    assert settled(got) == pytest.approx(settled(want), abs=2e-7)
+    assert got == pytest.approx(want, abs=2e-7)
 
 
 def test_maps_at_every_date(spark, market):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from indexloom.functions import stats
 from indexloom.operators import backtest, diagnostics, mapping, ridge, simulate
@@ -77,6 +78,17 @@ def test_series_uses_only_the_past(spark, ret):
     got = by(ridge.regress_series(ret[1], near, 0.0), "asset", "basis", value="coef")
     past = by(ridge.regress(ret[1].where("dt < '2020-09-01'"), near_all(spark), 0.0), "asset", "basis", value="coef")
     assert got == pytest.approx(past)
+    # other neighbours at another date, one after all returns, one before
+    more = near.where("rank < 3").withColumn("dt", F.to_date(F.lit("2021-05-01"))).unionByName(near).unionByName(near.withColumn("dt", F.to_date(F.lit("2020-01-01"))))
+    both = ridge.regress_series(ret[1], more, 0.1)
+    assert by(both, "dt", "asset", "basis", value="coef") == pytest.approx(
+        {("2020-09-01", *k): v for k, v in by(ridge.regress(ret[1].where("dt < '2020-09-01'"), near_all(spark), 0.1), "asset", "basis", value="coef").items()}
+        | {("2021-05-01", *k): v for k, v in by(ridge.regress(ret[1], near_all(spark).where("rank < 3"), 0.1), "asset", "basis", value="coef").items()}
+    )
+    errors = by(ridge.series_errors(ret[1], both.where("dt = '2021-05-01'")), "asset", value="rmse_valid")
+    coefs = both.where("dt = '2021-05-01'").drop("dt")
+    assert errors == pytest.approx(by(ridge.fit_errors(ret[1], ridge.reconstruct(ret[1], coefs)), "asset", value="rmse_valid"))
+    assert [r.asset for r in ridge.worst_first(spark.createDataFrame([("a", 0.1), ("b", None), ("c", 0.3), ("d", 0.1)], "asset string, rmse double")).collect()] == ["c", "a", "d", "b"]
 
 
 def coefs_of(spark, rows):
@@ -125,15 +137,26 @@ def test_weights(spark):
     assert [got["2020-03-01", x] for x in "abc"] == [None, 1.0, None]
 
 
-@pytest.mark.parametrize("cap", [0.4, 0.35, 1 / 3, 0.5, None])
+def clipped(row, cap):
+    """The same by clipping and sharing out what was cut, again and again."""
+    w, fixed = dict(row), set()
+    while any(v > cap + 1e-15 for k, v in w.items() if k not in fixed):
+        fixed |= {k for k, v in w.items() if v > cap}
+        rest = sum(row[k] for k in w if k not in fixed)
+        w = {k: cap if k in fixed else row[k] * (1 - cap * len(fixed)) / rest for k in w}
+    return w
+
+
+@pytest.mark.parametrize("cap", [0.27, 0.3, 0.45, 0.9, None])
 def test_cap(spark, cap):
-    weights = frame(spark, {"a": [0.5, 0.6, None], "b": [0.3, 0.2, None], "c": [0.2, 0.2, None]}, "w")
-    got = by(backtest.cap_weights(weights, cap), "dt", "asset", value="w")
-    for t in (1, 2):
-        row = [got[f"2020-0{t}-01", x] for x in "abc"]
-        assert sum(row) == pytest.approx(1.0)
-        assert max(row) <= (cap or 1) + 1e-12
-    assert got["2020-03-01", "a"] is None
+    table = {"p": [0.41, 0.08, None], "q": [0.29, 0.61, None], "r": [0.17, 0.13, None], "s": [0.13, 0.18, 1.0]}
+    got = by(backtest.cap_weights(frame(spark, {k: v[:2] for k, v in table.items()}, "w"), cap), "dt", "asset", value="w")
+    for t in (0, 1):
+        want = {k: v[t] for k, v in table.items()}
+        want = want if cap is None else clipped(want, cap)
+        assert {k: got[f"2020-0{t + 1}-01", k] for k in want} == pytest.approx(want)
+    low = by(backtest.cap_weights(frame(spark, table, "w"), 0.27, infeasible="equal"), "dt", "asset", value="w")
+    assert [low["2020-03-01", k] for k in "pqrs"] == [None, None, None, 1.0]
 
 
 def test_cap_with_too_few_names(spark):
@@ -142,8 +165,13 @@ def test_cap_with_too_few_names(spark):
 
 
 def test_cap_too_low(spark):
+    w = frame(spark, {"a": [0.7, 0.9], "b": [0.3, None], "c": [0.0, 0.1]}, "w")
+    with pytest.raises(ValueError):
+        backtest.cap_weights(w, 0.44)
     with pytest.raises(ValueError):
-        backtest.cap_weights(frame(spark, {"a": [0.5], "b": [0.5]}, "w"), 0.001)
+        backtest.cap_weights(w, 0.44, infeasible="ignore")
+    got = by(backtest.cap_weights(w, 0.44, infeasible="equal"), "dt", "asset", value="w")
+    assert [got["2020-01-01", k] for k in "abc"] == [0.44, 0.44, 0.0] and [got["2020-02-01", k] for k in "abc"] == [0.5, None, 0.5]
 
 
 def test_top(spark):
@@ -179,13 +207,13 @@ def test_summary(spark):
 
 
 def test_lag_and_evaluation(spark):
-    panel = frame(spark, {"A": np.linspace(100, 120, 12), "B": np.linspace(50, 60, 12), "C": np.linspace(75, 90, 12)}, "px")
+    panel = frame(spark, {"A": np.geomspace(8, 13, 12), "B": np.geomspace(31, 22, 12), "C": [7.0, 9.0] * 6}, "px")
     ret = stats.returns(panel)
-    w = frame(spark, {"A": [0.5] * 12, "B": [0.3] * 12, "C": [0.2] * 12}, "w")
+    w = frame(spark, {"A": [0.25] * 12, "B": [0.6] * 12, "C": [0.15] * 12}, "w")
     got = by(backtest.lagged_return(w, ret), "dt", value="ret")
     r = by(ret, "dt", "asset", value="r")
     assert got["2020-01-01",] == 0.0
-    assert got["2020-02-01",] == pytest.approx(sum(x * r["2020-02-01", a] for a, x in zip("ABC", (0.5, 0.3, 0.2), strict=True)))
+    assert got["2020-02-01",] == pytest.approx(sum(x * r["2020-02-01", a] for a, x in zip("ABC", (0.25, 0.6, 0.15), strict=True)))
     same = backtest.run_backtest(w, w, ret)["summary"].first()
     assert (same.n_tail, same.r2, same.rmse, same.information_ratio, same.tracking_error) == (2, 1.0, 0.0, None, 0.0)
     other = frame(spark, {"A": [1.0] * 12}, "w")

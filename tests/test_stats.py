@@ -38,8 +38,10 @@ def test_correlations(spark):
 
 
 def test_null_returns_of_one_side_do_not_count(spark):
-    got = stats.pearson(long(spark, {"a": [None, 0.01, 0.02], "b": [0.0, 0.01, None]})).first()
+    got = stats.pearson(long(spark, {"a": [0.4, None, 0.1, None], "b": [None, -0.2, 0.3, 0.5]})).first()
     assert (got.rho, got.n_obs) == (None, 1)
+    got = stats.pearson(long(spark, {"a": [0.4, 0.2, 0.1, None, 0.9], "b": [0.8, 0.4, 0.2, 0.5, None]})).first()
+    assert got.rho == pytest.approx(1.0) and got.n_obs == 3
 
 
 @pytest.mark.parametrize(("value", "expected"), [(0.5, 1.0), (-0.5, 3**0.5), (1.0, 0.0), (-1.0, 2.0), (1.2, 0.0), (None, None)])
@@ -49,10 +51,13 @@ def test_distance(spark, value, expected):
 
 
 def test_covariance_to_correlation(spark):
-    cov = spark.createDataFrame([("a", "a", 4.0), ("a", "b", 2.0), ("b", "b", 9.0)], "u string, v string, cov double")
-    assert rho(stats.cov_to_corr(cov)) == {("a", "a"): 1.0, ("a", "b"): pytest.approx(1 / 3), ("b", "b"): 1.0}
-    flat = spark.createDataFrame([("a", "a", 0.0), ("a", "b", 0.0), ("b", "b", 4.0)], "u string, v string, cov double")
-    assert rho(stats.cov_to_corr(flat)) == {("a", "a"): None, ("a", "b"): 0.0, ("b", "b"): 1.0}
+    x = np.random.default_rng(8).standard_normal((3, 30)) * [[1.0], [7.0], [0.2]]
+    c = np.cov(x)
+    cov = spark.createDataFrame([("xyz"[i], "xyz"[j], float(c[i, j])) for i in range(3) for j in range(i, 3)], "u string, v string, cov double")
+    want = np.corrcoef(x)
+    assert rho(stats.cov_to_corr(cov)) == pytest.approx({("xyz"[i], "xyz"[j]): want[i, j] for i in range(3) for j in range(i, 3)})
+    flat = spark.createDataFrame([("x", "x", 0.0), ("x", "y", 0.0), ("y", "y", 2.5)], "u string, v string, cov double")
+    assert rho(stats.cov_to_corr(flat)) == {("x", "x"): None, ("x", "y"): 0.0, ("y", "y"): 1.0}
 
 
 def test_ledoit_wolf(spark):
@@ -95,8 +100,23 @@ def test_windows(spark):
     assert got[5].dist == pytest.approx(before)
 
 
+@pytest.mark.parametrize("kind", [{"method": "spearman"}, {"shrink": "lw"}, {"shrink": "pca"}, {"shrink": "pca", "n_components": 2}, {"shrink": "pca", "explained": 0.7}, {"method": "spearman", "shrink": "pca"}])
+def test_expanding_forms(spark, kind):
+    """Each date's distances are those of the panel before it."""
+    rng = np.random.default_rng(12)
+    px = 50 * np.cumprod(1 + 0.1 * rng.standard_normal((9, 4)), axis=0)
+    panel = long(spark, {f"a{j}": [None if (t, j) == (4, 2) else px[t, j] for t in range(9)] for j in range(4)}, "px")
+    got = {(r.dt, r.u, r.v): r.dist for r in stats.expanding_distance(panel, **kind).collect()}
+    for t in (4, 6, 8):
+        want = {(t, r.u, r.v): r.dist for r in stats.price_distance(panel.where(f"dt < {t}"), **kind).collect()}
+        assert {k: v for k, v in got.items() if k[0] == t} == pytest.approx(want, abs=1e-7)
+    assert 0 not in {k[0] for k in got if got[k] is not None}
+
+
 def test_bad_methods(spark):
     panel = long(spark, {"a": [1, 2], "b": [2, 3]}, "px")
     for bad in ({"shrink": "xx"}, {"method": "kendall"}):
         with pytest.raises(ValueError):
             stats.price_distance(panel, **bad)
+        with pytest.raises(ValueError):
+            stats.expanding_distance(panel, **bad)
