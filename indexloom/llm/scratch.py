@@ -3,35 +3,20 @@
 A phase that is read more than once is written as Parquet below the session's
 ``spark.checkpoint.dir`` and read again.  That cuts the lineage, survives lost
 executors (the folder is shared by all of them), and lets Catalyst prune columns
-of what was written.  A temporary folder is used only where the setting is absent
-and the master is local.
+of what was written.
 """
 
 from __future__ import annotations
 
-import atexit
 import gc
 import math
-import shutil
-import tempfile
 import uuid
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="indexloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+from indexloom.plans.tables import shared_folder
 
 
 class Scratch:
@@ -44,7 +29,6 @@ class Scratch:
         Scratch.opened.append(self)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/indexloom-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
         self.made = 0
 
     def path(self, name: str) -> str:
@@ -56,19 +40,18 @@ class Scratch:
         path = self.path(name)
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path  # with the frame itself, so that no other one can be taken for it
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Removes the tables of frames that nothing will read again."""
         for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
+            path = getattr(df, "_scratch_path", None)
+            if path and path.startswith(f"{self.root}/"):
                 self._delete(path)
 
     def clear(self) -> None:
         """Removes all its tables; frames that read them must have been written elsewhere."""
-        self.paths.clear()
         self._delete(self.root)
 
     def _delete(self, path: str) -> None:
