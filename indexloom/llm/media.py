@@ -6,7 +6,7 @@ any GIF: local and global palettes, variable code widths, interlacing, transpare
 the disposal rules.  Code widths follow from a code's place in the stream alone, so codes
 are unpacked in bulk; only the expansion of strings goes code by code.
 
-Everything is one row in, one row out: no shuffle, and memory bounded by a batch.
+Everything is one row in, one row out: no shuffle, and memory bounded by some megabytes of text, or one text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from indexloom.llm.tokens import slices
 from indexloom.llm.workers import python_map
 
 WIDTH = 64
@@ -95,34 +96,41 @@ def _packed(codes: np.ndarray) -> bytes:
 
 
 def lzw_decode(data: bytes, bits: int = 8, most: int | None = None) -> bytes:
-    """The samples of a code stream with ``bits``-bit samples; at most ``most`` of them."""
+    """The samples of a code stream with ``bits``-bit samples; at most ``most`` of them.
+
+    A stream may go on with a full table for as long as it likes; it ends at its end code or its last whole code.
+    """
     clear, end = 1 << bits, (1 << bits) + 1
     raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8))).astype(np.int64)
     limit, at = len(data) * 8, 0
     table = _widths_of(bits)
     ends = np.cumsum(table)
     out = bytearray()
-    widest = int(ends[-1])
-    while at < limit and (most is None or len(out) < most):
-        # codes until the next clear or end code: their places are known before they are read
-        room = limit - at
-        count = len(table) if room >= widest else int(np.searchsorted(ends, room, "right"))
-        width = table[:count]
-        place = at + ends[:count] - width
-        if room > widest:  # a full table is not cleared: codes stay 12 bits wide
-            more = min((room - widest) // 12, 1 << 16)
-            place = np.concatenate((place, at + widest + 12 * np.arange(more)))
-            width = np.concatenate((width, np.full(more, 12)))
+
+    def read(place: np.ndarray, width: np.ndarray) -> tuple[list[int], int]:
+        """Codes before the first clear or end code, and where that is (-1: not here)."""
         byte = place >> 3
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (place & 7)) & ((1 << width) - 1)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         n = int(stop[0]) if len(stop) else len(codes)
-        _expand(codes[:n].tolist(), clear, out)
-        if not len(stop):
-            break
-        if codes[n] == end:
+        stopped[:] = [int(codes[n]), int(place[n] + width[n])] if len(stop) else []
+        return codes[:n].tolist(), n if len(stop) else -1
+
+    stopped: list[int] = []
+    while at < limit and (most is None or len(out) < most):
+        # codes until the next clear or end code: their places are known before they are read
+        count = int(np.searchsorted(ends, limit - at, "right"))
+        codes, n = read(at + ends[:count] - table[:count], table[:count])
+        after = at + int(ends[-1])
+        while n < 0 and count == len(table) and after + 12 <= limit:  # a full table is not cleared: codes stay 12 bits wide
+            step = min((limit - after) // 12, 1 << 16)
+            more, n = read(after + 12 * np.arange(step), np.full(step, 12))
+            codes += more
+            after += 12 * step
+        _expand(codes, clear, out)
+        if n < 0 or stopped[0] == end:
             break
-        at = int(place[n] + width[n])
+        at = stopped[1]
     return bytes(out if most is None else out[:most])
 
 
@@ -192,9 +200,11 @@ def frames(media: bytes) -> tuple[int, int, list[Frame]]:
 
     def sub_blocks(at: int) -> tuple[bytes, int]:
         parts = []
-        while media[at]:
+        while at < len(media) and media[at]:
             parts.append(media[at + 1 : at + 1 + media[at]])
             at += 1 + media[at]
+        if at >= len(media):
+            raise ValueError("a GIF ends early")
         return b"".join(parts), at + 1
 
     while at < len(media) and media[at] != 0x3B:
@@ -214,7 +224,10 @@ def frames(media: bytes) -> tuple[int, int, list[Frame]]:
                 f.palette, at = media[at : at + n], at + n
             bits = media[at]
             data, at = sub_blocks(at + 1)
-            f.samples = np.frombuffer(lzw_decode(data, bits, f.w * f.h).ljust(f.w * f.h, b"\0"), np.uint8).reshape(f.h, f.w)
+            samples = lzw_decode(data, bits, f.w * f.h)
+            if len(samples) < f.w * f.h:
+                raise ValueError("a GIF frame ends early")
+            f.samples = np.frombuffer(samples, np.uint8).reshape(f.h, f.w)
             if flags & 0x40:  # four passes of rows
                 order = np.concatenate([np.arange(a, f.h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
                 f.samples = f.samples[np.argsort(order)]
@@ -226,8 +239,8 @@ def frames(media: bytes) -> tuple[int, int, list[Frame]]:
     return width, height, out
 
 
-def composed(media: bytes) -> Iterator[tuple[np.ndarray, int]]:
-    """The pictures that a viewer shows (RGBA) with their delays, by disposal and transparency."""
+def composed(media: bytes) -> Iterator[tuple[np.ndarray, Frame]]:
+    """The pictures that a viewer shows (RGBA), by disposal and transparency, each with the frame drawn last."""
     width, height, parts = frames(media)
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in parts:
@@ -237,27 +250,35 @@ def composed(media: bytes) -> Iterator[tuple[np.ndarray, int]]:
         palette[: len(own), :3], palette[: len(own), 3] = own, 255
         area = canvas[f.y : f.y + f.h, f.x : f.x + f.w]
         shown = f.samples[: area.shape[0], : area.shape[1]]
-        seen = np.ones(shown.shape, bool) if f.transparent is None else shown != f.transparent
-        area[seen] = palette[shown][seen]
-        yield canvas.copy(), f.delay
+        if f.transparent is None:
+            area[:] = palette[shown]
+        else:
+            seen = shown != f.transparent
+            area[seen] = palette[shown][seen]
+        yield canvas.copy(), f
         if f.disposal == 2:
             area[:] = 0
         elif before is not None:
             canvas = before
 
 
+def drawn(picture: np.ndarray, f: Frame) -> np.ndarray:
+    """The part of a picture that its frame drew."""
+    return picture[f.y : f.y + f.h, f.x : f.x + f.w]
+
+
 def gif_payload(media: bytes) -> bytes:
-    """The samples of all frames, through their palettes, one after another."""
-    out = []
-    for f in frames(media)[2]:
-        grey = np.frombuffer(f.palette, np.uint8)[::3]
-        out.append(grey[f.samples].tobytes())
-    return b"".join(out)
+    """The red samples of what the frames drew, one after another: the payload of a GIF of ``gif_encode``."""
+    return b"".join(drawn(p, f)[:, :, 0].tobytes() for p, f in composed(media))
+
+
+#: Bins of a colour histogram.
+BINS = 16
 
 
-def histogram(payload: bytes, bins: int = 16) -> list[int]:
-    """Counts of grey levels in equal bins."""
-    return np.bincount(np.frombuffer(payload, np.uint8) >> (8 - bins.bit_length() + 1), minlength=bins).tolist()
+def histogram(samples: np.ndarray) -> np.ndarray:
+    """Counts of one channel's levels in ``BINS`` equal bins."""
+    return np.bincount(samples.ravel() >> (8 - BINS.bit_length() + 1), minlength=BINS)
 
 
 def padded(text: bytes | None) -> bytes:
@@ -267,34 +288,52 @@ def padded(text: bytes | None) -> bytes:
 
 
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media (the GIF).  Null text counts as empty; each row is on its own."""
+    """doc_id, n_bytes, media (the GIF).
+
+    Null and empty texts give one row of zeros; repeated rows and null ids are rows of their own; an empty table gives
+    an empty one; other columns are left out.  A very long text is many frames, encoded one after another.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for lo in range(0, len(texts), 512):
-                part = texts[lo : lo + 512]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), pa.array([len(t or b"") for t in part], pa.int64()), pa.array([gif_encode(padded(t)) for t in part], pa.binary())], ["doc_id", "n_bytes", "media"])
+            for lo, rows in slices(b.column(1), 8 << 20):
+                texts = b.column(1).slice(lo, rows).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, rows), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([gif_encode(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(python_map, encode, "doc_id long, n_bytes long, media binary")
 
 
+_FRAME = pa.struct([("delay_cs", pa.int32()), *[(c, pa.list_(pa.int64())) for c in ("red", "green", "blue")]])
+
+
 def features(stored: DataFrame) -> DataFrame:
-    """Reads the media column back: sizes, digests, frames with delays, and a colour histogram per row."""
-    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs int, histogram array<long>"
+    """Reads stored media back: sizes, digests, and the timed frames with a colour histogram for each channel.
+
+    ``frames``: of each frame the delay and the histograms of what it drew, as shown after disposal and transparency.
+    ``feature``: frames, hundredths of a second and the histograms of all frames together.  Each row is on its own, whatever
+    repeats; an empty table gives an empty one; columns besides doc_id, n_bytes and media are left out.
+    """
+    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs int, frames array<struct<delay_cs: int, red: array<bigint>, green: array<bigint>, blue: array<bigint>>>"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for media in b.column(2).to_pylist():
-                _, _, parts = frames(media)
-                grey = [np.frombuffer(f.palette, np.uint8)[::3][f.samples].tobytes() for f in parts]
-                payload = b"".join(grey)
-                h = histogram(payload)
-                feature = f"gif:{len(parts)}:{sum(f.delay for f in parts)}:" + ",".join(map(str, h))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(parts), sum(f.delay for f in parts), h))
+                digest, size, tail, shots = hashlib.sha256(), 0, b"", []
+                for picture, f in composed(media):
+                    area = drawn(picture, f)
+                    part = area[:, :, 0].tobytes()
+                    digest.update(part)
+                    size, tail = size + len(part), (tail + part)[-64:]
+                    shots.append((f.delay, *[histogram(area[:, :, c]) for c in range(3)]))
+                total = [sum(x[c] for x in shots) for c in (1, 2, 3)] if shots else [np.zeros(BINS, np.int64)] * 3
+                wait = sum(x[0] for x in shots)
+                feature = f"gif:{len(shots)}:{wait}:" + ";".join(",".join(map(str, t.tolist())) for t in total)
+                timed = [{"delay_cs": d, "red": r.tolist(), "green": g.tolist(), "blue": u.tolist()} for d, r, g, u in shots]
+                rows.append((size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, len(shots), wait, timed))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 9
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [f.split()[0] for f in fields.split(", ")])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(_FRAME)]
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_cs", "frames"]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names)
 
-    return stored.transform(python_map, decode, fields)
+    return stored.select("doc_id", "n_bytes", "media").transform(python_map, decode, fields)

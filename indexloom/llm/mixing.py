@@ -23,8 +23,9 @@ from indexloom.llm.text import SPACES, WORD
 #: Words of a block.
 BLOCK = 4096
 WEIGHTS = (3, 1, 2)
-#: Inverse of the golden ratio as a fraction of 2**32, odd: point i is i * PHI mod 2**32.
-PHI = 2654435769
+#: Bits of a point, and the inverse of the golden ratio as an odd fraction of 2**BITS: point i is i * PHI mod 2**BITS.
+BITS = 62
+PHI = 2850178704830799621
 
 
 def word_count(text: Column) -> Column:
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inner = scratch.cut(ranked.withColumn("_in", F.coalesce(F.sum("size").over(w), F.lit(0))), "ranked")
     wb = Window.partitionBy("_rank").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = inner.groupBy("_rank", "_b").agg(F.sum("size").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(wb), F.lit(0))).drop("_s")
-    stream = scratch.cut(inner.join(base, ["_rank", "_b"]).withColumn("_start", F.col("_base") + F.col("_in")).drop("_in", "_base", "_b"), "stream")
+    stream = scratch.cut(inner.join(by_key(base), ["_rank", "_b"]).withColumn("_start", F.col("_base") + F.col("_in")).drop("_in", "_base", "_b"), "stream")
     scratch.drop(inner)
 
     # the schedule: slots with low-discrepancy sources, ranked within each source
@@ -109,47 +110,61 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     full = stream.where("size > 0")
     segments = full.select("_uid", "_rank", "_start", (F.col("_start") + F.col("size")).alias("_end"), F.explode(F.expr(f"sequence(_start div {block}, (_start + size - 1) div {block})")).alias("block"))
     segments = segments.withColumn("_start", F.greatest("_start", F.col("block") * block)).withColumn("_end", F.least("_end", (F.col("block") + 1) * block))
-    met = segments.join(schedule.select("_rank", "block", "_lo", "_hi"), ["_rank", "block"])
+    met = segments.join(by_key(schedule.select("_rank", "block", "_lo", "_hi")), ["_rank", "block"])
     taken = met.groupBy("_uid").agg(F.sum(F.greatest(F.lit(0), F.least("_end", "_hi") - F.greatest("_start", "_lo"))).alias("taken"))
-    out = stream.join(taken, "_uid", "left").select("_uid", F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = stream.join(by_key(taken), "_uid", "left").select("_uid", F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return {"documents": out, "sources": sources, "schedule": schedule, "segments": segments}
 
 
+def _point(i: str) -> Column:
+    """i * PHI mod 2**BITS for i below 2**44, in halves of 31 bits, so that no product leaves 63 bits."""
+    half = BITS // 2
+    one = (1 << half) - 1
+    high, low = PHI >> half, PHI & one
+    upper = f"((({i} & {one}L) * {high}L + shiftright({i}, {half}) * {low}L) & {one}L)"
+    return F.expr(f"({upper} * {1 << half}L + ({i} & {one}L) * {low}L) & {(1 << BITS) - 1}L")
+
+
 def _slots(sources: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """slot, _turn (rank of the slot among its source's), and the columns of the source.
 
-    Slot i's point, (i * PHI mod 2**32) / 2**32, falls into one source's interval of the
-    cumulative targets.  As many slots are laid as give each source its whole target; the
-    discrepancy of the points is logarithmic, so a round or two of laying more suffice.
+    Slot i's point, a fraction of 2**BITS, falls into one source's interval of the cumulative targets; an interval
+    has at least 2**18 points' room for up to 2**44 slots, so none is empty.  As many slots are laid as all targets
+    take and some more; the discrepancy of the points is logarithmic, so a source can lack a few then, and gets
+    them at the end.
     """
     spark = sources.sparkSession
     w = Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
     goal = F.round("target").cast("long")
     src = sources.where("target > 0").select("_source", "_rank", "source_size", goal.alias("_goal"))
     src = scratch.cut(src.where("_goal > 0").withColumn("_need", F.ceil(F.col("_goal") / block)).withColumn("_cum", F.sum("_need").over(w)), "needs")
-    head = src.agg(F.max("_cum"), F.count(F.lit(1)), F.min("_need")).first()
+    head = src.agg(F.max("_cum"), F.count(F.lit(1))).first()
     total, count = head[0] or 0, head[1]
+    if total >= 1 << 43:
+        raise ValueError("more than 2**43 slots; take larger blocks")
     cells = max(1024, 4 * count)
-    span = F.lit(float(1 << 32)) / F.lit(float(max(1, total)))
-    bounds = src.withColumn("_p1", F.round(F.col("_cum") * span).cast("long")).withColumn("_p0", F.round((F.col("_cum") - F.col("_need")) * span).cast("long")).where("_p1 > _p0")
-    width = (1 << 32) // cells + 1
-    bounds = bounds.withColumn("_cell", F.explode(F.expr(f"sequence(_p0 div {width}, (_p1 - 1) div {width})")))
+    width = (1 << BITS) // cells + 1
+
+    def mark(c: str) -> Column:
+        return F.expr(f"cast(((cast({c} as decimal(18,0)) * cast('{1 << BITS}' as decimal(20,0))) div cast({max(1, total)} as decimal(18,0))) as bigint)")
+
+    bounds = src.withColumn("_p0", mark("(_cum - _need)")).withColumn("_p1", mark("_cum"))
+    bounds = bounds.withColumn("_cell", F.explode(F.expr(f"sequence(_p0 div {width}L, (_p1 - 1) div {width}L)")))
     laid = total + 64 * (1 + max(1, total).bit_length()) if total else 0
-    while True:
-        points = spark.range(laid).select(F.col("id").alias("slot"), F.expr(f"pmod(id * {PHI}L, {1 << 32}L)").alias("_x") if laid < 1 << 31 else F.expr(f"cast(pmod(cast(id as decimal(20)) * {PHI}, {1 << 32}) as bigint)").alias("_x"))
-        points = points.withColumn("_cell", F.expr(f"_x div {width}"))
-        put = points.join(bounds, "_cell").where("_x >= _p0 and _x < _p1").drop("_cell", "_x", "_p0", "_p1", "_cum")
-        chunk = spread(laid)
-        put = scratch.cut(put.withColumn("_chunk", F.expr(f"slot div {chunk}")), "slots")
-        short = src.join(put.groupBy("_rank").agg(F.count(F.lit(1)).alias("_got")), "_rank", "left").where("coalesce(_got, 0) < _need")
-        if not total or short.isEmpty():
-            break
-        laid += max(64, laid // 8)
-        scratch.drop(put)
+    points = spark.range(laid).select(F.col("id").alias("slot"), _point("id").alias("_x"))
+    points = points.withColumn("_cell", F.expr(f"_x div {width}L"))
+    put = points.join(bounds, "_cell").where("_x >= _p0 and _x < _p1").drop("_cell", "_x", "_p0", "_p1", "_cum")
+    chunk = spread(laid)
+    put = scratch.cut(put.withColumn("_chunk", F.expr(f"slot div {chunk}")), "slots")
+    got = put.groupBy("_rank").agg(F.count(F.lit(1)).alias("_got"))
+    lack = src.join(got, "_rank", "left").withColumn("_lack", F.col("_need") - F.coalesce("_got", F.lit(0))).where("_lack > 0")
+    last = (laid // chunk + 1) * chunk if total else 0
+    more = lack.withColumn("_k", F.explode(F.expr("sequence(1L, _lack)"))).withColumn("slot", last + F.col("_rank") * F.lit(1 << 20) + F.col("_k"))
+    put = scratch.cut(put.unionByName(more.withColumn("_chunk", F.lit(last // chunk)).select(*put.columns)), "laid")
     wc = Window.partitionBy("_rank").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = put.groupBy("_rank", "_chunk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(wc), F.lit(0))).drop("_n")
     wi = Window.partitionBy("_rank", "_chunk").orderBy("slot")
-    return put.withColumn("_i", F.row_number().over(wi)).join(base, ["_rank", "_chunk"]).withColumn("_turn", F.col("_base") + F.col("_i") - 1).drop("_i", "_base", "_chunk")
+    return put.withColumn("_i", F.row_number().over(wi)).join(by_key(base), ["_rank", "_chunk"]).withColumn("_turn", F.col("_base") + F.col("_i") - 1).drop("_i", "_base", "_chunk")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17) -> DataFrame:

@@ -28,7 +28,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.with_media(documents(spark, sf_dir))
+    stored = Scratch(spark).cut(media.with_media(documents(spark, sf_dir)), "media", "none")  # LZW streams are compressed already
     return media.features(stored)
 
 
@@ -138,8 +138,8 @@ WITH RECURSIVE d AS (
   UNION
   SELECT x, b FROM reach JOIN both_ways ON y = a
 )
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(l.n_links, 0) AS n_links
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a) l ON l.a = d.doc_id LEFT JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id
 """
 
 OP4_SQL = r"""

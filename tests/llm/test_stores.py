@@ -227,6 +227,30 @@ def test_mix(docs, block):
     assert sum(r.words for r in plan) == sum(r.taken for r in rows)
 
 
+@given(st.integers(0, (1 << 44) - 1))
+def test_points(i):
+    """The expression of a point, in Python's integers."""
+    half, one = mixing.BITS // 2, (1 << mixing.BITS // 2) - 1
+    high, low = mixing.PHI >> half, mixing.PHI & one
+    across = (i & one) * high + (i >> half) * low
+    whole = ((across & one) << half) + (i & one) * low
+    assert across < 1 << 63 and whole < 1 << 63
+    assert whole & ((1 << mixing.BITS) - 1) == i * mixing.PHI % (1 << mixing.BITS)
+
+
+def test_small_sources_beside_huge_ones(spark):
+    """Every source gets its slots, however small its part; the schedule is not laid out for it."""
+    ids = [0, 1, 12345, (1 << 33) + 7, (1 << 43) - 1]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(mixing._point("id")).collect()]
+    assert got == [i * mixing.PHI % (1 << mixing.BITS) for i in ids]
+    data = [(i, "w " * 5000, "big") for i in range(60)] + [(100, "a b c", "small"), (101, "x", "tiny")]
+    plan = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), block=3, weights=(1, 1, 1))
+    taken = Counter()
+    for r in plan["documents"].collect():
+        taken[r.source_size] += r.taken
+    assert taken[3] == 6 and taken[1] == 2
+
+
 def test_schedule_is_even(spark):
     data = [(i, "w " * 50, "ab"[i % 2]) for i in range(400)]
     plan = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), block=50)["schedule"].orderBy("slot").collect()
@@ -286,7 +310,42 @@ def test_disposal_and_transparency():
     seen = [p[:, :, 3].tolist() for p, _ in media.composed(gif)]
     assert shown == [[[10, 20], [30, 40]], [[50, 20], [30, 40]], [[10, 20], [30, 70]], [[80, 20], [30, 0]]]
     assert seen[3] == [[255, 255], [255, 0]]
-    assert [d for _, d in media.composed(gif)] == [5] * 4
+    assert [f.delay for _, f in media.composed(gif)] == [5] * 4
+    assert media.gif_payload(gif) == bytes([10, 20, 30, 40, 50, 20, 70, 80])
+
+
+def test_streams_go_on_with_a_full_table():
+    """Codes of 12 bits for long after the table is full, and no clear code; a stream that stops short is an error."""
+    rnd = random.Random(1)
+    data = rnd.randbytes(300_000)
+    codes, known, last = [256], {bytes((i,)): i for i in range(256)}, b""
+    for b in data:
+        if last + bytes((b,)) in known:
+            last += bytes((b,))
+            continue
+        codes.append(known[last])
+        if len(known) < 4096 - 2:
+            known[last + bytes((b,))] = len(known) + 2
+        last = bytes((b,))
+    codes += [known[last], 257]
+    bits, n, out, size = 0, 0, bytearray(), 258
+    for k, c in enumerate(codes):
+        width = 9 if not k else min(12, max(9, (min(size, 4095)).bit_length()))
+        bits |= c << n
+        n += width
+        if k > 1 and size < 4096:
+            size += 1
+        while n >= 8:
+            out.append(bits & 255)
+            bits, n = bits >> 8, n - 8
+    out.append(bits & 255)
+    assert media.lzw_decode(bytes(out)) == data
+    gif = media.gif_encode(bytes(range(64)) * 4)
+    with pytest.raises(ValueError):
+        media.frames(gif[:-6])
+    at = gif.index(b"\x2c" + bytes(4) + b"\x40\0") + 7
+    with pytest.raises(ValueError):
+        media.frames(gif[:at] + bytes([9]) + gif[at + 1 :])
 
 
 def test_media_columns(docs):
@@ -297,7 +356,8 @@ def test_media_columns(docs):
         p = raw + bytes(-len(raw) % 64) if raw else bytes(64)
         expected.append((r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     assert cases.key((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == cases.key(expected)
-    assert all(sum(r.histogram) == r.payload_bytes for r in got)
+    assert all(sum(sum(f[c]) for f in r.frames) == r.payload_bytes for r in got for c in ("red", "green", "blue"))
+    assert all(len(r.frames) == r.n_frames and sum(f.delay_cs for f in r.frames) == r.duration_cs for r in got)
     by_text = defaultdict(set)
     for r in got:
         by_text[r.payload_sha256, r.n_bytes].add((r.media_sha256, r.media_bytes, r.feature))
