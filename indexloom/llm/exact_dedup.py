@@ -43,10 +43,11 @@ def identities(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     names a column of ``docs`` that numbers its rows; without it they are numbered here.
     """
     rows = docs.select(number(uid).alias("_uid"), F.col(id_col).alias("_id"), normal(F.col(text_col)).alias("_t"))
-    n = F.greatest(F.lit(1), F.ceil(F.length("_t") / F.lit(block)).cast("int"))
-    rows = rows.select("_uid", "_id", "_t", F.sha2(F.col("_t").cast("binary"), 256).alias("_sha"), n.alias("_n"))
-    rows = rows.select("_uid", "_id", "_sha", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_pos"), "_t")
-    blocks = scratch.cut(rows.select("_uid", "_id", "_sha", "_n", "_pos", F.substring("_t", F.col("_pos") * block + 1, F.lit(block)).alias("_c")).withColumn("_k", F.xxhash64("_c")), "blocks")
+    # all blocks of a text in one pass, before rows are made of them
+    cut = F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    rows = rows.select("_uid", "_id", F.sha2(F.col("_t").cast("binary"), 256).alias("_sha"), F.when(F.col("_t") == "", F.array(F.lit(""))).otherwise(cut).alias("_blocks"))
+    rows = rows.select("_uid", "_id", "_sha", F.size("_blocks").alias("_n"), F.posexplode("_blocks").alias("_pos", "_c"))
+    blocks = scratch.cut(rows.withColumn("_k", F.xxhash64("_c")), "blocks")
     total = blocks.count()
 
     # the first names: distinct contents, counted per hash

@@ -38,7 +38,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: _uid, doc_id, n_lines, n_removed, kept (the text left).
 
     Lines end at line feeds and are compared without blanks at their ends; blank lines stay.  Null text has
-    no line, empty text one.  A null site is a site of its own.  Repeated rows are rows of their own.
+    no line, empty text one.  A null site is a site of its own.  Repeated rows are rows of their own.  Texts of very
+    many lines take time in proportion; an empty table gives an empty result; other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indexloom.llm.components import components
-from indexloom.llm.packed import bucket_of, buckets_for, by_bucket, chunks, reduce_buckets
+from indexloom.llm.packed import bucket_of, by_bucket, chunks, layout, reduce_buckets
 from indexloom.llm.scratch import Scratch, by_key, columns, number, numbered
 from indexloom.llm.text import mix, shingles
 from indexloom.llm.workers import python_map
@@ -103,11 +103,11 @@ def frequent(docs: DataFrame, scratch: Scratch, k: int, most: int = FREQUENT, of
     A class is the binary logarithm of the number of documents.  At most ``most`` cells: beyond that
     the rarest class goes, which changes the order of the sets but no result.
     """
-    spark = docs.sparkSession
-    buckets = buckets_for(spark)
+    dealt = layout(docs)
+    buckets = dealt.buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
+        for c in chunks(batches, size=dealt.chunk):
             sets = [(shingles(t, k) >> np.uint64(32)).astype(np.uint32) for t in c["text"]]
             cells, n = np.unique(np.concatenate(sets), return_counts=True)
             rows = [(b, cells[at].tobytes(), n[at].astype(np.uint32)[n[at] > 1].tobytes(), np.flatnonzero(n[at] > 1).astype(np.uint32).tobytes()) for b, at in by_bucket(bucket_of(cells.astype(np.uint64) << np.uint64(32), buckets))]
@@ -130,7 +130,7 @@ def frequent(docs: DataFrame, scratch: Scratch, k: int, most: int = FREQUENT, of
         yield _rows(list(zip(x[start][hit].astype(np.int64).tolist(), np.log2(sums[hit]).astype(int).tolist(), strict=True)), "cell long, class int")
 
     packed = docs.select("text").transform(python_map, count, "bucket int, cells binary, more binary, place binary")
-    sums = scratch.cut(reduce_buckets(packed, add, "cell long, class int"), "frequent")
+    sums = scratch.cut(reduce_buckets(packed, dealt.tasks, add, "cell long, class int"), "frequent")
     by_class = {r["class"]: r["n"] for r in sums.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 rows at most
     least, total = 99, 0
     for c in sorted(by_class, reverse=True):
@@ -174,11 +174,12 @@ def beginnings(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, sh
     posted: whether it can be the first that similar sets of their sizes share.
     2: _uid, n, token, place: the members of a group of more than ``SMALL`` sets; place: the token's in the set.
     """
-    buckets = buckets_for(docs.sparkSession)
+    dealt = layout(docs)
+    buckets = dealt.buckets
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, classes = shared.value
-        for c in chunks(batches):
+        for c in chunks(batches, size=dealt.chunk):
             slim, tokens, owners, sizes, places, known = [], [], [], [], [], set()
             for u, t in zip(c["_uid"], c["text"], strict=True):
                 s = shingles(t, k)
@@ -243,7 +244,7 @@ def beginnings(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, sh
             yield from _sparse(2, {"_uid": u[large], "token": x[large].view(np.int64), "n": n[large].astype(np.int32), "place": place[large]})
 
     packed = docs.select("_uid", "text").transform(python_map, begin, _SLIM)
-    return scratch.cut(reduce_buckets(packed, meet, _SLIM).drop("bucket", "payload"), "beginnings")
+    return scratch.cut(reduce_buckets(packed, dealt.tasks, meet, _SLIM).drop("bucket", "payload"), "beginnings")
 
 
 def _sparse(kind: int, given: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +401,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the components; copies are not expanded).  With ``count_links`` documents have ``n_links`` too, the number of all
     other documents that are similar, copies among them.  ``uid`` names a column of a stored table that numbers its rows;
     without it rows are numbered here.  Null or empty texts have no shingles and no links; a null id
-    counts as larger than others; repeated rows are linked as copies.
+    counts as larger than others; repeated rows are linked as copies; a text of any length is shingled whole, in
+    segments; an empty table gives empty results; other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -474,7 +476,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Of each component the row with the smallest id, with the columns of ``docs``."""
+    """Of each component the row with the smallest id, with the columns of ``docs``, whatever these are named.
+
+    Rows without shingles (null, empty) all stay, and of rows with equal id and text one.
+    """
     scratch = Scratch(docs.sparkSession)
     rows, uid = numbered(docs, scratch)
     kept = jaccard_join(rows, id_col, text_col, k, num, den, uid)["documents"].where("first").select(F.col("_uid").alias(uid))

@@ -3,28 +3,46 @@
 The map side hashes a chunk of documents at a time and packs, for each bucket, one row with
 arrays; the reduce side sees all rows of a bucket together.  Per element that costs its
 bytes and a sort in numpy instead of a row in every operator.  Buckets divide the hash
-space, so a bucket holds a bounded part of it; what a chunk repeats is packed once, so a
+space, as many as the texts' stored size asks for; what a chunk repeats is packed once, so a
 hash that a third of the corpus shares leaves each chunk once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indexloom.llm.workers import python_map
 
-#: Bytes of text that the map side handles at a time.
-CHUNK = 8 << 20
+#: Bytes of text that the map side handles at a time, and of a chunk for each bucket at least.
+CHUNK, ROW = 8 << 20, 4 << 10
+#: Bytes of an exchange that a task reads, about, and bytes of an exchange for each byte of a stored table with the texts.
+TASK, STRETCH = 128 << 20, 6
+#: Buckets at most; tables above some 300 GB as stored make larger ones.
+MOST = 1 << 14
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """Buckets of the hash space: some for every reducer."""
-    return max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+@dataclass(frozen=True)
+class Layout:
+    """How an exchange is dealt: tasks, buckets of the hash space (some for every task), bytes of a chunk."""
+
+    tasks: int
+    buckets: int
+    chunk: int
+
+
+def layout(stored: DataFrame) -> Layout:
+    """For the texts of a written table, by its size as the files have it."""
+    spark = stored.sparkSession
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = min(MOST, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-STRETCH * size // TASK)))
+    buckets = min(MOST, max(256, 4 * tasks))
+    return Layout(tasks, buckets, max(CHUNK, ROW * buckets))
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -59,7 +77,7 @@ def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(buckets[at[0]]), at
 
 
-def reduce_buckets(packed: DataFrame, reduce: Callable[[list[dict]], Iterator[pa.RecordBatch] | list[pa.RecordBatch]], schema: str, key: str = "bucket") -> DataFrame:
+def reduce_buckets(packed: DataFrame, tasks: int, reduce: Callable[[list[dict]], Iterator[pa.RecordBatch] | list[pa.RecordBatch]], schema: str, key: str = "bucket") -> DataFrame:
     """Applies ``reduce`` to the rows of each bucket, all together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,5 +91,4 @@ def reduce_buckets(packed: DataFrame, reduce: Callable[[list[dict]], Iterator[pa
         if held:
             yield from reduce(held)
 
-    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, F.col(key)).sortWithinPartitions(key).transform(python_map, run, schema)
+    return packed.repartition(tasks, F.col(key)).sortWithinPartitions(key).transform(python_map, run, schema)

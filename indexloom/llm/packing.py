@@ -117,8 +117,8 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``parts`` (with _row, doc_id, piece, length) with sequence_id and offset.
 
-    ``parts`` must be a stored table (it is read more than once); _row must be unique.
-    An empty table gives an empty result.
+    ``parts`` must be a stored table (it is read more than once); _row must be unique, and orders pieces with equal
+    or null ids.  Its other columns stay.  An empty table gives an empty result.
     """
     spark = parts.sparkSession
     scratch = Scratch(spark)
@@ -151,7 +151,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def best_fit(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packs every document; one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Packs every document; one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are pieces of the end id alone; null ids and repeated rows are documents of their own, in any
+    order among equals; a very long text is cut at multiples of the capacity; an empty table gives an empty result; other
+    columns are left out, whatever their names.
+    """
     scratch = Scratch(docs.sparkSession)
     parts = scratch.cut(pieces(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces")
     return pack(parts, capacity).drop("_row")

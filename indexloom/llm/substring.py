@@ -8,7 +8,7 @@ and a window that also starts earlier (smaller doc_id, or same document and earl
 marks its words.  Marks of neighbouring anchors join into maximal repeats, whose words go.
 
 Every 20-word window chooses exactly one anchor, by content alone, so equal windows meet in
-one anchor's bucket: nothing is missed.  Anchors (one in five words) are shuffled for all
+one anchor's bucket: nothing is missed.  Windows are compared by 128 bits.  Anchors (one in five words) are shuffled for all
 documents as packed hashes; texts once, to the documents with repeated anchors; windows only
 around these.  A chunk of documents sends each anchor and window once, with its first place,
 so what a third of the corpus shares does not gather in one task.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indexloom.llm.packed import bucket_of, buckets_for, by_bucket, chunks, reduce_buckets
+from indexloom.llm.packed import bucket_of, by_bucket, chunks, layout, reduce_buckets
 from indexloom.llm.scratch import Scratch, by_key, number
 from indexloom.llm.text import Words, mix
 from indexloom.llm.workers import python_map
@@ -57,11 +57,11 @@ def _packed(rows: list[tuple], fields: str) -> pa.RecordBatch:
 def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """``docs`` has _uid, doc_id, text.  Returns the documents with a repeated anchor (_uid, doc_id,
     text) and their marks: _uid, mark (start * 256 + windows), windows that start earlier elsewhere."""
-    spark = docs.sparkSession
-    buckets = buckets_for(spark)
+    dealt = layout(docs)
+    buckets = dealt.buckets
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
+        for c in chunks(batches, size=dealt.chunk):
             hs, uid = [], []
             for u, t in zip(c["_uid"], c["text"], strict=True):
                 runs, at = chosen(Words(t), span, seed)
@@ -101,16 +101,16 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEE
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["_uid", "anchor"])
 
     packed = docs.select("_uid", "text").transform(python_map, anchors, "bucket int, hashes binary, first binary, known binary")
-    seeds = reduce_buckets(packed, meet, "_uid long, anchor long").groupBy("_uid").agg(F.collect_set("anchor").alias("anchors"))
+    seeds = reduce_buckets(packed, dealt.tasks, meet, "_uid long, anchor long").groupBy("_uid").agg(F.collect_set("anchor").alias("anchors"))
     there = scratch.cut(docs.join(by_key(seeds), "_uid"), "seeded")
     del packed, seeds
     scratch.release()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
+        for c in chunks(batches, size=dealt.chunk):
             # by doc_id, so that the first of equal windows of the chunk is the earliest
             order = sorted(range(len(c["_uid"])), key=lambda i: (_NULL if c["doc_id"][i] is None else c["doc_id"][i], c["_uid"][i]))
-            hs, docs_at, starts, keys = [], [], [], []
+            hs, gs, docs_at, starts, keys = [], [], [], [], []
             for n, i in enumerate(order):
                 w = Words(c["text"][i])
                 runs, at = chosen(w, span, seed)
@@ -122,30 +122,32 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEE
                 here = np.flatnonzero(known[np.minimum(put, len(known) - 1)] == key)
                 if len(here):
                     hs.append(w.runs(span)[here])
+                    gs.append(w.runs(span, again=True)[here])
                     keys.append(key[here])
                     starts.append(here)
                     docs_at.append(np.full(len(here), n, np.int64))
             if not hs:
                 continue
-            h, key, start, doc = map(np.concatenate, (hs, keys, starts, docs_at))
+            h, g, key, start, doc = map(np.concatenate, (hs, gs, keys, starts, docs_at))
             uid = np.array([c["_uid"][i] for i in order], np.int64)
             rank = np.array([_NULL if c["doc_id"][i] is None else c["doc_id"][i] for i in order], np.int64)
-            order2 = np.argsort(h, kind="stable")
+            order2 = np.lexsort((g, h))
             new = np.ones(len(h), bool)
-            new[order2[1:]] = h[order2[1:]] != h[order2[:-1]]
+            new[order2[1:]] = (h[order2[1:]] != h[order2[:-1]]) | (g[order2[1:]] != g[order2[:-1]])
             first, later = np.flatnonzero(new), np.flatnonzero(~new)
             place = np.column_stack((rank[doc], uid[doc], start))
-            rows = [(b, h[first[at]].tobytes(), place[first[at]].tobytes(), b"") for b, at in by_bucket(bucket_of(key[first], buckets))]
+            both = np.column_stack((h, g))
+            rows = [(b, both[first[at]].tobytes(), place[first[at]].tobytes(), b"") for b, at in by_bucket(bucket_of(key[first], buckets))]
             rows += [(b, b"", b"", _runs(uid[doc[later[at]]], start[later[at]]).tobytes()) for b, at in by_bucket(bucket_of(mix(uid[doc[later]].view(np.uint64)), buckets))]
             yield _packed(rows, "bucket int, hashes binary, place binary, marks binary")
 
     def extend(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64).reshape(-1, 2) for r in rows])
         place = np.concatenate([np.frombuffer(r["place"], np.int64).reshape(-1, 3) for r in rows])
-        order = np.lexsort((place[:, 2], place[:, 1], place[:, 0], h))
+        order = np.lexsort((place[:, 2], place[:, 1], place[:, 0], h[:, 1], h[:, 0]))
         h, place = h[order], place[order]
         later = np.zeros(len(h), bool)
-        later[1:] = h[1:] == h[:-1]
+        later[1:] = (h[1:] == h[:-1]).all(axis=1)
         found = place[later]
         found = found[np.lexsort((found[:, 2], found[:, 1]))]
         marks = np.concatenate([np.frombuffer(r["marks"], np.int64).reshape(-1, 2) for r in rows] + [_runs(found[:, 1], found[:, 2])])
@@ -154,7 +156,7 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEE
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["_uid", "mark"])
 
     spans = there.transform(python_map, windows, "bucket int, hashes binary, place binary, marks binary")
-    marks = scratch.cut(reduce_buckets(spans, extend, "_uid long, mark long"), "marks")
+    marks = scratch.cut(reduce_buckets(spans, dealt.tasks, extend, "_uid long, mark long"), "marks")
     return there, marks
 
 
@@ -188,7 +190,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns one row per input row: _uid, doc_id, n_words, n_removed, kept_sha256 (and kept, the words
     left joined by one space, if asked for).  Null and empty texts have no words.  Null ids count
-    as larger than all others; among rows with the same id, any one's window is the earlier.
+    as larger than all others; among rows with the same id, any one's window is the earlier.  A very long text is
+    hashed in segments; an empty table gives an empty result; other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

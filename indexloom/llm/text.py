@@ -11,10 +11,9 @@ import numpy as np
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Odd multiplier of the rolling hash and its inverse modulo 2**64.
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_TABLE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd multipliers of the rolling hash and of a second one, and the values that they give to bytes.
+_P = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_TABLE = [np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240501, 20240502)]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -31,9 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the multiplier and of its inverse, grown as needed."""
+    """Powers of a multiplier and of its inverse modulo 2**64, grown as needed."""
 
-    def __init__(self) -> None:
+    def __init__(self, p: int) -> None:
+        self.p, self.inverse = p, pow(p, -1, 1 << 64)
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
@@ -41,16 +41,16 @@ class _Powers:
         if len(self.up) < n:
             m = 1 << max(16, (n - 1).bit_length())
             with np.errstate(over="ignore"):
-                steps = np.full(m, _P, np.uint64)
+                steps = np.full(m, self.p, np.uint64)
                 steps[0] = 1
                 self.up = np.multiply.accumulate(steps)
-                steps = np.full(m, _PINV, np.uint64)
+                steps = np.full(m, self.inverse, np.uint64)
                 steps[0] = 1
                 self.down = np.multiply.accumulate(steps)
         return self.up[:n], self.down[:n]
 
 
-POWERS = _Powers()
+POWERS = [_Powers(p) for p in _P]
 
 
 #: Words that are hashed at a time; memory for a text beyond its bytes follows its words.
@@ -61,8 +61,8 @@ class Words:
     """The words of one text, with hashes of all runs of consecutive words.
 
     A run's hash is a polynomial over the bytes of its words joined by one space, so
-    it depends on the word sequence alone.  64 bits: two different runs of the same
-    document pair agree by chance with probability 2**-64 each.
+    it depends on the word sequence alone.  64 bits: two different runs agree by chance with
+    probability 2**-64; a second, independent hash makes that 2**-128 where whole corpora are compared.
     """
 
     __slots__ = ("buf", "ends", "n", "starts")
@@ -85,20 +85,20 @@ class Words:
         self.ends = np.cumsum(sizes + 1) - 1
         self.starts = self.ends - sizes
 
-    def runs(self, k: int) -> np.ndarray:
-        """Hashes of all runs of k words, by start."""
+    def runs(self, k: int, again: bool = False) -> np.ndarray:
+        """Hashes of all runs of k words, by start; ``again``: by the second hash."""
         m = self.n - k + 1
         if m <= 0:
             return np.zeros(0, np.uint64)
-        return self._hashes(0, m, k) if m <= SEGMENT else np.concatenate([self._hashes(lo, min(m, lo + SEGMENT), k) for lo in range(0, m, SEGMENT)])
+        return self._hashes(0, m, k, again) if m <= SEGMENT else np.concatenate([self._hashes(lo, min(m, lo + SEGMENT), k, again) for lo in range(0, m, SEGMENT)])
 
-    def _hashes(self, lo: int, hi: int, k: int) -> np.ndarray:
+    def _hashes(self, lo: int, hi: int, k: int, again: bool) -> np.ndarray:
         base = self.starts[lo]
         a, b = self.starts[lo:hi] - base, self.ends[lo + k - 1 : hi + k - 1] - base
         part = self.buf[base : base + b[-1]]
-        up, down = POWERS.get(len(part) + 1)
+        up, down = POWERS[again].get(len(part) + 1)
         with np.errstate(over="ignore"):
-            acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[part] * up[: len(part)], dtype=np.uint64)))
+            acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[again][part] * up[: len(part)], dtype=np.uint64)))
             return mix((acc[b] - acc[a]) * down[a] + (b - a).astype(np.uint64))
 
     def join(self, keep: np.ndarray) -> bytes:

@@ -4,8 +4,9 @@ From labelled rows outside the held-out fold a lexicon is learned: words, and be
 words, that toxic documents have and others have not, at odds that chance does not give.  Its
 trie is intersected with the Levenshtein automaton of the words read; the product is
 determinised as it is walked, so most words die within a few characters.  Each hit is scored
-in a window of words: inside quotation marks or after words of attribution it counts less,
-beside other hits more.  A logistic model over the sums of these gives the score.
+by its place: inside a quotation, or close after words of attribution, it counts less, beside
+other hits more.  A logistic model over the sums of these gives the score; its weights come from
+documents that neither chose the terms nor the harmless variants that it then sees.
 
 Scoring is one pass without a shuffle; a worker's tables are bounded.  Labels, lang, source
 and doc_id are no inputs of a score.
@@ -13,6 +14,7 @@ and doc_id are no inputs of a score.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -32,10 +34,10 @@ SAMPLE = 20_000
 WINDOW = 8
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.3
-#: Rounds of looking for terms among what is not explained.
-ROUNDS = 8
-#: Terms of a lexicon at most; words that a worker keeps.
-TERMS, KEEP = 512, 150_000
+#: Tokens, and moves of the automaton, that a worker keeps; beyond them its tables start anew.
+KEEP, MOVES = 150_000, 200_000
+#: Log odds from which a term marks toxic documents, and the probability of as many of them by chance.
+ODDS, CHANCE = 3.0, 3e-6
 #: Quotation marks, and words that introduce what others said.
 QUOTES = "\"“”„«»‹›"
 REPORTED = frozenset("said says wrote writes quoted quote quoting called calls termed according slur word sagte schrieb zitiert laut dit écrit selon dijo escribió según".split())
@@ -71,6 +73,12 @@ class Lexicon:
                 node = self.children[node][c]
             self.ends[node].append(i)
         self.most = max((t.edits for t in self.terms), default=0)
+        self.alphabet = frozenset("".join(t.text for t in self.terms))
+        self._begin()
+
+    def _begin(self) -> None:
+        """The automaton with nothing but its first state."""
+        self.moves, self.states, self.number = {}, [], {}
         self._state(frozenset())
         self.start = self._state(self._closed({(0, 0)}))
 
@@ -108,8 +116,12 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[int, int]:
         """(term, edits) of the closest term, or (-1, 0)."""
-        state, best, moves = self.start, (9, -1), self.moves
+        if len(self.moves) > MOVES:
+            self._begin()
+        state, best, moves, alphabet = self.start, (9, -1), self.moves, self.alphabet
         for c in word:
+            if c not in alphabet:
+                c = ""  # all characters that no term has are one
             state = moves[state, c] if (state, c) in moves else self._move(state, c)
             if not state:
                 break
@@ -158,16 +170,13 @@ class Reader:
         kinds = self.hits(tokens)
         abuse = quoted = fuzzy = top = 0.0
         at = [i for i, k in enumerate(kinds) if k] if any(kinds) else []
+        inside = quotations(tokens) if at else []
         for n, i in enumerate(at):
-            before, after = tokens[max(0, i - WINDOW) : i], tokens[i + 1 : i + 1 + WINDOW]
-            core = tokens[i].partition(bare(tokens[i]))
-            opened = sum(t.count(q) for t in before for q in QUOTES) + sum(core[0].count(q) for q in QUOTES)
-            closed = sum(t.count(q) for t in after for q in QUOTES) + sum(core[2].count(q) for q in QUOTES)
-            said = any(bare(t) in REPORTED for t in before)
+            said = any(bare(t) in REPORTED for t in tokens[max(0, i - WINDOW) : i])
             near = sum(1 for j in (*at[max(0, n - 3) : n], *at[n + 1 : n + 4]) if abs(j - i) <= WINDOW)
-            inside = opened % 2 == 1 and closed > 0
-            weight = max(0.1, 1.0 - 0.6 * inside - 0.3 * said + 0.1 * near)
-            if inside or said:
+            cited = any(lo <= i <= hi for lo, hi in inside[max(0, bisect.bisect_right(inside, (i, len(tokens))) - 1) :][:1])
+            weight = max(0.1, 1.0 - 0.6 * cited - 0.3 * said + 0.1 * near)
+            if cited or said:
                 quoted += weight
             if kinds[i] == 1:
                 abuse += weight
@@ -177,6 +186,28 @@ class Reader:
         return [math.log1p(abuse), math.log1p(quoted), math.log1p(fuzzy), top, math.log1p(100 * len(at) / max(20, len(tokens))), float(bool(at))]
 
 
+def quotations(tokens: list[str]) -> list[tuple[int, int]]:
+    """First and last token of each quotation, however long, in one pass over the text.
+
+    A mark in front of a word opens one, the next mark behind a word closes it; marks that nothing closes, and marks
+    behind words where none is open (such as inches), count as none.
+    """
+    out, opened = [], -1
+    for i, t in enumerate(tokens):
+        if not any(q in t for q in QUOTES):
+            continue
+        core = bare(t)
+        before, _, after = t.partition(core) if core else (t, "", t)
+        if opened < 0 and any(q in before for q in QUOTES):
+            opened = i
+            if not core:
+                continue
+        if opened >= 0 and any(q in after for q in QUOTES):
+            out.append((opened, i))
+            opened = -1
+    return out
+
+
 FEATURES = 6
 
 
@@ -202,44 +233,71 @@ def _beginnings(text: str) -> set[str]:
     return {w + " " for w in words} | {w[:k] for w in words for k in range(3, 9) if len(w) > k}
 
 
-def _counts(sample: DataFrame, only: frozenset[str] | None = None, least: int = 1) -> dict[str, int]:
-    """Documents by word or beginning; in workers first, then over all, at least ``least``."""
+def _significant(rows: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, int, int]]:
+    """(term, toxic documents, clean documents) of the words and beginnings that mark toxic documents.
+
+    ``rows``: text, y.  Counted in workers first, then over all; what does not stand out is gone before the driver sees it.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        toxic, clean = Counter(), Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                found = _beginnings(text or "")
-                c.update(found if only is None else found & only)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["term", "n"])
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                (toxic if y else clean).update(_beginnings(text or ""))
+        terms = list(toxic | clean)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], ["term", "t", "c"])
 
-    sums = sample.select("text").transform(python_map, count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r["term"]: r["n"] for r in sums.orderBy(F.desc("n"), "term").limit(64 * TERMS).collect()}
+    sums = rows.select("text", "y").transform(python_map, count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    strong = sums.where((F.col("t") >= least_documents(n_toxic, n_clean)) & (_log_odds(F.col("t"), F.col("c"), n_toxic, n_clean) >= ODDS - 1e-9))
+    return [tuple(r) for r in strong.collect()]  # words of at most ``sample`` documents
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[Term]:
-    """Words and beginnings that mark toxic documents, the strongest of this round.
+def _log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    return F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
 
-    Wanted: odds of e**3 at least, and so many toxic documents that chance would put all of
-    them there less than three times in a million.  A term's strength is its toxic documents times its log
-    odds; the strongest is taken, the longest of equals, then the strongest of those that neither begin
-    with it nor it with them, and so on down to a quarter of the first one's strength.  Weaker ones can be
-    side effects of documents that these explain, so they are counted anew in the next round.
-    """
+
+def least_documents(n_toxic: int, n_clean: int) -> int:
+    """So many toxic documents that chance would put all of them there less often than ``CHANCE``; one in 200 at least."""
     base = max(n_toxic / max(1, n_toxic + n_clean), 0.01)
-    least = max(4, math.ceil(math.log(3e-6) / math.log(min(0.5, base))))
+    return max(4, n_toxic // 200, math.ceil(math.log(CHANCE) / math.log(min(0.5, base))))
 
-    def odds(t: str) -> float:
-        return math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1))
 
-    strength = {t: round(toxic[t] * odds(t), 6) for t in toxic if toxic[t] >= least and odds(t) >= 3.0}
+def choose_terms(found: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[Term]:
+    """Of the (term, toxic, clean) that stand out, the strongest of this round.
+
+    A term's strength is its toxic documents times its log odds; the strongest is taken, the longest of equals, then
+    the strongest of those that neither begin with it nor it with them, and so on down to a quarter of the first one's
+    strength.  Weaker ones can be side effects of documents that these explain, so they are counted anew in the next round.
+    """
+    strength = {t: round(n * (math.log((n + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))), 6) for t, n, c in found}
     chosen: list[str] = []
     for t in sorted(strength, key=lambda t: (-strength[t], -len(t), t)):
         if strength[t] < strength[chosen[0]] / 4 if chosen else False:
             break
         if not any(t.startswith(c.rstrip(" ")) or c.startswith(t.rstrip(" ")) for c in chosen):
             chosen.append(t)
-    return [Term(t.rstrip(" "), not t.endswith(" "), int(len(t.rstrip(" ")) >= (5 if t.endswith(" ") else 7))) for t in chosen[:TERMS]]
+    return [Term(t.rstrip(" "), not t.endswith(" "), int(len(t.rstrip(" ")) >= (5 if t.endswith(" ") else 7))) for t in chosen]
+
+
+def learn_terms(fold: DataFrame, terms: list[Term]) -> list[Term]:
+    """``terms`` and those that the rows (text, y) add, round by round, until nothing stands out.
+
+    Rarer terms stand out among the toxic documents that the terms so far do not explain; each round explains some, so it ends.
+    """
+    n_clean = fold.where("y = 0").count()
+    left = _unexplained(fold.where("y = 1"), terms) if terms else fold.where("y = 1").select("text")
+    rest = left.count()
+    while rest >= 4 and n_clean:
+        rows = left.withColumn("y", F.lit(1)).unionByName(fold.where("y = 0").select("text", "y"))
+        new = choose_terms(_significant(rows, rest, n_clean), rest, n_clean)
+        if not new:
+            break
+        terms = terms + new
+        left, before = _unexplained(fold.where("y = 1"), terms), rest
+        rest = left.count()
+        if rest == before:
+            break
+    return terms
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> list[float]:
@@ -264,8 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Without labels of both kinds the lexicon is empty and every score is the share of toxic labels.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y"))
     picked = F.broadcast(rows.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample))  # bounded by ``sample`` rows
     fold = scratch.cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(picked, "_id").select("text", F.col("_y").alias("y"), F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int").alias("half")), "sample")
@@ -274,20 +331,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n_toxic or not n_clean:
         share = (n_toxic + 0.5) / (n_toxic + n_clean + 1) if n_toxic + n_clean else 0.01
         return Model([], frozenset(), [0.0] * FEATURES + [math.log(share / (1 - share))])
-    terms: list[Term] = []
-    left, rest = fold.where("y = 1"), n_toxic
-    for _ in range(ROUNDS):  # rarer terms stand out among the documents that the terms so far do not explain
-        toxic = _counts(left, least=max(4, rest // 200))
-        new = choose_terms(toxic, _counts(fold.where("y = 0"), only=frozenset(toxic)), rest, n_clean)[: TERMS - len(terms)]
-        if not new:
-            break
-        terms += new
-        left = _unexplained(fold.where("y = 1"), terms)
-        rest = left.count()
-        if rest < 4:
-            break
-    # variants are learned on one half of the sample and weighed on the other
-    known = _known_variants(fold.where("half = 0"), terms)
+    # the weights come from one half, with terms and variants of the other; then the first half adds its own
+    one, other = fold.where("half = 0"), fold.where("half = 1")
+    terms = learn_terms(one, [])
+    known = _known_variants(one, terms)
+    weights = _weights(other, terms, known)
+    terms = learn_terms(fold, terms)
+    known = _known_variants(fold, terms)
+    scratch.drop(fold)
+    return Model(terms, known, weights)
+
+
+def _weights(fold: DataFrame, terms: list[Term], known: frozenset[str]) -> list[float]:
+    """The logistic model over the features of the rows (text, y)."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms, known)
@@ -295,10 +351,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             f = np.array([reader.features(t) for t in b.column(0).to_pylist()], float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array(f[:, j]) for j in range(FEATURES)]], ["y", *[f"f{j}" for j in range(FEATURES)]])
 
-    got = fold.where("half = 1").select("text", "y").transform(python_map, extract, "y int, " + ", ".join(f"f{j} double" for j in range(FEATURES))).collect()  # ``sample`` rows at most
+    got = fold.select("text", "y").transform(python_map, extract, "y int, " + ", ".join(f"f{j} double" for j in range(FEATURES))).collect()  # ``sample`` rows at most
     data = np.array(sorted(got), float).reshape(-1, FEATURES + 1)
-    scratch.drop(fold)
-    return Model(terms, known, fit_logistic(data[:, 1:], data[:, 0]))
+    return fit_logistic(data[:, 1:], data[:, 0])
 
 
 def _unexplained(sample: DataFrame, terms: list[Term]) -> DataFrame:
@@ -313,7 +368,9 @@ def _unexplained(sample: DataFrame, terms: list[Term]) -> DataFrame:
 
 
 def _known_variants(fold: DataFrame, terms: list[Term]) -> frozenset[str]:
-    """Words near a term that documents without toxicity use: no misspellings."""
+    """Words near a term that documents without toxicity use at least as often: no misspellings."""
+    if not terms:
+        return frozenset()
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, clean, toxic = Lexicon(terms), Counter(), Counter()
@@ -326,15 +383,16 @@ def _known_variants(fold: DataFrame, terms: list[Term]) -> frozenset[str]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([clean[w] for w in words], pa.int64()), pa.array([toxic[w] for w in words], pa.int64())], ["w", "c", "t"])
 
     sums = fold.select("text", "y").transform(python_map, near, "w string, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    return frozenset(r["w"] for r in sums.where("c > 0 and c >= t").orderBy(F.desc("c"), "w").limit(64 * TERMS).collect())
+    return frozenset(r["w"] for r in sums.where("c > 0 and c >= t").collect())  # words of at most ``sample`` documents
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with held_out, score and predicted; null text counts as empty, every row is on its own.
 
-    Columns of ``docs`` with the names of the result are replaced.
+    Columns of ``docs`` with the names of the result are replaced.  Repeated rows get equal scores; a null id is not
+    held out; a text of any length is read whole, in one pass; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.known, model.weights))  # at most TERMS terms and 64 * TERMS words
+    shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.known, model.weights))  # bounded by the words of ``sample`` documents
     plain = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,13 +420,18 @@ def _reader(terms: list[Term], known: frozenset[str], weights: list[float]) -> t
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row."""
+    """doc_id, held_out, score, predicted for every row, empty and null texts too; other columns are left out.
+
+    Labels without id or value, or of ids that ``docs`` does not have, do not count; without labels of both kinds every
+    score is one constant.
+    """
     model = train(docs, labels, id_col, text_col)
     return score(docs.select(F.col(id_col), F.col(text_col)), model, id_col, text_col).select(id_col, "held_out", "score", "predicted")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are not predicted toxic, with their own columns."""
+    """The rows that are not predicted toxic, with their own columns, whatever these are named; null and empty texts
+    have no hits."""
     model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.struct(columns(docs)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return score(rows, model, "_id", "_text").where("predicted = 0").select("_row.*")

@@ -57,6 +57,17 @@ def test_exact(docs, block):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_exact_long_text(spark):
+    """A text of 16 MB is cut in one pass."""
+    import time
+
+    long = "".join(f"{i} w" for i in range(2_000_000))
+    start = time.monotonic()
+    got = exact_dedup.exact_dedup(spark.createDataFrame([(1, long), (2, long + "x"), (3, long.replace(" ", "\n"))], "doc_id long, text string")).collect()
+    assert time.monotonic() - start < 120
+    assert cases.key((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == cases.key(cases.exact([(1, long), (2, long + "x"), (3, long)]))
+
+
 def test_exact_shared_hashes(spark, monkeypatch, docs):
     """Blocks whose hashes agree are told apart by content."""
     from pyspark.sql import functions as F

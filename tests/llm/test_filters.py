@@ -1,5 +1,6 @@
 """Toxicity and URL filters."""
 
+import math
 import random
 from datetime import date, timedelta
 
@@ -45,6 +46,72 @@ def test_context():
     assert reader.features(None) == reader.features("") == [0.0] * toxicity.FEATURES
 
 
+def test_quotations():
+    """From the mark that opens one to the mark that closes it, however far; marks that nothing closes are none."""
+    far = '"' + "blue " * 40 + 'idiot", she said, "and'
+    reader = toxicity.Reader([toxicity.Term("idiot", False, 0)])
+    assert reader.features(far)[1] > 0
+    assert toxicity.quotations(far.split()) == [(0, 40)]
+    assert toxicity.quotations('a 5" idiot and "open'.split()) == []
+    assert toxicity.quotations('« un idiot » et „noch einer“ "x"'.split()) == [(0, 3), (5, 6), (7, 7)]
+    # abuse after a quotation that began outside the window
+    after = reader.features('"' + "blue " * 12 + 'end" you idiot ' + "blue " * 12 + '"b c"')
+    assert after[0] > 0 and not after[1]
+
+
+def test_automaton_is_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "MOVES", 300)
+    rnd = random.Random(3)
+    lexicon = toxicity.Lexicon([toxicity.Term("abcabd", False, 1), toxicity.Term("bdd", True, 0)])
+    for _ in range(3000):
+        word = "".join(rnd.choices("abcdéü中", k=rnd.randint(1, 8)))
+        want = distance("abcabd", word) <= 1 or word.startswith("bdd")
+        assert (lexicon.match(word)[0] >= 0) == want
+        assert len(lexicon.moves) < 320 and len(lexicon.states) < 320
+
+
+def brute_features(model, text):
+    """The features of a text from all terms, tokens and positions."""
+    tokens = (text or "").lower().split()
+    spans, opened = [], None
+    for i, t in enumerate(tokens):
+        if '"' in t:
+            if opened is None and t.startswith('"'):
+                opened = i
+            if opened is not None and t.rstrip(".,").endswith('"') and t.strip('".,'):
+                spans.append((opened, i))
+                opened = None
+    kinds = []
+    for t in tokens:
+        w = toxicity.bare(t)
+        best = min((distance(x.text, w[:j]) for x in model.terms for j in ([len(w)] + (list(range(1, len(w))) if x.prefix else [])) if w and distance(x.text, w[:j]) <= x.edits), default=None)
+        kinds.append(0 if best is None else 1 if best == 0 else 0 if w in model.known else 2)
+    at = [i for i, k in enumerate(kinds) if k]
+    sums = {"abuse": 0.0, "quoted": 0.0, "fuzzy": 0.0, "top": 0.0}
+    for i in at:
+        said = any(toxicity.bare(t) in toxicity.REPORTED for t in tokens[max(0, i - 8) : i])
+        others = sorted((j for j in at if j < i), reverse=True)[:3] + [j for j in at if j > i][:3]
+        cited = any(a <= i <= b for a, b in spans)
+        weight = max(0.1, 1 - 0.6 * cited - 0.3 * said + 0.1 * sum(abs(j - i) <= 8 for j in others))
+        sums["quoted"] += weight * (cited or said)
+        sums["abuse" if kinds[i] == 1 else "fuzzy"] += weight
+        sums["top"] = max(sums["top"], weight)
+    return [math.log1p(sums["abuse"]), math.log1p(sums["quoted"]), math.log1p(sums["fuzzy"]), sums["top"], math.log1p(100 * len(at) / max(20, len(tokens))), float(bool(at))]
+
+
+def test_scores_against_brute_force(spark):
+    """Scores of a learned model from all terms, tokens and positions."""
+    docs, labels = labelled(spark, 900)
+    model = toxicity.train(docs, labels)
+    rnd = random.Random(6)
+    pieces = ["grobnik", "grobnikk", '"grobnik', 'fultish"', "zarpo,", '"zarpo"', "wrote", "talan", "riser", "modil", "keser.", "Grobnik!", "zarpos", "fultis", '5"']
+    texts = [None, "", " "] + [" ".join(rnd.choices(pieces, k=rnd.randint(1, 40))) for _ in range(60)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        z = sum(a * b for a, b in zip(model.weights, [*brute_features(model, t), 1.0], strict=True))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
 def labelled(spark, n=1500):
     rnd = random.Random(2)
     plain = [f"{a}{b}{c}" for a in ("ta", "ri", "mo", "ke") for b in ("lan", "ser", "dil") for c in ("", "e", "us", "ath")]
