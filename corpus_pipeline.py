@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: five stages, each over all that the one before kept.
 
 Toxic documents go, then exact copies, then near copies; sources are mixed to their weights,
-and what the mix takes is packed into sequences.
+and what the mix takes is packed into sequences.  A stage takes any columns beside doc_id, text and
+source, whatever their names, and keeps them; an empty table gives an empty one.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -43,31 +44,34 @@ def stage(f: Stage) -> Stage:
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic; null and empty texts are not."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id."""
+    """Of equal texts, the document with the smallest id, one of repeated rows; null counts as empty, null ids come last."""
     return exact_dedup.keep_first(docs)
 
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one with the smallest id."""
+    """Of each component of similar documents, the one with the smallest id; texts without words all stay."""
     return ngram_join.keep_one(docs)
 
 
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: whole as often as it takes them, and the part that it takes of the last."""
+    """The documents of the mix: whole as often as it takes them, and the part that it takes of the last.
+
+    Texts without words take no room and go; a null source is one of its own; repeated rows are documents of their own.
+    """
     return mixing.mixed(docs)
 
 
 @stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document of the mix lies in the sequences."""
+    """Where each piece of each document of the mix lies in the sequences; a document that came twice is packed twice."""
     return packing.best_fit(docs, public_tokenizers.path(VOCABULARY), end_id=1)
 
 
