@@ -501,7 +501,46 @@ def farthest_fill(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(selection.farthest_fill(_paths(spark, sf), ["Brand#1"], 5))
 
 
-@query("basis_timeseries")
+@query(
+    "basis_timeseries",
+    """ also past AS (
+  SELECT dt, u, v, covar_samp(x, y) OVER o / nullif(stddev_samp(x) OVER o * stddev_samp(y) OVER o, 0) AS rho
+  FROM pairs WINDOW o AS (PARTITION BY u, v ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), days AS (SELECT dt, row_number() OVER (ORDER BY dt) AS t FROM (SELECT DISTINCT dt FROM panel)
+), way AS (SELECT t, u, v, round(sqrt(2 * (1 - least(1, greatest(-1, rho)))), 6) AS d FROM past JOIN days USING (dt) WHERE rho IS NOT NULL
+), both_ways AS (SELECT t, u, v, d FROM way UNION ALL SELECT t, v, u, d FROM way
+), node AS (SELECT DISTINCT t, u AS id FROM both_ways
+), start AS (SELECT t, min(id) AS root FROM node GROUP BY t
+), grow AS (
+  SELECT 0 AS step, n.t, n.id, n.id = root AS held, CASE WHEN n.id <> root THEN coalesce(d, 'inf'::double) END AS best, root AS hook FROM node n JOIN start s ON s.t = n.t LEFT JOIN both_ways b ON b.t = n.t AND b.u = n.id AND b.v = root
+  UNION ALL
+  SELECT step + 1, g.t, g.id, held OR g.id = chosen, CASE WHEN held OR g.id = chosen THEN NULL WHEN closer THEN way_d ELSE best END, CASE WHEN NOT held AND g.id <> chosen AND closer THEN chosen ELSE hook END
+  FROM (SELECT g.*, coalesce(b.d, 'inf'::double) AS way_d,
+               coalesce(coalesce(b.d, 'inf'::double) < best OR (coalesce(b.d, 'inf'::double) = best AND (least(g.id, chosen), greatest(g.id, chosen)) < (least(g.id, hook), greatest(g.id, hook))), false) AS closer
+        FROM (SELECT *, first_value(id) OVER o AS chosen, first_value(held) OVER o AS finished FROM grow
+              WINDOW o AS (PARTITION BY t ORDER BY held, best, least(id, hook), greatest(id, hook) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) g
+        LEFT JOIN both_ways b ON b.t = g.t AND b.u = g.id AND b.v = chosen WHERE NOT finished) g
+), joined AS (SELECT t, id, hook, best FROM (SELECT *, lead(held) OVER (PARTITION BY t, id ORDER BY step) AS next_held FROM grow) WHERE NOT held AND next_held
+), link AS (SELECT t, id AS u, hook AS v, best AS d FROM joined UNION ALL SELECT t, hook, id, best FROM joined
+), stroll AS (
+  SELECT t, id AS src, id AS dst, NULL::varchar AS prev, 0.0::double AS d FROM node
+  UNION ALL
+  SELECT s.t, src, l.v, s.dst, s.d + l.d FROM stroll s JOIN link l ON l.t = s.t AND l.u = s.dst WHERE prev IS NULL OR l.v <> prev
+), heavy AS (SELECT n.t, n.id, coalesce(p.cap, 0) AS w FROM node n JOIN days b ON b.t = n.t - 1 JOIN panel p ON p.dt = b.dt AND p.asset = n.id
+), light AS (SELECT t, id, (w - min(w) OVER (PARTITION BY t)) / CASE WHEN max(w) OVER (PARTITION BY t) > min(w) OVER (PARTITION BY t) THEN max(w) OVER (PARTITION BY t) - min(w) OVER (PARTITION BY t) ELSE 1 END AS wn FROM heavy
+), spread AS (SELECT s.t, s.src, avg(d) AS mean FROM stroll s GROUP BY 1, 2
+), facts AS (SELECT l.t, l.id, wn, 0.2 * max(0.2 * mean + 0.8 * wn) OVER (PARTITION BY l.t) AS bonus FROM light l JOIN spread s ON s.t = l.t AND s.src = l.id
+), pick AS (
+  SELECT (SELECT min(t) FROM node) - 1 AS t, 4 AS pos, []::varchar[] AS s, []::varchar[] AS before, NULL::varchar AS asset
+  UNION ALL
+  SELECT * FROM (
+    SELECT nt, np, list_append(ns, w.dst), nb, w.dst FROM (
+      SELECT CASE WHEN pos < 4 THEN t ELSE t + 1 END AS nt, CASE WHEN pos < 4 THEN pos + 1 ELSE 0 END AS np, CASE WHEN pos < 4 THEN s ELSE []::varchar[] END AS ns, CASE WHEN pos < 4 THEN before ELSE s END AS nb FROM pick) q
+    JOIN stroll w ON w.t = q.nt AND (np = 0 OR list_contains(ns, w.src)) AND NOT list_contains(ns, w.dst) JOIN facts f ON f.t = q.nt AND f.id = w.dst
+    GROUP BY nt, np, ns, nb, w.dst
+    ORDER BY 0.2 * CASE WHEN np = 0 THEN avg(w.d) ELSE min(w.d) END + 0.8 * max(wn) + CASE WHEN list_contains(nb, w.dst) THEN max(bonus) ELSE 0 END DESC, w.dst LIMIT 1)
+) SELECT cast(dt AS varchar) AS dt, cast(pos AS integer) AS pos, asset FROM pick JOIN days USING (t) WHERE asset IS NOT NULL""",
+)
 def basis_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(strategies.basis_over_time(_panel(spark, sf), 5, 0.2, 0.2))
 
@@ -618,7 +657,30 @@ def map_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mapping.map_snapshot(_weights(spark, sf), _coefs(spark, sf), _basis(spark)), 7)
 
 
-@query("map_penalized")
+@query(
+    "map_penalized",
+    f""" also place AS (SELECT asset AS basis, row_number() OVER (ORDER BY asset) AS i FROM {_BASIS_SQL}
+), gram AS (
+  SELECT x.i, y.i AS j, coalesce(sum(b.a * c.a), 0) + CASE WHEN x.i = y.i THEN 0.01 ELSE 0 END AS v
+  FROM place x CROSS JOIN place y LEFT JOIN a b ON b.basis = x.basis LEFT JOIN a c ON c.basis = y.basis AND c.asset = b.asset GROUP BY x.i, y.i
+), gauss AS (
+  SELECT 1 AS k, i, j, v FROM gram UNION ALL SELECT 1, x.i, y.i + 5, CASE WHEN x.i = y.i THEN 1.0 ELSE 0.0 END FROM place x CROSS JOIN place y
+), jordan AS (
+  SELECT * FROM gauss
+  UNION ALL
+  SELECT k + 1, i, j, CASE WHEN i = k THEN v / piv ELSE v - across * below / piv END FROM (
+    SELECT *, max(CASE WHEN i = k AND j = k THEN v END) OVER () AS piv, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS across, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS below
+    FROM jordan) WHERE k <= 5
+), inverse AS (SELECT i, j - 5 AS j, v FROM jordan WHERE k = 6 AND j > 5
+), days AS (SELECT dt, row_number() OVER (ORDER BY dt) AS t FROM (SELECT DISTINCT dt FROM weights WHERE w IS NOT NULL)
+), ab AS (SELECT t, i, sum(w * a.a) AS v FROM weights JOIN a USING (asset) JOIN days USING (dt) JOIN place ON place.basis = a.basis WHERE w IS NOT NULL GROUP BY 1, 2
+), held AS (
+  SELECT 0::bigint AS t, i, 0.0::double AS w FROM place
+  UNION ALL
+  SELECT h.t + 1, n.i, sum(n.v * (coalesce(ab.v, 0) + 0.01 * h.w)) FROM held h JOIN inverse n ON n.j = h.i LEFT JOIN ab ON ab.t = h.t + 1 AND ab.i = h.i WHERE h.t < (SELECT max(t) FROM days) GROUP BY h.t, n.i
+) SELECT cast(dt AS varchar) AS dt, basis, round(w, 6) AS w FROM held JOIN days USING (t) JOIN place USING (i)""",
+    with_map=True,
+)
 def map_penalized(spark: SparkSession, sf: str) -> DataFrame:
     weights = _weights(spark, sf).where("w is not null")
     a = weights.select("dt").distinct().crossJoin(mapping.mapping(_coefs(spark, sf), _basis(spark)))

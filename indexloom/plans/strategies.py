@@ -35,7 +35,7 @@ def basis_over_time(panel: DataFrame, k: int, alpha: float = 0.5, stickiness: fl
 
     ``method``: max_spread, or hub_branch with its own settings (h, gamma, rep_alpha); the others are those of the distances.
     """
-    dist = stats.expanding_distance(panel, min_periods, corr, shrink, n_components, explained)
+    dist = stats.expanding_distance(panel, min_periods, corr, shrink, n_components, explained).withColumn("dist", F.round("dist", DIGITS))
     return selection.basis_series(dist, k, caps_before(panel), alpha, stickiness, method, **hub_branch)
 
 
