@@ -17,23 +17,24 @@ def index_weights(panel: DataFrame) -> DataFrame:
     return panel.select("dt", "asset", w.alias("w"))
 
 
-def cap_weights(weights: DataFrame, most: float | None, infeasible: str = "raise") -> DataFrame:
+def cap_weights(weights: DataFrame, most: float | None, infeasible: str = "raise", by: tuple[str, ...] = ("dt",)) -> DataFrame:
     """No weight above ``most``; what is cut goes to the others in proportion, until none is above.
 
     From the largest down, the first m are capped where m is the least number that leaves the rest below the
     cap after scaling.  Where the names above 0 are too few for the cap, each gets it and the date's sum stays
     below 1.  None changes nothing.  A cap below 1 / active is impossible: a job of its own looks for such dates
     and a ValueError is raised, or (infeasible="equal") they get equal weights, the lowest maximum that there is.
+    ``by``: the columns of one set of weights.
     """
     if most is None:
         return weights
     if infeasible not in ("raise", "equal"):
         raise ValueError("infeasible is raise or equal")
     low = (F.col("n") > 0) & (F.col("n") * F.lit(most) < 1 - 1e-12)
-    if infeasible == "raise" and not weights.groupBy("dt").agg(F.count("w").alias("n")).where(low).isEmpty():
+    if infeasible == "raise" and not weights.groupBy(*by).agg(F.count("w").alias("n")).where(low).isEmpty():
         raise ValueError("the cap is below equal weights")
-    order = Window.partitionBy("dt").orderBy(F.desc_nulls_last("w"), "asset")
-    day = Window.partitionBy("dt")
+    order = Window.partitionBy(*by).orderBy(F.desc_nulls_last("w"), "asset")
+    day = Window.partitionBy(*by)
     n = F.count("w").over(day)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     m = F.row_number().over(order) - 1
@@ -43,7 +44,7 @@ def cap_weights(weights: DataFrame, most: float | None, infeasible: str = "raise
     at = F.min(F.when(fits, F.struct("_m", "_s"))).over(day)
     capped = F.when(at.isNull(), F.when(F.col("w") > 0, F.lit(most)).otherwise(F.col("w"))).when(F.col("_m") < at["_m"], F.lit(most)).otherwise(F.col("w") * at["_s"])
     capped = F.when(n * F.lit(most) < 1 - 1e-12, F.lit(1.0) / n).otherwise(capped)
-    return rows.select("dt", "asset", F.when(F.col("w").isNotNull(), capped).alias("w"))
+    return rows.select(*by, "asset", F.when(F.col("w").isNotNull(), capped).alias("w"))
 
 
 def top_weights(weights: DataFrame, n: int) -> DataFrame:

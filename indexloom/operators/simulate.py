@@ -38,6 +38,14 @@ class Market:
     first_price: float = 100.0
 
 
+#: The published settings of a market, with the five sectors that there are, and the largest weight in its index.
+PUBLISHED = Market(
+    sectors=5, assets_per_sector=20, months=180, index_size=50, volatility=(0.25, 0.20, 0.22, 0.30, 0.18), correlation=(0.6, 0.5, 0.7, 0.65, 0.55),
+    drift=(-0.015, 0.015), removal_rate=0.001, addition_rate=0.001, bottom_share=0.1, pareto_shape=2.0, share_scale=50.0,
+)
+PUBLISHED_CAP = 0.1
+
+
 def sector_correlation(n: int, rho: float, jitter: float = 1e-6) -> np.ndarray:
     """Constant correlation between n assets; the diagonal is raised if it has a negative eigenvalue."""
     c = np.full((n, n), rho)

@@ -884,24 +884,36 @@ def basis_list_parse(spark: SparkSession, sf: str) -> DataFrame:
 # simulated markets
 
 
+def _market(spark: SparkSession) -> DataFrame:
+    """Two scenarios of the published settings."""
+    return simulate.simulate(spark, simulate.PUBLISHED, [42, 43])
+
+
 @query("simulate_prices")
 def simulate_prices(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(simulate.simulate(spark, simulate.Market(), [42, 43]).select("scenario", "dt", "asset", "sector", "px"))
+    return rounded(_market(spark).select("scenario", "dt", "asset", "sector", "px"))
 
 
 @query("simulate_weights")
 def simulate_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(simulate.market_weights(simulate.simulate(spark, simulate.Market(), [42, 43])))
+    return rounded(backtest.cap_weights(simulate.market_weights(_market(spark)), simulate.PUBLISHED_CAP, infeasible="equal", by=("scenario", "dt")))
 
 
 @query("simulate_history")
 def simulate_history(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(simulate.history(simulate.simulate(spark, simulate.Market(), [42, 43])))
+    return rounded(simulate.history(_market(spark)))
 
 
 @query("simulate_members")
 def simulate_members(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(simulate.members(simulate.simulate(spark, simulate.Market(), [42, 43]), 20))
+    return rounded(simulate.members(_market(spark), simulate.PUBLISHED.index_size))
+
+
+@query("simulate_strategy")
+def simulate_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    """The published strategy on a market of the published settings: the ten published metrics, of a market of our own."""
+    panel = cut(densify(simulate.simulate(spark, simulate.PUBLISHED, [42]).select("dt", "asset", "px", "cap")))
+    return rounded(strategies.published_strategy(panel)["summary"], r2=7, information_ratio=7)
 
 
 def queries() -> dict[str, Query]:

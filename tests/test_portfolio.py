@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from indexloom.functions import stats
-from indexloom.operators import backtest, diagnostics, mapping, ridge, simulate
+from indexloom.operators import backtest, diagnostics, mapping, ridge, selection, simulate, tree
 from indexloom.plans import strategies
+from indexloom.plans.tables import cut
 
 
 def frame(spark, table, value, start=1):
@@ -247,6 +248,33 @@ def test_simulated_market(spark):
     assert any(r.removed is not None for r in past) and all(r.removed is None or r.removed > r.created for r in past)
 
 
+def test_published_market(spark):
+    """Two scenarios at once; no name above the cap of its index."""
+    got = simulate.simulate(spark, simulate.PUBLISHED, [42, 43])
+    w = backtest.cap_weights(simulate.market_weights(got), simulate.PUBLISHED_CAP, by=("scenario", "dt"))
+    sums = w.groupBy("scenario", "dt").agg({"w": "sum", "asset": "count"}).collect()
+    assert len(sums) == 360 and all(r["sum(w)"] == pytest.approx(1.0) and r["count(asset)"] >= 90 for r in sums)
+    assert w.agg({"w": "max"}).first()[0] <= simulate.PUBLISHED_CAP + 1e-12
+
+
+def test_branches_of_one_tree_and_of_a_table(spark):
+    """The choice in numpy, as the series makes it, is that of the relational operator."""
+    rng = np.random.default_rng(5)
+    n = 9
+    m = np.abs(rng.standard_normal((n, n)))
+    names = [f"n{i}" for i in range(n)]
+    dist = spark.createDataFrame([(names[i], names[j], float(m[min(i, j), max(i, j)])) for i in range(n) for j in range(i + 1, n)], "u string, v string, dist double")
+    t = tree.mst(dist)
+    paths = cut(tree.walks(t))
+    edges = [(names.index(r.u), names.index(r.v), r.w) for r in t.collect()]
+    weight = rng.random(n)
+    unit = (weight - weight.min()) / (weight.max() - weight.min())
+    caps = spark.createDataFrame(list(zip(names, weight.tolist(), strict=True)), "asset string, w double")
+    for k, h, before, sticky in ((4, None, (), 0.0), (7, 2, (8, 1), 0.4)):
+        got = [r.asset for r in selection.hub_branch(t, paths, k, h, caps, alpha=0.3, gamma=0.2, stickiness=sticky, before=[names[i] for i in before]).orderBy("pos").collect()]
+        assert [names[i] for i in selection.branch_order(edges, n, unit, k, h, 0.3, 0.2, stickiness=sticky, before=before)] == got
+
+
 def test_parts_of_the_simulator():
     assert np.linalg.eigvalsh(simulate.sector_correlation(4, -0.9)).min() > 0
     assert simulate.sector_correlation(2, 0.5).tolist() == [[1.0, 0.5], [0.5, 1.0]]
