@@ -40,6 +40,12 @@ def index_level(panel: DataFrame) -> DataFrame:
     return filled.select("dt", F.try_divide(F.col("cap"), F.first("cap").over(Window.orderBy("dt"))).alias("level"))
 
 
+def initial_caps(panel: DataFrame, high: float, bins: int) -> DataFrame:
+    """(bin, n): the caps in millions that assets have on their first date with one, in equal bins from 0 to ``high``."""
+    first = panel.where("cap is not null").groupBy("asset").agg(F.min_by("cap", "dt").alias("cap"))
+    return histogram(first.withColumn("cap", F.col("cap") / F.lit(1e6)), "cap", 0.0, high, bins)
+
+
 def normalised_prices(panel: DataFrame) -> DataFrame:
     """(dt, asset, level): prices over each asset's first."""
     w = Window.partitionBy("asset").orderBy("dt")

@@ -35,8 +35,8 @@ def scaled(values: dict[str, float] | None, names: Sequence[str], fallback: floa
     return np.where(np.isnan(out), fallback, out)
 
 
-def spread_order(d: np.ndarray, weight: np.ndarray, k: int, alpha: float = 0.5, stickiness: float = 0.0, before: Sequence[int] = ()) -> list[tuple[int, float]]:
-    """Positions of the basis with the scores that chose them.
+def spread_order(d: np.ndarray, weight: np.ndarray, k: int, alpha: float = 0.5, stickiness: float = 0.0, before: Sequence[int] = (), trace: list[np.ndarray] | None = None) -> list[tuple[int, float]]:
+    """Positions of the basis with the scores that chose them; ``trace`` gets the scores of all at each step.
 
     The first has the largest alpha * mean distance + (1 - alpha) * weight; each further one the
     largest alpha * distance to the nearest chosen + (1 - alpha) * weight.  Members of the basis
@@ -57,6 +57,8 @@ def spread_order(d: np.ndarray, weight: np.ndarray, k: int, alpha: float = 0.5,
     for _ in range(min(k, n)):
         best = int(np.argmax(score))
         out.append((best, float(score[best])))
+        if trace is not None:
+            trace.append(score.copy())
         near = np.minimum(near, d[best])
         score = alpha * near + (1 - alpha) * weight + bonus
         score[[i for i, _ in out]] = -np.inf
@@ -115,6 +117,21 @@ def max_spread(paths: DataFrame, k: int, weights: DataFrame | None = None, alpha
     return rows.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda df: choose(df.drop(columns="_g", errors="ignore")), "pos int, asset string, score double")
 
 
+def spread_trace(paths: DataFrame, k: int, weights: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(step, asset, score, chosen): the score of every asset not chosen yet at each step of ``max_spread``."""
+    rows = paths.select("src", "dst", "d").join(weights.select(F.col("asset").alias("src"), "w"), "src", "left")
+
+    def steps(df: pd.DataFrame) -> pd.DataFrame:
+        names, d = square(df, "src", "dst", "d")
+        got = df.dropna(subset=["w"]).groupby("src")["w"].first().to_dict()
+        trace: list[np.ndarray] = []
+        picks = [i for i, _ in spread_order(d, scaled({x: got.get(x, 0.0) for x in names}, names), k, alpha, trace=trace)]
+        out = [(s, names[i], float(x), i == picks[s]) for s, score in enumerate(trace) for i, x in enumerate(score) if x > -np.inf]
+        return pd.DataFrame(out, columns=["step", "asset", "score", "chosen"], dtype=None if out else object)
+
+    return rows.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda df: steps(df.drop(columns="_g", errors="ignore")), "step int, asset string, score double, chosen boolean")
+
+
 def hub_scores(tree: DataFrame, paths: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, gamma: float = 0.0) -> DataFrame:
     """asset, score: (1 - gamma) * centrality + gamma * weight, both brought to [0, 1]; the centrality is
     alpha * degree + (1 - alpha) * betweenness."""

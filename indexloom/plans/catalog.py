@@ -437,6 +437,21 @@ def selection_steps(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(strategies.selection_steps(selection.max_spread(_paths(spark, sf), 5, _last_caps(spark, sf), alpha=0.2)))
 
 
+@query(
+    "selection_trace",
+    _SPREAD
+    + """, steps AS (
+  SELECT 0 AS step, src AS asset, 0.2 * avg(d) + 0.8 * max(wn) AS score FROM walk JOIN wn ON wn.asset = src GROUP BY src
+  UNION ALL
+  SELECT pos + 1, dst, 0.2 * min(d) + 0.8 * max(wn) FROM pick JOIN walk ON list_contains(s, src) AND NOT list_contains(s, dst) JOIN wn ON wn.asset = dst WHERE pos < 4 GROUP BY 1, 2
+) SELECT cast(step AS integer) AS step, steps.asset, round(steps.score, 8) AS score, pick.asset = steps.asset AS chosen FROM steps JOIN pick ON pos = step""",
+    with_tree=True,
+)
+def selection_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores of all candidates at each step of ``basis_max_spread``."""
+    return rounded(selection.spread_trace(_paths(spark, sf), 5, _last_caps(spark, sf), 0.2))
+
+
 @query("nearest_member", _SPREAD + " SELECT src AS asset, arg_min(dst, d) AS member, round(min(d), 8) AS d FROM walk WHERE dst IN (SELECT asset FROM pick) GROUP BY src", with_tree=True)
 def nearest_member(spark: SparkSession, sf: str) -> DataFrame:
     """The representative nearest to each asset."""
@@ -635,6 +650,18 @@ def ridge_timeseries_q3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_monthly(spark, sf, 3), 7)
 
 
+@query(
+    "ridge_series_errors",
+    _REFITS.format(q=3)
+    + """, fit AS (SELECT s.dt AS t, s.asset, x.dt, sum(coef * x.r) AS recon FROM ser s JOIN ret x ON x.asset = s.basis AND x.dt < s.dt GROUP BY 1, 2, 3 HAVING count(x.r) = count(*))
+SELECT cast(t AS varchar) AS dt, asset, round(CASE WHEN count(r.r) = count(recon) THEN sqrt(avg((r.r - recon) * (r.r - recon))) END, 7) AS rmse, count(recon) AS n_obs,
+round(sqrt(avg((r.r - recon) * (r.r - recon))), 7) AS rmse_valid FROM fit LEFT JOIN ret r USING (dt, asset) GROUP BY t, asset""",
+)
+def ridge_series_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The fit error of every refit over the returns that it had."""
+    return rounded(ridge.series_errors(_returns(spark, sf), cut(_monthly(spark, sf, 3))), 7)
+
+
 # mapping
 
 _SERIES = _REFITS.format(q=1) + ", known AS (SELECT c.dt, max(s.dt) AS as_of FROM cal c JOIN (SELECT DISTINCT dt FROM ser) s ON s.dt <= c.dt GROUP BY c.dt)"
@@ -846,6 +873,11 @@ def top_by_final_cap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(diagnostics.top_by_final_cap(_panel(spark, sf), 10))
 
 
+@query("initial_cap_histogram", "SELECT cast(least(21, floor(greatest(cap / 1e6, 0) / 2.0 * 20) + 1) AS bigint) AS bin, count(*) AS n FROM (SELECT asset, arg_min(cap, dt) AS cap FROM panel WHERE cap IS NOT NULL GROUP BY asset) GROUP BY 1")
+def initial_cap_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return diagnostics.initial_caps(_panel(spark, sf), 2.0, 20)
+
+
 @query("top_by_mean_weight", "SELECT asset, round(avg(w), 8) AS mean_w FROM weights GROUP BY asset ORDER BY avg(w) DESC NULLS LAST, asset LIMIT 10")
 def top_by_mean_weight(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(diagnostics.top_by_mean_weight(_weights(spark, sf), 10))

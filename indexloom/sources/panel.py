@@ -34,9 +34,35 @@ def load_weights(spark: SparkSession, path: str) -> DataFrame:
     return read_wide_csv(spark, path, "w")
 
 
+def single(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row for each key; a second row of a key is an error when the table is read."""
+    got = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(value).alias(value))
+    twice = F.raise_error(F.concat_ws(" ", F.lit("more than one value for"), *keys)).cast("double")
+    return got.select(*keys, F.when(F.col("_n") > 1, twice).otherwise(F.col(value)).alias(value))
+
+
 def long_to_wide(panel: DataFrame, value: str, assets: list[str]) -> DataFrame:
-    """Dates by the named assets."""
-    return panel.groupBy("dt").pivot("asset", assets).agg(F.first(value))
+    """Dates by the named assets; two rows of a cell are an error when the table is read."""
+    return single(panel, ["dt", "asset"], value).groupBy("dt").pivot("asset", assets).agg(F.first(value))
+
+
+def read_coefficients(spark: SparkSession, path: str) -> DataFrame:
+    """(asset, basis, coef) from a file of assets by basis; 0 and missing cells are no coefficients."""
+    wide = spark.read.csv(path, header=True)
+    names = wide.columns[1:]
+    rows = wide.select(F.col(f"`{wide.columns[0]}`").alias("asset"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).unpivot(["asset"], [F.col(f"`{c}`") for c in names], "basis", "coef")
+    return rows.withColumn("coef", null_if_nan(F.col("coef"))).where("coef <> 0")
+
+
+def read_coefficient_series(spark: SparkSession, path: str) -> DataFrame:
+    """(dt, asset, basis, coef) from a long file with the columns date, asset, basis and coef."""
+    return spark.read.csv(path, header=True).select(F.to_date("date").alias("dt"), F.col("asset").cast("string").alias("asset"), F.col("basis").cast("string").alias("basis"), F.col("coef").cast("double").alias("coef"))
+
+
+def read_last_weights(spark: SparkSession, path: str) -> dict[str, float]:
+    """The weights of the last date of a file of dates by basis, as the state before of a penalised map; a basis has few names."""
+    w = read_wide_csv(spark, path, "w")
+    return {r.asset: r.w for r in w.join(w.agg(F.max("dt").alias("dt")), "dt", "left_semi").where("w is not null").collect()}
 
 
 def densify(panel: DataFrame) -> DataFrame:
@@ -54,11 +80,6 @@ def market_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(month, "asset").agg(F.try_divide(cap, F.sum("l_quantity")).alias("px"), cap.alias("cap"))
 
 
-def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The market without gaps."""
-    return densify(market_cells(spark, sf_dir))
-
-
 def sparse_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by part: most cells are NULL."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -1,7 +1,10 @@
 """Readers, basis files, settings and sinks."""
 
+import numpy as np
 import pytest
 
+from indexloom.operators import simulate
+from indexloom.plans import runs
 from indexloom.sources import basis, panel, settings, sinks
 
 
@@ -68,6 +71,58 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 1
 
 
+def test_second_value_of_a_cell(spark):
+    rows = spark.createDataFrame([("2020-01-01", "A", 1.5), ("2020-01-01", "A", 2.5)], "dt string, asset string, px double")
+    with pytest.raises(Exception, match="more than one value"):
+        panel.long_to_wide(rows, "px", ["A"]).collect()
+    assert [tuple(r) for r in panel.long_to_wide(rows.limit(1), "px", ["A", "B"]).collect()] == [("2020-01-01", 1.5, None)]
+
+
+def test_runs_from_files_to_files(spark, tmp_path):
+    """Regressions, the map of one row and a backtest, each read back from its files."""
+    rng = np.random.default_rng(2)
+    px = 10 * np.cumprod(1 + 0.05 * rng.standard_normal((14, 4)) + 0.02 * rng.standard_normal((14, 1)), axis=0)
+    days = [f"20{10 + t // 12}-{t % 12 + 1:02d}-01" for t in range(14)]
+    head = "date,A,B,C,D\n"
+    prices = write(tmp_path / "prices.csv", head + "".join(f"{d},{','.join(map(repr, map(float, x)))}\n" for d, x in zip(days, px, strict=True)))
+    weights = write(tmp_path / "weights.csv", head + "".join(f"{d},0.4,0.3,0.2,0.1\n" for d in days))
+    names = spark.createDataFrame([("A",), ("B",), ("gone",)], "asset string")
+    got = runs.local_ridge(panel.load_prices(spark, prices), names, q=2, alpha=0.1, folder=str(tmp_path / "out"))
+    ret = px[1:] / px[:-1] - 1
+    want = {(n, b): v for n, j in (("C", 2), ("D", 3)) for b, v in zip("AB", np.linalg.solve(ret[:, :2].T @ ret[:, :2] + 0.1 * np.eye(2), ret[:, :2].T @ ret[:, j]), strict=True)}
+    assert {(r.asset, r.basis): r.coef for r in got["coefs"].collect()} == pytest.approx(want)
+    back = spark.read.csv(str(tmp_path / "out/regression_errors.csv"), header=True, inferSchema=True).collect()
+    assert {r.asset for r in back} == {"C", "D"} and back[0].rmse >= back[1].rmse and all(r.n_obs == 13 for r in back)
+    with pytest.raises(ValueError):
+        runs.local_ridge(panel.load_prices(spark, prices), names.where("asset = 'gone'"))
+
+    sinks.write_csv(sinks.coefficient_panel(got["coefs"]), str(tmp_path / "panel"))
+    coefs = panel.read_coefficients(spark, str(tmp_path / "panel"))
+    assert {(r.asset, r.basis): r.coef for r in coefs.collect()} == pytest.approx(want)
+    row = runs.map_row(panel.load_weights(spark, weights), coefs, names.where("asset <> 'gone'"), folder=str(tmp_path / "out"))
+    mapped = {b: 0.4 * (b == "A") + 0.3 * (b == "B") + 0.2 * want["C", b] + 0.1 * want["D", b] for b in "AB"}
+    assert {r.basis: r.w for r in row.collect()} == pytest.approx(mapped)
+    before = panel.read_last_weights(spark, str(tmp_path / "out/basis_weights.csv"))
+    assert before == pytest.approx(mapped)
+    held = runs.map_row(panel.load_weights(spark, weights), coefs, names.where("asset <> 'gone'"), 1e9, before)
+    assert {r.basis: r.w for r in held.collect()} == pytest.approx(mapped, abs=1e-6)
+
+    series = write(tmp_path / "series.csv", "date,asset,basis,coef\n" + "".join(f"{days[5]},{a},{b},{v}\n" for (a, b), v in want.items()))
+    out = runs.strategy_files(spark, prices, weights, series, write(tmp_path / "basis.csv", "ticker\nA\nB\n"), str(tmp_path / "bt"))
+    summary = spark.read.json(str(tmp_path / "bt/backtest_timeseries_summary.json")).first()
+    assert summary.n_tail == 2 and summary.tracking_error == pytest.approx(out["summary"].first().tracking_error)
+    assert spark.read.csv(str(tmp_path / "bt/backtest_timeseries.csv"), header=True).count() == 2
+    assert spark.read.csv(str(tmp_path / "bt/backtest_replicate_turnover_turnover.csv"), header=True).count() == 14
+
+
+def test_market_files(spark, tmp_path):
+    market = simulate.simulate(spark, simulate.Market(months=3), [5])
+    sinks.write_simulation(market, simulate.market_weights(market).drop("scenario"), market, str(tmp_path))
+    assert panel.load_prices(spark, f"{tmp_path}/prices_monthly.csv").where("px is not null").count() == market.count()
+    sinks.write_basis_series(spark.createDataFrame([("2020-02-01", "A;B"), ("2020-01-01", "C")], "date string, basis string"), f"{tmp_path}/basis")
+    assert [r.date for r in spark.read.csv(f"{tmp_path}/basis", header=True).collect()] == ["2020-01-01", "2020-02-01"]
+
+
 def test_densify(spark):
     got = panel.densify(spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "dt int, asset string, px double"))
     assert {tuple(r) for r in got.collect()} == {(1, "a", 1.0), (1, "b", None), (2, "a", None), (2, "b", 2.0)}
