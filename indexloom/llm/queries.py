@@ -28,7 +28,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = Scratch(spark).cut(media.with_media(documents(spark, sf_dir)), "media", "none")  # LZW streams are compressed already
+    stored = Scratch(spark).cut(media.with_media(documents(spark, sf_dir)), "media")  # compressed: every file has the same palette
     return media.features(stored)
 
 
