@@ -135,15 +135,19 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEE
             new = np.ones(len(h), bool)
             new[order2[1:]] = (h[order2[1:]] != h[order2[:-1]]) | (g[order2[1:]] != g[order2[:-1]])
             first, later = np.flatnonzero(new), np.flatnonzero(~new)
-            place = np.column_stack((rank[doc], uid[doc], start))
             both = np.column_stack((h, g))
-            rows = [(b, both[first[at]].tobytes(), place[first[at]].tobytes(), b"") for b, at in by_bucket(bucket_of(key[first], buckets))]
+            rows = []
+            for b, at in by_bucket(bucket_of(key[first], buckets)):
+                own = first[at]  # in order of (doc, start), so that an anchor's windows are a run
+                lead, mark = _spans(doc[own], start[own])
+                at0 = doc[own[lead]]
+                rows.append((b, both[own].tobytes(), np.column_stack((rank[at0], uid[at0], mark)).tobytes(), b""))
             rows += [(b, b"", b"", _runs(uid[doc[later[at]]], start[later[at]]).tobytes()) for b, at in by_bucket(bucket_of(mix(uid[doc[later]].view(np.uint64)), buckets))]
             yield _packed(rows, "bucket int, hashes binary, place binary, marks binary")
 
     def extend(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([np.frombuffer(r["hashes"], np.uint64).reshape(-1, 2) for r in rows])
-        place = np.concatenate([np.frombuffer(r["place"], np.int64).reshape(-1, 3) for r in rows])
+        place = _unrolled(np.concatenate([np.frombuffer(r["place"], np.int64).reshape(-1, 3) for r in rows]))
         order = np.lexsort((place[:, 2], place[:, 1], place[:, 0], h[:, 1], h[:, 0]))
         h, place = h[order], place[order]
         later = np.zeros(len(h), bool)
@@ -160,10 +164,10 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, seed: int = SEE
     return there, marks
 
 
-def _runs(uid: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """(uid, start * 256 + windows) of runs of consecutive starts; the input is in order of (uid, start)."""
+def _spans(uid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of a row of it, start * 256 + windows) of runs of consecutive starts; the input is in order of (uid, start)."""
     if not len(uid):
-        return np.zeros((0, 2), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     cut = np.flatnonzero((uid[1:] != uid[:-1]) | (start[1:] != start[:-1] + 1)) + 1
     lo = np.concatenate(([0], cut))
     n = np.diff(np.concatenate((lo, [len(uid)])))
@@ -172,7 +176,21 @@ def _runs(uid: np.ndarray, start: np.ndarray) -> np.ndarray:
     parts = np.maximum(1, -(-n // 255))
     at = np.repeat(np.arange(len(lo)), parts)
     k = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return np.column_stack((uid[lo][at], (first[at] + 255 * k) * 256 + np.minimum(255, n[at] - 255 * k)))
+    return lo[at], (first[at] + 255 * k) * 256 + np.minimum(255, n[at] - 255 * k)
+
+
+def _runs(uid: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(uid, start * 256 + windows) of runs of consecutive starts; the input is in order of (uid, start)."""
+    at, mark = _spans(uid, start)
+    return np.column_stack((uid[at], mark))
+
+
+def _unrolled(runs: np.ndarray) -> np.ndarray:
+    """(rank, uid, start) of each window of runs (rank, uid, start * 256 + windows)."""
+    n = runs[:, 2] & 255
+    at = np.repeat(np.arange(len(runs)), n)
+    step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    return np.column_stack((runs[at, 0], runs[at, 1], (runs[at, 2] >> 8) + step))
 
 
 def covered(words: int, marks: list[int], span: int = SPAN) -> np.ndarray:
