@@ -6,8 +6,9 @@ HyperLogLog sketches of their sites are built by map-side aggregation and merged
 estimate is near the threshold get an exact count of distinct sites.  Boilerplate goes from every
 document that has it.
 
-A line that a third of all rows share is one row per task after map-side aggregation, and the joins
-back to lines are sort-merge joins that adaptive execution splits.
+A line that many rows share is one row per task after map-side aggregation.  Where lines are joined with
+keys, the keys of more than 1/``HOT`` of all lines (so fewer than ``HOT``) are broadcast, and their lines stay where
+they are; the others meet by key.
 """
 
 from __future__ import annotations
@@ -19,19 +20,31 @@ from indexloom.llm.scratch import Scratch, by_key, number
 
 #: Sites from which a line is boilerplate; sketch size (log2); relative width of "near" (over 6 standard errors).
 THRESHOLD, LG_K, NEAR = 8, 12, 0.15
+#: A line that is more than this part of all lines is hot.
+HOT = 4096
 _KEY = ["_h", "_g"]
 
 
-def boilerplate(lines: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
-    """Keys of the lines (with _h, _g, _site) on at least ``threshold`` sites."""
-    spread = lines.groupBy(*_KEY).agg(F.min("_site").alias("lo"), F.max("_site").alias("hi")).where("lo <> hi").select(*_KEY)
-    shared = scratch.cut(lines.select(*_KEY, "_site").join(spread, _KEY), "shared")
+def holding(lines: DataFrame, keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose key (_h, _g) is in ``keys``, each key once; ``hot``: the keys of all hot lines."""
+    few = F.broadcast(keys.join(F.broadcast(hot), _KEY, "left_semi"))  # fewer than HOT rows, as ``hot``
+    cold = lines.join(F.broadcast(hot), _KEY, "left_anti").join(by_key(keys), _KEY, "left_semi")
+    return lines.join(few, _KEY, "left_semi").unionByName(cold)
+
+
+def boilerplate(lines: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Keys of the lines (with _h, _g, _site) on at least ``threshold`` sites; keys of the hot lines, on any number."""
+    total = lines.count()
+    counts = lines.groupBy(*_KEY).agg((F.min("_site") != F.max("_site")).alias("wide"), (F.count(F.lit(1)) * HOT > total).alias("hot"))
+    counts = scratch.cut(counts.where("wide or hot"), "counts")
+    spread, hot = counts.where("wide").select(*_KEY), counts.where("hot").select(*_KEY)
+    shared = scratch.cut(holding(lines.select(*_KEY, "_site"), spread, hot), "shared")
     sketches = shared.groupBy(*_KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(LG_K))).alias("sites"))
     sketches = scratch.cut(sketches, "estimates")
     low, high = threshold * (1 - NEAR) - 1, threshold * (1 + NEAR) + 1
     near = sketches.where(F.col("sites").between(low, high)).select(*_KEY)
-    exact = shared.join(near, _KEY).groupBy(*_KEY).agg(F.count_distinct("_site").alias("n")).where(F.col("n") >= threshold).select(*_KEY)
-    return scratch.cut(sketches.where(F.col("sites") > high).select(*_KEY).unionByName(exact), "boilerplate")
+    exact = holding(shared, near, hot).groupBy(*_KEY).agg(F.count_distinct("_site").alias("n")).where(F.col("n") >= threshold).select(*_KEY)
+    return scratch.cut(sketches.where(F.col("sites") > high).select(*_KEY).unionByName(exact), "boilerplate"), hot
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", threshold: int = THRESHOLD, uid: str | None = None) -> DataFrame:
@@ -48,7 +61,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bare = F.regexp_replace("_line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     hashed = lines.withColumn("_b", bare).where("_b <> ''").select("_uid", "_site", "_pos", F.xxhash64("_b").alias("_h"), F.xxhash64(F.lit(1), "_b").alias("_g"))
     hashed = scratch.cut(hashed, "lines")
-    marks = hashed.select("_uid", "_pos", *_KEY).join(boilerplate(hashed, scratch, threshold), _KEY)
+    marks = holding(hashed.select("_uid", "_pos", *_KEY), *boilerplate(hashed, scratch, threshold))
     marks = scratch.cut(marks.groupBy("_uid").agg(F.collect_list("_pos").alias("_gone")), "marks")
     scratch.release()
     both = base.select("_uid", F.col("_id").alias(id_col), "_t").join(by_key(marks), "_uid", "left").withColumn("_lines", F.split("_t", "\n"))
