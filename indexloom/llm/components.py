@@ -3,7 +3,8 @@
 Large-star links every larger neighbour of a node to the node's smallest neighbour,
 small-star every smaller one; both keep the components, and repeated they turn each
 component into a star around its smallest node.  A round is two aggregations with map-side
-combining and two joins; no component or neighbourhood is ever gathered in one place.
+combining and two joins.  No component is gathered in a list; the links of a node with very many
+meet its smallest neighbour in a sort-merge join, which streams them and which adaptive execution splits by size.
 """
 
 from __future__ import annotations

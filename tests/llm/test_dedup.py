@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from indexloom.llm import exact_dedup, line_dedup, ngram_join, substring
 from indexloom.llm.components import components
@@ -184,6 +185,16 @@ def test_lines(docs):
     assert any(x[2] for x in expected)
 
 
+def test_lines_hot_and_cold(docs, monkeypatch):
+    """Hot lines stay where they are, others meet by key; the result does not depend on where the limit is."""
+    results = []
+    for hot in (1, 8, line_dedup.HOT):  # all lines meet by key; some are hot; all that are shared are hot
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        results.append(cases.key(tuple(r)[1:] for r in line_dedup.dedup_lines(docs, threshold=2).collect()))
+    assert results[0] == results[1] == results[2]
+
+
+
 @given(st.text(alphabet="ab \t\n\x0b\x0c\rAß ", max_size=60), st.integers(1, 4))
 @settings(max_examples=200, deadline=None)
 def test_word_kernel(text, k):
