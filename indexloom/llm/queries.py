@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexloom.llm import exact_dedup as exact
-from indexloom.llm import line_dedup, media, mixing, ngram_join, packing, substring, token_orc, toxicity, url_filter
+from indexloom.llm import line_dedup, media, mixing, ngram_join, packing, phrases, substring, token_orc, toxicity, url_filter
 from indexloom.llm.scratch import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(phrases.collocations(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit": op8_best_fit,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op11_phrase_mining": op11_phrase_mining,
     }
 
 
@@ -202,5 +207,34 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1
 """
 
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang
+), s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w
+), g AS (
+  SELECT lang, w[i:i + k - 1] AS g, k AS size, count(*) AS f FROM s JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) ON i + k - 1 <= len(w)
+  GROUP BY ALL HAVING count(*) >= 100
+), held AS (
+  SELECT lang, g[1:size - 1] AS g, f FROM g WHERE size > 2 UNION SELECT lang, g[2:size] AS g, f FROM g WHERE size > 2
+), c AS (SELECT lang, g, size, f AS a FROM g ANTI JOIN held USING (lang, g, f) WHERE size > 1
+), cuts AS (
+  SELECT c.lang, c.g, c.a, x.f AS l, y.f AS r, n.n, x.size AS k,
+         cast((1000::hugeint * c.a * n.n) // (x.f::hugeint * y.f) AS bigint) AS score
+  FROM c JOIN g x ON x.lang = c.lang AND x.size < c.size AND x.g = c.g[1:x.size]
+         JOIN g y ON y.lang = c.lang AND y.size = c.size - x.size AND y.g = c.g[x.size + 1:c.size] JOIN n ON n.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM best
+)
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, cast(n AS bigint) AS n, score FROM ranked
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_spread": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_spread": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_phrase_mining": OP11_SQL}
