@@ -16,6 +16,7 @@ are integer divisions of decimals, exact up to 38 digits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,48 +40,109 @@ SEGMENT = 1 << 20
 _BYTES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+_CODED = "chunk long, seq binary, sizes array<struct<lang string, n long>>, parts array<struct<lang string, bucket int, code binary, word binary, n binary>>"
+_SIZES = pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))
+_PARTS = pa.list_(pa.struct([("lang", pa.string()), ("bucket", pa.int32()), ("code", pa.binary()), ("word", pa.binary()), ("n", pa.binary())]))
+
+
 class _Codes(dict):
     """Codes of the words of one language, numbered on with those of the chunk's other languages."""
 
-    def __init__(self, lang: str, words: list[bytes], langs: list[str]):
+    def __init__(self, words: list[bytes]):
         super().__init__({b"\n": -1})
-        self.lang, self.words, self.langs = lang, words, langs
+        self.words = words
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self.words)
         self.words.append(word)
-        self.langs.append(self.lang)
         return code
 
 
 def _coded(docs: DataFrame, dealt: Layout) -> DataFrame:
-    """A row for each chunk of lang, text: its sequence of codes (-1 ends a piece) and, by code, word, lang and occurrences."""
+    """A row for each chunk of lang, text: its sequence of codes (-1 ends a piece), words of each language, and its distinct words, dealt by language and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
         for k, c in enumerate(chunks(batches, size=dealt.chunk)):
             words: list[bytes] = []
-            langs: list[str] = []
             codes: dict[str, _Codes] = {}
-            parts = []
+            seqs = []
             for lang, text in zip(c["lang"], c["text"], strict=True):
                 if text:
-                    known = codes.get(lang) or codes.setdefault(lang, _Codes(lang, words, langs))
+                    known = codes.get(lang) or codes.setdefault(lang, _Codes(words))
                     found = filter(None, text.translate(_BYTES).replace(b"\n", b" \n ").split(b" "))
-                    parts.append(np.fromiter(map(known.__getitem__, found), np.int32))
-                    parts.append(np.full(1, -1, np.int32))
+                    seqs += [np.fromiter(map(known.__getitem__, found), np.int32), np.full(1, -1, np.int32)]
             if not words:
                 continue
-            seq = np.concatenate(parts)
+            seq = np.concatenate(seqs)
             n = np.bincount(seq[seq >= 0], minlength=len(words))
-            cols = [pa.array([task + k]), pa.array([seq.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([langs]), pa.array([n])]
-            yield pa.RecordBatch.from_arrays(cols, ["chunk", "seq", "word", "lang", "n"])
+            bucket = bucket_of(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) << np.uint64(32), dealt.buckets)
+            sizes, parts = [], []
+            for lang, known in codes.items():
+                own = np.fromiter(known.values(), np.int32)[1:]
+                sizes.append({"lang": lang, "n": int(n[own].sum())})
+                for at, which in by_bucket(bucket[own]):
+                    code = own[which]
+                    parts.append({"lang": lang, "bucket": at, "code": code.tobytes(), "word": b"\n".join(map(words.__getitem__, code.tolist())), "n": n[code].tobytes()})
+            yield pa.RecordBatch.from_arrays([pa.array([task + k]), pa.array([seq.tobytes()]), pa.array([sizes], _SIZES), pa.array([parts], _PARTS)], ["chunk", "seq", "sizes", "parts"])
+
+    return python_map(docs, run, _CODED)
+
+
+def _frequent(parts: DataFrame, dealt: Layout, least: int) -> DataFrame:
+    """lang, bucket, word, f of the words of all chunks with ``least`` occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, f = None, {}
+        for b in batches:
+            for lang, bucket, word, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if (lang, bucket) != at:
+                    yield from often(at, f)
+                    at, f = (lang, bucket), {}
+                for w, x in zip(word.split(b"\n"), np.frombuffer(n, np.int64).tolist(), strict=True):
+                    f[w] = f.get(w, 0) + x
+        yield from often(at, f)
 
-    return python_map(docs, run, "chunk long, seq binary, word array<string>, lang array<string>, n array<long>")
+    def often(at: tuple | None, f: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        kept = {w: n for w, n in f.items() if n >= least}
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(kept)), pa.array([at[1]] * len(kept), pa.int32()), pa.array(list(kept), pa.binary()).cast(pa.string()), pa.array(list(kept.values()))], ["lang", "bucket", "word", "f"])
+
+    sent = parts.select("lang", "bucket", "word", "n").repartition(dealt.tasks, "lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return sent.transform(python_map, run, "lang string, bucket int, word string, f long")
+
+
+def _known(parts: DataFrame, words: DataFrame, dealt: Layout) -> DataFrame:
+    """chunk, code, id, parts (the three as arrays of int32): the frequent ones of each chunk's words, with the parts that a pivot is split into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, {}
+        for b in batches:
+            out = []
+            for lang, bucket, chunk, code, word, entries in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if (lang, bucket) != at:
+                    at, known = (lang, bucket), {}
+                if chunk is None:  # the frequent words themselves, before the chunks
+                    known = {e["word"].encode(): (e["id"], e["parts"]) for e in entries}
+                    continue
+                found = list(map(known.get, word.split(b"\n")))
+                there = [i for i, x in enumerate(found) if x]
+                if there:
+                    own = np.array([found[i] for i in there], np.int32)
+                    out.append((chunk, np.frombuffer(code, np.int32)[there].tobytes(), own[:, 0].tobytes(), own[:, 1].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["chunk", "code", "id", "parts"])
+
+    entry = F.struct("word", "id", F.ceil(F.col("f") / PIECE).cast("int").alias("parts"))
+    own = words.groupBy("lang", "bucket").agg(F.collect_list(entry).alias("entries"))
+    own = own.select("lang", "bucket", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("binary").alias("word"), "entries")
+    asked = parts.select("lang", "bucket", "chunk", "code", "word", F.lit(None).cast("array<struct<word string, id int, parts int>>").alias("entries"))
+    met = own.unionByName(asked).repartition(dealt.tasks, "lang", "bucket").sortWithinPartitions("lang", "bucket", F.col("chunk").asc_nulls_first())
+    return met.transform(python_map, run, "chunk long, code binary, id binary, parts binary")
 
 
 def _numbered(frequent: DataFrame, scratch: Scratch) -> DataFrame:
-    """lang, word, f with ``id``: 1, 2, ... by falling f; a number of a range's row plus the rows of the ranges before."""
+    """lang, bucket, word, f with ``id``: 1, 2, ... by falling f; a number of a range's row plus the rows of the ranges before."""
     order = [F.col("f").desc(), "lang", "word"]
     ranges = int(frequent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = frequent.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
@@ -88,7 +150,7 @@ def _numbered(frequent: DataFrame, scratch: Scratch) -> DataFrame:
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, whose number is a setting
     bases = rows.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     at = F.col("_at") - F.shiftleft(F.col("_range"), 33)
-    return rows.withColumn("_range", F.shiftright("_at", 33)).join(bases, "_range").select("lang", "word", "f", (F.col("_base") + at + 1).cast("int").alias("id"))
+    return rows.withColumn("_range", F.shiftright("_at", 33)).join(bases, "_range").select("lang", "bucket", "word", "f", (F.col("_base") + at + 1).cast("int").alias("id"))
 
 
 def _same(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,23 +244,21 @@ def _mined(frags: np.ndarray, times: np.ndarray, parts: np.ndarray, longest: int
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``docs`` has lang, text.  Returns frequent words (lang, word, f, id), all words by language (lang, n), and
+    """``docs`` has lang, text.  Returns frequent words (lang, bucket, word, f, id), all words by language (lang, n), and
     frequent phrases of 2 to ``longest`` words (gram: ids, f)."""
     dealt, reach = layout(docs), longest - 1
     coded = scratch.cut(_coded(docs, dealt), "coded")
-    entries = coded.select("chunk", F.posexplode(F.arrays_zip("word", "lang", "n")).alias("code", "e")).select("chunk", "code", "e.word", "e.lang", "e.n")
-    total = coded.select(F.explode(F.arrays_zip("lang", "n")).alias("e")).groupBy("e.lang").agg(F.sum("e.n").alias("n"))
-    frequent = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = scratch.cut(_numbered(frequent, scratch), "words")
-    known = entries.select("chunk", "code", "lang", "word").join(by_key(words), ["lang", "word"])
-    known = known.groupBy("chunk").agg(F.collect_list(F.struct("code", "id", F.ceil(F.col("f") / PIECE).cast("int").alias("parts"))).alias("known"))
+    total = coded.select(F.explode("sizes").alias("e")).groupBy("e.lang").agg(F.sum("e.n").alias("n"))
+    parts = coded.select("chunk", F.explode("parts").alias("e")).select("chunk", "e.*")
+    words = scratch.cut(_numbered(_frequent(parts, dealt, least), scratch), "words")
+    known = _known(parts, words, dealt).groupBy("chunk").agg(F.collect_list(F.struct("code", "id", "parts")).alias("known"))
     rewritten = coded.select("chunk", "seq").join(by_key(known), "chunk")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 seq = np.frombuffer(b.column(1)[i].as_py(), np.int32)
-                code, number, split = (x.to_numpy(zero_copy_only=False) for x in b.column(2)[i].values.flatten())
+                code, number, split = (np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in field]) for field in b.column(2)[i].values.flatten())
                 lut = np.zeros(max(int(seq.max()), int(code.max())) + 2, np.int32)  # the last one for -1
                 lut[code] = number
                 by_id = np.argsort(number)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexloom.llm import exact_dedup as exact
-from indexloom.llm import line_dedup, media, mixing, ngram_join, packing, phrases, substring, token_orc, toxicity, url_filter
+from indexloom.llm import alignment, line_dedup, media, mixing, ngram_join, packing, phrases, substring, token_orc, toxicity, url_filter
 from indexloom.llm.scratch import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
@@ -70,6 +70,10 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.report(phrases.collocations(documents(spark, sf_dir)))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
         "op11_phrase_mining": op11_phrase_mining,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
