@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indexloom.llm.packed import chunks, layout
+from indexloom.llm.packed import chunks, layout, sized
 from indexloom.llm.scratch import Scratch, by_key
 from indexloom.llm.tokens import _byte_characters
 from indexloom.llm.workers import python_map
@@ -232,7 +232,7 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     left out, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    plain = sized(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), scratch)
     dealt = layout(plain)
     width = aligner(first, second).a_size
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from indexloom.llm.scratch import Scratch
 from indexloom.llm.workers import python_map
 
 #: Bytes of text that the map side handles at a time, and of a chunk for each bucket at least.
@@ -25,6 +26,8 @@ CHUNK, ROW = 8 << 20, 4 << 10
 TASK, STRETCH = 128 << 20, 6
 #: Buckets at most; tables above some 300 GB as stored make larger ones.
 MOST = 1 << 14
+#: An estimate from which on it is none (joins multiply estimates; rows from elsewhere have the largest number).
+UNKNOWN = 1 << 50
 
 
 @dataclass(frozen=True)
@@ -36,10 +39,20 @@ class Layout:
     chunk: int
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes by Spark's estimate: for columns of files, their size as stored."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def sized(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` themselves if Spark knows their size, as it does for tables of files; else as a written table."""
+    return docs if _size(docs) < UNKNOWN else scratch.cut(docs, "docs")
+
+
 def layout(stored: DataFrame) -> Layout:
     """For the texts of a written table, by its size as the files have it."""
     spark = stored.sparkSession
-    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = _size(stored)
     tasks = min(MOST, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-STRETCH * size // TASK)))
     buckets = min(MOST, max(256, 4 * tasks))
     return Layout(tasks, buckets, max(CHUNK, ROW * buckets))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from indexloom.llm.packed import Layout, bucket_of, by_bucket, chunks, layout, reduce_buckets
+from indexloom.llm.packed import Layout, bucket_of, by_bucket, chunks, layout, reduce_buckets, sized
 from indexloom.llm.scratch import Scratch, by_key, spread
 from indexloom.llm.text import mix
 from indexloom.llm.workers import python_map
@@ -246,6 +246,7 @@ def _mined(frags: np.ndarray, times: np.ndarray, parts: np.ndarray, longest: int
 def frequent_phrases(docs: DataFrame, scratch: Scratch, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``docs`` has lang, text.  Returns frequent words (lang, bucket, word, f, id), all words by language (lang, n), and
     frequent phrases of 2 to ``longest`` words (gram: ids, f)."""
+    docs = sized(docs, scratch)
     dealt, reach = layout(docs), longest - 1
     coded = scratch.cut(_coded(docs, dealt), "coded")
     total = coded.select(F.explode("sizes").alias("e")).groupBy("e.lang").agg(F.sum("e.n").alias("n"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -19,14 +20,19 @@ SPACES = st.sampled_from([" ", "  ", "\n", " \n ", "\t", "\r\n", "\xa0", " 　 "
 TEXTS = st.lists(st.tuples(SPACES, st.text(st.characters(exclude_categories=["Cs"]), max_size=8) | st.sampled_from(["don't", "<|endoftext|>", "<s>", "▁", "word", "é", "中文", "x;\r"])), max_size=12).map(lambda x: "".join(a + b for a, b in x))
 
 
-def plain_alignment(texts):
-    """Per text: (n_a, n_b, groups as [(a ids, b ids)]), by the libraries on whole texts."""
+@lru_cache
+def libraries():
     import sentencepiece
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(A)
     tok.encode_special_tokens = True
-    sp = sentencepiece.SentencePieceProcessor(model_file=B)
+    return tok, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def plain_alignment(texts):
+    """Per text: its groups as [(a ids, b ids)], by the libraries on whole texts."""
+    tok, sp = libraries()
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in keep} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in keep)}
     out = []
