@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexloom.llm import exact_dedup as exact
-from indexloom.llm import alignment, line_dedup, media, mixing, ngram_join, packing, phrases, substring, token_orc, toxicity, url_filter
+from indexloom.llm import alignment, line_dedup, media, mixing, ngram_join, packing, phrases, substring, suffixes, token_orc, toxicity, url_filter
 from indexloom.llm.scratch import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
@@ -74,6 +74,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_phrase_mining": op11_phrase_mining,
         "op12_token_alignment": op12_token_alignment,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
@@ -241,5 +246,27 @@ QUALIFY rank <= 2000
 """
 
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), v AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM v) WHERE k > 1
+), begun AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM again
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM begun) GROUP BY doc_id, s
+), pieces AS (
+  SELECT s.doc_id, s.b AS a, coalesce(lead(s.a) OVER (PARTITION BY s.doc_id ORDER BY s.a), d.n) AS b FROM spans s JOIN d ON d.doc_id = s.doc_id
+  UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT p.doc_id, string_agg(substr(d.h, 2 * p.a + 1, 2 * (p.b - p.a)), '' ORDER BY p.a) AS h FROM pieces p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id
+), gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, cast(coalesce(g.n, 0) AS bigint) AS n_removed, coalesce(g.spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN gone g ON g.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_spread": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_phrase_mining": OP11_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_spread": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_phrase_mining": OP11_SQL, "op13_suffix_dedup": OP13_SQL}
