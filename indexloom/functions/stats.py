@@ -34,10 +34,70 @@ def _rho(over=None) -> Column:  # noqa: ANN001
     return F.try_divide(on(F.covar_samp("x", "y")), on(F.stddev_samp("x")) * on(F.stddev_samp("y")))
 
 
+#: Assets and dates of a tile: two tiles of returns are what a task of the pair sums holds.
+TILE_ASSETS, TILE_DATES = 512, 1024
+
+
+def pair_sums(ret: DataFrame) -> DataFrame:
+    """u < v, n, cx, cxx, cy, cyy, cxy: number of common dates and sums over them, of returns less their asset's mean.
+
+    Returns are dealt into tiles of assets by dates.  A tile meets every other tile of its dates once, and masked matrix
+    products give the sums of all their pairs, so a return is copied once for each tile of assets, not for each asset, and no
+    row is made for a date and pair.  The tiles of dates are added.
+    """
+    size = ret.agg(F.approx_count_distinct("asset").alias("a"), F.approx_count_distinct("dt").alias("d")).first()
+    blocks, spans = -(-max(1, size.a) // TILE_ASSETS), -(-max(1, size.d) // TILE_DATES)
+    mean = ret.groupBy("asset").agg(F.avg("r").alias("_m"))
+    cells = ret.where("r is not null").join(mean, "asset").select("dt", "asset", (F.col("r") - F.col("_m")).alias("r"), F.pmod(F.xxhash64("asset"), F.lit(blocks)).alias("b"), F.pmod(F.xxhash64("dt"), F.lit(spans)).alias("span"))
+    meet = cells.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("i", F.least("b", "k")).withColumn("j", F.greatest("b", "k"))
+
+    def products(df: pd.DataFrame) -> pd.DataFrame:
+        i, j = df["i"].iloc[0], df["j"].iloc[0]
+        days = pd.factorize(df["dt"])[0]
+
+        def tile(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own = (df["b"] == block).to_numpy()
+            code, names = pd.factorize(df["asset"][own], sort=True)
+            x, there = np.zeros((days.max() + 1, len(names))), np.zeros((days.max() + 1, len(names)))
+            x[days[own], code], there[days[own], code] = df["r"][own], 1.0
+            return np.array(names, object), x, there
+
+        (names, x, mx), (others, y, my) = tile(i), tile(j)
+        if not len(names) or not len(others):
+            return pd.DataFrame({c: [] for c in ("u", "v", "n", "cx", "cxx", "cy", "cyy", "cxy")})
+        n = mx.T @ my
+        k, m = np.nonzero((n > 0) & (names[:, None] < others[None, :] if i == j else names[:, None] != others[None, :]))
+        sums = {"cx": x.T @ my, "cxx": (x * x).T @ my, "cy": mx.T @ y, "cyy": mx.T @ (y * y), "cxy": x.T @ y}
+        u, v, turned = names[k], others[m], names[k] > others[m]
+        out = {c: t[k, m] for c, t in sums.items()}
+        for c, d in (("cx", "cy"), ("cxx", "cyy")):
+            out[c], out[d] = np.where(turned, out[d], out[c]), np.where(turned, out[c], out[d])
+        return pd.DataFrame({"u": np.where(turned, v, u), "v": np.where(turned, u, v), "n": n[k, m].astype(int), **out})
+
+    found = meet.groupBy("i", "j", "span").applyInPandas(products, "u string, v string, n long, cx double, cxx double, cy double, cyy double, cxy double")
+    return found.groupBy("u", "v").agg(*[F.sum(c).alias(c) for c in ("n", "cx", "cxx", "cy", "cyy", "cxy")])
+
+
+def _moments(sums: DataFrame) -> DataFrame:
+    """u, v, n, vx, vy, cxy: sums of squares and products about the means of the common dates; what rounding leaves of a constant is 0."""
+    def about(square: str, total: str) -> Column:
+        left = F.col(square) - F.col(total) * F.col(total) / F.col("n")
+        return F.when(left > 1e-12 * F.col(square), left).otherwise(0.0)
+
+    return sums.select("u", "v", "n", about("cxx", "cx").alias("vx"), about("cyy", "cy").alias("vy"), (F.col("cxy") - F.col("cx") * F.col("cy") / F.col("n")).alias("cxy"))
+
+
+def every_pair(ret: DataFrame) -> DataFrame:
+    """u < v of all assets."""
+    names = ret.select("asset").distinct()
+    return names.select(F.col("asset").alias("u")).join(names.select(F.col("asset").alias("v")), F.col("u") < F.col("v"))
+
+
 def pearson(ret: DataFrame, min_periods: int = 1) -> DataFrame:
-    """u, v, rho, n_obs; rho is NULL below ``min_periods`` common dates or without variance."""
-    got = pairs(ret).groupBy("u", "v").agg(_rho().alias("rho"), F.count("x").alias("n_obs"))
-    return got.withColumn("rho", F.when(F.col("n_obs") >= min_periods, F.col("rho")))
+    """u, v, rho, n_obs of all pairs; rho is NULL below ``min_periods`` common dates or without variance."""
+    m = _moments(pair_sums(ret))
+    rho = F.when(F.col("n") >= min_periods, F.try_divide(F.col("cxy"), F.sqrt("vx") * F.sqrt("vy")))
+    return every_pair(ret).join(m, ["u", "v"], "left").select("u", "v", rho.alias("rho"), F.coalesce("n", F.lit(0).cast("long")).alias("n_obs"))
 
 
 def spearman(ret: DataFrame, min_periods: int = 1) -> DataFrame:
@@ -56,7 +116,8 @@ def spearman(ret: DataFrame, min_periods: int = 1) -> DataFrame:
 def covariance(ret: DataFrame) -> DataFrame:
     """u, v, cov for u <= v over common dates."""
     own = ret.where("r is not null").groupBy(F.col("asset").alias("u")).agg(F.var_samp("r").alias("cov")).select("u", F.col("u").alias("v"), "cov")
-    return own.unionByName(pairs(ret).groupBy("u", "v").agg(F.covar_samp("x", "y").alias("cov")))
+    common = _moments(pair_sums(ret)).select("u", "v", F.try_divide(F.col("cxy"), F.col("n") - 1).alias("cov"))
+    return own.unionByName(every_pair(ret).join(common, ["u", "v"], "left").select("u", "v", "cov"))
 
 
 def cov_to_corr(cov: DataFrame) -> DataFrame:

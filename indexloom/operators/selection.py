@@ -132,10 +132,10 @@ def spread_trace(paths: DataFrame, k: int, weights: DataFrame, alpha: float = 0.
     return rows.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda df: steps(df.drop(columns="_g", errors="ignore")), "step int, asset string, score double, chosen boolean")
 
 
-def hub_scores(tree: DataFrame, paths: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, gamma: float = 0.0) -> DataFrame:
-    """asset, score: (1 - gamma) * centrality + gamma * weight, both brought to [0, 1]; the centrality is
+def hub_scores(tree: DataFrame, between: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, gamma: float = 0.0) -> DataFrame:
+    """``between`` has asset, betweenness.  asset, score: (1 - gamma) * centrality + gamma * weight, both brought to [0, 1]; the centrality is
     alpha * degree + (1 - alpha) * betweenness."""
-    c = degrees(tree).join(betweenness(paths), "asset").withColumn("c", alpha * F.col("degree") + (1 - alpha) * F.col("betweenness"))
+    c = degrees(tree).join(between, "asset").withColumn("c", alpha * F.col("degree") + (1 - alpha) * F.col("betweenness"))
     if weights is not None:
         c = c.join(weights.select("asset", "w"), "asset", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
         wn = normalised(F.col("w"))
@@ -164,7 +164,7 @@ def hub_branch(tree: DataFrame, paths: DataFrame, k: int, h: int | None = None,
     labels = [r.asset for r in nodes(tree).orderBy("asset").collect()] if k > 0 else []  # the assets of one index
     if k >= len(labels):
         return spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "pos int, asset string")
-    scores = hub_scores(tree, paths, weights, alpha, gamma)
+    scores = hub_scores(tree, betweenness(paths), weights, alpha, gamma)
     known = [x for x in dict.fromkeys(before) if x in set(labels)]
     sticky = F.col("asset").isin(known) if known else F.lit(False)
     sticky_hub = F.col("asset").isin(known[:k]) if known else F.lit(False)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indexloom.functions.stats import square, symmetric
+from indexloom.operators.forest import spanning_forest
 from indexloom.plans.tables import cut
 
 
@@ -49,27 +50,9 @@ class UnionFind:
         return self.size[self.find(x)]
 
 
-def mst(dist: DataFrame, label: str = "string") -> DataFrame:
-    """The minimum spanning tree of (u, v, dist), by Boruvka rounds; NULL distances come last, ties by labels.
-
-    Each round picks every component's lightest outgoing edge in one distributed aggregate; the
-    driver joins components, of which there are at most as many as labels.
-    """
-    spark = dist.sparkSession
-    far = F.struct(F.col("dist").isNull().alias("none"), F.col("dist").alias("w"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    edges = cut(dist.where("u <> v").select(far.alias("e"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-    labels = [r[0] for r in edges.select("u").union(edges.select("v")).distinct().orderBy("u").collect()]
-    sets, tree = UnionFind(labels), []
-    while len(tree) < len(labels) - 1:
-        comp = spark.createDataFrame([(x, sets.find(x)) for x in labels], f"x {label}, c {label}")
-        cu, cv = comp.select(F.col("x").alias("u"), F.col("c").alias("cu")), comp.select(F.col("x").alias("v"), F.col("c").alias("cv"))
-        out = edges.join(cu, "u").join(cv, "v").where("cu <> cv")
-        ways = out.select("cu", "e").union(out.select("cv", "e")).groupBy("cu").agg(F.min("e").alias("e")).select("e").distinct()
-        picked = [r.e for r in ways.orderBy("e").collect()]
-        if not picked:
-            break
-        tree += [(e.u, e.v, e.w) for e in picked if sets.union(e.u, e.v)]
-    return spark.createDataFrame(tree, f"u {label}, v {label}, w double")
+def mst(dist: DataFrame) -> DataFrame:
+    """The minimum spanning tree of (u, v, dist); NULL distances come last, ties by labels."""
+    return spanning_forest(dist)
 
 
 def prim(m: np.ndarray) -> list[tuple[int, int, float]]:
@@ -257,7 +240,7 @@ def euclidean_mst(points: DataFrame, rows: int = 1024, block: int = 1024) -> Dat
         lost = lost.union(first.agg(F.min("id")).where("`min(id)` is not null"))
         hub = F.lit(lost.agg(F.min("id")).first()[0])
         edges = edges.unionByName(lost.where(F.col("id") != hub).select(hub.alias("u"), F.col("id").alias("v"), F.lit(None).cast("double").alias("dist")))
-    return mst(edges, label)
+    return mst(edges)
 
 
 def argmax(scores: DataFrame, score: str = "score", order: str = "asset") -> DataFrame:

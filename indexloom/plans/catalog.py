@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from indexloom.functions import stats
-from indexloom.operators import backtest, diagnostics, mapping, ridge, selection, simulate, tree
+from indexloom.operators import backtest, diagnostics, forest, mapping, ridge, selection, simulate, tree
 from indexloom.plans import strategies
 from indexloom.plans.tables import cut
 from indexloom.sources import basis as basis_files
@@ -171,6 +171,12 @@ def _tree(spark: SparkSession, sf: str) -> DataFrame:
     return tree.mst(stats.price_distance(_panel(spark, sf)))
 
 
+def _nodes(spark: SparkSession, sf: str, t: DataFrame | None = None) -> DataFrame:
+    """The tree of the brands, rooted at the first label."""
+    t = t or cut(_tree(spark, sf))
+    return forest.rooted(t, t.agg(F.min("u").alias("asset")))
+
+
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
     return cut(tree.walks(_tree(spark, sf)))
 
@@ -349,25 +355,81 @@ def tree_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tree_betweenness", "SELECT asset, betweenness FROM btw", with_tree=True)
 def tree_betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.betweenness(_paths(spark, sf))
+    return forest.betweenness(_nodes(spark, sf))
 
 
 @query("tree_branches", "SELECT src AS asset, first_hop AS branch, count(*) AS size FROM walk WHERE first_hop IS NOT NULL GROUP BY 1, 2", with_tree=True)
 def tree_branches(spark: SparkSession, sf: str) -> DataFrame:
     """The branch sizes that betweenness is made of."""
-    return _paths(spark, sf).where("first_hop is not null").groupBy(F.col("src").alias("asset"), F.col("first_hop").alias("branch")).agg(F.count(F.lit(1)).alias("size"))
+    return forest.branches(_nodes(spark, sf))
 
 
 @query("tree_components", "SELECT src AS asset, min(dst) AS comp FROM walk WHERE NOT list_has_any(path, (SELECT list(asset) FROM hub WHERE pos < 2)) GROUP BY src", with_tree=True)
 def tree_components(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tree(spark, sf)
-    paths = cut(tree.walks(t))
-    return tree.components_without(paths, selection.hubs(selection.hub_scores(t, paths), 2))
+    t = cut(_tree(spark, sf))
+    return forest.components_without(t, selection.hubs(selection.hub_scores(t, forest.betweenness(_nodes(spark, sf, t))), 2))
 
 
 @query("tree_path_length", "SELECT round(d, 8) AS d FROM walk WHERE src = 'Brand#1' AND dst = 'Brand#9'", with_tree=True)
 def tree_path_length(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(tree.path_length(_paths(spark, sf), "Brand#1", "Brand#9"))
+    asked = spark.createDataFrame([("Brand#1", "Brand#9")], "src string, dst string")
+    return rounded(forest.Ways(_tree(spark, sf)).between(asked).select("d"))
+
+
+@query(
+    "tree_rooted",
+    """SELECT asset, parent, round(w, 8) AS w, depth, round(d, 8) AS d, size, row_number() OVER (ORDER BY path) - 1 AS step, round(total, 6) AS total
+FROM (SELECT dst AS asset, prev AS parent, hops AS depth, d, path FROM walk WHERE src = (SELECT min(u) FROM edge))
+JOIN (SELECT asset AS a, count(*) AS size FROM (SELECT unnest(path) AS asset FROM walk WHERE src = (SELECT min(u) FROM edge)) GROUP BY asset) ON a = asset
+JOIN (SELECT src, sum(d) AS total FROM walk GROUP BY src) ON src = asset LEFT JOIN (SELECT u, v, w FROM edge) ON u = parent AND v = asset""",
+    with_tree=True,
+)
+def tree_rooted(spark: SparkSession, sf: str) -> DataFrame:
+    """Parents, sizes, depths, ways from the root, discovery order and sums of ways, from the Euler tour."""
+    return rounded(_nodes(spark, sf).select("asset", "parent", "w", "depth", "d", "size", "step", "total"), total=6)
+
+
+@query(
+    "betweenness_trace",
+    """SELECT row_number() OVER (ORDER BY path) - 1 AS step, asset, parent, size, branches, btw.betweenness
+FROM (SELECT dst AS asset, prev AS parent, path FROM walk WHERE src = (SELECT min(u) FROM edge))
+JOIN (SELECT x AS a, count(*) AS size FROM (SELECT unnest(path) AS x FROM walk WHERE src = (SELECT min(u) FROM edge)) GROUP BY x) ON a = asset
+JOIN (SELECT src, string_agg(n, ' ' ORDER BY n) AS branches FROM (SELECT src, first_hop, count(*) AS n FROM walk WHERE first_hop IS NOT NULL GROUP BY 1, 2) GROUP BY src) ON src = asset
+JOIN btw USING (asset)""",
+    with_tree=True,
+)
+def betweenness_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes as they are discovered, with the sizes of their branches and what follows from these."""
+    return forest.betweenness_trace(_nodes(spark, sf)).withColumn("branches", F.array_join(F.col("branches").cast("array<string>"), " "))
+
+
+@query("tree_pairs", "SELECT a.asset AS src, a.other AS dst, round(d, 8) AS d FROM (SELECT asset, lead(asset) OVER (ORDER BY asset) AS other FROM (SELECT DISTINCT asset FROM panel)) a JOIN walk ON src = asset AND dst = other", with_tree=True)
+def tree_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """How far labels that follow each other are apart, by lowest common ancestors."""
+    names = _panel(spark, sf).select("asset").distinct()
+    asked = names.select(F.col("asset").alias("src"), F.lead("asset").over(Window.orderBy("asset")).alias("dst")).where("dst is not null")  # brands
+    return rounded(forest.Ways(_tree(spark, sf)).between(asked).select("src", "dst", "d"))
+
+
+def _bought_together(spark: SparkSession, sf: str) -> DataFrame:
+    """(u, v, dist) of parts on neighbouring lines of an order: the closer, the oftener."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.format_string("%08d", "l_partkey").alias("part"))
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("part").alias("other"))
+    both = lines.join(after, ["l_orderkey", "l_linenumber"]).where("part <> other")
+    return both.groupBy(F.least("part", "other").alias("u"), F.greatest("part", "other").alias("v")).agg((1 / F.count(F.lit(1))).alias("dist"))
+
+
+@query("part_forest")
+def part_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The minimum spanning forest of a large, sparse graph: parts bought together."""
+    return rounded(forest.spanning_forest(_bought_together(spark, sf)))
+
+
+@query("part_forest_nodes")
+def part_forest_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """That forest rooted, with the betweenness of every part."""
+    nodes = cut(forest.rooted(cut(forest.spanning_forest(_bought_together(spark, sf)))))
+    return rounded(nodes.join(forest.betweenness(nodes), "asset"), 6)
 
 
 @query(
@@ -404,18 +466,18 @@ def normalize_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("avg_tree_distance", "SELECT src AS asset, round(avg(d), 8) AS avg_dist FROM walk GROUP BY src", with_tree=True)
 def avg_tree_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(selection.mean_tree_distance(_paths(spark, sf)))
+    return rounded(forest.mean_distance(_nodes(spark, sf)))
 
 
 @query("hub_ranking", "SELECT cast(pos AS integer) AS pos, asset, round(score, 8) AS score FROM hub WHERE pos < 5", with_tree=True)
 def hub_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tree(spark, sf)
-    return rounded(selection.hubs(selection.hub_scores(t, cut(tree.walks(t))), 5))
+    t = cut(_tree(spark, sf))
+    return rounded(selection.hubs(selection.hub_scores(t, forest.betweenness(_nodes(spark, sf, t))), 5))
 
 
 @query("most_central", "SELECT asset, betweenness FROM btw ORDER BY betweenness DESC, asset LIMIT 1", with_tree=True)
 def most_central(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.argmax(tree.betweenness(_paths(spark, sf)), "betweenness")
+    return tree.argmax(forest.betweenness(_nodes(spark, sf)), "betweenness")
 
 
 _SPREAD = """ also pick AS (
