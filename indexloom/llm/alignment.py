@@ -20,6 +20,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from indexloom.llm.workers import python_map
 
 #: Second ids of a stripe; tasks for each part of the stripes.
 STRIPE, TASKS = 64, 64
-#: Entries of one generation of a worker's table of units; two generations are kept.
-KEEP = 100_000
+#: Units that are encoded and aligned together.
+UNITS = 1 << 15
 #: How the first vocabulary splits texts, and the mark of a second one that leaves texts as they are.
 SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 UNCHANGED = b"\x0a\x08identity"
@@ -45,17 +46,23 @@ _ODD = re.compile(rb"[\x0b-\x0d\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
-class Unit:
-    """What one unit gives: numbers of tokens, its groups as text, and the two last ids of each group."""
+class Aligned:
+    """What units give, one after another: whether their bytes are their tokens', numbers of tokens and groups, groups as text, and the two last ids of each group."""
 
-    __slots__ = ("a", "b", "groups", "n_a", "n_b")
+    def __init__(self, n: int):
+        self.good = np.zeros(n, bool)
+        self.n_a, self.n_b, self.n_groups = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.shown = [b""] * n
+        self.a = self.b = np.zeros(0, np.int64)
 
-    def __init__(self, n_a: int, n_b: int, groups: bytes, a: list[int], b: list[int]):
-        self.n_a, self.n_b, self.groups, self.a, self.b = n_a, n_b, groups, a, b
+    def extend(self, other: Aligned) -> None:
+        for k in ("good", "n_a", "n_b", "n_groups", "a", "b"):
+            setattr(self, k, np.concatenate((getattr(self, k), getattr(other, k))))
+        self.shown += other.shown
 
 
 class Aligner:
-    """Encodes with both tokenizers and aligns; knows the units it met."""
+    """Encodes with both tokenizers and aligns, many units at a time."""
 
     def __init__(self, first: str, second: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,57 +80,82 @@ class Aligner:
         self.a_bytes = [bytes(byte.get(c, 32) for c in self.tok.id_to_token(i) or "") for i in range(self.a_size)]
         names = [self.pieces.id_to_piece(i) for i in range(b_size)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.sizes = [np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes)]
+        numbers = [str(i).encode() for i in range(max(self.a_size, b_size))]
+        self.width = np.array([len(x) for x in numbers], np.int64)
+        self.digits = np.array([list(x.ljust(int(self.width.max()))) for x in numbers], np.uint8)
         crossing = any(c in " \t\n" and p[k] not in " \t\n" for p in (n.replace("▁", " ") for n in names) for k, c in enumerate(p[1:]))
         self.by_unit = made["normalizer"] is None and made["pre_tokenizer"] == SPLITTER and UNCHANGED in self.pieces.serialized_model_proto() and not crossing
         self.lead = len(self.pieces.encode("x"))
-        self.known: dict[bytes, Unit | None] = {}
-        self.older: dict[bytes, Unit | None] = {}
-
-    def align(self, a: Sequence[int], b: Sequence[int], text: bytes) -> Unit | None:
-        """None if the tokens' bytes are not those of the text."""
-        if b"".join(map(self.a_bytes.__getitem__, a)) != text or b"".join(map(self.b_bytes.__getitem__, b)) != text:
-            return None
-        groups, last_a, last_b = [], [], []
-        i = j = from_i = from_j = x = y = 0
-        while i < len(a) or j < len(b):
-            if x <= y:
-                x += len(self.a_bytes[a[i]])
-                i += 1
-            else:
-                y += len(self.b_bytes[b[j]])
-                j += 1
-            if x == y:
-                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                last_a.append(a[i - 1])
-                last_b.append(b[j - 1])
-                from_i, from_j = i, j
-        return Unit(len(a), len(b), ";".join(groups).encode(), last_a, last_b)
-
-    def whole(self, text: bytes) -> Unit | None:
-        """A text (without the blank before it) through both tokenizers."""
-        plain = text.decode()
-        a = self.tok.encode_batch_fast([" " + plain], add_special_tokens=False)[0].ids
-        return self.align(a, self.pieces.encode([plain], num_threads=1)[0], b" " + text)
-
-    def units(self, found: list[bytes]) -> list[Unit | None]:
-        """What distinct units give."""
-        if len(self.known) >= KEEP:
-            self.known, self.older = {}, self.known
-        fresh = [u for u in found if u not in self.known]
-        new = []
-        for u in fresh:
-            if u in self.older:
-                self.known[u] = self.older[u]
-            else:
-                new.append(u)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
+
+    def align(self, a: list[Sequence[int]], b: list[Sequence[int]], texts: list[bytes]) -> Aligned:
+        """Units of which the tokens' bytes are not those of the text are not good and have no tokens."""
+        out = Aligned(len(texts))
+        goal = np.fromiter(map(len, texts), np.int64, len(texts))
+        out.good[:] = True
+        for lists, size in zip((a, b), self.sizes, strict=True):
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum()))
+            out.good &= np.diff(np.concatenate(([0], np.cumsum(size[flat])))[np.concatenate(([0], np.cumsum(n)))]) == goal
+        at = np.flatnonzero(out.good).tolist()
+        own = [texts[i] for i in at]
+        if any(b"".join(map(table.__getitem__, chain.from_iterable(lists[i] for i in at))) != b"".join(own) for table, lists in ((self.a_bytes, a), (self.b_bytes, b))):
+            at = [i for i in at if all(b"".join(map(table.__getitem__, lists[i])) == texts[i] for table, lists in ((self.a_bytes, a), (self.b_bytes, b)))]
+            own = [texts[i] for i in at]
+            out.good[:] = False
+            out.good[at] = True
+        if not at:
+            return out
+        borders = np.cumsum(goal[at])  # bytes of all good units, one after another
+        flat, ends = [], []
+        for lists, size, per in ((a, self.sizes[0], out.n_a), (b, self.sizes[1], out.n_b)):
+            per[at] = [len(lists[i]) for i in at]
+            flat.append(np.fromiter(chain.from_iterable(lists[i] for i in at), np.int64, int(per.sum())))
+            ends.append(np.cumsum(size[flat[-1]]))
+        (fa, fb), (ea, eb) = flat, ends
+        last_a, last_b = eb[np.searchsorted(eb, ea)] == ea, ea[np.searchsorted(ea, eb)] == eb  # both end at the units' ends
+        out.a, out.b = fa[last_a], fb[last_b]
+        closed = np.searchsorted(ea[last_a], borders, "right")
+        out.n_groups[at] = np.diff(closed, prepend=0)
+        # the ids of a group's first tokens, then of its second ones, each with the mark behind it
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        all_a, all_b = np.cumsum(np.bincount(group_a)), np.cumsum(np.bincount(group_b))
+        place_a = np.arange(len(fa)) + np.concatenate(([0], all_b))[group_a]
+        place_b = np.arange(len(fb)) + all_a[group_b]
+        ids, marks = np.empty(len(fa) + len(fb), np.int64), np.empty(len(fa) + len(fb), np.uint8)
+        ids[place_a], ids[place_b] = fa, fb
+        marks[place_a], marks[place_b] = np.where(last_a, 124, 44), np.where(last_b, 59, 44)  # | ; and commas
+        size = self.width[ids]
+        stop = np.cumsum(size + 1)
+        text = np.empty(int(stop[-1]), np.uint8)
+        for k in range(self.digits.shape[1]):
+            here = np.flatnonzero(size > k)
+            text[stop[here] - 1 - size[here] + k] = self.digits[ids[here], k]
+        text[stop - 1] = marks
+        shown = text.tobytes()
+        tokens = np.cumsum(out.n_a[at] + out.n_b[at])
+        lo = 0
+        for i, hi in zip(at, stop[tokens - 1].tolist(), strict=True):
+            out.shown[i] = shown[lo : hi - 1]
+            lo = hi
+        return out
+
+    def wholes(self, texts: list[bytes]) -> Aligned:
+        """Texts (without the blank before them) through both tokenizers."""
+        plain = [t.decode() for t in texts]
+        first = self.tok.encode_batch_fast([" " + p for p in plain], add_special_tokens=False)
+        return self.align([e.ids for e in first], self.pieces.encode(plain, num_threads=1), [b" " + t for t in texts])
+
+    def units(self, found: list[bytes]) -> Aligned:
+        """Distinct units; the blank that the second tokenizer puts before texts goes to an x."""
+        out = Aligned(0)
+        for lo in range(0, len(found), UNITS):
+            part = found[lo : lo + UNITS]
             plain = [u.decode() for u in part]
             first = self.tok.encode_batch_fast(plain, add_special_tokens=False)
-            second = self.pieces.encode(["x" + p for p in plain], num_threads=1)  # the blank that is put before texts goes to the x
-            for u, a, b in zip(part, first, second, strict=True):
-                self.known[u] = self.align(a.ids, b[self.lead :], u)
-        return [self.known[u] for u in found]
+            second = self.pieces.encode(["x" + p for p in plain], num_threads=1)
+            out.extend(self.align([e.ids for e in first], [b[self.lead :] for b in second], part))
+        return out
 
 
 def aligner(first: str, second: str) -> Aligner:
@@ -153,18 +185,15 @@ def _linked(ids: list, texts: list[bytes | None], known: Aligner) -> tuple[list,
         if not t:
             seqs.append(np.zeros(0, np.int32))
         elif not known.by_unit or _ODD.search(t):
-            odd[i] = known.whole(t)
+            odd[i] = t
             seqs.append(np.zeros(0, np.int32))
         else:
             seqs.append(np.fromiter(map(codes.__getitem__, _UNIT.findall(b" " + t)), np.int32))
-    units: list[Unit | None] = known.units(list(codes))
-    for i, u in odd.items():  # a text encoded whole is a unit of its own
-        if u is not None:
-            seqs[i] = np.full(1, len(units), np.int32)
-            units.append(u)
-    bad = np.array([u is None for u in units], bool)
-    n_a, n_b, n_groups = (np.array([0 if u is None else f(u) for u in units], np.int64) for f in (lambda u: u.n_a, lambda u: u.n_b, lambda u: len(u.a)))
-    shown = [b"" if u is None else u.groups for u in units]
+    units = known.units(list(codes))
+    for n, (i, t) in enumerate(odd.items(), len(codes)):  # a text encoded whole is a unit of its own
+        seqs[i] = np.full(1, n, np.int32)
+        units.extend(known.wholes([t]))
+    bad, n_a, n_b, n_groups, shown = ~units.good, units.n_a, units.n_b, units.n_groups, units.shown
     sums, shas = [], []
     for i, s in enumerate(seqs):
         if len(s) and bad[s].any():
@@ -173,9 +202,8 @@ def _linked(ids: list, texts: list[bytes | None], known: Aligner) -> tuple[list,
         shas.append(hashlib.sha256(b";".join(map(shown.__getitem__, s.tolist()))).hexdigest() if len(s) else "")
     seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
     ends = np.cumsum([len(s) for s in seqs], dtype=np.int64)
-    times = np.bincount(seq, minlength=len(units))
-    a = np.array([x for u in units if u is not None for x in u.a], np.int64)
-    b = np.array([x for u in units if u is not None for x in u.b], np.int64)
+    times = np.bincount(seq, minlength=len(bad))
+    a, b = units.a, units.b
     unit_ends = np.cumsum(n_groups)
     used = np.repeat(times, n_groups)
     keys, pair = np.unique(b * known.a_size + a, return_inverse=True)
