@@ -34,7 +34,7 @@ from indexloom.llm.workers import python_map
 #: Bytes of a string, of the runs that anchors are chosen from, and of the depth to which multikey quicksort goes.
 SPAN, SEED, SHALLOW = 100, 48, 24
 #: Bytes whose strings are hashed at a time, and strings that are sorted together at most before a task goes on to the next anchors.
-SEGMENT, SORTED = 1 << 20, 1 << 21
+SEGMENT, SORTED = 1 << 19, 1 << 18
 #: Bytes of an anchor that are sent.
 MARK = 5
 _NULL = np.iinfo(np.int64).max
