@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from indexloom.functions.scan import running, running_product
+
 #: Months of a year.
 YEAR = 12
 
@@ -85,15 +87,14 @@ def turnover(weights: DataFrame, dates: DataFrame | None = None) -> DataFrame:
 def running_rmse(series: DataFrame, value: str = "diff") -> DataFrame:
     """(dt, running_rmse): root mean square up to each date; missing counts as 0."""
     x = F.coalesce(F.col(value), F.lit(0.0))
-    w = Window.orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
-    return series.select("dt", F.sqrt(F.avg(x * x).over(w)).alias("running_rmse"))
+    squares = series.select("dt", (x * x).alias("_x"), F.lit(1).alias("_one"))
+    return running(squares, ["dt"], {"_sum": ("sum", "_x"), "_n": ("sum", "_one")}).select("dt", F.sqrt(F.col("_sum") / F.col("_n")).alias("running_rmse"))
 
 
 def cumulative_return(series: DataFrame, value: str) -> DataFrame:
     """(dt, cumulative): the product of 1 + return up to each date, less 1; missing counts as 0."""
-    w = Window.orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
-    so_far = F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(w)
-    return series.select("dt", (F.aggregate(so_far, F.lit(1.0), lambda a, r: a * (1 + r)) - 1).alias("cumulative"))
+    got = running_product(series.select("dt", F.col(value).alias("_r")), ["dt"], 1 + F.col("_r"), "_p")
+    return got.select("dt", (F.col("_p") - 1).alias("cumulative"))
 
 
 def active_returns(index: DataFrame, replica: DataFrame) -> DataFrame:

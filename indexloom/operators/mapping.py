@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from indexloom.functions.scan import asof
+
 
 def mapping(coefs: DataFrame, basis: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Sparse rows (keys, asset, basis, a): coefficients, and the identity for members without any."""
@@ -65,11 +67,7 @@ def map_penalised(weights: DataFrame, a: DataFrame, penalty: float, initial: str
 
 def as_of(dates: DataFrame, known: DataFrame) -> DataFrame:
     """(dt, as_of): for every date the last date in ``known`` that is not later; dates before all have none."""
-    marks = dates.select("dt", F.lit(None).cast("date").alias("k"), F.lit(1).alias("o")).unionByName(known.select("dt", F.col("dt").alias("k"), F.lit(0).alias("o")))
-    from pyspark.sql import Window
-
-    w = Window.orderBy("dt", "o").rowsBetween(Window.unboundedPreceding, 0)  # a calendar: one row a date
-    return marks.withColumn("as_of", F.last("k", ignorenulls=True).over(w)).where("o = 1").select("dt", "as_of")
+    return asof(dates.select("dt").distinct(), known.select("dt").distinct(), "dt").select("dt", F.col("dt_found").alias("as_of"))
 
 
 def as_of_coefficients(dates: DataFrame, coefs: DataFrame) -> DataFrame:

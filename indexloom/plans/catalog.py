@@ -712,6 +712,24 @@ def ridge_timeseries_q3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_monthly(spark, sf, 3), 7)
 
 
+_RANKED = f""" also past AS (
+  SELECT t AS dt, u, v, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS rho
+  FROM (SELECT t, u, v, rank() OVER (PARTITION BY t, u, v ORDER BY x) + (count(*) OVER (PARTITION BY t, u, v, x) - 1) / 2.0 AS rx,
+               rank() OVER (PARTITION BY t, u, v ORDER BY y) + (count(*) OVER (PARTITION BY t, u, v, y) - 1) / 2.0 AS ry
+        FROM (SELECT c.dt AS t, u, v, x, y FROM (SELECT DISTINCT dt FROM panel) c JOIN pairs p ON p.dt < c.dt
+              WHERE x IS NOT NULL AND (u IN (SELECT asset FROM {_BASIS_SQL})) <> (v IN (SELECT asset FROM {_BASIS_SQL}))))
+  GROUP BY 1, 2, 3
+)"""
+
+
+@query("ridge_timeseries_spearman", _RANKED + _REFITS.format(q=1)[_REFITS.format(q=1).index(", near_at") :] + " SELECT cast(dt AS varchar) AS dt, asset, basis, round(coef, 7) AS coef FROM ser")
+def ridge_timeseries_spearman(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours by rank correlation, as the settings of the series may ask for."""
+    panel = _panel(spark, sf)
+    members = panel.select("dt").distinct().join(F.broadcast(_basis(spark)))  # dates by the five members
+    return rounded(strategies.regressions_over_time(panel, members, 1, 0.001, corr="spearman"), 7)
+
+
 @query(
     "ridge_series_errors",
     _REFITS.format(q=3)
@@ -915,6 +933,18 @@ def count_turnover(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(diagnostics.count_turnover(_weights(spark, sf)))
 
 
+@query(
+    "return_density",
+    """, f AS (SELECT count(r) AS n, stddev_samp(r) * pow(count(r), -0.2) AS h FROM ret
+), b AS (SELECT cast(floor((r + 0.2) / 0.4 * 40) + 1 AS bigint) AS bin, count(*) AS c FROM ret WHERE r >= -0.2 AND r < 0.2 GROUP BY 1
+), g AS (SELECT unnest(range(1, 41)) AS bin)
+SELECT g.bin, round(-0.2 + (g.bin - 0.5) * 0.01, 8) AS x, round((SELECT sum(c * exp(-pow((g.bin - b.bin) * 0.01 / h, 2) / 2) / (n * h * sqrt(2 * pi()))) FROM b, f), 6) AS density FROM g""".replace(", f AS", " also f AS", 1),
+)
+def return_density(spark: SparkSession, sf: str) -> DataFrame:
+    """A kernel density of the returns, from their histogram."""
+    return rounded(diagnostics.density(_returns(spark, sf), "r", -0.2, 0.2, 40), density=6)
+
+
 @query("return_histogram", "SELECT cast(CASE WHEN r < -0.2 THEN 0 WHEN r >= 0.2 THEN 21 ELSE floor((r + 0.2) / 0.4 * 20) + 1 END AS bigint) AS bin, count(*) AS n FROM ret WHERE r IS NOT NULL GROUP BY 1")
 def return_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return diagnostics.histogram(_returns(spark, sf), "r", -0.2, 0.2, 20)

@@ -44,12 +44,39 @@ def map_row(weights: DataFrame, coefs: DataFrame, members: DataFrame, penalty: f
     return got
 
 
+def _panel_files(spark: SparkSession, prices: str | DataFrame, weights: str | DataFrame) -> DataFrame:
+    """(dt, asset, px, cap) from files, or from tables given in their place."""
+    px = panels.load_prices(spark, prices) if isinstance(prices, str) else prices
+    w = panels.load_weights(spark, weights) if isinstance(weights, str) else weights
+    return cut(px.selectExpr("cast(dt AS date) AS dt", "asset", "px").join(w.selectExpr("cast(dt AS date) AS dt", "asset", "w AS cap"), ["dt", "asset"], "left"))
+
+
+def baseline_files(spark: SparkSession, prices: str | DataFrame, weights: str | DataFrame, folder: str, top: int = 10, percent: float = 20.0, name: str = "baseline_timeseries") -> dict[str, DataFrame]:
+    """The backtest of the largest names from files, written to a folder: tail, summary and turnover."""
+    out = strategies.baseline_backtest(_panel_files(spark, prices, weights), top, percent)
+    sinks.write_backtest(out["tail"], out["summary"], out["turnover"], folder, name)
+    return out
+
+
+def ridge_series_files(spark: SparkSession, prices: str | DataFrame, basis: str, folder: str, q: int | None = 3, alpha: float = 0.0, **distance) -> dict[str, DataFrame]:
+    """Regressions of every date of a basis series (date, basis) on the returns before it, from files: coefs and errors, which are written to a folder.
+
+    ``distance``: corr, shrink, min_periods, n_components and explained of ``regressions_over_time``.
+    """
+    px = panels.load_prices(spark, prices) if isinstance(prices, str) else prices
+    panel = cut(px.selectExpr("cast(dt AS date) AS dt", "asset", "px"))
+    members = cut(basis_files.series_rows(spark.read.csv(basis, header=True)))
+    coefs = cut(strategies.regressions_over_time(panel, members, q, alpha, **distance))
+    errors = ridge.series_errors(stats.returns(panel), coefs)
+    sinks.write_csv(coefs.orderBy("dt", "asset", "basis"), f"{folder}/coefficients_ridge_timeseries_by_date.csv")
+    sinks.write_csv(errors.orderBy("dt", "asset"), f"{folder}/regression_errors_by_date.csv")
+    return {"coefs": coefs, "errors": errors}
+
+
 def strategy_files(spark: SparkSession, prices: str, weights: str, coefs: str, basis: str, folder: str, name: str = "backtest_timeseries", penalty: float = 0.0) -> dict[str, DataFrame]:
     """The backtest of a series of coefficients from files, written to a folder: tail, summary and turnover."""
-    px = panels.load_prices(spark, prices)
-    w = panels.load_weights(spark, weights)
-    panel = px.selectExpr("cast(dt AS date) AS dt", "asset", "px").join(w.selectExpr("cast(dt AS date) AS dt", "asset", "w AS cap"), ["dt", "asset"], "left")
+    panel = _panel_files(spark, prices, weights)
     members = basis_files.read_basis_list(spark, basis).select("asset")
-    out = strategies.strategy_backtest(cut(panel), cut(panels.read_coefficient_series(spark, coefs)), members, penalty)
+    out = strategies.strategy_backtest(panel, cut(panels.read_coefficient_series(spark, coefs)), members, penalty)
     sinks.write_backtest(out["tail"], out["summary"], out["turnover"], folder, name)
     return out

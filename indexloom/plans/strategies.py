@@ -39,9 +39,9 @@ def basis_over_time(panel: DataFrame, k: int, alpha: float = 0.5, stickiness: fl
     return selection.basis_series(dist, k, caps_before(panel), alpha, stickiness, method, **hub_branch)
 
 
-def regressions_over_time(panel: DataFrame, basis: DataFrame, q: int = 3, alpha: float = 0.0) -> DataFrame:
-    """(dt, asset, basis, coef) on the nearest members by the distances before each date."""
-    dist = stats.expanding_distance(panel)
+def regressions_over_time(panel: DataFrame, basis: DataFrame, q: int | None = 3, alpha: float = 0.0, corr: str = "pearson", shrink: str | None = None, min_periods: int = 1, n_components: int | None = None, explained: float | None = None) -> DataFrame:
+    """(dt, asset, basis, coef) on the ``q`` nearest members (None: all) by the distances before each date, which the settings behind ``alpha`` choose."""
+    dist = stats.expanding_distance(panel, min_periods, corr, shrink, n_components, explained)
     near = cut(ridge.neighbours(dist, basis.select("dt", "asset"), q, by=("dt",), digits=DIGITS))
     return ridge.regress_series(stats.returns(panel), near, alpha)
 
@@ -68,6 +68,12 @@ def baseline_backtest(panel: DataFrame, top: int = 10, percent: float = 20.0) ->
     return backtest.run_backtest(weights, backtest.top_weights(weights, top), stats.returns(panel), percent)
 
 
+def basis_of_columns(weights: DataFrame) -> DataFrame:
+    """(pos, asset): the members that a table of basis weights (dt, asset, w) has, by label, as a run takes them that gets no list."""
+    names = weights.select("asset").distinct()
+    return names.select((F.row_number().over(Window.orderBy("asset")) - 1).alias("pos"), "asset")  # a basis: a few names
+
+
 def selection_steps(picks: DataFrame) -> DataFrame:
     """The steps of a choice with how much less each added than the one before."""
     return picks.withColumn("drop", F.lag("score").over(Window.orderBy("pos")) - F.col("score"))  # a basis: a few rows

@@ -25,3 +25,16 @@ def test_works_without_the_optional_part(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin"})
     n, m, some = out.stdout.split()
     assert int(n) == len(catalog.queries()) and int(m) == len(catalog.oracle_sql()) and some == "False"
+
+
+def test_works_without_what_the_optional_part_needs(tmp_path):
+    """The others register when a package of the optional part is missing, with its files there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "public_tokenizers.py").write_text("raise ModuleNotFoundError(name='public_tokenizers')")
+    root = Path(entry.__file__).resolve().parent
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{root}"})
+    assert tuple(map(int, out.stdout.split())) == (len(catalog.queries()), len(catalog.oracle_sql()))

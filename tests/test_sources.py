@@ -1,10 +1,11 @@
 """Readers, basis files, settings and sinks."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from indexloom.operators import simulate
-from indexloom.plans import runs
+from indexloom.plans import runs, strategies
 from indexloom.sources import basis, panel, settings, sinks
 
 
@@ -60,6 +61,14 @@ def test_settings():
     assert settings.locations({}, "/r")["prices"].startswith("/r/")
 
 
+def test_locations(tmp_path):
+    given = {"input": {"prices_path": {"value": "a/p.csv"}, "weights_path": {"value": "/abs/w.csv"}, "basis": {"value": ""}}, "output": {"basis_path": {"value": "o/b.csv"}}}
+    got = settings.locations(given, str(tmp_path), make=True)
+    assert got == {"outputs": f"{tmp_path}/outputs", "prices": f"{tmp_path}/a/p.csv", "weights": "/abs/w.csv", "basis": f"{tmp_path}/o/b.csv", "coefficients": f"{tmp_path}/outputs/coefficients_ridge_panel.csv"}
+    assert (tmp_path / "outputs").is_dir()
+    assert settings.locations({"paths": {"prices_path": {"value": "x.csv"}}, "output": {"folder": {"value": "out"}}}, "/r") == {"outputs": "/r/out", "prices": "/r/x.csv", "weights": "/r/synthetic_data/market_index_weights.csv", "basis": "/r/out/basis_selected.csv", "coefficients": "/r/out/coefficients_ridge_panel.csv"}
+
+
 def test_sinks(spark, tmp_path):
     data = spark.createDataFrame([("2020-01-01", "A", 1.5), ("2020-01-01", "B", None), ("2020-02-01", "B", 2.5)], "dt string, asset string, px double")
     sinks.write_wide_csv(data, "px", str(tmp_path / "wide"))
@@ -115,6 +124,35 @@ def test_runs_from_files_to_files(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "bt/backtest_replicate_turnover_turnover.csv"), header=True).count() == 14
 
 
+def test_baseline_and_series_files(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    px = 100 * np.cumprod(1 + rng.normal(0, 0.02, (16, 4)), axis=0)
+    days = [f"20{10 + t // 12}-{t % 12 + 1:02d}-01" for t in range(16)]
+    head = "date,A,B,C,D\n"
+    prices = write(tmp_path / "prices.csv", head + "".join(f"{d},{','.join(map(repr, map(float, x)))}\n" for d, x in zip(days, px, strict=True)))
+    weights = write(tmp_path / "weights.csv", head + "".join(f"{d},0.4,0.3,0.2,0.1\n" for d in days))
+    ret = px[1:] / px[:-1] - 1
+    out = runs.baseline_files(spark, prices, weights, str(tmp_path / "bt"), top=2)
+    diff = ret @ [4 / 7, 3 / 7, 0, 0] - ret @ [0.4, 0.3, 0.2, 0.1]
+    assert out["summary"].first().tracking_error == pytest.approx(np.sqrt(np.mean(np.append(diff, 0.0) ** 2)))
+    assert spark.read.csv(str(tmp_path / "bt/baseline_timeseries.csv"), header=True).count() == 3
+    basis_file = write(tmp_path / "basis.csv", f"date,basis\n{days[9]},A;B\n{days[12]},B\n")
+    for corr in ("pearson", "spearman"):
+        got = runs.ridge_series_files(spark, prices, basis_file, str(tmp_path / corr), q=1, alpha=0.1, corr=corr, min_periods=2)
+        coefs = {(str(r.dt), r.asset): (r.basis, r.coef) for r in got["coefs"].collect()}
+        errors = {(str(r.dt), r.asset): r.rmse for r in got["errors"].collect()}
+        for t, members in ((9, "AB"), (12, "B")):
+            past = pd.DataFrame(ret[: t - 1], columns=list("ABCD"))
+            rho = past.corr(corr)
+            for name in sorted(set("ABCD") - set(members)):
+                near = max(members, key=lambda m: rho.loc[name, m])
+                x, y = past[near].to_numpy(), past[name].to_numpy()
+                beta = x @ y / (x @ x + 0.1)
+                assert coefs[days[t], name] == (near, pytest.approx(beta))
+                assert errors[days[t], name] == pytest.approx(np.sqrt(np.mean((y - beta * x) ** 2)))
+    assert [tuple(r) for r in strategies.basis_of_columns(panel.load_weights(spark, weights)).orderBy("pos").collect()] == [(i, a) for i, a in enumerate("ABCD")]
+
+
 def test_market_files(spark, tmp_path):
     market = simulate.simulate(spark, simulate.Market(months=3), [5])
     sinks.write_simulation(market, simulate.market_weights(market).drop("scenario"), market, str(tmp_path))
