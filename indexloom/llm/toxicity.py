@@ -173,7 +173,7 @@ class Reader:
         inside = quotations(tokens) if at else []
         for n, i in enumerate(at):
             said = any(bare(t) in REPORTED for t in tokens[max(0, i - WINDOW) : i])
-            near = sum(1 for j in (*at[max(0, n - 3) : n], *at[n + 1 : n + 4]) if abs(j - i) <= WINDOW)
+            near = bisect.bisect_right(at, i + WINDOW, n) - bisect.bisect_left(at, i - WINDOW, 0, n + 1) - 1  # the other hits of the window, all of them
             cited = any(lo <= i <= hi for lo, hi in inside[max(0, bisect.bisect_right(inside, (i, len(tokens))) - 1) :][:1])
             weight = max(0.1, 1.0 - 0.6 * cited - 0.3 * said + 0.1 * near)
             if cited or said:
