@@ -46,6 +46,14 @@ def test_context():
     assert reader.features(None) == reader.features("") == [0.0] * toxicity.FEATURES
 
 
+def test_every_hit_of_the_window_counts():
+    """17 hits in a row: the middle one has 16 others near it."""
+    reader = toxicity.Reader([toxicity.Term("idiot", False, 0)])
+    assert reader.features("idiot " * 17)[3] == pytest.approx(1 + 0.1 * 16)
+    assert reader.features("idiot " * 60)[3] == pytest.approx(1 + 0.1 * 16)
+    assert reader.features("idiot " + "blue " * 8 + "idiot")[3] == pytest.approx(1.0)
+
+
 def test_quotations():
     """From the mark that opens one to the mark that closes it, however far; marks that nothing closes are none."""
     far = '"' + "blue " * 40 + 'idiot", she said, "and'
@@ -90,7 +98,7 @@ def brute_features(model, text):
     sums = {"abuse": 0.0, "quoted": 0.0, "fuzzy": 0.0, "top": 0.0}
     for i in at:
         said = any(toxicity.bare(t) in toxicity.REPORTED for t in tokens[max(0, i - 8) : i])
-        others = sorted((j for j in at if j < i), reverse=True)[:3] + [j for j in at if j > i][:3]
+        others = [j for j in at if j != i]
         cited = any(a <= i <= b for a, b in spans)
         weight = max(0.1, 1 - 0.6 * cited - 0.3 * said + 0.1 * sum(abs(j - i) <= 8 for j in others))
         sums["quoted"] += weight * (cited or said)
