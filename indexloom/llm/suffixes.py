@@ -225,6 +225,12 @@ def later_strings(data: np.ndarray, low: np.ndarray, n: np.ndarray, anchor: np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _unpacked(data: bytes, zones: int, strings: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zones (rank, start * 256 + strings, anchor) and their bytes, as sent."""
+    whole = pa.decompress(data, 24 * zones + strings + zones * (span - 1), codec="zstd", asbytes=True)
+    return np.frombuffer(whole, np.int64, 3 * zones).reshape(3, zones).T, np.frombuffer(whole, np.uint8, offset=24 * zones)
+
+
 _BASE = "chunk long, doc_id array<long>, ends binary, size long, data binary"
 
 
@@ -307,21 +313,23 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lead = _first(*deep_shallow(Suffixes(data, low, n + span - 1)), np.column_stack((rank, low)))
                 late = np.flatnonzero(~lead)
                 own = np.flatnonzero(lead)
-                out = [(int(chunk % buckets), chunk, b"", b"", (low[late] * 256 + n[late]).tobytes())] if len(late) else []
+                out = [(int(chunk % buckets), chunk, 0, 0, b"", (low[late] * 256 + n[late]).tobytes())] if len(late) else []
                 for x, which in by_bucket(bucket_of(h[own], buckets)):
                     z = own[which]
-                    out.append((x, chunk, np.column_stack((rank[z], low[z] * 256 + n[z], h[z].view(np.int64))).tobytes(), _gathered(data, low[z], n[z] + span - 1).tobytes(), b""))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "zones", "bytes", "late"])
+                    table = np.vstack((rank[z], low[z] * 256 + n[z], h[z].view(np.int64)))
+                    packed = pa.compress(table.tobytes() + _gathered(data, low[z], n[z] + span - 1).tobytes(), codec="zstd", asbytes=True)
+                    out.append((x, chunk, len(z), int(n[z].sum()), packed, b""))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "zones", "strings", "data", "late"])
 
     def sort(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         late = [(r["chunk"], r["late"]) for r in rows if r["late"]]
         rows = [r for r in rows if r["zones"]]
         if rows:
-            z = [np.frombuffer(r["zones"], np.int64).reshape(-1, 3) for r in rows]
-            chunk = np.repeat(np.array([r["chunk"] for r in rows], np.int64), [len(x) for x in z])
-            data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
+            chunk = np.repeat(np.array([r["chunk"] for r in rows], np.int64), [r["zones"] for r in rows])
+            parts = [_unpacked(r["data"], r["zones"], r["strings"], span) for r in rows]
             rows.clear()
-            z = np.concatenate(z)
+            z, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
             start, n = z[:, 1] >> 8, z[:, 1] & 255
             ends = np.cumsum(n + span - 1)
             zone, step, k = later_strings(data, ends - (n + span - 1), n, z[:, 2], np.column_stack((z[:, 0], chunk, start)), span)
@@ -333,7 +341,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if late:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*late, strict=True), (pa.int64(), pa.binary()), strict=True)], ["chunk", "marks"])
 
-    zoned = base.join(by_key(bits), "chunk").transform(python_map, send, "bucket int, chunk long, zones binary, bytes binary, late binary")
+    zoned = base.join(by_key(bits), "chunk").transform(python_map, send, "bucket int, chunk long, zones int, strings long, data binary, late binary")
     marks = scratch.cut(reduce_buckets(zoned, dealt.tasks, sort, "chunk long, marks binary").groupBy("chunk").agg(F.collect_list("marks").alias("marks")), "marks")
     del zoned
     scratch.release()
