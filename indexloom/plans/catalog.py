@@ -808,6 +808,13 @@ def map_series_exact(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mapping.map_series_exact(_weights(spark, sf), coefs), 7)
 
 
+@query("map_series_exact_penalized")
+def map_series_exact_penalized(spark: SparkSession, sf: str) -> DataFrame:
+    """The mapping series with the penalty of its settings, 0.01."""
+    coefs = cut(_monthly(spark, sf, 3))
+    return rounded(mapping.map_series_exact(_weights(spark, sf), coefs, 0.01), 7)
+
+
 _AS_OF = (
     _SERIES
     + f""", ax AS (SELECT known.dt, ser.asset, ser.basis, coef AS a FROM known JOIN ser ON ser.dt = as_of UNION ALL SELECT cal.dt, b.asset, b.asset, 1.0 FROM cal CROSS JOIN {_BASIS_SQL.replace(' AS basis(asset)', ' AS b(asset)')}),
