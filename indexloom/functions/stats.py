@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from indexloom.functions.median import exact_median
+
 
 def returns(panel: DataFrame) -> DataFrame:
     """Change since the date before; NULL where either price is missing.  The panel has no gaps."""
@@ -179,6 +181,59 @@ def expanding_pearson(panel: DataFrame, min_periods: int = 1) -> DataFrame:
     return got.select("dt", "u", "v", F.when(F.col("n_obs") >= min_periods, clip(F.col("rho"), -1.0, 1.0)).alias("rho"), "n_obs")
 
 
+#: Assets of a tile of rank correlations over time; a task holds two tiles and the ranks of their pairs.
+RANK_TILE = 16
+
+
+def expanding_spearman(panel: DataFrame, min_periods: int = 1) -> DataFrame:
+    """dt, u, v, rho of the ranks among the common returns strictly before each date; the first date has none.
+
+    A tile of assets meets every other once.  Within a pair of tiles the ranks of all pairs are kept from date to date: a new
+    return raises the ranks of those above it by one and of those equal to it by half, and gets its own rank from the
+    same comparison.  Ranks are multiples of a half, so the sums are exact.  No date is sent to later ones.
+    """
+    ret = returns(panel)
+    blocks = -(-max(1, ret.agg(F.approx_count_distinct("asset").alias("a")).first().a) // RANK_TILE)
+    cells = ret.select("dt", "asset", "r", F.pmod(F.xxhash64("asset"), F.lit(blocks)).alias("b"))
+    meet = cells.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("i", F.least("b", "k")).withColumn("j", F.greatest("b", "k"))
+    least = max(2, min_periods)
+
+    def ranks(df: pd.DataFrame) -> pd.DataFrame:
+        day, days = pd.factorize(df["dt"], sort=True)
+        code, names = pd.factorize(df["asset"], sort=True)
+        names = np.array(names, object)
+        block = np.zeros(len(names), np.int64)
+        block[code] = df["b"]
+        table = np.full((len(days), len(names)), np.nan)
+        table[day, code] = df["r"]
+        u, v = np.triu_indices(len(names), 1)
+        own = (block[u] != block[v]) | (df["i"].iloc[0] == df["j"].iloc[0])
+        u, v = u[own], v[own]
+        both = ~np.isnan(table[:, u]) & ~np.isnan(table[:, v])
+        sides = [np.where(both, table[:, c], 0.0) for c in (u, v)]
+        rank = [np.zeros(both.shape) for _ in sides]
+        out = np.full(both.shape, np.nan)
+        n = np.zeros(len(u))
+        for t in range(len(days)):
+            x, y = rank[0][:t], rank[1][:t]
+            middle = n * ((n + 1) / 2) ** 2
+            vx, vy = (x * x).sum(axis=0) - middle, (y * y).sum(axis=0) - middle
+            ok = (n >= least) & (vx > 0) & (vy > 0)
+            out[t, ok] = (((x * y).sum(axis=0) - middle)[ok] / (np.sqrt(vx[ok]) * np.sqrt(vy[ok]))).clip(-1.0, 1.0)
+            met = both[:t] & both[t]
+            for value, r in zip(sides, rank, strict=True):
+                above = np.where(met, (1 + np.sign(value[:t] - value[t])) / 2, 0.0)
+                r[:t] += above
+                r[t] = np.where(both[t], 1 + met.sum(axis=0) - above.sum(axis=0), 0.0)
+            n += both[t]
+        k = len(u)
+        return pd.DataFrame({"dt": np.repeat(np.array(days, object), k), "u": np.tile(names[u], len(days)), "v": np.tile(names[v], len(days)), "rho": out.ravel()})
+
+    found = meet.groupBy("i", "j").applyInPandas(ranks, f"dt {dict(panel.dtypes)['dt']}, u string, v string, rho double")
+    first = panel.agg(F.min("dt").alias("first"))
+    return found.join(F.broadcast(first), F.col("dt") > F.col("first")).select("dt", "u", "v", F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))
+
+
 def expanding_matrices(panel: DataFrame, correlate: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
     """dt, u, v, rho of ``correlate(returns strictly before dt)``, for what has no running form.
 
@@ -209,8 +264,7 @@ def expanding_distance(panel: DataFrame, min_periods: int = 1, method: str = "pe
     if shrink == "lw":
         corr = expanding_matrices(panel, lw_matrix)
     elif method == "spearman":
-        corr = expanding_matrices(panel, lambda x: x.corr("spearman", min_periods=max(2, min_periods)).to_numpy())
-        corr = corr.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+        corr = expanding_spearman(panel, min_periods)
     else:
         corr = expanding_pearson(panel, min_periods)
         if shrink is None:
@@ -223,8 +277,8 @@ def expanding_distance(panel: DataFrame, min_periods: int = 1, method: str = "pe
 
 def filled(ret: DataFrame) -> DataFrame:
     """Missing returns as the asset's median, or 0."""
-    m = ret.groupBy("asset").agg(F.median("r").alias("_m"))
-    return ret.join(m, "asset").select("dt", "asset", F.coalesce("r", "_m", F.lit(0.0)).alias("r"))
+    m = exact_median(ret, ["asset"], "r", "_m")
+    return ret.join(m, "asset", "left").select("dt", "asset", F.coalesce("r", "_m", F.lit(0.0)).alias("r"))
 
 
 def ledoit_wolf(ret: DataFrame) -> DataFrame:

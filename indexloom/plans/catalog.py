@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from indexloom.functions import stats
-from indexloom.operators import backtest, diagnostics, forest, mapping, ridge, selection, simulate, tree
+from indexloom.functions.median import exact_median
+from indexloom.operators import backtest, diagnostics, forest, mapping, ridge, selection, tree
 from indexloom.plans import strategies
 from indexloom.plans.tables import cut
 from indexloom.sources import basis as basis_files
@@ -275,6 +276,17 @@ def corr_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.spearman(_returns(spark, sf)))
 
 
+@query("median_return", "SELECT asset, round(median(r), 8) AS median FROM ret WHERE r IS NOT NULL GROUP BY asset")
+def median_return(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(exact_median(_returns(spark, sf), ["asset"], "r"))
+
+
+@query("median_line_price", "SELECT l_returnflag, l_linestatus, round(median(cast(l_extendedprice AS double)), 6) AS median FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2", plain=True)
+def median_line_price(spark: SparkSession, sf: str) -> DataFrame:
+    """Few groups of very many rows."""
+    return rounded(exact_median(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_returnflag", "l_linestatus"], "l_extendedprice"), 6)
+
+
 @query("corr_min_periods", "SELECT u, v, round(CASE WHEN n_obs >= 82 THEN rho END, 8) AS rho, n_obs FROM corr")
 def corr_min_periods(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.pearson(_returns(spark, sf), 82))
@@ -672,11 +684,11 @@ def ridge_errors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ridge.fit_errors(ret, ridge.reconstruct(ret, _coefs(spark, sf))), 7)
 
 
-def _monthly(spark: SparkSession, sf: str, q: int) -> DataFrame:
+def _monthly(spark: SparkSession, sf: str, q: int, alpha: float = 0.001) -> DataFrame:
     """(dt, asset, basis, coef): a refit at every date, neighbours and returns from what was known before it."""
     panel = _panel(spark, sf)
     basis = panel.select("dt").distinct().crossJoin(_basis(spark).select("asset"))  # dates by members
-    return strategies.regressions_over_time(panel, basis, q, 0.001)
+    return strategies.regressions_over_time(panel, basis, q, alpha)
 
 
 #: Neighbours by the distances before each date, and the refits on one and on three of them: complete rows before the
@@ -712,14 +724,32 @@ def ridge_timeseries_q3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_monthly(spark, sf, 3), 7)
 
 
-_RANKED = f""" also past AS (
+@query(
+    "ridge_timeseries_unpenalized",
+    _REFITS.format(q=1)
+    + """ SELECT cast(t AS varchar) AS dt, b.asset, n.basis, round(coalesce(sum(x1*y) / nullif(sum(x1*x1), 0), 0), 7) AS coef
+FROM before_at b JOIN near_at n ON n.dt = b.t AND n.asset = b.asset AND n.rank = 1 GROUP BY t, b.asset, n.basis""",
+)
+def ridge_timeseries_unpenalized(spark: SparkSession, sf: str) -> DataFrame:
+    """The series without a penalty, as the published settings have it."""
+    return rounded(_monthly(spark, sf, 1, 0.0), 7)
+
+
+_ALL_RANKED = """ also past AS (
   SELECT t AS dt, u, v, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS rho
   FROM (SELECT t, u, v, rank() OVER (PARTITION BY t, u, v ORDER BY x) + (count(*) OVER (PARTITION BY t, u, v, x) - 1) / 2.0 AS rx,
                rank() OVER (PARTITION BY t, u, v ORDER BY y) + (count(*) OVER (PARTITION BY t, u, v, y) - 1) / 2.0 AS ry
         FROM (SELECT c.dt AS t, u, v, x, y FROM (SELECT DISTINCT dt FROM panel) c JOIN pairs p ON p.dt < c.dt
-              WHERE x IS NOT NULL AND (u IN (SELECT asset FROM {_BASIS_SQL})) <> (v IN (SELECT asset FROM {_BASIS_SQL}))))
+              WHERE x IS NOT NULL{only}))
   GROUP BY 1, 2, 3
 )"""
+_RANKED = _ALL_RANKED.format(only=f" AND (u IN (SELECT asset FROM {_BASIS_SQL})) <> (v IN (SELECT asset FROM {_BASIS_SQL}))")
+
+
+@query("corr_spearman_timeseries", _ALL_RANKED.format(only="") + " SELECT cast(dt AS varchar) AS dt, u, v, round(rho, 8) AS rho FROM past WHERE rho IS NOT NULL")
+def corr_spearman_timeseries(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank correlations of all pairs from the returns strictly before every date."""
+    return rounded(stats.expanding_spearman(_panel(spark, sf)).where("rho is not null"))
 
 
 @query("ridge_timeseries_spearman", _RANKED + _REFITS.format(q=1)[_REFITS.format(q=1).index(", near_at") :] + " SELECT cast(dt AS varchar) AS dt, asset, basis, round(coef, 7) AS coef FROM ser")
@@ -1012,41 +1042,6 @@ def basis_list_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(basis_files.series_rows(basis_list_format(spark, sf)))
 
 
-# simulated markets
-
-
-def _market(spark: SparkSession) -> DataFrame:
-    """Two scenarios of the published settings."""
-    return simulate.simulate(spark, simulate.PUBLISHED, [42, 43])
-
-
-@query("simulate_prices")
-def simulate_prices(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_market(spark).select("scenario", "dt", "asset", "sector", "px"))
-
-
-@query("simulate_weights")
-def simulate_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(backtest.cap_weights(simulate.market_weights(_market(spark)), simulate.PUBLISHED_CAP, infeasible="equal", by=("scenario", "dt")))
-
-
-@query("simulate_history")
-def simulate_history(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(simulate.history(_market(spark)))
-
-
-@query("simulate_members")
-def simulate_members(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(simulate.members(_market(spark), simulate.PUBLISHED.index_size))
-
-
-@query("simulate_strategy")
-def simulate_strategy(spark: SparkSession, sf: str) -> DataFrame:
-    """The published strategy on a market of the published settings: the ten published metrics, of a market of our own."""
-    panel = cut(densify(simulate.simulate(spark, simulate.PUBLISHED, [42]).select("dt", "asset", "px", "cap")))
-    return rounded(strategies.published_strategy(panel)["summary"], r2=7, information_ratio=7)
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from indexloom.functions import stats
-from indexloom.operators import backtest, diagnostics, mapping, ridge, selection, simulate, tree
+from indexloom.operators import backtest, diagnostics, mapping, ridge, selection, tree
 from indexloom.plans import strategies
 from indexloom.plans.tables import cut
 
@@ -235,28 +235,6 @@ def test_diagnostics(spark):
     assert hist == {("0",): 1, ("1",): 2, ("10",): 1, ("11",): 1}
 
 
-def test_simulated_market(spark):
-    market = simulate.Market(months=24)
-    got = simulate.simulate(spark, market, [1, 2])
-    assert got.where("px <= 0").count() == 0
-    again = simulate.simulate(spark, market, [1, 2])
-    assert got.exceptAll(again).count() == again.exceptAll(got).count() == 0
-    sums = simulate.market_weights(got).groupBy("scenario", "dt").sum("w").collect()
-    assert len(sums) == 48 and all(r[2] == pytest.approx(1.0) for r in sums)
-    assert max(r[2] for r in simulate.members(got, 5).groupBy("scenario", "dt").count().collect()) == 5
-    past = simulate.history(got).collect()
-    assert any(r.removed is not None for r in past) and all(r.removed is None or r.removed > r.created for r in past)
-
-
-def test_published_market(spark):
-    """Two scenarios at once; no name above the cap of its index."""
-    got = simulate.simulate(spark, simulate.PUBLISHED, [42, 43])
-    w = backtest.cap_weights(simulate.market_weights(got), simulate.PUBLISHED_CAP, by=("scenario", "dt"))
-    sums = w.groupBy("scenario", "dt").agg({"w": "sum", "asset": "count"}).collect()
-    assert len(sums) == 360 and all(r["sum(w)"] == pytest.approx(1.0) and r["count(asset)"] >= 90 for r in sums)
-    assert w.agg({"w": "max"}).first()[0] <= simulate.PUBLISHED_CAP + 1e-12
-
-
 def test_branches_of_one_tree_and_of_a_table(spark):
     """The choice in numpy, as the series makes it, is that of the relational operator."""
     rng = np.random.default_rng(5)
@@ -275,13 +253,6 @@ def test_branches_of_one_tree_and_of_a_table(spark):
         assert [names[i] for i in selection.branch_order(edges, n, unit, k, h, 0.3, 0.2, stickiness=sticky, before=before)] == got
 
 
-def test_parts_of_the_simulator():
-    assert np.linalg.eigvalsh(simulate.sector_correlation(4, -0.9)).min() > 0
-    assert simulate.sector_correlation(2, 0.5).tolist() == [[1.0, 0.5], [0.5, 1.0]]
-    assert (simulate.shares_outstanding(np.random.default_rng(0), 100, 1.5, 1e6) >= 1e6).all()
-    assert set(simulate.run_scenario(simulate.Market(sectors=9, months=1), 3)["sector"]) == set(simulate.SECTORS)
-
-
 def test_whole_strategies(spark):
     rng = np.random.default_rng(6)
     steps = rng.standard_normal((12, 6)) * 0.03 + rng.standard_normal((12, 1)) * 0.03

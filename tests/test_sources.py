@@ -4,7 +4,6 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from indexloom.operators import simulate
 from indexloom.plans import runs, strategies
 from indexloom.sources import basis, panel, settings, sinks
 
@@ -154,9 +153,10 @@ def test_baseline_and_series_files(spark, tmp_path):
 
 
 def test_market_files(spark, tmp_path):
-    market = simulate.simulate(spark, simulate.Market(months=3), [5])
-    sinks.write_simulation(market, simulate.market_weights(market).drop("scenario"), market, str(tmp_path))
-    assert panel.load_prices(spark, f"{tmp_path}/prices_monthly.csv").where("px is not null").count() == market.count()
+    rows = [("2020-01-01", "a", 2.0, 0.25, 8.0), ("2020-01-01", "b", 3.0, 0.75, 24.0), ("2020-02-01", "b", 4.0, 1.0, 32.0)]
+    market = spark.createDataFrame(rows, "dt string, asset string, px double, w double, cap double")
+    sinks.write_simulation(market.select("dt", "asset", "px"), market.select("dt", "asset", "w"), market.select("dt", "asset", "cap"), str(tmp_path))
+    assert panel.load_prices(spark, f"{tmp_path}/prices_monthly.csv").where("px is not null").count() == 3
     sinks.write_basis_series(spark.createDataFrame([("2020-02-01", "A;B"), ("2020-01-01", "C")], "date string, basis string"), f"{tmp_path}/basis")
     assert [r.date for r in spark.read.csv(f"{tmp_path}/basis", header=True).collect()] == ["2020-01-01", "2020-02-01"]
 
