@@ -746,7 +746,7 @@ _ALL_RANKED = """ also past AS (
 _RANKED = _ALL_RANKED.format(only=f" AND (u IN (SELECT asset FROM {_BASIS_SQL})) <> (v IN (SELECT asset FROM {_BASIS_SQL}))")
 
 
-@query("corr_spearman_timeseries", _ALL_RANKED.format(only="") + " SELECT cast(dt AS varchar) AS dt, u, v, round(rho, 8) AS rho FROM past WHERE rho IS NOT NULL")
+@query("corr_spearman_timeseries", _ALL_RANKED.format(only="") + " SELECT cast(dt AS varchar) AS dt, u, v, CASE WHEN round(rho, 8) = 0 THEN 0.0 ELSE round(rho, 8) END AS rho FROM past WHERE rho IS NOT NULL")
 def corr_spearman_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     """Rank correlations of all pairs from the returns strictly before every date."""
     return rounded(stats.expanding_spearman(_panel(spark, sf)).where("rho is not null"))
