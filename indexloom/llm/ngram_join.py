@@ -14,8 +14,12 @@ similarity.  Whole sets are compared, so links are exact.
 A group that shares a shingle is not expanded into all pairs, unless it is small (eight sets).  Of a
 large group each set first meets the group's first set, in tries in which the candidates are also
 linked to each other; these links make components.  Then sets of different components of a group
-meet, and only those whose shared beginnings, counted over all groups, leave the similarity
-possible.  Equal sets (copies) take part once.
+meet, and of these only pairs that their parities leave possible become candidates: a set's shingles fall
+into 512 cells, a bit for each says whether their number is odd, and an element of one set alone changes one
+bit, so sets differ in at least as many elements as in bits.  Nothing similar is lost; pages that have a
+template passage or two in common differ in far more bits than similar ones may, up to some 800 shingles (of
+longer sets most bits are as if drawn, and fewer pairs are told apart).  The pairs of a group are compared
+within the join, a few words each, and only candidates leave it.  Equal sets (copies) take part once.
 
 All links of a document are counted, where asked for, once components are known: similar sets are in one,
 so its sets probe tries of each other, block by block.
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,8 @@ K, NUM, DEN = 5, 75, 100
 FREQUENT, OFTEN = 1 << 18, 8
 #: Members of a group whose pairs are counted one by one.
 SMALL = 8
+#: Words of 64 bits of a set's parities.
+PARITY = 8
 #: Sets and elements of a trie, about; more are dealt over several tries.
 TRIE, ELEMENTS = 256, 1 << 20
 
@@ -163,6 +170,17 @@ def ordered(s: np.ndarray, cells: np.ndarray, classes: np.ndarray) -> np.ndarray
     return np.sort(level << np.uint64(56) | s >> np.uint64(8))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's elements falls into each of 64 * ``PARITY`` cells, as bits of numbers."""
+    odd = np.bincount((mix(s) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def differing(one: str, two: str) -> Column:
+    """In how many bits the parities in the columns ``one``0, ``one``1, ... and ``two``0, ... differ."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{one}{i}").bitwiseXOR(F.col(f"{two}{i}"))) for i in range(PARITY)))
+
+
 _SLIM = "kind int, _uid long, other long, token long, n int, digest binary, last long, posted boolean, place int, bucket int, payload binary"
 
 
@@ -288,15 +306,19 @@ def linked(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[tuple
 
 
 def element_sets(nodes: DataFrame, docs: DataFrame, scratch: Scratch, k: int, shared) -> DataFrame:  # noqa: ANN001
-    """(_uid, n, elements) of the documents in ``nodes``, made anew from their texts."""
+    """(_uid, n, elements, parities s0, s1, ...) of the documents in ``nodes``, made anew from their texts."""
+    bits = [f"s{i}" for i in range(PARITY)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, classes = shared.value
         for b in batches:
-            keys = [_key(ordered(shingles(t, k), cells, classes)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 8 for x in keys], pa.int64()), pa.array(keys, pa.binary())], ["_uid", "n", "elements"])
+            ranks = [ordered(shingles(t, k), cells, classes) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            odd = np.array([parities(r) for r in ranks], np.int64).reshape(-1, PARITY)
+            made = [b.column(0), pa.array([len(r) for r in ranks], pa.int64()), pa.array([_key(r).tobytes() for r in ranks], pa.binary()), *(pa.array(odd[:, i]) for i in range(PARITY))]
+            yield pa.RecordBatch.from_arrays(made, ["_uid", "n", "elements", *bits])
 
-    return scratch.cut(docs.join(by_key(nodes), "_uid", "left_semi").select("_uid", "text").transform(python_map, make, "_uid long, n long, elements binary"), "sets", "none")
+    fields = ", ".join(["_uid long", "n long", "elements binary", *(f"{x} long" for x in bits)])
+    return scratch.cut(docs.join(by_key(nodes), "_uid", "left_semi").select("_uid", "text").transform(python_map, make, fields), "sets", "none")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
@@ -439,18 +461,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = verified(pairs, sets, scratch, num, den)
     roots = components(first, scratch)
 
-    # sets of different components of a large group meet, at a shingle that can be the first they share
+    # sets of different components of a large group meet, at a shingle that can be the first they share, and
+    # are candidates if their parities differ in no more bits than similar sets may in elements
     where = large.join(roots.select(F.col("node").alias("_uid"), "root"), "_uid", "left").withColumn("root", F.coalesce("root", "_uid"))
     least = large.groupBy("token").agg(F.min("n").alias("least"))
     smallest = F.greatest(F.col("least"), F.expr(f"({num} * n + {den - 1}) div {den}"))
     where = scratch.cut(where.join(least, "token").where(F.col("place") <= F.col("n") - _needed(F.col("n"), smallest, num, den)).drop("least"), "placed")
     sizes = where.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
     major = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("major"))
-    mixed = where.join(major, "token")
-    x = mixed.where("root <> major").select("token", F.col("_uid").alias("xu"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("root").alias("xr"))
-    y = mixed.select("token", F.col("_uid").alias("yu"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("root").alias("yr"), (F.col("root") == F.col("major")).alias("ym"))
+    bits = [f"s{i}" for i in range(PARITY)]
+    mixed = where.join(major, "token").join(by_key(sets.select("_uid", *bits)), "_uid")
+    x = mixed.where("root <> major").select("token", F.col("_uid").alias("xu"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("root").alias("xr"), *(F.col(b).alias(f"x{b}") for b in bits))
+    y = mixed.select("token", F.col("_uid").alias("yu"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("root").alias("yr"), (F.col("root") == F.col("major")).alias("ym"), *(F.col(b).alias(f"y{b}") for b in bits))
     must = _needed(F.col("xn"), F.col("yn"), num, den)
     near = (F.col("xn") * den >= F.col("yn") * num) & (F.col("yn") * den >= F.col("xn") * num) & (F.col("xp") <= F.col("xn") - must) & (F.col("yp") <= F.col("yn") - must)
+    near = near & (differing("xs", "ys") <= F.col("xn") + F.col("yn") - 2 * must)
     cross = x.join(y, "token").where((F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xu") < F.col("yu"))) & near)
     crossing = scratch.cut(cross.select(F.least("xu", "yu").alias("a"), F.greatest("xu", "yu").alias("b")).distinct(), "crossing")
     links = first

@@ -125,6 +125,37 @@ def test_trie(sets, probe):
     assert got == [(i, len(s & probe)) for i, s in enumerate(sets) if 100 * len(s & probe) >= 75 * len(s | probe)]
 
 
+@given(st.sets(st.integers(1, 1 << 60), max_size=60), st.sets(st.integers(1, 1 << 60), max_size=60), st.sets(st.integers(1, 1 << 60), max_size=300))
+@settings(max_examples=200, deadline=None)
+def test_parities_differ_at_most_as_sets_do(one, two, both):
+    def bits(s):
+        return ngram_join.parities(np.array(sorted(s), np.uint64)).view(np.uint64)
+
+    differ = sum(int(x).bit_count() for x in bits(one | both) ^ bits(two | both))
+    assert differ <= len((one | both) ^ (two | both))
+    assert differ % 2 == len((one | both) ^ (two | both)) % 2
+
+
+@pytest.mark.parametrize("pages", [200, 800])
+def test_ngram_template_pages(spark, monkeypatch, pages):
+    """Pages put together from common passages: nearly all share some, few are similar, and candidates stay in proportion."""
+    rnd = random.Random(9)
+    pool = [" ".join(f"p{i}w{rnd.randrange(10**6)}" for _ in range(40)) for i in range(60)]
+    rows = [(i, " ".join(rnd.sample(pool, 6))) for i in range(pages)]
+    rows += [(pages + i, rows[i][1] + " and a few more words") for i in range(0, pages, 10)]
+    pairs_seen, verify = [], ngram_join.verified
+
+    def verified(pairs, *rest):
+        pairs_seen.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", verified)
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))["documents"].collect()
+    assert {r.doc_id: r.component_id for r in got} == {x: x - pages if x >= pages else x for x, _ in rows}
+    first, crossing = (pairs_seen + [0])[:2]  # within small groups, and with one of a large group; of different components
+    assert first <= ngram_join.SMALL * len(rows) and crossing <= len(rows)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
