@@ -1,7 +1,7 @@
 """Choosing a basis: a few assets that stand for all.
 
-The greedy steps depend on each other, so they run in one Python call over one tree's distances
-(a group per date); scores, hubs and branches are relational.
+The greedy steps of a spread depend on each other, so they run in one Python call over one tree's distances
+(a group per date); scores, hubs, branches and the filling up with the farthest are relational.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from indexloom.functions.stats import square
 from indexloom.operators.tree import betweenness, components_without, degrees, nodes, prim
+from indexloom.plans.tables import cut
 
 
 def normalised(c: Column, over=None) -> Column:  # noqa: ANN001
@@ -184,24 +185,27 @@ def hub_branch(tree: DataFrame, paths: DataFrame, k: int, h: int | None = None,
 
 
 def farthest_fill(paths: DataFrame, chosen: Sequence[str], k: int) -> DataFrame:
-    """(pos, asset, near): assets that are farthest from all chosen, one after another, up to k; ties by label."""
-    start = list(dict.fromkeys(chosen))
+    """(pos, asset, near): assets that are farthest from all chosen, one after another, up to k; ties by label.
 
-    def fill(df: pd.DataFrame) -> pd.DataFrame:
-        names, d = square(df, "src", "dst", "d")
-        have = [names.index(x) for x in start if x in names]
-        near = d[have].min(axis=0) if have else np.full(len(names), np.inf)
-        out = []
-        near[have] = -np.inf
-        while len(have) < min(k, len(names)):
-            best = int(np.argmax(near))
-            out.append((len(have), names[best], float(near[best])))
-            have.append(best)
-            near = np.minimum(near, d[best])
-            near[have] = -np.inf
-        return pd.DataFrame(out, columns=["pos", "asset", "near"], dtype=None if out else object)
-
-    return paths.select("src", "dst", "d").groupBy(F.lit(0).alias("_g")).applyInPandas(lambda df: fill(df.drop(columns="_g", errors="ignore")), "pos int, asset string, near double")
+    A round for each: the farthest asset is one row to the driver, and only the distances from it are read then.
+    What is left stays a table of a row for each asset; ``paths`` should be a stored one.
+    """
+    spark = paths.sparkSession
+    start, beyond = list(dict.fromkeys(chosen)), F.lit(float("inf"))
+    given = F.col("src").isin(start) if start else F.lit(False)
+    names = paths.select("src", given.alias("given")).distinct()
+    have, out = names.where("given").count(), []
+    if have < k:
+        near = paths.where(given).groupBy(F.col("dst").alias("asset")).agg(F.min("d").alias("near"))
+        left = cut(names.where("not given").select(F.col("src").alias("asset")).join(near, "asset", "left").select("asset", F.coalesce("near", beyond).alias("near")))
+    while have + len(out) < k:
+        best = left.orderBy(F.desc("near"), "asset").first()
+        if best is None:
+            break
+        out.append((have + len(out), best.asset, best.near))
+        step = paths.where(F.col("src") == best.asset).select(F.col("dst").alias("asset"), "d")
+        left = cut(left.where(F.col("asset") != best.asset).join(step, "asset", "left").select("asset", F.least("near", F.coalesce("d", beyond)).alias("near")))
+    return spark.createDataFrame(out, "pos int, asset string, near double")  # at most k rows
 
 
 def branch_order(edges: Sequence[tuple[int, int, float]], n: int, weight: np.ndarray, k: int, h: int | None = None, alpha: float = 0.5, gamma: float = 0.0, rep_alpha: float = 0.5, stickiness: float = 0.0, before: Sequence[int] = ()) -> list[int]:

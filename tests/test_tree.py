@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from indexloom.operators import selection, tree
+from indexloom.plans.tables import cut
 
 CHAIN = [(i, i + 1, 1.0) for i in range(4)]
 STAR = [(0, i, 1.0) for i in (1, 2, 3)]
@@ -133,9 +134,13 @@ def test_hub_branch(spark):
 
 
 def test_farthest_fill(spark):
-    paths = tree.walks(edges(spark, CHAIN))
+    paths = cut(tree.walks(edges(spark, CHAIN)))
     got = selection.farthest_fill(paths, ["0"], 3).orderBy("pos").collect()
     assert [(r.pos, r.asset) for r in got] == [(1, "4"), (2, "2")]
+    assert [(r.pos, r.asset) for r in selection.farthest_fill(paths, [], 2).orderBy("pos").collect()] == [(0, "0"), (1, "4")]
+    assert [r.asset for r in selection.farthest_fill(paths, ["0", "4", "0", "nobody"], 99).orderBy("pos").collect()][0] == "2"
+    assert selection.farthest_fill(paths, ["0", "4", "0"], 99).count() == 3
+    assert selection.farthest_fill(paths, ["0"], 1).count() == 0
 
 
 def test_scores(spark):
