@@ -10,7 +10,7 @@ from collections.abc import Hashable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indexloom.functions.stats import square, symmetric
@@ -151,90 +151,139 @@ def euclidean(points: DataFrame) -> DataFrame:
     return a.join(b, F.col("u") < F.col("v")).select("u", "v", F.hypot(F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy")).alias("dist"))
 
 
-def plane_prim(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, float]]:
-    """(i, j, distance), i < j, of the tree of points whose distances are all computed; ties by (i, j)."""
-    n, at, out = len(x), 0, []
-    every, best, keys, inside = np.arange(len(x)), np.full(len(x), np.inf), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    for _ in range(n - 1):
-        inside[at], best[at] = True, np.inf
-        d, key = np.hypot(x - x[at], y - y[at]), np.minimum(at, every) * n + np.maximum(at, every)
-        better = ~inside & ((d < best) | ((d == best) & (key < keys)))
-        best[better], keys[better] = d[better], key[better]
-        tied = np.flatnonzero(best == best.min())
-        at = int(tied[np.argmin(keys[tied])])
-        out.append((int(keys[at]) // n, int(keys[at]) % n, float(best[at])))
-    return out
+#: The plane around a point in eight sectors of 45 degrees: left (4), below (2), steep (1).
+_SECTORS = 8
 
 
-def near_blocks(boxes: np.ndarray, marks: np.ndarray) -> list[tuple[int, int]]:
-    """The pairs of blocks between which an edge of the tree can lie.
+def _sector(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    return (dx < 0) * 4 + (dy < 0) * 2 + (np.abs(dy) > np.abs(dx))
 
-    ``boxes``: x from, x to, y from, y to; ``marks``: some of the points.  An edge is longer than both ways
-    to a third point only outside the tree, and so are all edges of two blocks whose gap is longer than any
-    way from either to one mark.
-    """
-    x0, x1, y0, y1 = boxes.T
-    mx, my = marks[:, :1], marks[:, 1:]
-    far = np.hypot(np.maximum(np.abs(mx - x0), np.abs(mx - x1)), np.maximum(np.abs(my - y0), np.abs(my - y1)))
-    out = []
-    for i in range(len(boxes) - 1):
-        gap = np.hypot(np.maximum(0, np.maximum(x0[i + 1 :] - x1[i], x0[i] - x1[i + 1 :])), np.maximum(0, np.maximum(y0[i + 1 :] - y1[i], y0[i] - y1[i + 1 :])))
-        way = np.maximum(far[:, i : i + 1], far[:, i + 1 :]).min(axis=0)
-        out += [(i, i + 1 + int(j)) for j in np.flatnonzero(way >= gap * (1 - 1e-9))]
-    return out
 
+def _turned(s: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Boxes, relative to a point, mirrored so that its sector ``s`` becomes 0 <= y <= x."""
+    left, below, steep = s & 4 > 0, s & 2 > 0, s & 1 > 0
+    x0, x1 = np.where(left, -x1, x0), np.where(left, -x0, x1)
+    y0, y1 = np.where(below, -y1, y0), np.where(below, -y0, y1)
+    return np.where(steep, y0, x0), np.where(steep, y1, x1), np.where(steep, x0, y0), np.where(steep, x1, y1)
 
-def plane_tree(x: np.ndarray, y: np.ndarray, block: int = 1024) -> list[tuple[int, int, float]]:
-    """The same tree from the trees of pairs of near blocks, which hold all its edges."""
-    if len(x) <= 2 * block:
-        return plane_prim(x, y)
-    side = min(24, math.ceil(math.sqrt(len(x) / block)))
-    parts = [part for strip in np.array_split(np.argsort(x, kind="stable"), side) for part in np.array_split(strip[np.argsort(y[strip], kind="stable")], side)]
-    boxes = np.array([(x[p].min(), x[p].max(), y[p].min(), y[p].max()) for p in parts])
-    marks = np.array([(x[k], y[k]) for p in parts for k in (p[x[p].argmin()], p[x[p].argmax()], p[y[p].argmin()], p[y[p].argmax()])])
-    edges = set()
-    for a, b in near_blocks(boxes, marks):
-        own = np.sort(np.concatenate((parts[a], parts[b])))
-        edges |= {(d, int(own[i]), int(own[j])) for i, j, d in plane_tree(x[own], y[own], block)}
-    sets = UnionFind(range(len(x)))
-    return [(i, j, d) for d, i, j in sorted(edges) if sets.union(i, j)]
 
+def nearest_by_sector(x: np.ndarray, y: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """For each point and sector the index of the nearest other point (the first of equal ones) and its distance, infinite without one."""
+    near, dist = np.zeros((len(x), _SECTORS), np.int64), np.full((len(x), _SECTORS), np.inf)
+    for k in range(0, len(x), block):
+        rows = np.arange(k, min(k + block, len(x)))
+        dx, dy = x - x[rows, None], y - y[rows, None]
+        d, sector = np.hypot(dx, dy), _sector(dx, dy)
+        d[rows - k, rows] = np.inf
+        for s in range(_SECTORS):
+            own = np.where(sector == s, d, np.inf)
+            near[rows, s] = own.argmin(axis=1)
+            dist[rows, s] = own[rows - k, near[rows, s]]
+    return near, dist
 
-def euclidean_mst(points: DataFrame, rows: int = 1024, block: int = 1024) -> DataFrame:
-    """The minimum spanning tree of all points (id, x, y) of the plane, without all their pairs; ties by labels.
 
-    Points are dealt into blocks of about ``rows`` (576 blocks at most).  The trees of pairs of blocks hold all edges of
-    the whole tree; pairs too far apart for one are left out, and the rest are a task each.  Of points at one place the
-    first takes part, and the others hang on it.  Points without a place come last, as NULL distances do.
+def blocks_to_ask(px: np.ndarray, py: np.ndarray, s: np.ndarray, d: np.ndarray, boxes: np.ndarray, marks: np.ndarray, own: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(which, box): the boxes other than ``own`` that may hold a point of sector ``s`` around (px, py) not farther than ``d``.
+
+    ``boxes``: x from, x to, y from, y to; ``marks``: some of the points, which bound the distance where the own box holds no point of the sector.
     """
-    spark = points.sparkSession
-    known = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    first = cut(points.where(known).groupBy("x", "y").agg(F.min("id").alias("id")))
-    edges = points.where(known).join(first.withColumnRenamed("id", "u"), ["x", "y"]).where("id <> u").select("u", F.col("id").alias("v"), F.lit(0.0).alias("dist"))
-    side = max(1, min(24, math.ceil(math.sqrt(first.count() / rows))))
+    which, box = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(px), block):
+        x, y, sector = px[k : k + block, None], py[k : k + block, None], s[k : k + block, None]
+        dx, dy = marks[:, 0] - x, marks[:, 1] - y
+        there = (_sector(dx, dy) == sector) & ((dx != 0) | (dy != 0))
+        reach = np.minimum(d[k : k + block], np.where(there, np.hypot(dx, dy), np.inf).min(axis=1))[:, None]
+        x0, x1, y0, y1 = _turned(sector, boxes[:, 0] - x, boxes[:, 1] - x, boxes[:, 2] - y, boxes[:, 3] - y)
+        meets = (y1 >= 0) & (x1 >= np.maximum(y0, 0)) & (np.hypot(np.maximum(x0, 0), np.maximum(y0, 0)) * (1 - 1e-9) <= reach)
+        meets[:, own] = False
+        i, j = np.nonzero(meets)
+        which.append(i + k)
+        box.append(j)
+    return np.concatenate(which), np.concatenate(box)
+
+
+def _dealt(first: DataFrame, rows: int) -> DataFrame:
+    """The points (id, x, y) with their ``block``: strips of x, cut by y, of about ``rows`` points each; 64 x 64 at most."""
+    side = max(1, min(64, math.ceil(math.sqrt(first.count() / rows))))
+    if side == 1:
+        return first.withColumn("block", F.lit(0))
     shares = [k / side for k in range(1, side)]
 
-    dealt = first.withColumn("block", F.lit(0))
-    if shares:
-        strip = sum(((F.col("x") > c).cast("int") for c in first.approxQuantile("x", shares, 0.001)), F.lit(0))
-        dealt = cut(first.withColumn("strip", strip))
-        inner = dict(dealt.groupBy("strip").agg(F.percentile_approx("y", shares, 10000)).collect())  # 24 rows at most
-        within = F.coalesce(*[F.when(F.col("strip") == k, sum(((F.col("y") > c).cast("int") for c in cuts), F.lit(0))) for k, cuts in inner.items()])
-        dealt = cut(dealt.select("id", "x", "y", (F.col("strip") * side + within).alias("block")))
+    def place(c: str, cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda cut_at: F.col(c) > cut_at))
+
+    strips = cut(first.withColumn("strip", place("x", F.array(*[F.lit(c) for c in first.approxQuantile("x", shares, 0.001)]))))
+    inner = strips.groupBy("strip").agg(F.percentile_approx("y", shares, 10000).alias("cuts"))
+    return cut(strips.join(F.broadcast(inner), "strip").select("id", "x", "y", (F.col("strip") * side + place("y", F.col("cuts"))).alias("block")))  # 64 rows at most
+
+
+def near_edges(dealt: DataFrame, block: int = 1024) -> DataFrame:
+    """(u, v, dist): edges among which all of the tree are, of points (id, x, y, block), no two at one place.
+
+    Of the edges of a point within a sector of 45 degrees only the shortest can be in the tree: any other is the longest
+    of the triangle with it.  So each point looks for the nearest in its eight sectors, first in its own block, then in
+    those blocks whose boxes reach into the sector nearer than what was found.  An edge longer than both ways by another
+    one found is dropped.
+    """
     at = F.struct("x", "y")
     marks = [f(at, c).alias(f"{n}{c}") for c in "xy" for n, f in (("least", F.min_by), ("most", F.max_by))]
-    blocks = dealt.groupBy("block").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), *marks).orderBy("block").collect()  # 576 rows at most
-    pairs = near_blocks(np.array([r[1:5] for r in blocks]), np.array([tuple(m) for r in blocks for m in r[5:]])) if len(blocks) > 1 else [(0, 0)] * len(blocks)
-    meet = spark.createDataFrame([(k, blocks[b].block) for k, pair in enumerate(pairs) for b in sorted(set(pair))], "pair int, block int")
+    table = dealt.groupBy("block").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), *marks).orderBy("block").collect()  # 4,096 rows at most
+    names, boxes, corners = np.array([r.block for r in table]), np.array([r[1:5] for r in table], float).reshape(-1, 4), np.array([tuple(m) for r in table for m in r[5:]], float).reshape(-1, 2)
+    label = dict(dealt.dtypes)["id"]
+    columns = ["u", "ux", "uy", "sector", "dist", "v", "vx", "vy", "block"]
 
-    def span(df: pd.DataFrame) -> pd.DataFrame:
+    def inside(df: pd.DataFrame) -> pd.DataFrame:
+        """What the block itself holds (block -1), and who must ask which other blocks."""
+        df = df.sort_values("id")
+        ids, x, y = df["id"].to_numpy(), df["x"].to_numpy(), df["y"].to_numpy()
+        own = int(np.searchsorted(names, df["block"].iloc[0]))
+        near, d = nearest_by_sector(x, y, block)
+        i, s = np.nonzero(np.isfinite(d))
+        j = near[i, s]
+        found = pd.DataFrame({"u": ids[i], "ux": x[i], "uy": y[i], "sector": s, "dist": d[i, s], "v": ids[j], "vx": x[j], "vy": y[j], "block": -1})
+        # no other block has points within the box of this one
+        room = np.stack([np.minimum(np.where(s & 4, x - x.min(), x.max() - x), np.where(s & 2, y - y.min(), y.max() - y)) for s in range(_SECTORS)], axis=1)
+        i, s = np.nonzero(d > room * (1 - 1e-9))
+        which, box = blocks_to_ask(x[i], y[i], s, d[i, s], boxes, corners, own, block)
+        i, s = i[which], s[which]
+        asked = pd.DataFrame({"u": ids[i], "ux": x[i], "uy": y[i], "sector": s, "dist": d[i, s], "v": None, "vx": np.nan, "vy": np.nan, "block": names[box]})
+        return pd.concat([found, asked[columns]]) if len(asked) else found
+
+    def answer(asked: pd.DataFrame, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("id")
-        names = df["id"].to_numpy()
-        return pd.DataFrame([(names[i], names[j], d) for i, j, d in plane_tree(df["x"].to_numpy(), df["y"].to_numpy(), block)], columns=["u", "v", "dist"])
+        ids, x, y = df["id"].to_numpy(), df["x"].to_numpy(), df["y"].to_numpy()
+        out = [asked.iloc[:0]]
+        for k in range(0, len(asked) if len(df) else 0, block):
+            part = asked.iloc[k : k + block]
+            dx, dy = x - part["ux"].to_numpy()[:, None], y - part["uy"].to_numpy()[:, None]
+            d = np.where(_sector(dx, dy) == part["sector"].to_numpy()[:, None], np.hypot(dx, dy), np.inf)
+            j = d.argmin(axis=1)
+            best = d[np.arange(len(part)), j]
+            got = part.assign(dist=best, v=ids[j], vx=x[j], vy=y[j], block=-1)
+            out.append(got[np.isfinite(best) & (best <= part["dist"].to_numpy())])
+        return pd.concat(out)
+
+    schema = f"u {label}, ux double, uy double, sector int, dist double, v {label}, vx double, vy double, block int"
+    first = cut(dealt.groupBy("block").applyInPandas(inside, schema))
+    more = first.where("block >= 0").groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(answer, schema)
+    best = first.where("block < 0").unionByName(more).groupBy("u", "sector").agg(F.min(F.struct("dist", "v", "vx", "vy")).alias("to"))
+    ways = best.groupBy("u").agg(F.collect_list("to").alias("ways"))  # one for each sector
+    shorter = F.filter("ways", lambda e: ~F.exists("ways", lambda o: (o["dist"] < e["dist"]) & (F.hypot(o["vx"] - e["vx"], o["vy"] - e["vy"]) < e["dist"] * (1 - 1e-9))))
+    edges = ways.select("u", F.explode(shorter).alias("e"))
+    return edges.select(F.least("u", "e.v").alias("u"), F.greatest("u", "e.v").alias("v"), "e.dist").groupBy("u", "v").agg(F.min("dist").alias("dist"))
 
-    label = dict(points.dtypes)["id"]
-    found = dealt.join(F.broadcast(meet), "block").groupBy("pair").applyInPandas(span, f"u {label}, v {label}, dist double")  # a few blocks for each block
-    edges = edges.unionByName(found.groupBy("u", "v").agg(F.min("dist").alias("dist")))
+
+def euclidean_mst(points: DataFrame, rows: int = 1024, block: int = 1024) -> DataFrame:
+    """The minimum spanning tree of all points (id, x, y) of the plane, without all their pairs; ties by labels.
+
+    Points are dealt into blocks of about ``rows`` (4,096 blocks at most), a task each, which compares ``block`` points at a time
+    with all of its block.  Of points at one place the first takes part, and the others hang on it.  Points without a
+    place (NULL, NaN or infinite) come last, as NULL distances do.
+    """
+    known = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
+    first = cut(points.where(known).groupBy("x", "y").agg(F.min("id").alias("id")).select("id", "x", "y"))
+    edges = points.where(known).join(first.withColumnRenamed("id", "u"), ["x", "y"]).where("id <> u").select("u", F.col("id").alias("v"), F.lit(0.0).alias("dist"))
+    edges = edges.unionByName(near_edges(_dealt(first, rows), block))
     lost = points.where(~known).select("id")
     if not lost.isEmpty():
         lost = lost.union(first.agg(F.min("id")).where("`min(id)` is not null"))

@@ -192,3 +192,21 @@ def test_trees_of_the_plane(spark, block):
     got = {(r.u, r.v): r.w for r in tree.euclidean_mst(points, rows=max(8, block), block=block).collect()}
     assert len(got) == len(xy) - 1 and got.keys() == want.keys()
     assert all(w is None and got[e] is None or got[e] == pytest.approx(w) for e, w in want.items())
+
+
+def test_trees_of_the_plane_from_few_edges(spark):
+    """Each point contributes its nearest by sectors, not all pairs of its block with others: shapes far apart, one infinite place."""
+    rng = np.random.default_rng(5)
+    turn = np.linspace(0, 6, 120)
+    shapes = [rng.standard_normal((150, 2)), np.stack([np.arange(120.0), np.zeros(120)], 1), np.stack([np.cos(turn), np.sin(turn)], 1) * 9, np.stack(np.divmod(np.arange(100.0), 10), 1), np.full((40, 2), 3.0) + rng.integers(0, 3, (40, 1)) * 1e-9]
+    xy = np.unique(np.concatenate([p + np.array([50.0 * k, (-1) ** k * 30.0]) for k, p in enumerate(shapes)]), axis=0)
+    xy = xy[rng.permutation(len(xy))]
+    points = spark.createDataFrame([(f"{i:04d}", float(a), float(b)) for i, (a, b) in enumerate(xy)], "id string, x double, y double")
+    m = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    want = {(f"{a:04d}", f"{b:04d}"): w for a, b, w in tree.prim(m)}
+    lost = spark.createDataFrame([("9999", float("inf"), 0.0)], "id string, x double, y double")
+    got = {(r.u, r.v): r.w for r in tree.euclidean_mst(points.union(lost), rows=16, block=10).collect()}
+    assert got.pop(("0000", "9999")) is None
+    assert got == pytest.approx(want)
+    edges = tree.near_edges(tree._dealt(points, 16), 10)
+    assert edges.count() < 3 * len(xy)
