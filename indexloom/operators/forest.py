@@ -25,38 +25,52 @@ def _roots(pointers: DataFrame) -> DataFrame:
 
 
 def contract(edges: DataFrame, labels: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """The edges (e) of the minimum spanning forest of (u, v, e), and with ``labels`` (asset, comp) of all nodes.
+    """The edges (e) of the minimum spanning forest of (u, v, e), and with ``labels`` (asset, comp) of all nodes that have an edge to another.
 
-    ``e`` orders the edges, no two alike.  In each round every component takes its smallest outgoing edge; the trees that
-    these make are contracted to one of their nodes, and of parallel edges the smallest is kept.
+    ``e`` orders the edges; they are sorted once, and only their places in that order go through the rounds.  In each round
+    every component takes its smallest outgoing edge; the trees that these make are contracted to one of their nodes, and of
+    parallel edges the smallest is kept.  Labels are composed from the contractions in the end, the smallest first.
     """
-    live = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "e"))
-    none = live.where("false").select("e")
-    chosen, names = none, None
-    if labels:
-        names = cut(edges.select(F.col("u").alias("asset")).union(edges.select("v")).distinct().withColumn("comp", F.col("asset")))
+    order = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "e").orderBy("e").withColumn("k", F.monotonically_increasing_id()))
+    live, chosen, steps = order.select("u", "v", "k"), order.where("false").select("k"), []
     while not live.isEmpty():
-        ways = live.select(F.col("u").alias("c"), F.struct("e", F.col("v").alias("o")).alias("way")).union(live.select("v", F.struct("e", F.col("u").alias("o"))))
-        best = cut(ways.groupBy("c").agg(F.min("way").alias("way")).select("c", "way.e", "way.o"))
-        chosen = chosen.union(best.select("e"))
+        least = live.select(F.col("u").alias("c"), "k").union(live.select("v", "k")).groupBy("c").agg(F.min("k").alias("k"))
+        best = cut(least.join(live, "k").select("c", "k", F.when(F.col("u") == F.col("c"), F.col("v")).otherwise(F.col("u")).alias("o")))
+        chosen = chosen.union(best.select("k"))
         # two components that took the same edge would point at each other: the smaller stays
         back = best.select(F.col("c").alias("o"), F.col("o").alias("back"))
         to = F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o"))
         roots = _roots(cut(best.join(back, "o").select("c", to.alias("p"))))
+        steps.append(roots)
         a, b = roots.select(F.col("c").alias("u"), F.col("p").alias("cu")), roots.select(F.col("c").alias("v"), F.col("p").alias("cv"))
-        left = live.join(a, "u").join(b, "v").where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"), "e")
-        live = cut(left.groupBy("u", "v").agg(F.min("e").alias("e")))
-        if labels:
-            names = cut(names.join(roots.withColumnRenamed("c", "comp"), "comp", "left").select("asset", F.coalesce("p", "comp").alias("comp")))
-    return chosen.distinct(), names
+        left = live.join(a, "u").join(b, "v").where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"), "k")
+        live = cut(left.groupBy("u", "v").agg(F.min("k").alias("k")))
+    names = None
+    if labels:
+        names = order.where("false").select(F.col("u").alias("c"), F.col("v").alias("p"))
+        for roots in reversed(steps):
+            after = names.select(F.col("c").alias("p"), F.col("p").alias("last"))
+            names = cut(roots.join(after, "p", "left").select("c", F.coalesce("last", "p").alias("p")))
+        names = names.select(F.col("c").alias("asset"), F.col("p").alias("comp"))
+    return order.join(chosen.distinct(), "k").select("e"), names
 
 
 def spanning_forest(dist: DataFrame) -> DataFrame:
     """(u, v, w): the minimum spanning tree of each component of (u, v, dist); NULL distances come last, ties by labels."""
+    return _spanned(dist)[0]
+
+
+def _spanned(dist: DataFrame, labels: bool = False) -> tuple[DataFrame, DataFrame | None]:
     u, v = F.least("u", "v"), F.greatest("u", "v")
     e = F.struct(F.col("dist").isNull().alias("none"), F.col("dist").alias("w"), u.alias("u"), v.alias("v"))
-    tree, _ = contract(dist.where("u <> v").groupBy(u.alias("u"), v.alias("v")).agg(F.min("dist").alias("dist")).select("u", "v", e.alias("e")))
-    return tree.select("e.u", "e.v", "e.w")
+    tree, names = contract(dist.where("u <> v").select("u", "v", e.alias("e")), labels)
+    return tree.select("e.u", "e.v", "e.w"), names
+
+
+def rooted_forest(dist: DataFrame) -> DataFrame:
+    """The spanning forest of (u, v, dist), ``rooted`` at the smallest labels, which its contraction gives."""
+    tree, names = _spanned(dist, labels=True)
+    return rooted(cut(tree), names.groupBy("comp").agg(F.min("asset").alias("asset")))
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -90,17 +104,19 @@ def _tour(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """
     arcs = symmetric(tree, "w").select(F.col("u").alias("b"), F.col("v").alias("a"), "w", F.pmod(F.xxhash64("u", "v"), F.lit(_FANS)).alias("fan"))
     arcs = arcs.withColumn("next", F.lead("a").over(Window.partitionBy("b", "fan").orderBy("a")))
-    arcs = cut(arcs)
+    arcs = cut(arcs.withColumn("i", F.monotonically_increasing_id()))
     fans = arcs.groupBy("b", "fan").agg(F.min("a").alias("head")).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("fan", "head"))).alias("fans"))  # at most _FANS of a node
     after = fans.select("b", F.explode(F.expr("transform(fans, (x, i) -> struct(x.fan AS fan, get(fans, i + 1).head AS follows, fans[0].head AS begins))")).alias("x")).select("b", "x.*")
     ends = roots.select(F.col("asset").alias("b"), F.lit(True).alias("end"))
     to = F.coalesce("next", "follows", F.when(F.col("end").isNull(), F.col("begins")))
-    linked = arcs.join(after, ["b", "fan"]).join(ends, "b", "left").select("a", "b", "w", to.alias("to"))
-    ranked = cut(linked.select("a", "b", "w", F.when(F.col("to").isNotNull(), F.col("b")).alias("na"), F.col("to").alias("nb"), F.lit(1).cast("long").alias("c")))
-    while not ranked.where("na is not null").isEmpty():
-        ahead = ranked.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("na2"), F.col("nb").alias("nb2"), F.col("c").alias("c2"))
-        ranked = cut(ranked.join(ahead, ["na", "nb"], "left").select("a", "b", "w", F.col("na2").alias("na"), F.col("nb2").alias("nb"), (F.col("c") + F.coalesce("c2", F.lit(0))).alias("c")))
-    return ranked.select("a", "b", "w", "c")
+    linked = arcs.join(after, ["b", "fan"]).join(ends, "b", "left").select("i", "b", to.alias("to"))
+    heads = arcs.select(F.col("a").alias("b"), F.col("b").alias("to"), F.col("i").alias("n"))
+    ranked = cut(linked.join(heads, ["b", "to"], "left").select("i", "n", F.lit(1).cast("long").alias("c")))
+    while not ranked.where("n is not null").isEmpty():
+        ahead = ranked.select(F.col("i").alias("n"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+        further = ranked.where("n is not null").join(ahead, "n").select("i", F.col("n2").alias("n"), (F.col("c") + F.col("c2")).alias("c"))
+        ranked = cut(further.unionByName(ranked.where("n is null")))  # those at the end stay where they are
+    return cut(arcs.join(ranked, "i").select("a", "b", "w", "c"))
 
 
 def rooted(tree: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -130,8 +146,9 @@ def _rooted(tree: DataFrame, roots: DataFrame | None, keep: bool = False) -> tup
         if keep:
             levels.append(far.where("at is not null").select("asset", F.col("at").alias("up")))
         ahead = far.select(F.col("asset").alias("at"), F.col("at").alias("at2"), *[F.col(c).alias(f"{c}2") for c in ("root", "depth", "d", "step", "heavy")])
-        sums = [(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in ("depth", "d", "step", "heavy")]
-        far = cut(far.join(ahead, "at", "left").select("asset", "parent", "w", "size", F.col("at2").alias("at"), F.coalesce("root2", "root").alias("root"), *sums))
+        sums = [(F.col(c) + F.col(f"{c}2")).alias(c) for c in ("depth", "d", "step", "heavy")]
+        further = far.where("at is not null").join(ahead, "at").select("asset", "parent", "w", "size", F.col("at2").alias("at"), F.col("root2").alias("root"), *sums)
+        far = cut(further.unionByName(far.where("at is null")))
     # from a node to its child, the ways to the child's nodes shorten by w and the others lengthen: total(child) = total(parent) + (n - 2 size) w
     whole = far.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("of_root"))
     total = F.col("of_root") + F.col("n") * F.col("d") - 2 * F.col("heavy")

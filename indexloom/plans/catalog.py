@@ -440,7 +440,7 @@ def part_forest(spark: SparkSession, sf: str) -> DataFrame:
 @query("part_forest_nodes")
 def part_forest_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """That forest rooted, with the betweenness of every part."""
-    nodes = cut(forest.rooted(cut(forest.spanning_forest(_bought_together(spark, sf)))))
+    nodes = cut(forest.rooted_forest(_bought_together(spark, sf)))
     return rounded(nodes.join(forest.betweenness(nodes), "asset"), 6)
 
 

@@ -146,3 +146,25 @@ def test_asof(spark, strict):
         assert (row.t_found, row.v) == ((times[at], times[at] * 2.0) if at >= 0 else (None, None))
     assert sorted(x.k for x in got) == list(range(200))
     assert np.isfinite([x.v for x in got if x.v is not None]).all()
+
+
+def test_rooted_forest_contracts_once(spark, monkeypatch):
+    """Roots come from the labels of the one contraction that gives the forest; parallel edges of equal length, loops and NULLs."""
+    r = random.Random(8)
+    rows = [(f"x{r.randrange(40):02d}", f"x{r.randrange(40):02d}", r.choice([None, 1.0, 2.0])) for _ in range(60)]
+    rows += rows[:9] + [(v, u, w) for u, v, w in rows[:5]] + [("y2", "y1", 1.0), ("y3", "y3", 1.0)]
+    df = spark.createDataFrame(rows, "u string, v string, dist double")
+    calls, contract = [], forest.contract
+    monkeypatch.setattr(forest, "contract", lambda *a, **k: calls.append(1) or contract(*a, **k))
+    got = {x.asset: (x.root, x.parent) for x in forest.rooted_forest(df).collect()}
+    assert len(calls) == 1
+    least = {}
+    for u, v, w in rows:
+        k = (min(u, v), max(u, v))
+        least[k] = min([x for x in (least.get(k), w) if x is not None], default=None)
+    want, sets = kruskal([(*k, w) for k, w in least.items()])
+    assert sorted((min(a, p), max(a, p)) for a, (_, p) in got.items() if p) == sorted((u, v) for u, v, _ in want)
+    members = defaultdict(set)
+    for x in got:
+        members[sets.find(x)].add(x)
+    assert {a: root for a, (root, _) in got.items()} == {x: min(m) for m in members.values() for x in m}
