@@ -14,12 +14,14 @@ similarity.  Whole sets are compared, so links are exact.
 A group that shares a shingle is not expanded into all pairs, unless it is small (eight sets).  Of a
 large group each set first meets the group's first set, in tries in which the candidates are also
 linked to each other; these links make components.  Then sets of different components of a group
-meet, and of these only pairs that their parities leave possible become candidates: a set's shingles fall
-into 512 cells, a bit for each says whether their number is odd, and an element of one set alone changes one
-bit, so sets differ in at least as many elements as in bits.  Nothing similar is lost; pages that have a
-template passage or two in common differ in far more bits than similar ones may, up to some 800 shingles (of
-longer sets most bits are as if drawn, and fewer pairs are told apart).  The pairs of a group are compared
-within the join, a few words each, and only candidates leave it.  Equal sets (copies) take part once.
+meet, and of these only pairs that two bounds leave possible become candidates.  Sets that share no shingle of a small
+group share at most as many of their beginnings as either has in large groups; pairs for which that is too little do
+not meet here nor with first sets, so texts with a passage or two in common are no candidates, and elements are made
+of candidates alone.  Parities: a set's shingles fall into 512 cells, a bit for each says whether their number is odd,
+and an element of one set alone changes one bit, so sets differ in at least as many elements as in bits.  Nothing
+similar is lost; pages that have a template passage or two in common differ in far more bits than similar ones may, up
+to some 800 shingles (of longer sets most bits are as if drawn, and fewer pairs are told apart).  The pairs of a group
+are compared within the join, a few words each, and only candidates leave it.  Equal sets (copies) take part once.
 
 All links of a document are counted, where asked for, once components are known: similar sets are in one,
 so its sets probe tries of each other, block by block.
@@ -176,18 +178,21 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+_BITS = [f"s{i}" for i in range(PARITY)]
+
+
 def differing(one: str, two: str) -> Column:
     """In how many bits the parities in the columns ``one``0, ``one``1, ... and ``two``0, ... differ."""
     return reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{one}{i}").bitwiseXOR(F.col(f"{two}{i}"))) for i in range(PARITY)))
 
 
-_SLIM = "kind int, _uid long, other long, token long, n int, digest binary, last long, posted boolean, place int, bucket int, payload binary"
+_SLIM = "kind int, _uid long, other long, token long, n int, digest binary, last long, posted boolean, place int, " + ", ".join(f"{b} long" for b in _BITS) + ", bucket int, payload binary"
 
 
 def beginnings(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, shared) -> DataFrame:  # noqa: ANN001  a broadcast
     """What the beginnings of the sets have in common, as rows of three kinds.
 
-    0: _uid, n, digest, last (rank of the beginning's end), posted (the first of equal sets of its chunk).
+    0: _uid, n, digest, last (rank of the beginning's end), posted (the first of equal sets of its chunk), parities s0, s1, ... where posted.
     1: _uid, other: two sets of a small group, whose sizes allow the similarity, once for each shingle they share;
     posted: whether it can be the first that similar sets of their sizes share.
     2: _uid, n, token, place: the members of a group of more than ``SMALL`` sets; place: the token's in the set.
@@ -197,18 +202,19 @@ def beginnings(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, sh
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, classes = shared.value
+        none = (None,) * PARITY
         for c in chunks(batches, size=dealt.chunk):
             slim, tokens, owners, sizes, places, known = [], [], [], [], [], set()
             for u, t in zip(c["_uid"], c["text"], strict=True):
                 s = shingles(t, k)
                 n = len(s)
                 if not n:
-                    slim.append((0, u, None, None, 0, b"", 0, False, None))
+                    slim.append((0, u, None, None, 0, b"", 0, False, None, *none))
                     continue
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 rank = ordered(s, cells, classes)
                 p = n - -(-num * n // den) + 1
-                slim.append((0, u, None, None, n, digest, int(rank[p - 1].astype(np.int64)), digest not in known, None))
+                slim.append((0, u, None, None, n, digest, int(rank[p - 1].astype(np.int64)), digest not in known, None, *(none if digest in known else parities(rank).tolist())))
                 if digest not in known:  # equal sets of a chunk take part once
                     known.add(digest)
                     tokens.append(rank[:p])
@@ -219,7 +225,7 @@ def beginnings(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, sh
             rows = [(*r, int(b), None) for r, b in zip(slim, where.tolist(), strict=True)]
             if tokens:
                 x, u, n, at0 = map(np.concatenate, (tokens, owners, sizes, places))
-                rows += [(3, None, None, None, None, None, None, None, None, b, x[at].tobytes() + u[at].tobytes() + n[at].tobytes() + at0[at].tobytes()) for b, at in by_bucket(bucket_of(mix(x), buckets))]
+                rows += [(3, None, None, None, None, None, None, None, None, *none, b, x[at].tobytes() + u[at].tobytes() + n[at].tobytes() + at0[at].tobytes()) for b, at in by_bucket(bucket_of(mix(x), buckets))]
             for lo in range(0, len(rows), 4096):
                 yield _rows(rows[lo : lo + 4096], _SLIM)
 
@@ -306,19 +312,16 @@ def linked(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[tuple
 
 
 def element_sets(nodes: DataFrame, docs: DataFrame, scratch: Scratch, k: int, shared) -> DataFrame:  # noqa: ANN001
-    """(_uid, n, elements, parities s0, s1, ...) of the documents in ``nodes``, made anew from their texts."""
-    bits = [f"s{i}" for i in range(PARITY)]
+    """(_uid, n, elements) of the documents in ``nodes``, made anew from their texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, classes = shared.value
         for b in batches:
             ranks = [ordered(shingles(t, k), cells, classes) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            odd = np.array([parities(r) for r in ranks], np.int64).reshape(-1, PARITY)
-            made = [b.column(0), pa.array([len(r) for r in ranks], pa.int64()), pa.array([_key(r).tobytes() for r in ranks], pa.binary()), *(pa.array(odd[:, i]) for i in range(PARITY))]
-            yield pa.RecordBatch.from_arrays(made, ["_uid", "n", "elements", *bits])
+            made = [b.column(0), pa.array([len(r) for r in ranks], pa.int64()), pa.array([_key(r).tobytes() for r in ranks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["_uid", "n", "elements"])
 
-    fields = ", ".join(["_uid long", "n long", "elements binary", *(f"{x} long" for x in bits)])
-    return scratch.cut(docs.join(by_key(nodes), "_uid", "left_semi").select("_uid", "text").transform(python_map, make, fields), "sets", "none")
+    return scratch.cut(docs.join(by_key(nodes), "_uid", "left_semi").select("_uid", "text").transform(python_map, make, "_uid long, n long, elements binary"), "sets", "none")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
@@ -435,7 +438,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = beginnings(base, scratch, k, num, den, shared)
     scratch.release()
     slim = both.where("kind = 0").select("_uid", "n", "digest", "last", "posted")
-    rep = slim.where("posted").groupBy("digest").agg(F.min(F.struct("_uid", "n", "last")).alias("r")).select("digest", F.col("r._uid").alias("rep"), F.col("r.n").alias("n"), F.col("r.last").alias("last"))
+    rep = both.where("kind = 0 and posted").groupBy("digest").agg(F.min(F.struct("_uid", "n", "last", *_BITS)).alias("r")).select("digest", F.col("r._uid").alias("rep"), *(F.col(f"r.{x}").alias(x) for x in ("n", "last", *_BITS)))
     rep = scratch.cut(rep, "representatives")
     large = both.where("kind = 2").select("_uid", F.col("n").cast("long").alias("n"), "token", "place").join(rep.select(F.col("rep").alias("_uid")), "_uid")
     large = scratch.cut(large, "large")
@@ -444,19 +447,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # small groups: pairs whose shared shingles, with all that could be shared in large groups and behind the
     # beginnings, are enough
     met = both.where("kind = 1").groupBy(F.col("_uid").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("posted").alias("hit"))
-    side = rep.select(F.col("rep").alias("_uid"), F.col("n").cast("long").alias("n"), "last").join(loads, "_uid", "left").select("_uid", "n", "last", F.coalesce("l", F.lit(0)).alias("l"))
-    met = met.join(side.toDF("a", "an", "al", "ah"), "a").join(side.toDF("b", "bn", "bl", "bh"), "b")
+    side = rep.select(F.col("rep").alias("_uid"), F.col("n").cast("long").alias("n"), "last", *_BITS).join(loads, "_uid", "left").withColumn("l", F.coalesce("l", F.lit(0)))
+    side = scratch.cut(side, "sides")
+    plain = side.select("_uid", "n", "last", "l")
+
+    def sided(found: DataFrame) -> DataFrame:
+        return found.join(plain.toDF("b", "bn", "bl", "bh"), "b").join(plain.toDF("a", "an", "al", "ah"), "a")
+
+    met = sided(met)
     must, behind = _bound("an", "al", "bn", "bl", num, den)
     shared_large = F.least("ah", "bh")
     close = met.where((F.col("hit") | (shared_large > 0)) & (F.col("c") + shared_large + behind >= must)).select("a", "b")
 
-    # large groups: each set meets the first set of its groups, the one it meets most often
+    # large groups: each set meets the first set of its groups, the one it meets most often of those that it may be similar
+    # to by shingles of large groups alone (with others of small groups the two have met above)
     hubs = large.groupBy("token").agg(F.min("_uid").alias("h"))
     star = large.join(hubs, "token").where("_uid <> h").groupBy(F.col("_uid").alias("b"), F.col("h").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+    star = sided(star).where((F.col("an") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("an") * num) & (shared_large + behind >= must))
     star = star.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     pairs = scratch.cut(close.unionByName(star).distinct(), "candidates")
-    nodes = pairs.select(F.col("a").alias("_uid")).union(pairs.select("b")).union(loads.select("_uid")).distinct()
-    sets = element_sets(nodes, base, scratch, k, shared)
+    made = [element_sets(pairs.select(F.col("a").alias("_uid")).union(pairs.select("b")).distinct(), base, scratch, k, shared)]
+    sets = made[0]
     scratch.release()
     first = verified(pairs, sets, scratch, num, den)
     roots = components(first, scratch)
@@ -469,17 +480,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     where = scratch.cut(where.join(least, "token").where(F.col("place") <= F.col("n") - _needed(F.col("n"), smallest, num, den)).drop("least"), "placed")
     sizes = where.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
     major = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("major"))
-    bits = [f"s{i}" for i in range(PARITY)]
-    mixed = where.join(major, "token").join(by_key(sets.select("_uid", *bits)), "_uid")
-    x = mixed.where("root <> major").select("token", F.col("_uid").alias("xu"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("root").alias("xr"), *(F.col(b).alias(f"x{b}") for b in bits))
-    y = mixed.select("token", F.col("_uid").alias("yu"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("root").alias("yr"), (F.col("root") == F.col("major")).alias("ym"), *(F.col(b).alias(f"y{b}") for b in bits))
+    mixed = where.join(major, "token").join(by_key(side.drop("n")), "_uid")
+    x = mixed.where("root <> major").select("token", F.col("_uid").alias("xu"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("root").alias("xr"), F.col("last").alias("xe"), F.col("l").alias("xl"), *(F.col(b).alias(f"x{b}") for b in _BITS))
+    y = mixed.select("token", F.col("_uid").alias("yu"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("root").alias("yr"), (F.col("root") == F.col("major")).alias("ym"), F.col("last").alias("ye"), F.col("l").alias("yl"), *(F.col(b).alias(f"y{b}") for b in _BITS))
     must = _needed(F.col("xn"), F.col("yn"), num, den)
     near = (F.col("xn") * den >= F.col("yn") * num) & (F.col("yn") * den >= F.col("xn") * num) & (F.col("xp") <= F.col("xn") - must) & (F.col("yp") <= F.col("yn") - must)
-    near = near & (differing("xs", "ys") <= F.col("xn") + F.col("yn") - 2 * must)
+    needed, behind = _bound("xn", "xe", "yn", "ye", num, den)
+    near = near & (F.least("xl", "yl") + behind >= needed) & (differing("xs", "ys") <= F.col("xn") + F.col("yn") - 2 * must)
     cross = x.join(y, "token").where((F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xu") < F.col("yu"))) & near)
     crossing = scratch.cut(cross.select(F.least("xu", "yu").alias("a"), F.greatest("xu", "yu").alias("b")).distinct(), "crossing")
     links = first
     if not crossing.isEmpty():
+        rest = crossing.select(F.col("a").alias("_uid")).union(crossing.select("b")).distinct().join(by_key(sets.select("_uid")), "_uid", "left_anti")
+        made.append(element_sets(rest, base, scratch, k, shared))
+        sets = sets.unionByName(made[1])
+        scratch.release()
         links = first.unionByName(verified(crossing, sets, scratch, num, den))
         roots = components(links.select("a", "b"), scratch)
 
@@ -496,7 +511,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("_f"))
     least = scratch.cut(least, "least")  # so that the join has plain exchanges, which are split where a component is large
     out = ids.join(least, "root").select("_uid", F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("_uid") == F.col("_f._uid")).alias("first"), *(["n_links"] if count_links else []))
-    scratch.drop(sets)
+    scratch.drop(*made)
     return {"documents": out, "links": links}
 
 

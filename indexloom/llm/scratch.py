@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 import uuid
 from typing import ClassVar
 
@@ -59,9 +60,14 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def release(self) -> None:
-        """Lets Spark remove the shuffle files of finished phases now: it does once their plans are collected here and in the JVM."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark remove the shuffle files of finished phases now: it does once their plans are collected here and in the JVM.
+
+        Twice, as the plan that ran last is still held the first time.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def number(uid: str | None) -> Column:

@@ -156,6 +156,25 @@ def test_ngram_template_pages(spark, monkeypatch, pages):
     assert first <= ngram_join.SMALL * len(rows) and crossing <= len(rows)
 
 
+def test_ngram_makes_elements_of_candidates_alone(spark, monkeypatch):
+    """Texts with a passage in common, among shingles that are not known as frequent: no sets are made of those that cannot be similar."""
+    rnd = random.Random(4)
+    passages = [" ".join(f"p{i}w{j}" for j in range(6)) for i in range(60)]
+    rows = [(i, " ".join([*(f"d{i}w{j}" for j in range(40)), *rnd.sample(passages, 4)])) for i in range(400)]
+    rows += [(400 + i, rows[i][1] + " few more") for i in range(0, 400, 40)]
+    made, make = [], ngram_join.element_sets
+
+    def element_sets(nodes, *rest):
+        made.append(nodes.count())
+        return make(nodes, *rest)
+
+    monkeypatch.setattr(ngram_join, "element_sets", element_sets)
+    monkeypatch.setattr(ngram_join, "frequent", lambda *_: (np.zeros(0, np.uint32), np.zeros(0, np.uint8)))
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True)["documents"].collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {x: (x - 400 if x >= 400 else x, int(x >= 400 or x % 40 == 0)) for x, _ in rows}
+    assert sum(made) <= len(rows) / 4
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
