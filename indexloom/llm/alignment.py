@@ -1,17 +1,18 @@
 """Cross-tokenizer alignment by id-striped dense count matrices.
 
 Two tokenizers encode each text; byte offsets where tokens of both end cut it into groups, and the two tokens
-that end a group are linked.  A chunk of documents is one row of a written table: its
+that end a group are linked.  A part of a chunk of documents is one row of a written table: its
 documents, their sequence of units and the links of each distinct unit.  A unit is a run of blanks
 and the word behind it: neither tokenizer has a token across such a border (this is looked up
 in their files; other pairs of tokenizers, and texts with other white space, are encoded
-whole), so each distinct unit is encoded and aligned once, whatever its occurrences.
+whole), so each distinct unit of a chunk is encoded and aligned once, whatever its occurrences.  Chunks and
+parts have fixed sizes, and so have the rows that are sorted, shuffled and scored, at any size of the corpus.
 
-A chunk sends its distinct id pairs with their counts to the stripe of the second id: 64 of its ids by
+A part sends its distinct id pairs with their counts to the stripe of the second id: 64 of its ids by
 all first ids, a dense block to which ``np.add.at`` adds.  Row maxima of the block give the
-best partner of each second id.  Where many chunks meet in a stripe they are added in several parts, whose blocks are
-added again.  The stripe's counts go back to the chunks that sent the pairs, so scores are summed where the links
-are; a chunk gets as many numbers as it has distinct pairs, and no link is shuffled alone.
+best partner of each second id.  Where many of them meet in a stripe they are added in several tasks, whose blocks are
+added again.  The stripe's counts go back to the parts that sent the pairs, so scores are summed where the links
+are; a part gets as many numbers as it has distinct pairs, and no link is shuffled alone.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from indexloom.llm import packed
 from indexloom.llm.packed import chunks, layout, sized
 from indexloom.llm.scratch import Scratch, by_key
 from indexloom.llm.tokens import _byte_characters
@@ -35,8 +37,8 @@ from indexloom.llm.workers import python_map
 
 #: Second ids of a stripe; tasks for each part of the stripes.
 STRIPE, TASKS = 64, 64
-#: Units that are encoded and aligned together.
-UNITS = 1 << 15
+#: Units that are encoded and aligned together; bytes of text of a row, about.
+UNITS, PART = 1 << 15, 1 << 20
 #: How the first vocabulary splits texts, and the mark of a second one that leaves texts as they are.
 SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 UNCHANGED = b"\x0a\x08identity"
@@ -159,12 +161,17 @@ class Aligner:
 
 
 def aligner(first: str, second: str) -> Aligner:
-    """The worker's aligner of two vocabulary files, kept between tasks."""
+    """The worker's aligner of two vocabulary files, kept between tasks until a later phase begins."""
     if (first, second) not in _ALIGNERS:
         _ALIGNERS[first, second] = Aligner(first, second)
     return _ALIGNERS[first, second]
 
 
+def _retire() -> None:
+    """In phases that encode nothing: the worker's vocabularies (some 100 MB) are given up."""
+    _ALIGNERS.clear()
+
+
 class _Codes(dict):
     """Numbers of things in order of their first use."""
 
@@ -177,8 +184,8 @@ _STRIPES = pa.list_(pa.struct([("stripe", pa.int32()), ("lo", pa.int32()), ("key
 _LINKS = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, ends binary, seq binary, unit_ends binary, unit_pairs binary, n_pairs int, stripes array<struct<stripe int, lo int, keys binary, counts binary>>"
 
 
-def _linked(ids: list, texts: list[bytes | None], known: Aligner) -> tuple[list, ...]:
-    """The columns of ``_LINKS`` behind the chunk's number."""
+def _encoded(texts: list[bytes | None], known: Aligner) -> tuple[Aligned, list[np.ndarray]]:
+    """The distinct units of a chunk, and the units of each text: none if one of them is not good."""
     codes, odd = _Codes(), {}
     seqs: list[np.ndarray] = []
     for i, t in enumerate(texts):
@@ -193,19 +200,37 @@ def _linked(ids: list, texts: list[bytes | None], known: Aligner) -> tuple[list,
     for n, (i, t) in enumerate(odd.items(), len(codes)):  # a text encoded whole is a unit of its own
         seqs[i] = np.full(1, n, np.int32)
         units.extend(known.wholes([t]))
-    bad, n_a, n_b, n_groups, shown = ~units.good, units.n_a, units.n_b, units.n_groups, units.shown
+    return units, [s if units.good[s].all() else s[:0] for s in seqs]
+
+
+def _narrow(x: np.ndarray, below: int) -> bytes:
+    """Numbers under ``below`` in two bytes each, if that is enough, or four."""
+    return x.astype(np.uint16 if below <= 1 << 16 else np.int32).tobytes()
+
+
+def _wide(data: pa.Buffer, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``_narrow``."""
+    return np.frombuffer(data, np.uint16 if data.size == 2 * n else np.int32)
+
+
+def _row(ids: list, seqs: list[np.ndarray], units: Aligned, known: Aligner) -> tuple[list, ...]:
+    """The columns of ``_LINKS`` behind the chunk's number, for some documents of a chunk and the units that they have."""
+    n_a, n_b, n_groups, shown = units.n_a, units.n_b, units.n_groups, units.shown
     sums, shas = [], []
-    for i, s in enumerate(seqs):
-        if len(s) and bad[s].any():
-            seqs[i] = s = s[:0]
+    for s in seqs:
         sums.append((int(n_a[s].sum()), int(n_b[s].sum()), int(n_groups[s].sum())))
         shas.append(hashlib.sha256(b";".join(map(shown.__getitem__, s.tolist()))).hexdigest() if len(s) else "")
     seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
     ends = np.cumsum([len(s) for s in seqs], dtype=np.int64)
-    times = np.bincount(seq, minlength=len(bad))
-    a, b = units.a, units.b
-    unit_ends = np.cumsum(n_groups)
-    used = np.repeat(times, n_groups)
+    times = np.bincount(seq, minlength=len(n_groups))
+    own = np.flatnonzero(times)
+    seq = (np.cumsum(times > 0) - 1)[seq]
+    size = n_groups[own]
+    unit_ends = np.cumsum(size)
+    at = np.repeat((np.cumsum(n_groups) - n_groups)[own] - (unit_ends - size), size)
+    at += np.arange(len(at))
+    a, b = units.a[at], units.b[at]
+    used = np.repeat(times[own], size)
     keys, pair = np.unique(b * known.a_size + a, return_inverse=True)
     counts = np.zeros(len(keys), np.int64)
     np.add.at(counts, pair, used)
@@ -216,7 +241,22 @@ def _linked(ids: list, texts: list[bytes | None], known: Aligner) -> tuple[list,
         s = int(stripe[lo])
         stripes.append({"stripe": s, "lo": lo, "keys": (keys[lo:hi] - s * known.a_size * STRIPE).astype(np.int32).tobytes(), "counts": counts[lo:hi].tobytes()})
     per = list(zip(*sums, strict=True)) or [(), (), ()]
-    return ids, *map(list, per), shas, ends.tobytes(), seq.tobytes(), unit_ends.tobytes(), pair.astype(np.int32).tobytes(), len(keys), stripes
+    return ids, *map(list, per), shas, ends.tobytes(), _narrow(seq, len(own)), unit_ends.astype(np.int32).tobytes(), _narrow(pair, len(keys)), len(keys), stripes
+
+
+def _linked(ids: list, texts: list[bytes | None], known: Aligner) -> tuple[list, ...]:
+    """A chunk as one row."""
+    units, seqs = _encoded(texts, known)
+    return _row(ids, seqs, units, known)
+
+
+def _parts(ids: list, texts: list[bytes | None], known: Aligner, size: int) -> Iterator[tuple[list, ...]]:
+    """A chunk as rows of consecutive documents with about ``size`` bytes of text together, one document at least."""
+    units, seqs = _encoded(texts, known)
+    part = np.cumsum([len(t or b"") for t in texts]) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(ids)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield _row(ids[lo:hi], seqs[lo:hi], units, known)
 
 
 def _added(rows: DataFrame, keys: list[str], width: int, tasks: int, best: bool) -> DataFrame:
@@ -226,6 +266,7 @@ def _added(rows: DataFrame, keys: list[str], width: int, tasks: int, best: bool)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _retire()
         block, at = np.zeros(STRIPE * width, np.int64), None
         for b in batches:
             for group, k, n in zip(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True), b.column(len(keys)), b.column(len(keys) + 1), strict=True):
@@ -256,20 +297,21 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     ``first`` is a byte-level vocabulary of the tokenizers library, which gets a blank and the text, ``second`` a
     sentencepiece model, which puts the blank there itself.  Null and empty texts, and those whose
     tokens' bytes differ from blank and text, have no tokens: zeros and ''.  Repeated rows and null ids count like others; ties
-    for the best partner all count; a very long text is in one chunk; an empty table gives an empty result; other columns are
+    for the best partner all count; a very long text is in one row; an empty table gives an empty result; other columns are
     left out, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
     plain = sized(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), scratch)
     dealt = layout(plain)
     width = aligner(first, second).a_size
+    chunk, part = packed.CHUNK, PART  # not the layout's chunk, which grows with its buckets
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, task = aligner(first, second), TaskContext.get().partitionId() << 32
+        known, number = aligner(first, second), count(TaskContext.get().partitionId() << 32)
         kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), *[pa.binary()] * 4, pa.int32(), _STRIPES]
-        for k, c in enumerate(chunks(batches, size=dealt.chunk)):
-            row = (task + k, *_linked(c["doc_id"], c["text"], known))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [f.split()[0] for f in _LINKS.split(", ")[:11]] + ["stripes"])
+        for c in chunks(batches, size=chunk):
+            for row in _parts(c["doc_id"], c["text"], known, part):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((next(number), *row), kinds, strict=True)], [f.split()[0] for f in _LINKS.split(", ")[:11]] + ["stripes"])
 
     links = scratch.cut(python_map(plain, link, _LINKS), "links")
     parts = -(-dealt.tasks // TASKS)
@@ -277,6 +319,7 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     counts = scratch.cut(_added(_added(pairs, ["stripe", "part"], width, dealt.tasks, best=False), ["stripe"], width, dealt.tasks, best=True), "counts")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _retire()
         n, best = np.zeros(STRIPE * width, np.int64), np.zeros(STRIPE * width, bool)
         for b in batches:
             out = []
@@ -296,10 +339,12 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     back = back.groupBy("chunk").agg(F.collect_list(F.struct("lo", "n", "best")).alias("back"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _retire()
         for b in batches:
             for i in range(b.num_rows):
                 ids, n_a, n_b, groups, shas = (b.column(k)[i].values for k in range(1, 6))
-                ends, seq, unit_ends, unit_pairs = (np.frombuffer(b.column(6 + k)[i].as_buffer(), t) for k, t in enumerate((np.int64, np.int32, np.int64, np.int32)))
+                ends, unit_ends = np.frombuffer(b.column(6)[i].as_buffer(), np.int64), np.frombuffer(b.column(8)[i].as_buffer(), np.int32)
+                seq, unit_pairs = (_wide(b.column(k)[i].as_buffer(), int(stop[-1]) if len(stop) else 0) for k, stop in ((7, ends), (9, unit_ends)))
                 n, best = np.zeros(b.column(10)[i].as_py(), np.int64), np.zeros(b.column(10)[i].as_py(), np.int64)
                 for part in b.column(11)[i].as_py() or ():
                     x = np.frombuffer(part["n"], np.int64)

@@ -104,6 +104,36 @@ def test_alignment_in_parts(spark, monkeypatch):
     assert rows_of(alignment.align(docs, A, B)) == sorted(expected_alignment([(r[0], r[1]) for r in cases.rows()]), key=repr)
 
 
+def test_alignment_rows_have_fixed_sizes(spark, monkeypatch):
+    """Rows hold about a part's bytes of text, and which documents share one makes no difference."""
+    from indexloom.llm.scratch import Scratch
+
+    rows = [(i, " ".join(f"word{i % 7} w{i}x{j % 90}" for j in range(400)), "en") for i in range(300)]
+    tables, cut = [], Scratch.cut
+
+    def kept(self, df, *rest):
+        tables.append(cut(self, df, *rest))
+        return tables[-1]
+
+    monkeypatch.setattr(Scratch, "cut", kept)
+    monkeypatch.setattr(alignment, "PART", 1 << 16, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = alignment.align(docs, A, B)
+    links = next(t for t in tables if "unit_pairs" in t.columns)
+    sizes = [r[0] for r in links.selectExpr("size(doc_id)").collect()]
+    assert sum(sizes) == 300 and max(sizes) * min(len(t) for _, t, _ in rows) <= 1 << 17
+    assert rows_of(got) == sorted(expected_alignment([(i, t) for i, t, _ in rows]), key=repr)
+
+
+def test_alignment_of_many_units(spark):
+    """A row with more units and pairs of ids than two bytes number."""
+    rnd = random.Random(2)
+    rows = [(i, " ".join(f"{rnd.randrange(16**6):06x}" for _ in range(n)), "en") for i, n in enumerate((70_000, 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = alignment.align(docs, A, B)
+    assert rows_of(got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) == sorted(expected_alignment([(i, t) for i, t, _ in rows]), key=repr)
+
+
 def test_alignment_query(spark):
     import __spark_entry__ as registry
 
